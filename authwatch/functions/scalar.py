@@ -11,23 +11,31 @@ from pyspark.sql import functions as F
 EARTH_RADIUS_KM = 6371.0088  # fixed value: mean Earth radius
 
 
-def located(latitude: Column, longitude: Column) -> Column:
+def located_sql(latitude: str, longitude: str) -> str:
     """True when the pair is present, finite and in range; never null."""
-    ok = (
-        latitude.isNotNull() & longitude.isNotNull()
-        & ~F.isnan(latitude) & ~F.isnan(longitude)
-        & latitude.between(-90.0, 90.0) & longitude.between(-180.0, 180.0)
+    return (
+        f"coalesce(NOT isnan({latitude}) AND NOT isnan({longitude}) "
+        f"AND {latitude} BETWEEN -90D AND 90D AND {longitude} BETWEEN -180D AND 180D, false)"
     )
-    return F.coalesce(ok, F.lit(False))
 
 
-def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
-    phi_a, phi_b = F.radians(lat_a), F.radians(lat_b)
-    half_phi = F.sin((phi_b - phi_a) / 2.0)
-    half_lambda = F.sin(F.radians(lon_b - lon_a) / 2.0)
-    chord = half_phi * half_phi + F.cos(phi_a) * F.cos(phi_b) * half_lambda * half_lambda
-    chord = F.least(F.lit(1.0), F.greatest(F.lit(0.0), chord))
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.sqrt(chord))
+def located(latitude: str, longitude: str) -> Column:
+    # isnan(null) is false, so the range tests decide; a null there is coalesced to false.
+    return F.expr(located_sql(latitude, longitude))
+
+
+def haversine_sql(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> str:
+    half_phi = f"sin((radians({lat_b}) - radians({lat_a})) / 2D)"
+    half_lambda = f"sin(radians({lon_b} - {lon_a}) / 2D)"
+    chord = (
+        f"{half_phi} * {half_phi} + cos(radians({lat_a})) * cos(radians({lat_b})) "
+        f"* {half_lambda} * {half_lambda}"
+    )
+    return f"{2.0 * EARTH_RADIUS_KM!r}D * asin(sqrt(least(1D, greatest(0D, {chord}))))"
+
+
+def haversine_km(lat_a: str, lon_a: str, lat_b: str, lon_b: str) -> Column:
+    return F.expr(haversine_sql(lat_a, lon_a, lat_b, lon_b))
 
 
 def cyclic(value: Column, period: int) -> tuple[Column, Column]:

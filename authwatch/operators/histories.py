@@ -5,11 +5,13 @@ holds few rows.  ``sweep`` form: every contribution becomes a pair of deltas on
 the time axis and a running sum, so cost is linear in the number of events
 however full a window is; chunking (see ``prefix``) bounds what one task holds.
 ``plans.features`` routes dense entities to the sweep form.
+
+Expressions are SQL text: one parse per column instead of one JVM call per node.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig, micros
@@ -17,7 +19,7 @@ from ..schema import DIMENSION_COLUMNS, ENTITY_KEYS, Feature
 from .prefix import CHUNK, neighbour, running, with_chunk
 
 US = "event_us"
-# Largest window whose squared gaps still sum inside a bigint.
+# Largest window whose squared gaps, counted twice, still fit a bigint.
 _LONG_SQUARE_LIMIT = 2_100_000_000
 # Stand-in for "no earlier event": further away than any window.
 _NEVER = -(1 << 61)
@@ -30,28 +32,28 @@ _OUTCOME_OF = {
 }
 
 
-def _square(column: Column, window_us: int) -> Column:
+def square(text: str, window_us: int) -> str:
     if window_us <= _LONG_SQUARE_LIMIT:
-        return column * column
-    wide = column.cast("decimal(19,0)")
-    return (wide * wide).cast("decimal(38,0)")
+        return f"({text}) * ({text})"
+    wide = f"cast({text} as decimal(19,0))"
+    return f"cast({wide} * {wide} as decimal(38,0))"
 
 
-def _sample_std(n: Column, total: Column, total_sq: Column) -> Column:
+def sample_std(n: str, total: str, total_sq: str) -> str:
     """Sample standard deviation from exact integer sums; null below two observations."""
-    n38, s38, q38 = (c.cast("decimal(38,0)") for c in (n, total, total_sq))
-    numerator = (n38 * q38 - s38 * s38).cast("double")
-    return F.when(n >= 2, F.sqrt(numerator / (n * (n - 1)).cast("double")))
+    n38, s38, q38 = (f"cast({c} as decimal(38,0))" for c in (n, total, total_sq))
+    numerator = f"cast({n38} * {q38} - {s38} * {s38} as double)"
+    return f"CASE WHEN {n} >= 2 THEN sqrt({numerator} / cast({n} * ({n} - 1) as double)) END"
 
 
-# What each measure needs from the accumulators of a window.
 def _needs(measure: str) -> set[str]:
+    """Accumulators a measure is computed from."""
     if measure in DIMENSION_COLUMNS:
         return {measure}
+    if measure in _OUTCOME_OF:
+        return {_OUTCOME_OF[measure]}
     return {
         "attempt_count": {"n"}, "event_count": {"n"},
-        "success_count": {"success"}, "failure_count": {"failure"},
-        "challenge_count": {"challenged"}, "blocked_count": {"blocked"},
         "mfa_failure_count": {"mfa_failed"},
         "failure_rate": {"n", "failure"}, "success_rate": {"n", "success"},
         "mean_response_time_ms": {"rt_n", "rt_sum"},
@@ -62,49 +64,48 @@ def _needs(measure: str) -> set[str]:
     }[measure]
 
 
-def _finish(feature: Feature, acc, config: FeatureConfig) -> Column:
-    """Turn accumulators (``acc(name)`` -> Column) into the published value."""
+def _finish(feature: Feature, config: FeatureConfig) -> str:
+    """Turn the accumulator columns of the feature's window into the published value."""
+    def acc(name: str) -> str:
+        return f"__{name}__{feature.window}"
+
     measure = feature.measure
-    if measure in DIMENSION_COLUMNS:
-        return acc(measure).cast("long")
+    if measure in DIMENSION_COLUMNS or measure in _OUTCOME_OF:
+        return f"cast({acc(_OUTCOME_OF.get(measure, measure))} as bigint)"
     if measure in ("attempt_count", "event_count"):
-        return acc("n").cast("long")
+        return f"cast({acc('n')} as bigint)"
     if measure == "mfa_failure_count":
-        return acc("mfa_failed").cast("long")
-    if measure in _OUTCOME_OF:
-        return acc(_OUTCOME_OF[measure]).cast("long")
+        return f"cast({acc('mfa_failed')} as bigint)"
     if measure in ("failure_rate", "success_rate"):
-        n = acc("n")
-        enough = (n >= config.min_count_for_rate) & (n > 0)
-        return F.when(enough, acc(measure.split("_")[0]) / n)
+        floor = max(1, config.min_count_for_rate)
+        return f"CASE WHEN {acc('n')} >= {floor} THEN {acc(measure.split('_')[0])} / {acc('n')} END"
     if measure == "mean_response_time_ms":
-        return F.when(acc("rt_n") > 0, acc("rt_sum") / acc("rt_n"))
+        return f"CASE WHEN {acc('rt_n')} > 0 THEN {acc('rt_sum')} / {acc('rt_n')} END"
     if measure == "response_time_std_ms":
-        return _sample_std(acc("rt_n"), acc("rt_sum"), acc("rt_sumsq"))
-    gaps = acc("n") - 1
-    mean = F.when(gaps > 0, acc("gap_sum") / gaps / 1e6)
+        return sample_std(acc("rt_n"), acc("rt_sum"), acc("rt_sumsq"))
+    gaps = f"({acc('n')} - 1)"
+    mean = f"(CASE WHEN {gaps} > 0 THEN {acc('gap_sum')} / {gaps} / 1e6D END)"
     if measure == "mean_interarrival_seconds":
         return mean
-    std = _sample_std(gaps, acc("gap_sum"), acc("gap_sumsq")) / 1e6
+    std = f"({sample_std(gaps, acc('gap_sum'), acc('gap_sumsq'))}) / 1e6D"
     if measure == "interarrival_std_seconds":
         return std
-    return F.when(mean != 0.0, std / mean)
+    return f"CASE WHEN {mean} != 0 THEN {std} / {mean} END"
 
 
-def _row_value(name: str, window_us: int) -> Column:
+def _row_value(name: str) -> str:
     """Contribution of one event to an additive accumulator."""
-    one, rt = F.lit(1).cast("long"), F.col("response_time_ms").cast("long")
     if name == "n":
-        return one
+        return "1L"
     if name == "mfa_failed":
-        return F.when(F.col("mfa_outcome") == "failed", one).otherwise(F.lit(0))
+        return "CASE WHEN mfa_outcome = 'failed' THEN 1L ELSE 0L END"
     if name == "rt_n":
-        return F.when(rt.isNotNull(), one).otherwise(F.lit(0))
+        return "CASE WHEN response_time_ms IS NOT NULL THEN 1L ELSE 0L END"
     if name == "rt_sum":
-        return F.coalesce(rt, F.lit(0))
+        return "coalesce(response_time_ms, 0L)"
     if name == "rt_sumsq":
-        return F.coalesce(rt * rt, F.lit(0))
-    return F.when(F.col("authentication_outcome") == name, one).otherwise(F.lit(0))
+        return "coalesce(response_time_ms * response_time_ms, 0L)"
+    return f"CASE WHEN authentication_outcome = '{name}' THEN 1L ELSE 0L END"
 
 
 def _accumulators(features: list[Feature]) -> dict[str, set[str]]:
@@ -115,46 +116,41 @@ def _accumulators(features: list[Feature]) -> dict[str, set[str]]:
 
 
 def frame_features(
-    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig, keys: list[Column] | None = None
+    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig, keys: list[str]
 ) -> DataFrame:
-    """Sliding-frame form.  ``keys`` may replace the natural partition key."""
-    keys = keys if keys is not None else [F.col(k) for k in ENTITY_KEYS[kind]]
-    base = Window.partitionBy(*keys)
+    """Sliding-frame form over the given partition columns."""
+    partition = f"PARTITION BY {', '.join(keys)} ORDER BY {US}"
     needed = _accumulators(features)
     rows = df
     if any("gap_sumsq" in names for names in needed.values()):
         # Tied rows may take any order here: one of them owns the gap, the others have gap 0.
-        earlier = base.orderBy(US).rangeBetween(Window.unboundedPreceding, -1)
-        rows = rows.withColumns({
-            "__gap": F.col(US) - F.lag(US).over(base.orderBy(US)),
-            "__prev": F.coalesce(F.max(US).over(earlier), F.lit(_NEVER)),
-        })
-    columns: dict[str, Column] = {}
-    helper: list[str] = []
+        rows = rows.selectExpr(
+            "*",
+            f"{US} - lag({US}) OVER ({partition}) AS __gap",
+            f"coalesce(max({US}) OVER ({partition} RANGE BETWEEN UNBOUNDED PRECEDING AND 1L PRECEDING), "
+            f"{_NEVER}L) AS __prev",
+        )
+    columns: list[str] = []
     for window, names in needed.items():
         w_us = micros(window)
-        over = base.orderBy(US).rangeBetween(-w_us, -1)
+        over = f"OVER ({partition} RANGE BETWEEN {w_us}L PRECEDING AND 1L PRECEDING)"
         for name in sorted(names):
             if name in DIMENSION_COLUMNS:
-                value = F.size(F.collect_set(DIMENSION_COLUMNS[name]).over(over))
+                value = f"size(collect_set({DIMENSION_COLUMNS[name]}) {over})"
             elif name == "gap_sum":
-                value = F.max(US).over(over) - F.min(US).over(over)
+                value = f"max({US}) {over} - min({US}) {over}"
             elif name == "gap_sumsq":
                 # The oldest event's own gap crosses the left edge, so it is taken out again.
-                squares = F.when(F.col("__gap") <= w_us, _square(F.col("__gap"), w_us))
-                crossing = F.min(US).over(over) - F.min("__prev").over(over)
-                first = F.when(crossing <= w_us, _square(crossing, w_us))
-                value = F.coalesce(F.sum(squares).over(over), F.lit(0)) - F.coalesce(first, F.lit(0))
+                inside = f"CASE WHEN __gap <= {w_us}L THEN {square('__gap', w_us)} END"
+                crossing = f"(min({US}) {over} - min(__prev) {over})"
+                first = f"CASE WHEN {crossing} <= {w_us}L THEN {square(crossing, w_us)} END"
+                value = f"coalesce(sum({inside}) {over}, 0L) - coalesce({first}, 0L)"
             else:
-                value = F.coalesce(F.sum(_row_value(name, w_us)).over(over), F.lit(0))
-            columns[f"__{name}__{window}"] = value
-            helper.append(f"__{name}__{window}")
-    rows = rows.withColumns(columns)
-    finished = {
-        f.name: _finish(f, lambda n, w=f.window: F.col(f"__{n}__{w}"), config) for f in features
-    }
-    drop = [*helper, "__gap", "__prev"]
-    return rows.withColumns(finished).drop(*drop)
+                value = f"coalesce(sum({_row_value(name)}) {over}, 0L)"
+            columns.append(f"{value} AS __{name}__{window}")
+    rows = rows.selectExpr("*", *columns)
+    finished = [f"{_finish(f, config)} AS {f.name}" for f in features]
+    return rows.selectExpr(*df.columns, *finished)
 
 
 def sweep_features(
@@ -165,10 +161,9 @@ def sweep_features(
     width = micros(config.skew.chunk)
     needed = _accumulators(features)
     windows = sorted(needed, key=micros)
-    additive = sorted({n for names in needed.values() for n in names
-                       if n not in DIMENSION_COLUMNS and not n.startswith("gap")})
-    dims = sorted({n for names in needed.values() for n in names if n in DIMENSION_COLUMNS})
-    gaps = any("gap_sum" in names for names in needed.values())
+    everything = {n for names in needed.values() for n in names}
+    dims = sorted(everything & set(DIMENSION_COLUMNS))
+    additive = sorted(n for n in everything - set(dims) if not n.startswith("gap"))
 
     base_columns = list(dict.fromkeys(
         ["event_id", US, *keys, "authentication_outcome", "mfa_outcome", "response_time_ms",
@@ -176,53 +171,46 @@ def sweep_features(
     ))
     events = with_chunk(df.select(*base_columns), US, width)
 
+    def spans(test) -> str:
+        """SQL array of (slot, width) for the windows that need an accumulator."""
+        return "array({})".format(", ".join(
+            f"named_struct('slot', {i}, 'w', {micros(w)}L)"
+            for i, w in enumerate(windows) if test(needed[w])))
+
     # One thin row per delta: when it takes effect, which window it belongs to
-    # (-1 = all), what it is and with which sign.
-    payload = [_row_value(n, 0).alias(f"v_{n}") for n in additive]
-    zero = [F.lit(0).cast("long").alias(f"v_{n}") for n in additive]
-    none_dim = F.lit(None).cast("string").alias("dim")
-    plus = events.select(
-        "event_id", *keys, US, F.lit(-1).alias("slot"), none_dim, F.lit(1).cast("long").alias("sign"),
-        *payload, F.lit(0).cast("long").alias("gap"),
-    )
-    ends = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(micros(w)).cast("long").alias("w"))
-                     for i, w in enumerate(windows)])
-    no_event = F.lit(None).cast("string").alias("event_id")
-    minus = events.select("*", F.explode(ends).alias("e")).select(
-        no_event, *keys, (F.col(US) + F.col("e.w")).alias(US), F.col("e.slot").alias("slot"),
-        none_dim, F.lit(-1).cast("long").alias("sign"), *payload, F.lit(0).cast("long").alias("gap"),
-    )
-    parts = [plus, minus] if additive else [plus]
-    if gaps:
-        gap_windows = [i for i, w in enumerate(windows) if "gap_sum" in needed[w]]
-        spans = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(micros(windows[i])).cast("long").alias("w"))
-                          for i in gap_windows])
-        linked = neighbour(events, keys, US, "prev_us", forward=False).where("prev_us is not null")
-        linked = linked.select(*keys, US, "prev_us", (F.col(US) - F.col("prev_us")).alias("gap"),
-                               F.explode(spans).alias("e")).where("gap > 0 and gap <= e.w")
-        for when_us, sign in ((F.col(US), 1), (F.col("prev_us") + F.col("e.w"), -1)):
-            parts.append(linked.select(
-                no_event, *keys, when_us.alias(US), F.col("e.slot").alias("slot"),
-                F.lit("gap").alias("dim"), F.lit(sign).cast("long").alias("sign"), *zero, "gap",
-            ))
+    # (-1 = all), what it is (null = the additive payload) and with which sign.
+    def delta(when: str, slot: str, what: str, sign: int, payload: bool = False,
+              gap: str = "0L", event: str = "cast(null as string)") -> list[str]:
+        return [
+            f"{event} AS event_id", *keys, f"{when} AS {US}", f"{slot} AS slot", f"{what} AS what",
+            f"{sign}L AS sign", f"{gap} AS gap",
+            *[f"{_row_value(n) if payload else '0L'} AS v_{n}" for n in additive],
+        ]
+
+    no_what = "cast(null as string)"
+    parts = [events.selectExpr(*delta(US, "-1", no_what, 1, payload=True, event="event_id"))]
+    if additive:
+        parts.append(
+            events.selectExpr("*", f"explode({spans(lambda names: names & set(additive))}) AS e")
+            .selectExpr(*delta(f"{US} + e.w", "e.slot", no_what, -1, payload=True)))
+    if "gap_sum" in everything:
+        linked = neighbour(events, keys, US, "prev_us", forward=False).where("prev_us IS NOT NULL")
+        linked = linked.selectExpr(
+            *keys, US, "prev_us", f"{US} - prev_us AS gap",
+            f"explode({spans(lambda names: 'gap_sum' in names)}) AS e").where("gap > 0 AND gap <= e.w")
+        parts.append(linked.selectExpr(*delta(US, "e.slot", "'gap'", 1, gap="gap")))
+        parts.append(linked.selectExpr(*delta("prev_us + e.w", "e.slot", "'gap'", -1, gap="gap")))
     if dims:
-        seen = events.select(*keys, US, CHUNK, F.explode(F.array(*[
-            F.struct(F.lit(d).alias("dim"), F.col(DIMENSION_COLUMNS[d]).cast("string").alias("x"))
-            for d in dims])).alias("d")).select(*keys, US, CHUNK, "d.dim", "d.x").where("x is not null")
+        entries = ", ".join(
+            f"named_struct('what', '{d}', 'x', cast({DIMENSION_COLUMNS[d]} as string))" for d in dims)
+        seen = events.selectExpr(*keys, US, CHUNK, f"explode(array({entries})) AS d").selectExpr(
+            *keys, US, CHUNK, "d.what AS what", "d.x AS x").where("x IS NOT NULL")
         # Repeats of a value at one instant count once; fewer rows reach the shuffle.
-        seen = seen.distinct()
-        seen = neighbour(seen, [*keys, "dim", "x"], US, "next_us", forward=True)
-        dim_windows = [i for i, w in enumerate(windows) if set(dims) & needed[w]]
-        spans = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(micros(windows[i])).cast("long").alias("w"))
-                          for i in dim_windows])
-        gone = seen.select("*", F.explode(spans).alias("e"))
-        parts.append(seen.select(
-            no_event, *keys, US, F.lit(-1).alias("slot"), "dim", F.lit(1).cast("long").alias("sign"),
-            *zero, F.lit(0).cast("long").alias("gap")))
-        parts.append(gone.select(
-            no_event, *keys, F.least(F.col("next_us"), F.col(US) + F.col("e.w")).alias(US),
-            F.col("e.slot").alias("slot"), "dim", F.lit(-1).cast("long").alias("sign"),
-            *zero, F.lit(0).cast("long").alias("gap")))
+        seen = neighbour(seen.distinct(), [*keys, "what", "x"], US, "next_us", forward=True)
+        parts.append(seen.selectExpr(*delta(US, "-1", "what", 1)))
+        parts.append(
+            seen.selectExpr("*", f"explode({spans(lambda names: names & set(dims))}) AS e")
+            .selectExpr(*delta(f"least(next_us, {US} + e.w)", "e.slot", "what", -1)))
 
     deltas = parts[0]
     for part in parts[1:]:
@@ -230,24 +218,20 @@ def sweep_features(
     # Shuffle the thin rows; the wide per-window inputs are projected afterwards.
     deltas = with_chunk(deltas, US, width).repartition(*keys, CHUNK)
 
-    sums: dict[str, tuple[str, Column]] = {}
+    sums: dict[str, tuple[str, str]] = {}
     for i, window in enumerate(windows):
         w_us = micros(window)
-        mine = F.col("slot").isin(-1, i)
         for name in sorted(needed[window]):
             if name in DIMENSION_COLUMNS:
-                expr = F.when(mine & (F.col("dim") == name), F.col("sign")).otherwise(F.lit(0))
+                expr = f"CASE WHEN slot IN (-1, {i}) AND what = '{name}' THEN sign ELSE 0L END"
             elif name == "gap_sum":
-                expr = F.when(mine & (F.col("dim") == "gap"), F.col("sign") * F.col("gap")).otherwise(F.lit(0))
+                expr = f"CASE WHEN slot = {i} AND what = 'gap' THEN sign * gap ELSE 0L END"
             elif name == "gap_sumsq":
-                square = _square(F.col("gap"), w_us)
-                signed = F.when(F.col("sign") > 0, square).otherwise(-square)
-                expr = F.when((F.col("slot") == i) & (F.col("dim") == "gap"), signed).otherwise(F.lit(0))
+                expr = (f"CASE WHEN slot = {i} AND what = 'gap' THEN "
+                        f"CASE WHEN sign > 0 THEN {square('gap', w_us)} ELSE -({square('gap', w_us)}) END "
+                        f"ELSE 0L END")
             else:
-                expr = F.when(mine & F.col("dim").isNull(), F.col("sign") * F.col(f"v_{name}")).otherwise(F.lit(0))
+                expr = f"CASE WHEN slot IN (-1, {i}) AND what IS NULL THEN sign * v_{name} ELSE 0L END"
             sums[f"__{name}__{window}"] = ("sum", expr)
-    swept = running(deltas, keys, US, sums).where("event_id is not null")
-    return swept.select(
-        "event_id",
-        *[_finish(f, lambda n, w=f.window: F.col(f"__{n}__{w}"), config).alias(f.name) for f in features],
-    )
+    swept = running(deltas, keys, US, sums).where(F.col("event_id").isNotNull())
+    return swept.selectExpr("event_id", *[f"{_finish(f, config)} AS {f.name}" for f in features])

@@ -8,84 +8,68 @@ ordered per key and has at most (time range / chunk length) rows per key.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import bucket
 
 CHUNK = "__chunk"
-_AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def with_chunk(df: DataFrame, time: str, width_us: int) -> DataFrame:
     return df.withColumn(CHUNK, bucket(F.col(time), width_us))
 
 
-def _combine(op: str, local: Column, carry: Column) -> Column:
-    if op == "sum":
-        return F.coalesce(local, F.lit(0)) + F.coalesce(carry, F.lit(0))
-    return (F.greatest if op == "max" else F.least)(local, carry)
-
-
-def _carry(df: DataFrame, keys: list[str], measures: dict[str, tuple[str, Column]]) -> DataFrame:
-    """Per (key, chunk): the aggregate over all earlier chunks of the key."""
-    totals = df.groupBy(*keys, CHUNK).agg(
-        *[_AGG[op](expr).alias(name) for name, (op, expr) in measures.items()]
-    )
-    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(
-        *keys,
-        CHUNK,
-        *[_AGG[op](name).over(earlier).alias(f"__carry_{name}") for name, (op, _) in measures.items()],
-    )
-
-
 def running(
     df: DataFrame,
     keys: list[str],
     time: str,
-    measures: dict[str, tuple[str, Column]],
+    measures: dict[str, tuple[str, str]],
     tie_break: str | None = None,
 ) -> DataFrame:
-    """Add running aggregates of ``measures`` = {name: (sum|max|min, expression)}.
+    """Add running aggregates of ``measures`` = {name: (sum|max|min, SQL expression)}.
 
     Without ``tie_break`` a row sees only rows with a strictly smaller time.
     With it, rows are totally ordered by (time, tie_break) and a row sees itself.
     """
-    window = Window.partitionBy(*keys, CHUNK)
+    group = ", ".join([*keys, CHUNK])
     if tie_break is None:
-        window = window.orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
+        frame = f"ORDER BY {time} RANGE BETWEEN UNBOUNDED PRECEDING AND 1L PRECEDING"
     else:
-        window = window.orderBy(time, tie_break).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumns(
-        {f"__in_{n}": expr for n, (_, expr) in measures.items()}
-    )
-    inputs = {n: (op, F.col(f"__in_{n}")) for n, (op, _) in measures.items()}
-    carried = _carry(rows, keys, inputs)
-    local = rows.withColumns(
-        {f"__local_{n}": _AGG[op](expr).over(window) for n, (op, expr) in inputs.items()}
-    )
+        frame = f"ORDER BY {time}, {tie_break} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    rows = df.selectExpr("*", *[f"{expr} AS __in_{n}" for n, (_, expr) in measures.items()])
+    # State at the start of each chunk: the aggregate over all earlier chunks of the key.
+    totals = rows.groupBy(*keys, CHUNK).agg(
+        *[F.expr(f"{op}(__in_{n})").alias(n) for n, (op, _) in measures.items()])
+    earlier = (f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {CHUNK} "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    carried = totals.selectExpr(
+        *keys, CHUNK, *[f"{op}({n}) {earlier} AS __carry_{n}" for n, (op, _) in measures.items()])
+    local = rows.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"{op}(__in_{n}) OVER (PARTITION BY {group} {frame}) AS __local_{n}"
+          for n, (op, _) in measures.items()])
     joined = local.join(carried, [*keys, CHUNK], "left")
-    return joined.select(
-        *df.columns,
-        *[
-            _combine(op, F.col(f"__local_{n}"), F.col(f"__carry_{n}")).alias(n)
-            for n, (op, _) in measures.items()
-        ],
-    )
+    combine = {
+        "sum": "coalesce(__local_{n}, 0L) + coalesce(__carry_{n}, 0L)",
+        "max": "greatest(__local_{n}, __carry_{n})",
+        "min": "least(__local_{n}, __carry_{n})",
+    }
+    return joined.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        *[f"{combine[op].format(n=n)} AS {n}" for n, (op, _) in measures.items()])
 
 
 def neighbour(df: DataFrame, keys: list[str], time: str, name: str, forward: bool) -> DataFrame:
     """Add the time of the next (or previous) row of the key; ties are neighbours with equal time."""
-    order = F.col(time).asc() if forward else F.col(time).desc()
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(order)
-    edge = F.min(time) if forward else F.max(time)
-    chunk_order = F.col(CHUNK).asc() if forward else F.col(CHUNK).desc()
-    edges = df.groupBy(*keys, CHUNK).agg(edge.alias("__edge"))
-    across = Window.partitionBy(*keys).orderBy(chunk_order)
-    edges = edges.select(*keys, CHUNK, F.lead("__edge").over(across).alias("__across"))
+    edge, direction = ("min", "ASC") if forward else ("max", "DESC")
+    by_key, by_chunk = ", ".join(keys), ", ".join([*keys, CHUNK])
+    edges = df.groupBy(*keys, CHUNK).agg(F.expr(f"{edge}({time})").alias("__edge")).selectExpr(
+        *keys, CHUNK,
+        f"lead(__edge) OVER (PARTITION BY {by_key} ORDER BY {CHUNK} {direction}) AS __across")
+    inside = f"lead({time}) OVER (PARTITION BY {by_chunk} ORDER BY {time} {direction}) AS __inside"
     return (
-        df.withColumn("__inside", F.lead(time).over(inside))
+        df.selectExpr("*", inside)
         .join(edges, [*keys, CHUNK], "left")
         .select(*df.columns, F.coalesce("__inside", "__across").alias(name))
     )

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..config import FeatureConfig, micros
-from ..functions.scalar import haversine_km, located
+from ..functions.scalar import haversine_sql, located_sql
 from ..schema import ENTITY_KEYS
-from .prefix import _AGG, running, with_chunk
+from .prefix import running, with_chunk
 
 US = "event_us"
 # Which sequence columns each entity kind owns.
@@ -35,123 +34,111 @@ GEO = (
 )
 INPUTS = ("authentication_outcome", "country_code", "region_code", "coarse_latitude", "coarse_longitude")
 
+_FAILED = "CASE WHEN authentication_outcome = 'failure' THEN 1L ELSE 0L END"
+_OK = "authentication_outcome = 'success'"
+_HERE = located_sql("coarse_latitude", "coarse_longitude")
 
 
-def _failed() -> Column:
-    return F.when(F.col("authentication_outcome") == "failure", 1).otherwise(0).cast("long")
-
-
-def _state(wanted: set[str]) -> dict[str, tuple[str, Column]]:
+def _state(wanted: set[str]) -> dict[str, tuple[str, str]]:
     """Associative measures over all strictly earlier events (``__cf`` = failures up to the row)."""
-    outcome = F.col("authentication_outcome")
-    ok = outcome == "success"
-    out: dict[str, tuple[str, Column]] = {}
+    out: dict[str, tuple[str, str]] = {}
     if any("consecutive" in n or "failures_since" in n for n in wanted):
-        out["__fails"] = ("sum", _failed())
+        out["__fails"] = ("sum", _FAILED)
     if any("consecutive" in n for n in wanted):
-        out["__cf_reset"] = ("max", F.when(outcome != "failure", F.col("__cf")))
+        out["__cf_reset"] = ("max", "CASE WHEN authentication_outcome != 'failure' THEN __cf END")
     if any("failures_since" in n for n in wanted):
-        out["__cf_success"] = ("max", F.when(ok, F.col("__cf")))
+        out["__cf_success"] = ("max", f"CASE WHEN {_OK} THEN __cf END")
     if any(n.endswith("previous_event") for n in wanted):
-        out["__last_us"] = ("max", F.col(US))
-    if any(n.endswith("previous_success") and n.startswith("seconds") for n in wanted):
-        out["__last_success_us"] = ("max", F.when(ok, F.col(US)))
-    if any(n.endswith("previous_failure") for n in wanted):
-        out["__last_failure_us"] = ("max", F.when(outcome == "failure", F.col(US)))
+        out["__last_us"] = ("max", US)
+    if "seconds_since_user_previous_success" in wanted:
+        out["__last_success_us"] = ("max", f"CASE WHEN {_OK} THEN {US} END")
+    if "seconds_since_user_previous_failure" in wanted:
+        out["__last_failure_us"] = ("max", f"CASE WHEN authentication_outcome = 'failure' THEN {US} END")
     if any(n.endswith("_outcome") for n in wanted):
-        out["__last"] = ("max", F.struct(US, "event_id", "authentication_outcome"))
+        out["__last"] = ("max", f"struct({US}, event_id, authentication_outcome)")
     if wanted & set(GEO):
-        here = located(F.col("coarse_latitude"), F.col("coarse_longitude"))
-        out["__success"] = ("max", F.when(ok, F.struct(US, "event_id", "country_code", "region_code")))
+        out["__success"] = ("max", f"CASE WHEN {_OK} THEN struct({US}, event_id, country_code, region_code) END")
         out["__located"] = (
-            "max", F.when(ok & here, F.struct(US, "event_id", "coarse_latitude", "coarse_longitude"))
-        )
+            "max",
+            f"CASE WHEN {_OK} AND {_HERE} THEN struct({US}, event_id, coarse_latitude, coarse_longitude) END")
     return out
 
 
-def _published(wanted: set[str], config: FeatureConfig) -> dict[str, Column]:
-    def since(state: str) -> Column:
-        return (F.col(US) - F.col(state)) / 1e6
+def _published(wanted: set[str], config: FeatureConfig) -> dict[str, str]:
+    def since(state: str) -> str:
+        return f"({US} - {state}) / 1e6D"
 
-    out: dict[str, Column] = {}
-    for name in wanted:
+    out: dict[str, str] = {}
+    for name in sorted(wanted):
+        if name in GEO:
+            continue
         if "consecutive" in name:
-            out[name] = F.coalesce("__fails", F.lit(0)) - F.coalesce("__cf_reset", F.lit(0))
+            out[name] = "coalesce(__fails, 0L) - coalesce(__cf_reset, 0L)"
         elif "failures_since" in name:
-            out[name] = F.coalesce("__fails", F.lit(0)) - F.coalesce("__cf_success", F.lit(0))
+            out[name] = "coalesce(__fails, 0L) - coalesce(__cf_success, 0L)"
         elif name.endswith("previous_event"):
             out[name] = since("__last_us")
-        elif name in GEO:
-            continue
         elif name.endswith("previous_success"):
             out[name] = since("__last_success_us")
         elif name.endswith("previous_failure"):
             out[name] = since("__last_failure_us")
         else:
-            out[name] = F.col("__last.authentication_outcome")
+            out[name] = "__last.authentication_outcome"
     if wanted & set(GEO):
         out.update({k: v for k, v in _geo(config).items() if k in wanted})
     return out
 
 
-def _geo(config: FeatureConfig) -> dict[str, Column]:
-    here = located(F.col("coarse_latitude"), F.col("coarse_longitude"))
-    elapsed = (F.col(US) - F.col(f"__located.{US}")) / 1e6
+def _geo(config: FeatureConfig) -> dict[str, str]:
+    elapsed = f"(({US} - __located.{US}) / 1e6D)"
     status = (
-        F.when(F.col("__success").isNull(), "no_prior_success")
-        .when(~here, "missing_current_location")
-        .when(F.col("__located").isNull(), "missing_prior_location")
-        .otherwise("ok")
-    )
-    distance = F.when(
-        status == "ok",
-        haversine_km(
-            F.col("__located.coarse_latitude"), F.col("__located.coarse_longitude"),
-            F.col("coarse_latitude"), F.col("coarse_longitude"),
-        ),
+        f"CASE WHEN __success IS NULL THEN 'no_prior_success' WHEN NOT {_HERE} THEN 'missing_current_location' "
+        "WHEN __located IS NULL THEN 'missing_prior_location' ELSE 'ok' END"
     )
+    haversine = haversine_sql(
+        "__located.coarse_latitude", "__located.coarse_longitude", "coarse_latitude", "coarse_longitude")
+    distance = f"(CASE WHEN {status} = 'ok' THEN {haversine} END)"
     velocity, velocity_status = implied_velocity(distance, elapsed, config)
     return {
         "distance_km_from_user_previous_success": distance,
         "seconds_since_user_previous_success_with_location": elapsed,
         "implied_velocity_kmh_from_previous_success": velocity,
-        "country_changed_since_previous_success": F.col("__success.country_code") != F.col("country_code"),
-        "region_changed_since_previous_success": F.col("__success.region_code") != F.col("region_code"),
+        "country_changed_since_previous_success": "__success.country_code != country_code",
+        "region_changed_since_previous_success": "__success.region_code != region_code",
         "user_previous_success_geo__status": status,
         "implied_velocity__status": velocity_status,
     }
 
 
-def implied_velocity(distance: Column, elapsed: Column, config: FeatureConfig) -> tuple[Column, Column]:
+def implied_velocity(distance: str, elapsed: str, config: FeatureConfig) -> tuple[str, str]:
     """(velocity, status); distance is null whenever the comparison is unavailable."""
-    cap = F.lit(config.geo.max_plausible_velocity_kmh)
-    floor = F.lit(config.geo.min_distance_km_for_velocity)
-    raw = F.when(elapsed > 0, distance / (elapsed / 3600.0))
+    cap = f"{config.geo.max_plausible_velocity_kmh!r}D"
+    floor = f"{config.geo.min_distance_km_for_velocity!r}D"
+    raw = f"{distance} / ({elapsed} / 3600D)"
+    velocity = (
+        f"CASE WHEN {distance} IS NULL OR {elapsed} IS NULL OR {elapsed} <= 0 THEN NULL "
+        f"WHEN {distance} < {floor} THEN 0D ELSE least({raw}, {cap}) END"
+    )
     status = (
-        F.when(distance.isNull(), "unavailable")
-        .when(elapsed <= 0, "zero_elapsed")
-        .when(distance < floor, "ok")
-        .when(raw > cap, "capped")
-        .otherwise("ok")
+        f"CASE WHEN {distance} IS NULL THEN 'unavailable' WHEN {elapsed} <= 0 THEN 'zero_elapsed' "
+        f"WHEN {distance} < {floor} THEN 'ok' WHEN {raw} > {cap} THEN 'capped' ELSE 'ok' END"
     )
-    velocity = F.when((elapsed > 0) & (distance < floor), F.lit(0.0)).when(
-        raw.isNotNull(), F.least(raw, cap))
     return velocity, status
 
 
 def frame_sequences(
-    df: DataFrame, kind: str, wanted: set[str], config: FeatureConfig, keys: list[Column] | None = None
+    df: DataFrame, kind: str, wanted: set[str], config: FeatureConfig, keys: list[str]
 ) -> DataFrame:
-    keys = keys if keys is not None else [F.col(k) for k in ENTITY_KEYS[kind]]
     state = _state(wanted)
-    base = Window.partitionBy(*keys)
-    prior = base.orderBy(US).rangeBetween(Window.unboundedPreceding, -1)
+    partition = f"PARTITION BY {', '.join(keys)}"
+    prior = f"OVER ({partition} ORDER BY {US} RANGE BETWEEN UNBOUNDED PRECEDING AND 1L PRECEDING)"
     rows = df
     if "__fails" in state:
-        upto = base.orderBy(US, "event_id").rowsBetween(Window.unboundedPreceding, 0)
-        rows = rows.withColumn("__cf", F.sum(_failed()).over(upto))
-    rows = rows.withColumns({n: _AGG[op](expr).over(prior) for n, (op, expr) in state.items()})
-    return rows.withColumns(_published(wanted, config)).drop("__cf", *state)
+        rows = rows.selectExpr(
+            "*", f"sum({_FAILED}) OVER ({partition} ORDER BY {US}, event_id "
+                 "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS __cf")
+    rows = rows.selectExpr("*", *[f"{op}({expr}) {prior} AS {n}" for n, (op, expr) in state.items()])
+    return rows.selectExpr(*df.columns, *[f"{v} AS {n}" for n, v in _published(wanted, config).items()])
 
 
 def chunked_sequences(df: DataFrame, kind: str, wanted: set[str], config: FeatureConfig) -> DataFrame:
@@ -161,7 +148,6 @@ def chunked_sequences(df: DataFrame, kind: str, wanted: set[str], config: Featur
     rows = with_chunk(rows, US, micros(config.skew.chunk))
     state = _state(wanted)
     if "__fails" in state:
-        rows = running(rows, keys, US, {"__cf": ("sum", _failed())}, tie_break="event_id")
+        rows = running(rows, keys, US, {"__cf": ("sum", _FAILED)}, tie_break="event_id")
     rows = running(rows, keys, US, state)
-    published = _published(wanted, config)
-    return rows.select("event_id", *[expr.alias(name) for name, expr in published.items()])
+    return rows.selectExpr("event_id", *[f"{v} AS {n}" for n, v in _published(wanted, config).items()])

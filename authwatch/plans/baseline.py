@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuthwatchError, BaselineConfig, FeatureConfig, config_fingerprint, micros, seconds
 from ..functions.scalar import bucket, haversine_km, located, micros_of
-from ..operators.histories import _sample_std
+from ..operators.histories import sample_std
 from ..operators.prefix import neighbour, with_chunk
 from ..operators.ranks import nearest_rank, select_ranks
 from ..schema import BASELINE_FEATURES, SCHEMA_VERSION, SPARK_TYPES
@@ -99,11 +99,11 @@ def interarrival(events: DataFrame, chunk: str = "1h") -> DataFrame:
 
 
 def _response_stats(config: BaselineConfig) -> list[Column]:
-    n, total, total_sq = F.col("__rt_n"), F.col("__rt_sum"), F.col("__rt_sumsq")
+    n, total = F.col("__rt_n"), F.col("__rt_sum")
     enough = n >= config.response_time_min_events
     return [
         F.when(enough, total / n).alias("response_time_mean_ms"),
-        F.when(enough, _sample_std(n, total, total_sq)).alias("response_time_std_ms"),
+        F.when(enough, F.expr(sample_std("__rt_n", "__rt_sum", "__rt_sumsq"))).alias("response_time_std_ms"),
     ]
 
 
@@ -126,23 +126,24 @@ def _common(min_events: int, hours: float) -> list[Column]:
 
 def fit_users(events: DataFrame, config: BaselineConfig, hours: float) -> DataFrame:
     rows = events.withColumn(US, micros_of(F.col("event_time")))
-    hour = F.pmod(bucket(F.col(US), 3_600_000_000), F.lit(24))
-    here = located(F.col("coarse_latitude"), F.col("coarse_longitude"))
+    rows = rows.withColumn("__hour", F.pmod(bucket(F.col(US), 3_600_000_000), F.lit(24)))
+    here = located("coarse_latitude", "coarse_longitude")
     ok = F.col("authentication_outcome") == "success"
     base = rows.groupBy("user_id").agg(
         F.count("*").alias("event_count"),
         F.count_if(ok).alias("__ok"),
-        *[F.count_if(hour == h).alias(f"__h{h}") for h in range(24)],
+        *[F.expr(f"count_if(__hour = {h})").alias(f"__h{h}") for h in range(24)],
         *_response_sums(),
         F.count_if(here).alias("located_event_count"),
         F.avg(F.when(here, F.col("coarse_latitude"))).alias("centroid_latitude"),
         F.avg(F.when(here, F.col("coarse_longitude"))).alias("centroid_longitude"),
     )
     alpha = config.hour_histogram_alpha
-    total = F.col("event_count") + F.lit(24 * alpha)
     base = base.select(
         "user_id", "event_count", *_common(config.min_events_per_user, hours),
-        F.array(*[(F.col(f"__h{h}") + F.lit(alpha)) / total for h in range(24)]).alias("hour_histogram"),
+        F.expr("array({})".format(", ".join(
+            f"(__h{h} + {alpha!r}D) / (event_count + {24 * alpha!r}D)" for h in range(24)
+        ))).alias("hour_histogram"),
         *_response_stats(config),
         "centroid_latitude", "centroid_longitude", "located_event_count",
     )
@@ -234,7 +235,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     z = F.when(rt_std != 0, (F.col("response_time_ms") - F.col("ub.response_time_mean_ms")) / rt_std)
     fanout = f"source_unique_user_count__{ref}"
     targeted = F.col("sb.targeted_user_count")
-    here = located(F.col("coarse_latitude"), F.col("coarse_longitude"))
+    here = located("coarse_latitude", "coarse_longitude")
     observed = F.when(F.col("authentication_outcome") == "success", 1.0).otherwise(0.0)
     columns = {
         "is_new_device_for_user": is_new("device_id", "known_device_ids"),
@@ -253,8 +254,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
         "source_event_rate_ratio": ratio(f"source_attempt_count__{ref}", F.col("sb.event_rate_per_hour")),
         "distance_from_user_baseline_centroid_km": F.when(
             here & F.col("ub.centroid_latitude").isNotNull(),
-            haversine_km(F.col("ub.centroid_latitude"), F.col("ub.centroid_longitude"),
-                         F.col("coarse_latitude"), F.col("coarse_longitude"))),
+            haversine_km("ub.centroid_latitude", "ub.centroid_longitude", "coarse_latitude", "coarse_longitude")),
         "user_in_baseline": known,
         "source_in_baseline": source_known,
     }

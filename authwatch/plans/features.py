@@ -31,7 +31,7 @@ def current_context() -> dict[str, Column]:
         "current_response_time_ms": F.col("response_time_ms").cast("long"),
         "current_country_code": F.col("country_code"),
         "current_has_device": F.coalesce(device != "", F.lit(False)),
-        "current_has_location": located(F.col("coarse_latitude"), F.col("coarse_longitude")),
+        "current_has_location": located("coarse_latitude", "coarse_longitude"),
     }
 
 
@@ -129,7 +129,7 @@ def build_features(
     out = rows
     for kind in kinds:
         keys = list(ENTITY_KEYS[kind])
-        partition = [F.col(k) for k in keys]
+        partition = keys
         if kind in dense:
             flags = dense[kind].withColumn("__dense", F.lit(True))
             out = out.join(flags, keys, "left").withColumn("__dense", F.coalesce("__dense", F.lit(False)))
@@ -137,7 +137,7 @@ def build_features(
             single = F.concat(F.lit("\u0001"), F.col("event_id"))
             out = out.withColumn("__key", F.when(F.col("__dense"), single).otherwise(
                 F.concat_ws("\u0000", *keys)))
-            partition = [F.col("__key")]
+            partition = ["__key"]
         elif kind in _UNDER_USER and "user" not in dense and not any(
             k in _UNDER_USER for k in kinds[:kinds.index(kind)]
         ):
@@ -155,11 +155,14 @@ def build_features(
                 state = chunked_sequences(members, kind, sequences[kind], config)
                 exact = state if exact is None else exact.join(state, "event_id")
             produced = [f.name for f in windowed[kind]] + sorted(sequences[kind])
-            exact = exact.select("event_id", *[F.col(n).alias(f"__x_{n}") for n in produced])
+            exact = exact.selectExpr("event_id", *[f"{n} AS __x_{n}" for n in produced])
             out = out.join(exact, "event_id", "left")
-            out = out.withColumns({
-                n: F.when(F.col("__dense"), F.col(f"__x_{n}")).otherwise(F.col(n)) for n in produced
-            }).drop("__dense", "__key", *[f"__x_{n}" for n in produced])
+            merged = set(produced)
+            skip = {"__dense", "__key", *[f"__x_{n}" for n in produced]}
+            out = out.selectExpr(*[
+                f"CASE WHEN __dense THEN __x_{n} ELSE {n} END AS {n}" if n in merged else n
+                for n in out.columns if n not in skip
+            ])
 
     if wants_baseline:
         out = baseline_columns(out, baseline, config)
@@ -171,6 +174,5 @@ def build_features(
         **calendar(),
     }
     types = {f.name: SPARK_TYPES[f.dtype] for f in catalog}
-    return out.select(
-        *[direct.get(n, F.col(n)).cast(types[n]).alias(n) for n in published]
-    )
+    out = out.withColumns({n: c.cast(types[n]) for n, c in direct.items() if n in wanted})
+    return out.select(*published)
