@@ -88,7 +88,7 @@ class SkewConfig:
     into ``chunk`` long pieces of time, so no task ever holds a whole entity.
     """
 
-    dense_rows: int = 1_500
+    dense_rows: int = 300
     total_rows: int = 5_000_000
     chunk: str = "1h"
 

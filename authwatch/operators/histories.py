@@ -19,8 +19,6 @@ from ..schema import DIMENSION_COLUMNS, ENTITY_KEYS, Feature
 from .prefix import CHUNK, neighbour, running, with_chunk
 
 US = "event_us"
-# Largest window whose squared gaps, counted twice, still fit a bigint.
-_LONG_SQUARE_LIMIT = 2_100_000_000
 # Stand-in for "no earlier event": further away than any window.
 _NEVER = -(1 << 61)
 
@@ -32,11 +30,19 @@ _OUTCOME_OF = {
 }
 
 
-def square(text: str, window_us: int) -> str:
-    if window_us <= _LONG_SQUARE_LIMIT:
-        return f"({text}) * ({text})"
-    wide = f"cast({text} as decimal(19,0))"
-    return f"cast({wide} * {wide} as decimal(38,0))"
+# A squared gap overflows bigint, so gap = hi * 2^16 + lo and three bigint sums are kept;
+# inside a window of w microseconds each of them stays below 2^16 * w.
+_SQUARES = {
+    "gap_hh": "shiftright({g}, 16) * shiftright({g}, 16)",
+    "gap_hl": "shiftright({g}, 16) * ({g} & 65535L)",
+    "gap_ll": "({g} & 65535L) * ({g} & 65535L)",
+}
+
+
+def _gap_sumsq(acc) -> str:
+    wide = "cast({} as decimal(38,0))"
+    hh, hl, ll = (wide.format(acc(n)) for n in _SQUARES)
+    return f"({hh} * 4294967296BD + {hl} * 131072BD + {ll})"
 
 
 def sample_std(n: str, total: str, total_sq: str) -> str:
@@ -59,8 +65,8 @@ def _needs(measure: str) -> set[str]:
         "mean_response_time_ms": {"rt_n", "rt_sum"},
         "response_time_std_ms": {"rt_n", "rt_sum", "rt_sumsq"},
         "mean_interarrival_seconds": {"n", "gap_sum"},
-        "interarrival_std_seconds": {"n", "gap_sum", "gap_sumsq"},
-        "interarrival_coefficient_of_variation": {"n", "gap_sum", "gap_sumsq"},
+        "interarrival_std_seconds": {"n", "gap_sum", *_SQUARES},
+        "interarrival_coefficient_of_variation": {"n", "gap_sum", *_SQUARES},
     }[measure]
 
 
@@ -87,7 +93,7 @@ def _finish(feature: Feature, config: FeatureConfig) -> str:
     mean = f"(CASE WHEN {gaps} > 0 THEN {acc('gap_sum')} / {gaps} / 1e6D END)"
     if measure == "mean_interarrival_seconds":
         return mean
-    std = f"({sample_std(gaps, acc('gap_sum'), acc('gap_sumsq'))}) / 1e6D"
+    std = f"({sample_std(gaps, acc('gap_sum'), _gap_sumsq(acc))}) / 1e6D"
     if measure == "interarrival_std_seconds":
         return std
     return f"CASE WHEN {mean} != 0 THEN {std} / {mean} END"
@@ -122,7 +128,7 @@ def frame_features(
     partition = f"PARTITION BY {', '.join(keys)} ORDER BY {US}"
     needed = _accumulators(features)
     rows = df
-    if any("gap_sumsq" in names for names in needed.values()):
+    if any("gap_hh" in names for names in needed.values()):
         # Tied rows may take any order here: one of them owns the gap, the others have gap 0.
         rows = rows.selectExpr(
             "*",
@@ -139,11 +145,11 @@ def frame_features(
                 value = f"size(collect_set({DIMENSION_COLUMNS[name]}) {over})"
             elif name == "gap_sum":
                 value = f"max({US}) {over} - min({US}) {over}"
-            elif name == "gap_sumsq":
+            elif name in _SQUARES:
                 # The oldest event's own gap crosses the left edge, so it is taken out again.
-                inside = f"CASE WHEN __gap <= {w_us}L THEN {square('__gap', w_us)} END"
+                inside = f"CASE WHEN __gap <= {w_us}L THEN {_SQUARES[name].format(g='__gap')} END"
                 crossing = f"(min({US}) {over} - min(__prev) {over})"
-                first = f"CASE WHEN {crossing} <= {w_us}L THEN {square(crossing, w_us)} END"
+                first = f"CASE WHEN {crossing} <= {w_us}L THEN {_SQUARES[name].format(g=crossing)} END"
                 value = f"coalesce(sum({inside}) {over}, 0L) - coalesce({first}, 0L)"
             else:
                 value = f"coalesce(sum({_row_value(name)}) {over}, 0L)"
@@ -177,8 +183,9 @@ def sweep_features(
             f"named_struct('slot', {i}, 'w', {micros(w)}L)"
             for i, w in enumerate(windows) if test(needed[w])))
 
-    # One thin row per delta: when it takes effect, which window it belongs to
-    # (-1 = all), what it is (null = the additive payload) and with which sign.
+    # Thin delta rows: when a change takes effect, which window it belongs to (-1 = all),
+    # what it is (null = an event with its payload) and with which sign.  An event row
+    # brings the gap to its predecessor, its expiry row takes out the gap to its successor.
     def delta(when: str, slot: str, what: str, sign: int, payload: bool = False,
               gap: str = "0L", event: str = "cast(null as string)") -> list[str]:
         return [
@@ -188,29 +195,36 @@ def sweep_features(
         ]
 
     no_what = "cast(null as string)"
-    parts = [events.selectExpr(*delta(US, "-1", no_what, 1, payload=True, event="event_id"))]
+    gaps = "gap_sum" in everything
+    if gaps:
+        events = neighbour(events, keys, US, "prev_us", forward=False)
+        events = neighbour(events, keys, US, "next_us", forward=True)
+    before, after = (f"coalesce({US} - prev_us, 0L)", f"coalesce(next_us - {US}, 0L)") if gaps else ("0L", "0L")
+    parts = [events.selectExpr(*delta(US, "-1", no_what, 1, payload=True, gap=before, event="event_id"))]
     if additive:
         parts.append(
             events.selectExpr("*", f"explode({spans(lambda names: names & set(additive))}) AS e")
-            .selectExpr(*delta(f"{US} + e.w", "e.slot", no_what, -1, payload=True)))
-    if "gap_sum" in everything:
-        linked = neighbour(events, keys, US, "prev_us", forward=False).where("prev_us IS NOT NULL")
-        linked = linked.selectExpr(
-            *keys, US, "prev_us", f"{US} - prev_us AS gap",
-            f"explode({spans(lambda names: 'gap_sum' in names)}) AS e").where("gap > 0 AND gap <= e.w")
-        parts.append(linked.selectExpr(*delta(US, "e.slot", "'gap'", 1, gap="gap")))
-        parts.append(linked.selectExpr(*delta("prev_us + e.w", "e.slot", "'gap'", -1, gap="gap")))
+            .selectExpr(*delta(f"{US} + e.w", "e.slot", no_what, -1, payload=True, gap=after)))
     if dims:
+        # Distinct counting: +1 when a value appears in a window, -1 when its last
+        # occurrence leaves it.  Occurrences closer than the window cancel, so a
+        # value that keeps repeating costs nothing.
         entries = ", ".join(
             f"named_struct('what', '{d}', 'x', cast({DIMENSION_COLUMNS[d]} as string))" for d in dims)
         seen = events.selectExpr(*keys, US, CHUNK, f"explode(array({entries})) AS d").selectExpr(
-            *keys, US, CHUNK, "d.what AS what", "d.x AS x").where("x IS NOT NULL")
-        # Repeats of a value at one instant count once; fewer rows reach the shuffle.
-        seen = neighbour(seen.distinct(), [*keys, "what", "x"], US, "next_us", forward=True)
-        parts.append(seen.selectExpr(*delta(US, "-1", "what", 1)))
-        parts.append(
-            seen.selectExpr("*", f"explode({spans(lambda names: names & set(dims))}) AS e")
-            .selectExpr(*delta(f"least(next_us, {US} + e.w)", "e.slot", "what", -1)))
+            *keys, US, CHUNK, "d.what AS what", "d.x AS x").where("x IS NOT NULL").distinct()
+        first = seen.groupBy(*keys, "what", "x").agg(F.min(US).alias(US))
+        parts.append(first.selectExpr(*delta(US, "-1", "what", 1)))
+        seen = neighbour(seen, [*keys, "what", "x"], US, "next_us", forward=True)
+        breaks = seen.selectExpr(
+            "*", f"explode({spans(lambda names: names & set(dims))}) AS e"
+        ).where(f"next_us IS NULL OR next_us - {US} > e.w")
+        edge = (f"array(named_struct('at', {US} + e.w, 'sign', -1L), named_struct('at', next_us, 'sign', 1L))")
+        breaks = breaks.selectExpr(*keys, "what", "e.slot AS slot", f"explode({edge}) AS c").where(
+            "c.at IS NOT NULL")
+        parts.append(breaks.selectExpr(*[
+            "c.sign AS sign" if column.endswith("L AS sign") else column
+            for column in delta("c.at", "slot", "what", 0)]))
 
     deltas = parts[0]
     for part in parts[1:]:
@@ -224,12 +238,10 @@ def sweep_features(
         for name in sorted(needed[window]):
             if name in DIMENSION_COLUMNS:
                 expr = f"CASE WHEN slot IN (-1, {i}) AND what = '{name}' THEN sign ELSE 0L END"
-            elif name == "gap_sum":
-                expr = f"CASE WHEN slot = {i} AND what = 'gap' THEN sign * gap ELSE 0L END"
-            elif name == "gap_sumsq":
-                expr = (f"CASE WHEN slot = {i} AND what = 'gap' THEN "
-                        f"CASE WHEN sign > 0 THEN {square('gap', w_us)} ELSE -({square('gap', w_us)}) END "
-                        f"ELSE 0L END")
+            elif name == "gap_sum" or name in _SQUARES:
+                value = "gap" if name == "gap_sum" else _SQUARES[name].format(g="gap")
+                expr = (f"CASE WHEN slot IN (-1, {i}) AND what IS NULL AND gap <= {w_us}L "
+                        f"THEN sign * ({value}) ELSE 0L END")
             else:
                 expr = f"CASE WHEN slot IN (-1, {i}) AND what IS NULL THEN sign * v_{name} ELSE 0L END"
             sums[f"__{name}__{window}"] = ("sum", expr)
