@@ -1,10 +1,10 @@
 """Pseudonymisation and sensitive-name rules."""
 
-from __future__ import annotations
-
 import re
 from collections.abc import Iterator
 
+import pandas as pd
+
 from ..config import AuthwatchError
 
 # Prefix and domain of each identifier column.
@@ -32,7 +32,6 @@ def pseudonymiser(key: bytes, column: str):
     The key travels inside the serialised function, never as a literal of the
     query plan, so no plan or user interface shows it.
     """
-    import pandas as pd
     from pyspark.sql import functions as F
 
     if len(key) < 32:

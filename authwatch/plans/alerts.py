@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..config import AuthwatchError, DetectionConfig, micros
 from ..functions.scalar import micros_of, uuid5
 from ..operators.prefix import running, with_chunk
+from ..runtime import cut_lineage
 from ..schema import SCHEMA_VERSION, SECURITY_ALERTS, SEVERITIES
 from .rules import CATEGORY_GROUP, lit
 from .scoring import severity_rank
@@ -189,17 +190,19 @@ def fold(rows: DataFrame, config: DetectionConfig) -> DataFrame:
 
 
 class AlertRun:
-    """Lazy alert tables of one run: ``alerts``, ``suppressed`` and ``accounting``."""
+    """Alert tables of one run over stored assessments: ``alerts``, ``suppressed`` and ``accounting``."""
 
     def __init__(self, assessments: DataFrame, scope: DataFrame | None = None,
                  config: DetectionConfig | None = None):
         self.config = config or DetectionConfig()
         self.gated = gate(assessments, self.config)
-        self.keyed = keyed(self.gated, scope, self.config)
+        # Qualifying assessments are read several times below; they are stored once
+        # instead of recomputing the detection pipeline for every pass.
+        self.keyed = cut_lineage(keyed(self.gated, scope, self.config))
         if scope is not None and self.config.alerting.strict_scope:
             if not self.keyed.where("scope_missing").isEmpty():
                 raise AuthwatchError("strict scope: a required scope dimension is missing")
-        self.folded = fold(self.keyed, self.config)
+        self.folded = cut_lineage(fold(self.keyed, self.config))
 
     @property
     def alerts(self) -> DataFrame:
