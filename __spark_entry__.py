@@ -183,7 +183,7 @@ def detections(spark, sf_dir):
 def risk_scores(spark, sf_dir):
     return _rounded(_risk(spark, sf_dir).select(
         "anchor_event_id", "risk_score", "severity", "primary_attack_category", "fired_rule_count",
-        "insufficient_data_count"), 3)
+        "insufficient_data_count"), 4)
 
 
 def severity_distribution(spark, sf_dir):

@@ -357,7 +357,7 @@ def oracles() -> dict[str, str]:
         out["rule_" + rule_id[4:-4].lower() + ("2" if rule_id.endswith("002") else "")] = rule_query(rule_id)
     out["rule_status_counts"] = f"{SNAP}, {RES} SELECT rule_id, status, count(*) AS anchors FROM re GROUP BY 1, 2"
     out["detections"] = f"{SNAP}, {RES} SELECT event_id AS anchor_event_id, rule_id, category AS attack_category, round(s, 6) AS signal_strength FROM re WHERE status = 'fired'"
-    out["risk_scores"] = f"{RISK} SELECT event_id AS anchor_event_id, round(risk_score, 3) AS risk_score, severity, primary_attack_category, fired_rule_count, insufficient_data_count FROM rk"
+    out["risk_scores"] = f"{RISK} SELECT event_id AS anchor_event_id, round(risk_score, 4) AS risk_score, severity, primary_attack_category, fired_rule_count, insufficient_data_count FROM rk"
     out["severity_distribution"] = f"{RISK} SELECT severity, count(*) AS anchors, count(*) FILTER (WHERE fired_rule_count = 0) AS zero_scores, sum(fired_rule_count)::BIGINT AS scored_detections FROM rk GROUP BY 1"
     out["alert_gates"] = f"{RISK} SELECT CASE WHEN risk_score < 10 THEN 'below_score_floor' ELSE 'qualifying' END AS gate, primary_attack_category, count(*) AS assessments FROM rk WHERE fired_rule_count > 0 GROUP BY 1, 2"
     out["alert_totals"] = f"{RISK} SELECT primary_attack_category AS attack_category, count(*) AS qualifying FROM rk WHERE fired_rule_count > 0 AND risk_score >= 10 GROUP BY 1"
