@@ -587,17 +587,16 @@ def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -
 def diagnostics(results: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """One row per anchor and rule with its status, disabled rules included."""
     config = config or DetectionConfig()
-    rows = results.selectExpr("anchor_event_id", "anchor_event_time", "explode(results) AS r").selectExpr(
-        "anchor_event_id", "anchor_event_time", "r.rule_id AS rule_id", "r.status AS status",
-        "r.signal_strength AS signal_strength", "r.reason_codes AS reason_codes")
     enabled = {r.rule_id for r in build_rules(config)}
-    off = [r for r in RULE_IDS if r not in enabled]
-    if off:
-        ids = ", ".join(f"'{r}'" for r in off)
-        rows = rows.unionByName(results.selectExpr(
-            "anchor_event_id", "anchor_event_time", f"explode(array({ids})) AS rule_id",
-            "'disabled' AS status", "0D AS signal_strength", "cast(array() as array<string>) AS reason_codes"))
-    return rows
+    no_codes = "cast(array() as array<string>)"
+    entry = ("named_struct('rule_id', {}, 'status', {}, 'signal_strength', {}, 'reason_codes', {})")
+    verdicts = "transform(results, r -> {})".format(
+        entry.format("r.rule_id", "r.status", "r.signal_strength", "r.reason_codes"))
+    off = [entry.format(f"'{r}'", "'disabled'", "0D", no_codes) for r in RULE_IDS if r not in enabled]
+    # Disabled rules join the same array, so the snapshot is still read once.
+    both = f"concat({verdicts}, array({', '.join(off)}))" if off else verdicts
+    return results.selectExpr("anchor_event_id", "anchor_event_time", f"explode({both}) AS r").select(
+        "anchor_event_id", "anchor_event_time", "r.*")
 
 
 def status_counts(results: DataFrame) -> DataFrame:

@@ -95,6 +95,18 @@ def test_scores_and_rebuild_from_table(verdicts):
     assert {r.anchor_event_id: r.risk_score for r in again.collect()} == {k: r.risk_score for k, r in direct.items()}
 
 
+def test_diagnostics_list_every_rule(verdicts):
+    from authwatch.plans.rules import RULE_IDS, diagnostics
+
+    some = DetectionConfig(enabled_rule_ids=("PAD-BF-001",))
+    one = verdicts.selectExpr("anchor_event_id", "anchor_event_time",
+                              "filter(results, r -> r.rule_id = 'PAD-BF-001') AS results")
+    rows = diagnostics(one, some).where("anchor_event_id = 'a0'").collect()
+    assert sorted(r.rule_id for r in rows) == sorted(RULE_IDS)
+    assert {r.status for r in rows if r.rule_id != "PAD-BF-001"} == {"disabled"}
+    assert diagnostics(verdicts).where("status = 'disabled'").isEmpty()
+
+
 def test_rule_configuration_is_checked():
     from authwatch.plans.rules import build_rules
 
