@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -321,8 +322,25 @@ def queries() -> dict[str, Query]:
     out["quality_distributions"] = lambda s, d: quality.distributions(auth_events(s, d))
     out["quality_response_time"] = lambda s, d: _rounded(quality.response_time(auth_events(s, d)))
     out["quality_ground_truth"] = lambda s, d: quality.ground_truth_summary(ground_truth(s, d))
-    return out
+    return out | _corpus()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.oracles()
+    return oracle.oracles() | _corpus()[1]
+
+
+def _corpus() -> tuple[dict[str, Query], dict[str, str]]:
+    """Queries and SQL of the corpus operators and their pipeline, as far as those are installed."""
+    queries_, sql = {}, {}
+    if importlib.util.find_spec("authwatch.llm"):
+        from authwatch.llm import oracles
+        from authwatch.llm.queries import MIX_POWERS, QUERIES
+
+        queries_, sql = dict(QUERIES), oracles.sql(MIX_POWERS)
+        if importlib.util.find_spec("corpus_pipeline"):
+            import corpus_pipeline
+
+            queries_["pipeline"] = corpus_pipeline.run
+            if corpus_pipeline.ORACLE_SQL:
+                sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return queries_, sql
