@@ -8,7 +8,7 @@ dealt out by gram, and suffixes that can share ``length`` bytes meet in one buck
    grams occur in several documents and which of those occur so often that they must be split.
 2. Blocks send the distinct runs with such grams (the bytes, and the smallest id in the block that has them). Runs of
    split grams go as single windows to buckets by the window's hash, so no gram gathers in one bucket.
-3. A bucket sorts the suffixes of its runs: prefix polynomial hashes and binary search give common extensions, so a
+3. A bucket sorts the suffixes of its runs in groups of one gram: prefix polynomial hashes and binary search give common extensions, so a
    comparison takes a few hash look-ups, and a merge sort orders the suffixes. Neighbours with an extension of ``length``
    bytes are equal windows; their bytes are compared, so a hash collision cannot pass. The answer is, for each run, which of its
    windows start in a document with a smaller id.
@@ -22,7 +22,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,46 +32,51 @@ from pyspark.sql import functions as F
 
 from authwatch.llm import text as T
 from authwatch.llm.columns import free_name
-from authwatch.runtime import cut_lineage
 
 GRAM = 16
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 SPLIT_ABOVE = 20_000
 _U = np.uint64
 _LAST = np.int64(2 ** 63 - 1)
-_PIECE = 1 << 19
+_PIECE = 1 << 16
 
 
-def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, first window, number of windows) of all runs; windows are positions in ``data``, within one row."""
+def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(gram hash, first window, number of windows, place of the gram) of all runs, as positions in ``data``.
+
+    A window never leaves its row.
+    """
     parts = []
-    row_end = offsets[1:]
+    width = length - GRAM + 1
+    inverse = T.powers(_PIECE + length, T._INVERSE)
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
         stop = min(len(data), at + _PIECE + length - 1)
-        piece = data[at:stop]
-        prefix = T.prefix_hash(piece)
-        n = len(piece) - GRAM + 1
-        gram = T.mix(T.span_hash(prefix, np.arange(n), np.arange(GRAM, len(piece) + 1)))
+        prefix = T.prefix_hash(data[at:stop])
+        n = stop - at - GRAM + 1
+        gram = T.mix((prefix[GRAM:] - prefix[:-GRAM]) * inverse[:n])
         # the leftmost gram of least hash: high bits of the hash, then the place
         low = (gram >> _U(20) << _U(20)) | np.arange(n, dtype=_U)
-        wide, span = length - GRAM + 1, 1
-        while span < wide:
-            step = min(span, wide - span)
+        span = 1
+        while span < width:
+            step = min(span, width - span)
             low = np.minimum(low[:-step], low[step:])
             span += step
-        place = (low & _U((1 << 20) - 1)).astype(np.int64)
-        window = np.arange(at, at + len(place))
-        row = np.searchsorted(row_end, window, "right")
-        ok = window + length <= row_end[np.minimum(row, len(row_end) - 1)]
+        place = (low & _U((1 << 20) - 1)).astype(np.int32)
+        # windows that would run over the end of a row
+        ends = offsets[np.searchsorted(offsets, at, "right"):np.searchsorted(offsets, stop)] - at
+        over = np.zeros(len(place) + 1, np.int32)
+        np.add.at(over, np.clip(ends - length + 1, 0, len(place)), 1)
+        np.add.at(over, np.clip(ends, 0, len(place)), -1)
+        ok = np.cumsum(over[:-1]) == 0
         new = np.ones(len(place), bool)
-        new[1:] = (place[1:] != place[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])
-        first = np.flatnonzero(new & ok)
-        edge = np.append(np.flatnonzero(new | ~ok), len(place))
-        size = edge[np.searchsorted(edge, first, "right")] - first
-        parts.append((gram[place[first]], window[first], size))
+        new[1:] = (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])
+        edge = np.append(np.flatnonzero(new), len(place))
+        real = ok[edge[:-1]]
+        first = edge[:-1][real]
+        parts.append((gram[place[first]], first + at, np.diff(edge)[real], place[first].astype(np.int64) + at))
     if not parts:
-        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
@@ -79,17 +85,18 @@ class Block:
 
     def __init__(self, rows: pd.DataFrame, length: int):
         rows = rows.assign(raw=[(t or "").encode() for t in rows["text"]])
-        rows = rows.assign(order=rows["doc_id"].fillna(_LAST).astype("int64")).sort_values(["order", "raw"], kind="stable")
+        rows = rows.sort_values(["doc_id", "raw"], kind="stable")
         self.rows, self.length = rows, length
-        self.ids = rows["order"].to_numpy()
+        self.ids = rows["doc_id"].to_numpy()
         self.data = np.frombuffer(b"".join(rows["raw"]), np.uint8)
         self.offsets = np.concatenate([[0], np.cumsum([len(x) for x in rows["raw"]], dtype=np.int64)])
-        self.gram, self.first, self.size = runs_of(self.data, self.offsets, length)
+        self.gram, self.first, self.size, self.place = runs_of(self.data, self.offsets, length)
         self.run_id = self.ids[np.searchsorted(self.offsets, self.first, "right") - 1]
 
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+    @cached_property
+    def known(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct grams in order, and a byte each: runs up to 127, and the high bit if several documents have it."""
-        order = np.argsort(self.gram, kind="stable")
+        order = np.argsort(self.gram)
         g, d = self.gram[order], self.run_id[order]
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1])[:len(g)])
         if not len(at):
@@ -99,16 +106,20 @@ class Block:
         return g[at], (count | several * 128).astype(np.uint8)
 
     def shared_runs(self, verdict: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Start, windows, bucket key and id of all runs to be sorted, split ones as single windows."""
-        known, _ = self.grams()
+        """Start, windows, bucket key, id, gram and its place in the run, of all runs to be sorted; split ones as
+        single windows."""
+        known, _ = self.known
         state = verdict[np.searchsorted(known, self.gram)] if len(known) else np.zeros(0, np.uint8)
         whole, split = state == 1, state == 2
         first = np.repeat(self.first[split], self.size[split])
         nth = np.arange(len(first)) - np.repeat(np.cumsum(self.size[split]) - self.size[split], self.size[split])
         first = first + nth
         key = T.mix(_hashes(self.data, first, first + self.length) + _U(1))
-        return (np.concatenate([self.first[whole], first]), np.concatenate([self.size[whole], np.ones(len(first), np.int64)]),
-                np.concatenate([self.gram[whole], key]), np.concatenate([self.run_id[whole], np.repeat(self.run_id[split], self.size[split])]))
+        times = self.size[split]
+        return tuple(np.concatenate(x) for x in (
+            (self.first[whole], first), (self.size[whole], np.ones(len(first), np.int64)), (self.gram[whole], key),
+            (self.run_id[whole], np.repeat(self.run_id[split], times)), (self.gram[whole], np.repeat(self.gram[split], times)),
+            (self.place[whole] - self.first[whole], np.repeat(self.place[split], times) - first)))
 
 
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -161,97 +172,120 @@ class Suffixes:
         np.cumsum((self.data.astype(_U) + _U(1)) * T.powers(len(self.data)), out=self.prefix[1:])
         self.inverse = T.powers(len(self.prefix), T._INVERSE)
 
+    def head(self, start: np.ndarray) -> np.ndarray:
+        """The first eight bytes as a number that orders like them."""
+        out = np.zeros(len(start), _U)
+        for k in range(min(8, self.depth)):
+            out = out << _U(8) | self.data[start + k]
+        return out
+
+    def same(self, a: np.ndarray, b: np.ndarray, n) -> np.ndarray:
+        return (self.prefix[a + n] - self.prefix[a]) * self.inverse[a] == (self.prefix[b + n] - self.prefix[b]) * self.inverse[b]
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension, at most ``depth``: binary search over equal span hashes."""
-        pa, pb, ia, ib = self.prefix[a], self.prefix[b], self.inverse[a], self.inverse[b]
-        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
+        out = np.full(len(a), self.depth)
+        live = np.flatnonzero(~self.same(a, b, self.depth))
+        a, b = a[live], b[live]
+        low, high = np.zeros(len(a), np.int64), np.full(len(a), self.depth - 1)
         for _ in range(self.depth.bit_length()):
             mid = (low + high + 1) >> 1
-            same = (self.prefix[a + mid] - pa) * ia == (self.prefix[b + mid] - pb) * ib
+            same = self.same(a, b, mid)
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
+        out[live] = low
+        return out
 
     def less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the suffix at a sorts before the one at b."""
         n = self.common(a, b)
         return (n < self.depth) & (self.data[a + n] < self.data[b + n])
 
-    def sort(self, start: np.ndarray) -> np.ndarray:
-        """Order of the suffixes: by their first eight bytes as a number, then a merge sort within equal ones."""
-        key = np.zeros(len(start), _U)
-        for k in range(8):
-            key = key << _U(8) | self.data[start + k]
-        order = np.argsort(key, kind="stable")
-        ks = key[order]
-        head = np.flatnonzero(np.append(True, ks[1:] != ks[:-1])[:len(ks)])
-        size = np.diff(np.append(head, len(ks)))
-        many = size > 1
-        at = np.repeat(head[many], size[many])
-        place = at + np.arange(len(at)) - np.repeat(np.cumsum(size[many]) - size[many], size[many])
-        if len(place):
-            order[place] = self._merge_sort(start, order[place], place - at, np.repeat(size[many], size[many]))
+    def sort(self, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """Order of the suffixes by group, then as strings: by their first bytes, then by a merge sort of those that
+        share them."""
+        head = self.head(start)
+        order = np.lexsort((head, group))
+        g, h = group[order], head[order]
+        begin = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))[:len(g)])
+        size = np.diff(np.append(begin, len(g)))
+        many = np.flatnonzero(np.repeat(size, size) > 1)
+        begin, size = np.repeat(begin, size)[many], np.repeat(size, size)[many]
+        order[many] = self._merge_sort(start, order[many], many - begin, size)
         return order
 
     def _merge_sort(self, start: np.ndarray, item: np.ndarray, nth: np.ndarray, total: np.ndarray) -> np.ndarray:
-        """Bottom-up merge sort of all groups at once. An item's place after a merge is its place in its own sorted
-        half plus the number of items of the other half before it, found by binary search."""
-        base = np.arange(len(item)) - nth  # where the group begins
+        """Bottom-up merge sort of all groups at once; ``nth``: place in the group, ``total``: its size.
+
+        Halves that are in order already are left alone. Else an item's place after a merge is its place in its own
+        half plus the number of items of the other half before it, found by binary search.
+        """
+        base = np.arange(len(item)) - nth
         width = 1
-        while width < int(total.max()):
-            live = np.flatnonzero(total > width)
-            within = nth[live] % (2 * width)
-            pair = nth[live] - within
-            right = within >= width
+        while len(total) and width < int(total.max()):
+            within = nth % (2 * width)
+            middle = np.flatnonzero(within == width)  # first of a right half
+            turned = np.zeros(len(item), bool)
+            turned[middle - width] = self.less(start[item[middle]], start[item[middle - 1]])
+            live = np.flatnonzero(turned[base + nth - within])
+            pair, right = (nth - within)[live], within[live] >= width
             other = pair + np.where(right, 0, width)
-            other_size = np.clip(total[live] - other, 0, width)
-            low, high = np.zeros(len(live), np.int64), other_size.copy()
-            mine = start[item[live]]
+            low, high = np.zeros(len(live), np.int64), np.clip(total[live] - other, 0, width)
             for _ in range(width.bit_length()):
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
                     break
                 mid = (low[open_] + high[open_]) >> 1
-                theirs = start[item[base[live[open_]] + other[open_] + mid]]
-                ahead = right[open_]
+                mine, theirs = start[item[live[open_]]], start[item[base[live[open_]] + other[open_] + mid]]
+                behind = right[open_]
                 # equal suffixes keep their order: the right half goes behind equal ones of the left half
-                before = np.where(ahead, ~self.less(mine[open_], theirs), self.less(theirs, mine[open_]))
+                before = self.less(np.where(behind, mine, theirs), np.where(behind, theirs, mine)) ^ behind
                 low[open_], high[open_] = np.where(before, mid + 1, low[open_]), np.where(before, high[open_], mid)
-            target = base[live] + pair + np.where(right, within - width, within) + low
             moved = item.copy()
-            moved[target] = item[live]
+            moved[base[live] + pair + within[live] - np.where(right, width, 0) + low] = item[live]
             item = moved
             width *= 2
         return item
 
 
-def smaller_start(data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
-    """A bit for each window of each run: whether an equal window starts in a run with a smaller id."""
+def smaller_start(data: np.ndarray, first: np.ndarray, size: np.ndarray, ids: np.ndarray, length: int,
+                  tag: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """A bit for each window of each run: whether an equal window starts in a run with a smaller id.
+
+    ``tag``: a hash of the run's gram, ``gram``: its place in the run. Equal windows have equal grams at equal places,
+    so suffixes are sorted in groups of those, and a gram with one distinct run needs no sorting.
+    """
     rep, label = distinct_runs(data, first, size, length)
     least = np.full(len(rep), _LAST)
     np.minimum.at(least, label, ids)
-    # windows of the distinct runs; a run whose bytes stand alone is sorted with the others
-    of = np.repeat(np.arange(len(rep)), size[rep])
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(size[rep]) - size[rep], size[rep])
-    start = first[rep][of] + nth
-    suffixes = Suffixes(data, length)
-    order = suffixes.sort(start)
-    s = start[order]
-    equal = np.zeros(len(s), bool)
-    equal[1:] = suffixes.common(s[:-1], s[1:]) >= length
-    pairs = np.flatnonzero(equal)
-    if not equal_bytes(data, s[pairs - 1], s[pairs], np.full(len(pairs), length)).all():
-        # a collision of hashes: compare as plain strings instead
-        text = np.lib.stride_tricks.sliding_window_view(data, length)[start]
-        order = np.lexsort(text.T[::-1])
-        s = start[order]
-        equal[1:] = (text[order][1:] == text[order][:-1]).all(1)
-    group = np.cumsum(~equal) - 1
-    lowest = np.full(int(group[-1]) + 1 if len(group) else 0, _LAST)
-    np.minimum.at(lowest, group, least[of[order]])
-    found = np.empty(len(s), np.int64)
-    found[order] = lowest[group]
-    # a repeated run takes part with each of its ids: those above the least are covered as a whole
-    run_of, place = np.repeat(np.arange(len(first)), size), np.zeros(0, np.int64)
-    begin = np.concatenate([[0], np.cumsum(size[rep])])[:-1]
+    begin = np.cumsum(size[rep]) - size[rep]
+    found = np.repeat(least, size[rep])  # the smallest id that has the window
+    order = np.argsort(tag[rep], kind="stable")
+    t = tag[rep][order]
+    alone = np.append(True, t[1:] != t[:-1])[:len(t)] & np.append(t[1:] != t[:-1], True)[:len(t)]
+    meet = order[~alone]
+    of = np.repeat(meet, size[rep[meet]])
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(size[rep[meet]]) - size[rep[meet]], size[rep[meet]])
+    start = first[rep[of]] + nth
+    if len(of):
+        suffixes = Suffixes(data, length)
+        group = tag[rep[of]].astype(_U) << _U(8) | (gram[rep[of]] - nth).astype(_U)
+        order = suffixes.sort(start, group)
+        s, g = start[order], group[order]
+        equal = np.zeros(len(s), bool)
+        near = np.flatnonzero(g[1:] == g[:-1]) + 1
+        equal[near] = suffixes.common(s[near - 1], s[near]) >= length
+        pairs = np.flatnonzero(equal)
+        if not equal_bytes(data, s[pairs - 1], s[pairs], np.full(len(pairs), length)).all():
+            # a collision of hashes: compare as plain strings instead
+            text = np.lib.stride_tricks.sliding_window_view(data, length)[start]
+            order = np.lexsort(text.T[::-1])
+            equal[1:] = (text[order][1:] == text[order][:-1]).all(1)
+        same = np.cumsum(~equal) - 1
+        lowest = np.full(int(same[-1]) + 1, _LAST)
+        np.minimum.at(lowest, same, least[of[order]])
+        found[(begin[of] + nth)[order]] = lowest[same]
+    # each run takes part with its own id
+    run_of = np.repeat(np.arange(len(first)), size)
     place = np.arange(len(run_of)) - np.repeat(np.cumsum(size) - size, size)
     hit = found[begin[label[run_of]] + place] < ids[run_of]
     bits = np.zeros(len(first), _U)
@@ -265,7 +299,7 @@ def _blob(x: np.ndarray) -> bytes:
 
 def _request_grams(length: int, buckets: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        grams, state = Block(rows, length).grams()
+        grams, state = Block(rows, length).known
         bucket = (grams >> _U(40)).astype(np.int64) % buckets
         order = np.argsort(bucket, kind="stable")
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -298,7 +332,7 @@ def _answer_grams(split_above: int) -> Callable:
 
 def _verdicts(block: Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
     """The buckets' answers, brought into the order of the block's grams."""
-    grams, _ = block.grams()
+    grams, _ = block.known
     bucket = (grams >> _U(40)).astype(np.int64) % buckets
     out = np.zeros(len(grams), np.uint8)
     for b, blob in zip(answers["bucket"], answers["verdict"]):
@@ -308,7 +342,7 @@ def _verdicts(block: Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
 
 def _chosen(block: Block, verdict: np.ndarray, buckets: int):
     """Distinct runs to be sorted with the block's least id, by bucket; and the class of each run of the block."""
-    first, size, key, ids = block.shared_runs(verdict)
+    first, size, key, ids, gram, place = block.shared_runs(verdict)
     rep, label = distinct_runs(block.data, first, size, block.length)
     least = np.full(len(rep), _LAST)
     np.minimum.at(least, label, ids)
@@ -316,7 +350,7 @@ def _chosen(block: Block, verdict: np.ndarray, buckets: int):
     order = np.argsort(bucket, kind="stable")
     cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
     by_bucket = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-    return first, size, ids, rep, label, least, by_bucket
+    return first, size, ids, rep, label, least, by_bucket, (gram >> _U(8)).astype(np.uint32), place.astype(np.uint8)
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -326,16 +360,18 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _request_runs(length: int, buckets: int) -> Callable:
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = {"bucket": [], "block": [], "bytes": [], "size": [], "ids": []}
+        columns = {"bucket": [], "block": [], "bytes": [], "size": [], "ids": [], "tag": [], "place": []}
         if len(rows) and len(answers):
             block = Block(rows, length)
-            first, size, _, rep, _, least, by_bucket = _chosen(block, _verdicts(block, answers, buckets), buckets)
+            first, size, _, rep, _, least, by_bucket, tag, place = _chosen(block, _verdicts(block, answers, buckets), buckets)
             for b, x in by_bucket:
                 columns["bucket"].append(b)
                 columns["block"].append(rows["block"].iloc[0])
                 columns["bytes"].append(_blob(_gather(block.data, first[rep[x]], size[rep[x]] + length - 1)))
                 columns["size"].append(_blob(size[rep[x]].astype(np.uint8)))
                 columns["ids"].append(_blob(least[x]))
+                columns["tag"].append(_blob(tag[rep[x]]))
+                columns["place"].append(_blob(place[rep[x]]))
         return pd.DataFrame(columns)
 
     return run
@@ -348,7 +384,9 @@ def _answer_runs(length: int) -> Callable:
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in rows["ids"]])
         data = np.frombuffer(b"".join(rows["bytes"]), np.uint8)
         span = size + length - 1
-        bits = smaller_start(data, np.cumsum(span) - span, size, ids, length)
+        tag = np.concatenate([np.frombuffer(x, np.uint32) for x in rows["tag"]])
+        place = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["place"]]).astype(np.int64)
+        bits = smaller_start(data, np.cumsum(span) - span, size, ids, length, tag, place)
         cut = np.cumsum([len(x) for x in sizes])[:-1]
         return pd.DataFrame({"block": rows["block"], "run_bucket": rows["bucket"], "bits": [_blob(x) for x in np.split(bits, cut)]})
 
@@ -357,14 +395,14 @@ def _answer_runs(length: int) -> Callable:
 
 def _finish(length: int, buckets: int) -> Callable:
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        columns = ["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
         block = Block(rows, length)
         covered = np.zeros(len(block.data) + 1, np.int32)
         grams, runs = answers[answers["verdict"].notna()], answers[answers["bits"].notna()]
         if len(grams):
-            first, size, ids, rep, label, least, by_bucket = _chosen(block, _verdicts(block, grams, buckets), buckets)
+            first, size, ids, rep, label, least, by_bucket, *_ = _chosen(block, _verdicts(block, grams, buckets), buckets)
             bits = np.zeros(len(rep), _U)
             answer = dict(zip(runs["run_bucket"], runs["bits"]))
             for b, x in by_bucket:
@@ -372,7 +410,11 @@ def _finish(length: int, buckets: int) -> Callable:
             # beyond the least id of the block, every window of the run starts in a document with a smaller id
             whole = (_U(1) << size.astype(_U)) - _U(1)
             mine = np.where(ids > least[label], whole, bits[label])
-            for k in range(int(size.max()) if len(size) else 0):
+            all_ = mine == whole
+            np.add.at(covered, first[all_], 1)
+            np.add.at(covered, first[all_] + size[all_] + length - 1, -1)
+            first, mine = first[~all_ & (mine > 0)], mine[~all_ & (mine > 0)]
+            for k in range(length - GRAM + 1):
                 start = first[(mine >> _U(k)) & _U(1) == 1] + k
                 np.add.at(covered, start, 1)
                 np.add.at(covered, start + length, -1)
@@ -380,10 +422,10 @@ def _finish(length: int, buckets: int) -> Callable:
         edge = gone & ~np.append(False, gone[:-1])
         edge[block.offsets[:-1][block.offsets[:-1] < len(gone)]] |= gone[block.offsets[:-1][block.offsets[:-1] < len(gone)]]
         out = {c: [] for c in columns}
-        for i, doc_id in enumerate(block.rows["doc_id"]):
+        for i, (doc_id, no_id) in enumerate(zip(block.rows["doc_id"], block.rows["no_id"])):
             a, b = block.offsets[i], block.offsets[i + 1]
             kept = block.data[a:b][~gone[a:b]].tobytes()
-            for c, v in zip(columns, (doc_id, b - a, b - a - len(kept), int(edge[a:b].sum()),
+            for c, v in zip(columns, (doc_id, no_id, b - a, b - a - len(kept), int(edge[a:b].sum()),
                                       hashlib.sha256(kept).hexdigest(), kept)):
                 out[c].append(v)
         return pd.DataFrame(out)
@@ -404,7 +446,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
         raise ValueError("length out of range")
     spark = docs.sparkSession
     T.bounded_batches(spark)
-    docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(_LAST))).alias("doc_id"),
+                       F.col(key).isNull().alias("no_id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, math.ceil(total / block_bytes))
@@ -412,15 +455,17 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     grams = docs.groupBy("block").applyInPandas(
         _request_grams(length, buckets), "bucket int, block int, grams binary, state binary")
-    verdicts = cut_lineage(grams.groupBy("bucket").applyInPandas(
-        _answer_grams(split_above), "block int, bucket int, verdict binary"))
+    # one plan for all steps, so that the exchanges of the texts and of the grams are made once and used again
+    verdicts = grams.groupBy("bucket").applyInPandas(
+        _answer_grams(split_above), "block int, bucket int, verdict binary")
     runs = docs.groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(
-        _request_runs(length, buckets), "bucket int, block int, bytes binary, size binary, ids binary")
+        _request_runs(length, buckets), "bucket int, block int, bytes binary, size binary, ids binary, tag binary, place binary")
     bits = runs.groupBy("bucket").applyInPandas(_answer_runs(length), "block int, run_bucket int, bits binary")
     answers = verdicts.unionByName(bits, allowMissingColumns=True)
-    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _finish(length, buckets),
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+        "doc_id bigint, no_id boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
