@@ -8,8 +8,10 @@ Jaccard similarity, and a signature costs time in the darts, not in elements x c
 
 Texts with equal shingle sets collapse first. Signatures are cut in bands; texts that share a band are compared
 exactly: all with the band's first text, and then, in bands that still hold several components, every text outside
-the band's main component with all texts of other components. So every pair in a band is compared or already linked,
-while a band of thousands of copies costs a comparison for each, not for each pair.
+the main component with all texts of other components, unless long one-bit sketches (from darts again) show
+that a pair is far below the limit: SKETCH bits put a pair of similarity s within about 0.013 of s, and the margin is almost five
+times that. That join is by family, the bands that overlap. So every pair in a band is judged or already linked, while a
+band of thousands of copies costs a comparison for each, not for each pair, and no unlike pairs leave the join.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from authwatch.runtime import cut_lineage
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
+SKETCH, SKETCH_MARGIN = 2048, 0.0625
 _U = np.uint64
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1, 20)])))
 
@@ -116,6 +119,26 @@ def signatures(text: Column, size: int = SHINGLE, bands: int = BANDS, rows: int
     return run(text)
 
 
+def sketch(text: Column, size: int = SHINGLE, weighted: bool = False, bits: int = SKETCH) -> Column:
+    """One bit of each of ``bits`` lowest darts, as an array of bigint: equal with probability (1 + similarity) / 2."""
+    @F.arrow_udf("array<bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        out = []
+        for _, _, data, offsets in T.slices(column):
+            w = T.words(data, offsets)
+            row, h, times = T.shingles(w.hashed, w.first, size)
+            weight = times.astype(float) if weighted else np.ones(len(h))
+            for a in range(0, len(offsets) - 1, 64):  # the ranks of 64 rows at a time
+                n = min(64, len(offsets) - 1 - a)
+                i, j = np.searchsorted(row, (a, a + n))
+                rank = dart_signatures(row[i:j] - a, h[i:j], weight[i:j], n, bits)
+                out.append(np.packbits((T.mix(rank.view(_U)) & _U(1)).astype(np.uint8), axis=1).view(np.int64))
+        words_ = np.concatenate(out) if out else np.zeros((0, bits // 64), np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(words_) + 1) * (bits // 64), pa.int32()), pa.array(words_.ravel()))
+
+    return run(text)
+
+
 def _similarity(size: int, weighted: bool):
     """Exact (weighted) Jaccard similarity of text pairs; the sets of the last few left texts are kept."""
     def sets(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -173,13 +196,29 @@ def links(texts: DataFrame, banded: DataFrame, least: float = SIMILARITY, size:
     found = cut_lineage(compared(stars, texts, size, weighted).where(F.col("similarity") >= least))
     part = components(found)
     own = member.join(part, "node", "left").select("band", "node", F.coalesce("component", "node").alias("part"))
-    sizes = own.groupBy("band", "part").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("band").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    own = cut_lineage(own.join(main.select("band", "main"), "band"))
-    left = own.where("part <> main").select("band", F.col("node").alias("x"), F.col("part").alias("x_part"))
-    right = own.select("band", F.col("node").alias("y"), F.col("part").alias("y_part"))
-    rest = left.join(right, "band").where("x_part <> y_part").select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = own.groupBy("band").agg(F.min("node").alias("first"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
+    own = cut_lineage(own.join(apart.select("band", "first"), "band"))
+    # bands that overlap make a family, so that each text and each pair in it counts once, not once for each band
+    family = components(own.select(F.col("first").alias("a"), F.col("node").alias("b"))).withColumnRenamed("component", "family")
+    n = SKETCH // 64
+    nodes = own.select("node", "part").distinct().join(family, "node")
+    nodes = cut_lineage(nodes.join(texts, "node").select(
+        "node", "part", "family", sketch(F.col("text"), size, weighted).alias("s")))
+    sizes = nodes.groupBy("family", "part").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("family").agg(F.max_by("part", F.struct("m", "part")).alias("main"))
+    nodes = nodes.join(main, "family").select(
+        "node", "part", "family", (F.col("part") == F.col("main")).alias("main"), *[F.col("s")[i].alias(f"s{i}") for i in range(n)])
+
+    def side(name: str) -> DataFrame:
+        return nodes.select("family", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "part", "main", *[f"s{i}" for i in range(n)])])
+
+    differ = sum((F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(1, n)),
+                 F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    most = int(SKETCH * (1 - least + SKETCH_MARGIN) / 2)
+    once = F.col("y_main") | (F.col("x_node") < F.col("y_node"))
+    rest = side("x").where("NOT x_main").join(side("y"), "family").where(
+        once & (F.col("x_part") != F.col("y_part")) & (differ <= most)).select(
+        F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b"))
     rest = rest.join(stars, ["a", "b"], "left_anti")
     more = cut_lineage(compared(rest, texts, size, weighted).where(F.col("similarity") >= least))
     return found.unionByName(more)
