@@ -297,6 +297,17 @@ def _blob(x: np.ndarray) -> bytes:
     return x.tobytes()
 
 
+def _short(grams: np.ndarray) -> bytes:
+    """The low five bytes of each hash: enough within a bucket, and a collision only adds runs to compare."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _long(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _request_grams(length: int, buckets: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         grams, state = Block(rows, length).known
@@ -305,14 +316,14 @@ def _request_grams(length: int, buckets: int) -> Callable:
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         got = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
         return pd.DataFrame({"bucket": [b for b, _ in got], "block": rows["block"].iloc[0],
-                             "grams": [_blob(grams[x]) for _, x in got], "state": [_blob(state[x]) for _, x in got]})
+                             "grams": [_short(grams[x]) for _, x in got], "state": [_blob(state[x]) for _, x in got]})
 
     return run
 
 
 def _answer_grams(split_above: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        grams = [np.frombuffer(x, _U) for x in rows["grams"]]
+        grams = [_long(x) for x in rows["grams"]]
         state = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["state"]])
         every = np.concatenate(grams)
         order = np.argsort(every, kind="stable")
