@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,13 +19,23 @@ NULL_TOKENS = ("", "none", "null", "na", "n/a")
 _BAD = ("error_code", "error_field")
 
 
+_LOCATOR = ("source_file", "row_number")
+# What a quarantine record says; never a value of the row.
+_MESSAGES = {
+    "I002": "a field is missing, malformed or out of range",
+    "I003": "an identifier is missing, so no pseudonym can be made",
+    "I005": "the line is not a record",
+}
+
+
 class Ingested:
-    """``accepted`` has the event schema; ``quarantined`` keeps (row, error_code, error_field)."""
+    """``accepted`` has the event schema; ``quarantined`` says where a bad row stands and why, without its content."""
 
     def __init__(self, rows: DataFrame):
         self.rows = rows
         self.accepted = rows.where("error_code IS NULL").select(*AUTH_EVENTS.names)
-        self.quarantined = rows.where("error_code IS NOT NULL").select("source_row", *_BAD)
+        text = F.coalesce(*[F.when(F.col("error_code") == c, m) for c, m in _MESSAGES.items()])
+        self.quarantined = rows.where("error_code IS NOT NULL").select(*_LOCATOR, *_BAD, text.alias("message"))
 
     def counts(self):
         return self.rows.agg(
@@ -65,7 +76,7 @@ def _scan(names, extra: dict[str, str] | None) -> dict[str, str]:
 
 
 def _shape(rows: DataFrame, key: bytes | None) -> Ingested:
-    """Typed events plus error columns, from all-string columns and ``source_row``/``parse_error``."""
+    """Typed events plus error columns, from all-string columns, the locator and ``parse_error``."""
     present = set(rows.columns)
     tokens = ", ".join(f"'{t}'" for t in NULL_TOKENS)
     texts = {
@@ -73,7 +84,7 @@ def _shape(rows: DataFrame, key: bytes | None) -> Ingested:
                  if f.name in present else "cast(null as string)")
         for f in AUTH_EVENTS.fields
     }
-    rows = rows.selectExpr("source_row", "parse_error", *[f"{e} AS {n}" for n, e in texts.items()])
+    rows = rows.selectExpr(*_LOCATOR, "parse_error", *[f"{e} AS {n}" for n, e in texts.items()])
     raw_missing = " OR ".join(f"{c} IS NULL" for c in DOMAINS)
     rows = rows.withColumn("pseudonym_error", F.expr(raw_missing))
     if key is not None:
@@ -104,20 +115,57 @@ def _shape(rows: DataFrame, key: bytes | None) -> Ingested:
         f"CASE WHEN parse_error THEN NULL WHEN pseudonym_error THEN coalesce("
         f"{', '.join(f'''CASE WHEN {c} IS NULL THEN '{c}' END''' for c in DOMAINS)}) "
         "ELSE schema_error END AS error_field")
-    return Ingested(rows.select("source_row", *_BAD, *AUTH_EVENTS.names))
+    return Ingested(rows.select(*_LOCATOR, *_BAD, *AUTH_EVENTS.names))
+
+
+def located_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, source_file, row_number): every line of every file, numbered from 1 within its file.
+
+    Numbers come from the place in a block plus the lines of the file's earlier blocks, which are one small row each.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"))
+    blocks = lines.groupBy("source_file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    return lines.join(blocks, ["source_file", "block"]).select(
+        "value", "source_file", (F.col("before") + F.col("place") - F.col("first") + 1).alias("row_number"))
+
+
+def _csv_cells(value: str, width: int) -> Column:
+    struct = F.from_csv(F.col(value), ", ".join(f"c{i} string" for i in range(width)))
+    return F.array(*[struct[f"c{i}"] for i in range(width)])
 
 
 def ingest_csv(
     spark: SparkSession, path: str, key: bytes | None = None, extra_field_map: dict[str, str] | None = None
 ) -> Ingested:
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    mapping = _scan(raw.columns, extra_field_map)
-    # Quarantine carries the original row, never a sensitive value's column alone.
-    body = F.to_json(F.struct(*[F.col(f"`{c}`").alias(m) for c, m in mapping.items()]))
-    rows = raw.select(
-        body.alias("source_row"), F.lit(False).alias("parse_error"),
-        *[F.col(f"`{c}`").alias(m) for c, m in mapping.items() if m in AUTH_EVENTS.names])
-    return _shape(rows, key)
+    """Each file is read by its own first line; a bad header in any of them refuses the whole input.
+
+    One record is one line. A column that a file lacks is null in its rows; of two columns with one canonical name the
+    first counts.
+    """
+    lines = located_lines(spark, path)
+    # one row for each wording of the header, however many files share it
+    headers = [r.value for r in lines.where("row_number = 1").select("value").distinct().orderBy("value").collect()]
+    if not headers:
+        raise AuthwatchError("E001: no rows")
+    mappings = []
+    for header in headers:
+        names = next(csv.reader([header.removeprefix("\ufeff")]))
+        mapping = _scan(names, extra_field_map)
+        mappings.append([mapping[n] for n in names])
+    heads = lines.where("row_number = 1").select("source_file", F.col("value").alias("header"))
+    width = max(map(len, mappings))
+    rows = lines.where("row_number > 1 AND trim(value) != ''").join(heads, "source_file").withColumn(
+        "cells", _csv_cells("value", width))
+    columns = []
+    for name in AUTH_EVENTS.names:
+        at = [F.when(F.col("header") == h, F.col("cells")[m.index(name)]) for h, m in zip(headers, mappings) if name in m]
+        if at:
+            columns.append(F.coalesce(*at).alias(name))
+    return _shape(rows.select(*_LOCATOR, F.lit(False).alias("parse_error"), *columns), key)
 
 
 def _walk(schema: T.DataType, depth: int = 0):
@@ -146,15 +194,14 @@ def scan_json_keys(lines: DataFrame) -> list[str]:
 def ingest_jsonl(
     spark: SparkSession, path: str, key: bytes | None = None, extra_field_map: dict[str, str] | None = None
 ) -> Ingested:
-    lines = spark.read.text(path).where("trim(value) != ''")
-    parsed = lines.selectExpr("value", "try_parse_json(value) AS v")
+    lines = located_lines(spark, path).where("trim(value) != ''")
+    parsed = lines.selectExpr(*_LOCATOR, "value", "try_parse_json(value) AS v")
     names = scan_json_keys(lines)
     found = prohibited(names)
     if found:
         raise AuthwatchError(f"input rejected: {len(found)} sensitive field name(s)")
     _scan(names, extra_field_map)
-    top = lines.agg(F.expr(
-        "array_distinct(flatten(collect_set(json_object_keys(value))))").alias("k")).first().k or []
+    top = [r.k for r in lines.select(F.explode(F.json_object_keys("value")).alias("k")).distinct().collect()]
     mapping = _scan(sorted(top), extra_field_map)
     fields = []
     for name, canonical in mapping.items():
@@ -162,6 +209,6 @@ def ingest_jsonl(
             quoted = name.replace("'", "\\'")
             fields.append(f"""try_variant_get(v, "$['{quoted}']", 'string') AS `{canonical}`""")
     rows = parsed.selectExpr(
-        "value AS source_row",
+        *_LOCATOR,
         "v IS NULL OR coalesce(schema_of_variant(v), '') NOT LIKE 'OBJECT%' AS parse_error", *fields)
     return _shape(rows, key)

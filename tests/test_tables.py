@@ -44,6 +44,30 @@ def test_csv_ingestion(spark, tmp_path):
         got.enforce("fail")
 
 
+def test_csv_files_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    names, values = ["event_id", *ROW], {"event_id": uid(1), **ROW}
+    (folder / "a.csv").write_text(",".join(names) + "\n" + ",".join(values[n] for n in names) + "\n")
+    swapped = [{"user_id": "source_id", "source_id": "user_id"}.get(n, n) for n in names]
+    values["event_id"] = uid(2)
+    bad = dict(values, event_id="secret-looking-id", user_id="someone@example.org")
+    lines = [swapped, [values[n] for n in swapped], [bad[n] for n in swapped]]
+    (folder / "b.csv").write_text("\n".join(",".join(x) for x in lines))
+    got = ingest_csv(spark, str(folder), KEY)
+    assert {(r.user_id, r.source_id) for r in got.accepted.collect()} == {
+        (a.user_id, a.source_id) for a in got.accepted.where(f"event_id = '{uid(1)}'").collect()}
+    assert got.accepted.count() == 2
+    # where and why, but nothing of the row itself
+    quarantined = got.quarantined.collect()
+    assert [(r.source_file.rsplit("/", 1)[1], r.row_number, r.error_code, r.error_field) for r in quarantined] == [("b.csv", 3, "I002", "event_id")]
+    assert not any(v in str(quarantined) for v in ("secret-looking-id", "someone@example.org"))
+    # a sensitive column in any file refuses the whole input
+    (folder / "c.csv").write_text("event_id,password\n" + uid(3) + ",hunter2\n")
+    with pytest.raises(AuthwatchError):
+        ingest_csv(spark, str(folder), KEY)
+
+
 def test_sensitive_and_label_columns_reject_the_file(spark, tmp_path):
     for name in ("passwordHash", "campaign_id"):
         path = tmp_path / f"{name}.csv"
