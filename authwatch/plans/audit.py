@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import FeatureConfig, micros
-from ..functions.scalar import micros_of
-from ..operators.prefix import running, with_chunk
+from ..config import FeatureConfig
+from ..functions.scalar import bucket, micros_of
 from ..schema import GROUND_TRUTH_COLUMNS, SUPERVISED_SPLITS, feature_catalog
 from .baseline import Baseline
 from .features import build_features
@@ -58,23 +57,26 @@ def same_timestamp_contribution(events: DataFrame, snapshot: DataFrame, config:
 
 
 def purge_violations(events: DataFrame, assignments: DataFrame, window_us: int) -> DataFrame:
-    """Per split: supervised events whose lookback reaches an event of another supervised split.
+    """Per split: supervised events whose lookback ``[t - window, t)`` reaches an event of another supervised split.
 
-    A running maximum over one global timeline, cut into chunks; no join on time ranges.
+    Time is cut into buckets as wide as the window, so a lookback ends in its own bucket or the one before. One row for
+    each bucket keeps every split's first and last instant: a neighbour reaches in if its first instant in the same bucket is
+    earlier, or its last one in the bucket before is late enough. Simultaneous events do not see each other.
     """
+    width = max(1, window_us)
     rows = events.select("event_id", micros_of(F.col("event_time")).alias("us")).join(
         assignments.where(f"split IN ({_SPLIT_LIST})").select("event_id", "split"), "event_id")
-    # Many events share a (split, instant): fold them first.  Probes sit half a tick
-    # later, so the instant itself is part of the lookback.
-    marks = rows.groupBy("split", "us").agg(F.count("*").alias("n"))
-    marks = marks.selectExpr("split", "us", "n", "explode(array(0L, 1L)) AS probe").selectExpr(
-        "split", "us", "n", "probe", "us * 2 + probe AS tick", "'all' AS line")
-    marks = with_chunk(marks, "tick", 2 * micros("1h"))
-    marks = running(marks, ["line"], "tick", {
-        f"last_{s}": ("max", f"CASE WHEN probe = 0 AND split = '{s}' THEN us END") for s in SUPERVISED_SPLITS})
+    marks = rows.groupBy("split", "us").agg(F.count("*").alias("n")).withColumn(
+        "bucket", bucket(F.col("us"), width))
+
+    def edge(fold, name):
+        return [fold(F.when(F.col("split") == s, F.col("us"))).alias(f"{name}_{s}") for s in SUPERVISED_SPLITS]
+
+    own = marks.groupBy("bucket").agg(*edge(F.min, "first"))
+    before = marks.withColumn("bucket", F.col("bucket") + 1).groupBy("bucket").agg(*edge(F.max, "last"))
     reached = " OR ".join(
-        f"(split != '{s}' AND last_{s} >= us - {window_us}L)" for s in SUPERVISED_SPLITS)
-    return marks.where("probe = 1").groupBy("split").agg(
+        f"(split != '{s}' AND (first_{s} < us OR last_{s} >= us - {window_us}L))" for s in SUPERVISED_SPLITS)
+    return marks.join(own, "bucket").join(before, "bucket", "left").groupBy("split").agg(
         F.sum("n").alias("events"),
         F.coalesce(F.sum(F.expr(f"CASE WHEN {reached} THEN n END")), F.lit(0)).alias("violations"))
 
