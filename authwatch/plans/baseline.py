@@ -13,6 +13,7 @@ from ..functions.scalar import bucket, haversine_km, located, micros_of
 from ..operators.histories import sample_std
 from ..operators.prefix import neighbour, with_chunk
 from ..operators.ranks import nearest_rank, select_ranks
+from ..runtime import cut_lineage
 from ..schema import BASELINE_FEATURES, SCHEMA_VERSION, SPARK_TYPES
 
 US = "event_us"
@@ -29,6 +30,7 @@ KNOWN_SETS = {
 class Baseline:
     users: DataFrame
     sources: DataFrame
+    known: DataFrame
     interval_start_us: int
     interval_end_us: int
 
@@ -45,7 +47,7 @@ def fit_interval(events: DataFrame) -> tuple[int, int]:
 def check_fit(events: DataFrame, permitted: DataFrame, start_us: int, end_us: int) -> None:
     """Every event must be inside the interval and among the permitted ids."""
     if end_us <= start_us:
-        raise AuthwatchError("baseline interval must be non-empty and increasing")
+        raise AuthwatchError("the baseline has to start before it ends")
     inside = micros_of(F.col("event_time")).between(start_us, end_us)
     outside = events.where(~inside).count()
     stray = events.where(inside).join(permitted.select("event_id"), "event_id", "left_anti").count()
@@ -55,9 +57,9 @@ def check_fit(events: DataFrame, permitted: DataFrame, start_us: int, end_us: in
 
 
 def known_values(events: DataFrame, config: BaselineConfig) -> DataFrame:
-    """(user_id, set_name, value, occurrences, truncated), at most max_size values per set.
+    """(user_id, set_name, value, occurrences, truncated): the known sets, one row for each value.
 
-    Long form of the known sets: most frequent first, ties by value.
+    With ``known_set_max_size`` only the most frequent values of each set, ties by value.
     """
     pairs = F.array(*[
         F.struct(F.lit(name).alias("set_name"), F.col(column).cast("string").alias("value"))
@@ -69,6 +71,8 @@ def known_values(events: DataFrame, config: BaselineConfig) -> DataFrame:
         .groupBy("user_id", "p.set_name", "p.value").agg(F.count("*").alias("occurrences"))
         .where(F.col("occurrences") >= config.known_set_min_occurrences)
     )
+    if config.known_set_max_size is None:
+        return counts.withColumn("truncated", F.lit(False))
     order = Window.partitionBy("user_id", "set_name").orderBy(F.desc("occurrences"), F.asc("value"))
     # One more than the cap is kept to learn whether the set was truncated; the
     # rank filter lets Spark drop the rest before the shuffle.
@@ -147,14 +151,8 @@ def fit_users(events: DataFrame, config: BaselineConfig, hours: float) -> DataFr
         *_response_stats(config),
         "centroid_latitude", "centroid_longitude", "located_event_count",
     )
-    known = known_values(rows, config)
-    sets = known.groupBy("user_id").agg(
-        *[F.sort_array(F.collect_list(F.when(F.col("set_name") == n, F.col("value")))).alias(n)
-          for n in KNOWN_SETS],
-        F.sort_array(F.collect_set(F.when(F.col("truncated"), F.col("set_name")))).alias("truncated_sets"),
-    )
     gaps = interarrival(rows)
-    return base.join(sets, "user_id", "left").join(gaps, "user_id", "left")
+    return base.join(gaps, "user_id", "left")
 
 
 def entropy_bits(events: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -199,11 +197,26 @@ def fit_baseline(
         check_fit(events, permitted, start_us, end_us)
     hours = (end_us - start_us) / 3_600_000_000
     return Baseline(
-        fit_users(events, config, hours), fit_sources(events, config, hours), start_us, end_us)
+        fit_users(events, config, hours), fit_sources(events, config, hours),
+        # read once for each kind of value by the transform
+        cut_lineage(known_values(events, config)), start_us, end_us)
+
+
+NOVELTY = {
+    "is_new_device_for_user": "known_device_ids",
+    "is_new_source_for_user": "known_source_ids",
+    "is_new_country_for_user": "known_country_codes",
+    "is_new_application_for_user": "known_application_ids",
+    "is_new_auth_method_for_user": "known_auth_methods",
+}
+
 
+def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
+                     wanted: set[str] | None = None) -> DataFrame:
+    """Add the baseline-derived columns; an unknown entity yields null, never a novelty verdict.
 
-def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig) -> DataFrame:
-    """Add the baseline-derived columns; an unknown entity yields null, never a novelty verdict."""
+    Known values are looked up by (user, value), only for the ``wanted`` columns (all by default).
+    """
     if baseline is None:
         return rows.withColumns({
             n: (F.lit(False) if n.endswith("_in_baseline") else F.lit(None).cast(SPARK_TYPES[dtype]))
@@ -216,13 +229,19 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     # Size decides: small summaries are broadcast by Spark, larger ones sort-merge
     # with adaptive skew splitting of the event side.
     rows = rows.join(users, "user_id", "left").join(sources, "source_id", "left")
+    novelty = {n: f"__{n}" for n in NOVELTY if wanted is None or n in wanted}
+    for name, flag in novelty.items():
+        values = baseline.known.where(F.col("set_name") == NOVELTY[name]).select(
+            "user_id", F.col("value").alias(KNOWN_SETS[NOVELTY[name]]), F.lit(True).alias(flag))
+        rows = rows.join(values, ["user_id", KNOWN_SETS[NOVELTY[name]]], "left")
     known, source_known = F.col("ub").isNotNull(), F.col("sb").isNotNull()
     ref = config.baseline.rate_reference_window
     ref_hours = seconds(ref) / 3600.0
 
-    def is_new(column: str, known_set: str) -> Column:
-        values = F.coalesce(F.col(f"ub.{known_set}"), F.array().cast("array<string>"))
-        return F.when(known, ~F.array_contains(values, F.col(column)))
+    def is_new(name: str) -> Column:
+        if name not in novelty:
+            return F.lit(None).cast("boolean")
+        return F.when(known & F.col(KNOWN_SETS[NOVELTY[name]]).isNotNull(), F.col(novelty[name]).isNull())
 
     def ratio(count: str, rate: Column) -> Column:
         if count not in rows.columns:
@@ -238,11 +257,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     here = located("coarse_latitude", "coarse_longitude")
     observed = F.when(F.col("authentication_outcome") == "success", 1.0).otherwise(0.0)
     columns = {
-        "is_new_device_for_user": is_new("device_id", "known_device_ids"),
-        "is_new_source_for_user": is_new("source_id", "known_source_ids"),
-        "is_new_country_for_user": is_new("country_code", "known_country_codes"),
-        "is_new_application_for_user": is_new("application_id", "known_application_ids"),
-        "is_new_auth_method_for_user": is_new("authentication_method", "known_auth_methods"),
+        **{name: is_new(name) for name in NOVELTY},
         "login_hour_deviation": F.lit(1.0) - F.element_at(F.col("ub.hour_histogram"), hour + 1),
         "user_success_rate_deviation": observed - F.col("ub.success_rate"),
         "user_event_rate_ratio": ratio(f"user_attempt_count__{ref}", F.col("ub.event_rate_per_hour")),
@@ -258,13 +273,14 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
         "user_in_baseline": known,
         "source_in_baseline": source_known,
     }
-    return rows.withColumns(columns).drop("ub", "sb")
+    return rows.withColumns(columns).drop("ub", "sb", *novelty.values())
 
 
 def save_baseline(baseline: Baseline, path: str, config: BaselineConfig) -> None:
-    """Two Parquet tables and a metadata row, the metadata last."""
+    """Three Parquet tables and a metadata row, the metadata last."""
     baseline.users.write.mode("errorifexists").parquet(f"{path}/users")
     baseline.sources.write.mode("errorifexists").parquet(f"{path}/sources")
+    baseline.known.write.mode("errorifexists").parquet(f"{path}/known")
     spark = baseline.users.sparkSession
     meta = {
         "baseline_schema_version": SCHEMA_VERSION,
@@ -284,4 +300,4 @@ def load_baseline(spark, path: str, config: BaselineConfig | None = None) -> Bas
         raise AuthwatchError("the stored baseline was fitted with another configuration")
     return Baseline(
         spark.read.parquet(f"{path}/users"), spark.read.parquet(f"{path}/sources"),
-        meta.interval_start_us, meta.interval_end_us)
+        spark.read.parquet(f"{path}/known"), meta.interval_start_us, meta.interval_end_us)

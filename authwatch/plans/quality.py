@@ -40,11 +40,13 @@ def event_summary(events: DataFrame) -> DataFrame:
         *[f"null_rate_{c}" for c in events.columns])
 
 
-def distributions(events: DataFrame, top_countries: int = 10) -> DataFrame:
-    """(field, value, events); countries keep the ten most frequent."""
+def distributions(events: DataFrame, top_countries: int | None = None) -> DataFrame:
+    """(field, value, events); with ``top_countries`` only the most frequent countries."""
     pairs = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in DISTRIBUTIONS])
     counts = events.select(F.explode(pairs).alias("p")).where("p.value IS NOT NULL").groupBy(
         "p.field", "p.value").agg(F.count("*").alias("events"))
+    if top_countries is None:
+        return counts
     order = Window.partitionBy("field").orderBy(F.desc("events"), F.asc("value"))
     ranked = counts.withColumn("rank", F.row_number().over(order))
     return ranked.where((F.col("field") != "country_code") | (F.col("rank") <= top_countries)).drop("rank")
