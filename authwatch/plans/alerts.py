@@ -26,7 +26,7 @@ from .scoring import severity_rank
 KEY = ["attack_category", "scope_kind", "scope_value"]
 _FOLDED = (
     "row string, attack_category string, scope_kind string, scope_value string, first_us long, "
-    "last_us long, events long, rules array<string>, risk_e4 long, peak double, initial int, "
+    "last_us long, events long, rules array<string>, risk_units long, peak double, initial int, "
     "current int, escalations long, suppressed long, reason string"
 )
 
@@ -66,7 +66,7 @@ def fold_input(rows: DataFrame, config: DetectionConfig) -> DataFrame:
     a = config.alerting
     grouping, cooldown, limit = micros(a.grouping_window), micros(a.cooldown), micros(a.alert_limit_window)
     rows = rows.selectExpr(
-        "anchor_event_id AS id", "us", *KEY, "risk_score", "cast(round(risk_score * 10000) as bigint) AS risk_e4",
+        "anchor_event_id AS id", "us", *KEY, "risk_score", f"cast(round(risk_score * {10 ** config.scoring.round_decimals}) as bigint) AS risk_units",
         "rank", "rules")
     rows = with_chunk(rows, "us", max(grouping, cooldown, limit))
     rows = running(rows, KEY, "us", {"prev_us": ("max", "us")})
@@ -78,23 +78,23 @@ def fold_input(rows: DataFrame, config: DetectionConfig) -> DataFrame:
         "island_before": ("max", "CASE WHEN opens_island THEN us END"),
     })
     rows = rows.selectExpr(
-        *KEY, "id", "us", "risk_score", "risk_e4", "rank", "rules",
+        *KEY, "id", "us", "risk_score", "risk_units", "rank", "rules",
         "CASE WHEN opens_session THEN us ELSE session_before END AS session_us",
         "CASE WHEN opens_island THEN us ELSE island_before END AS island_us")
     horizon = max(cooldown, limit)
     head = rows.where(f"us <= session_us + {horizon}L").selectExpr(
-        *KEY, "island_us", "us", "id", "1L AS events", "risk_e4", "risk_score AS peak", "us AS last_us",
+        *KEY, "island_us", "us", "id", "1L AS events", "risk_units", "risk_score AS peak", "us AS last_us",
         "rules", "rank AS first_rank", "cast(array() as array<int>) AS ranks")
     tail = rows.where(f"us > session_us + {horizon}L")
     # The order in which severities first appear decides how often the tail escalates.
     firsts = [F.min(F.when(F.col("rank") == r, F.struct("us", "id", "rank"))) for r in range(len(SEVERITIES))]
     tail = tail.groupBy(*KEY, "island_us", "session_us").agg(
         F.min(F.struct("us", "id", "rank")).alias("first"), F.count("*").alias("events"),
-        F.sum("risk_e4").alias("risk_e4"), F.max("risk_score").alias("peak"), F.max("us").alias("last_us"),
+        F.sum("risk_units").alias("risk_units"), F.max("risk_score").alias("peak"), F.max("us").alias("last_us"),
         F.collect_set(F.concat_ws(",", "rules")).alias("rule_sets"),
         *[f.alias(f"s{r}") for r, f in enumerate(firsts)],
     ).selectExpr(
-        *KEY, "island_us", "first.us AS us", "first.id AS id", "events", "risk_e4", "peak", "last_us",
+        *KEY, "island_us", "first.us AS us", "first.id AS id", "events", "risk_units", "peak", "last_us",
         "array_distinct(flatten(transform(rule_sets, s -> split(s, ',')))) AS rules",
         "first.rank AS first_rank",
         "transform(array_sort(array_compact(array({}))), s -> s.rank) AS ranks".format(
@@ -108,7 +108,7 @@ def _folder(grouping: int, cooldown: int, limit_window: int, limit: int, bypass:
     def fold(batches):
         import pandas as pd
 
-        names = ["row", *KEY, "first_us", "last_us", "events", "rules", "risk_e4", "peak", "initial",
+        names = ["row", *KEY, "first_us", "last_us", "events", "rules", "risk_units", "peak", "initial",
                  "current", "escalations", "suppressed", "reason"]
         island, alert, closed, slot = None, None, None, None
         counts: dict[str, int] = {}
@@ -161,7 +161,7 @@ def _folder(grouping: int, cooldown: int, limit_window: int, limit: int, bypass:
                                  initial=int(r.first_rank), current=int(r.first_rank), esc=0, sup=0)
                 alert["n"] += int(r.events)
                 alert["rules"].update(r.rules)
-                alert["sum"] += int(r.risk_e4)
+                alert["sum"] += int(r.risk_units)
                 alert["peak"] = max(alert["peak"], float(r.peak))
                 alert["last"] = max(alert["last"], int(r.last_us))
                 for rank in ranks:
@@ -209,6 +209,7 @@ class AlertRun:
         group = "CASE attack_category {} END".format(
             " ".join(f"WHEN '{c}' THEN '{g}'" for c, g in CATEGORY_GROUP.items()))
         names = "element_at(array({}), {{}} + 1)".format(", ".join(f"'{s}'" for s in SEVERITIES))
+        digits = self.config.scoring.round_decimals
         rows = self.folded.where("row = 'alert'").selectExpr(
             f"'{SCHEMA_VERSION}' AS detection_schema_version", "attack_category",
             f"{group} AS correlation_group",
@@ -216,7 +217,9 @@ class AlertRun:
             "scope_kind", "CASE scope_kind WHEN 'none' THEN NULL ELSE scope_value END AS scope_value",
             "first_us", "timestamp_micros(first_us) AS first_seen", "timestamp_micros(last_us) AS last_seen",
             "events AS contributing_event_count", "rules AS contributing_rule_ids",
-            "least(bround(risk_e4 / 10000D / events, 4), peak) AS aggregate_risk_score",
+            # exact decimals, so that a mean halfway between two scores goes to the even one
+            f"least(cast(bround(cast(risk_units as decimal(20,0)) / cast(events as decimal(20,0)), 0) as double) / {10 ** digits}D, peak)"
+            " AS aggregate_risk_score",
             "peak AS peak_risk_score", f"{names.format('initial')} AS initial_severity",
             f"{names.format('current')} AS current_severity", "escalations AS escalation_count",
             "suppressed AS suppressed_event_count")

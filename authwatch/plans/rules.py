@@ -283,7 +283,10 @@ def _cs(p, s):
             Evidence("CS_MIXED_OUTCOMES", wins, "gte", wins, p["min_successes"], "count"),
             Evidence("CS_CLIENT_DIVERSITY", devices, "gte", devices, p["min_unique_devices"], "count"),
             Evidence("CS_ATTEMPTS_PER_USER", attempts, "lte", per_user, p["max_attempts_per_user"], "ratio"),
-            Evidence("CS_UNFAMILIAR_CONTEXT", "is_new_device_for_user", "is_true", "true"),
+            Evidence("CS_UNFAMILIAR_CONTEXT", "is_new_device_for_user", "is_true", "true",
+                     when="coalesce(is_new_device_for_user, false)"),
+            Evidence("CS_UNFAMILIAR_CONTEXT", "is_new_country_for_user", "is_true", "true",
+                     when="NOT coalesce(is_new_device_for_user, false)"),
         ),
         components=(
             Component(1.0, saturate(users, p["min_unique_users"], s)),

@@ -94,11 +94,11 @@ def accepted_rejected(events: DataFrame, pseudonym: str = PSEUDONYM) -> DataFram
     """One row (accepted, rejected): a row is rejected by any failed check or as a repeat of an id."""
     tainted = any(c in events.columns for c in GROUND_TRUTH_COLUMNS)
     bad = " OR ".join(event_checks(events.columns, pseudonym).values())
-    flagged = events.selectExpr("event_id", f"({bad}) OR {str(tainted).lower()} AS bad",
-                                "event_time")
-    # The first row of an id (by time) is kept; all but it are repeats.
+    order = F.struct("event_time", F.xxhash64(*events.columns).alias("tie"))
+    flagged = events.select("event_id", F.expr(f"({bad}) OR {str(tainted).lower()} AS bad"), order.alias("place"))
+    # The first row of an id (by time, then by a hash of the row) is kept; all but it are repeats.
     groups = flagged.groupBy("event_id").agg(
-        F.count("*").alias("n"), F.count_if("bad").alias("b"), F.min_by("bad", "event_time").alias("first_bad"))
+        F.count("*").alias("n"), F.count_if("bad").alias("b"), F.min_by("bad", "place").alias("first_bad"))
     repeats = "CASE WHEN n > 1 THEN n - 1 + cast(first_bad as int) ELSE b END"
     return groups.agg(
         F.coalesce(F.sum(F.expr(f"n - ({repeats})")), F.lit(0)).alias("accepted"),

@@ -182,7 +182,7 @@ def test_alerts_equal_the_event_by_event_fold(spark, seed):
     base = int(START.timestamp() * 10**6)
     got = sorted(
         (r.first_us - base, r.last_us - base, r.events, r.peak, SEVERITIES[r.current], r.escalations, r.suppressed,
-         r.risk_e4) for r in run.folded.where("row = 'alert'").collect())
+         r.risk_units) for r in run.folded.where("row = 'alert'").collect())
     assert got == want
     totals = run.accounting.first()
     assert (totals.cooldown, totals.rate_limit) == (refused["cooldown"], refused["rate_limit"])
