@@ -126,18 +126,20 @@ def build_features(
     kinds = [k for k in _ORDER if windowed[k] or sequences[k]]
     dense = dense_entities(rows, config, kinds)
 
-    out = rows
+    if dense:
+        rows = cut_lineage(rows)  # read many times below: once from the source, then from here
+    out, exact = rows, []
     for kind in kinds:
         keys = list(ENTITY_KEYS[kind])
         partition = keys
         if kind in dense:
-            flags = dense[kind].withColumn("__dense", F.lit(True))
-            out = out.join(flags, keys, "left").withColumn("__dense", F.coalesce("__dense", F.lit(False)))
+            flag = f"__dense_{kind}"
+            out = out.join(dense[kind].withColumn(flag, F.lit(True)), keys, "left").withColumn(
+                flag, F.coalesce(flag, F.lit(False)))
             # Dense rows are spread as singletons here; their values arrive by join below.
             single = F.concat(F.lit("\u0001"), F.col("event_id"))
-            out = out.withColumn("__key", F.when(F.col("__dense"), single).otherwise(
-                F.concat_ws("\u0000", *keys)))
-            partition = ["__key"]
+            out = out.withColumn(f"__key_{kind}", F.when(F.col(flag), single).otherwise(F.concat_ws("\u0000", *keys)))
+            partition = [f"__key_{kind}"]
         elif kind in _UNDER_USER and "user" not in dense and not any(
             k in _UNDER_USER for k in kinds[:kinds.index(kind)]
         ):
@@ -148,24 +150,26 @@ def build_features(
             out = frame_sequences(out, kind, sequences[kind], config, partition)
         if kind in dense:
             members = rows.join(dense[kind], keys, "left_semi")
-            exact = None
             if windowed[kind]:
-                exact = sweep_features(members, kind, windowed[kind], config)
+                exact.append(sweep_features(members, kind, windowed[kind], config))
             if sequences[kind]:
-                state = chunked_sequences(members, kind, sequences[kind], config)
-                exact = state if exact is None else exact.join(state, "event_id")
-            produced = [f.name for f in windowed[kind]] + sorted(sequences[kind])
-            exact = exact.selectExpr("event_id", *[f"{n} AS __x_{n}" for n in produced])
-            out = out.join(exact, "event_id", "left")
-            merged = set(produced)
-            skip = {"__dense", "__key", *[f"__x_{n}" for n in produced]}
-            out = out.selectExpr(*[
-                f"CASE WHEN __dense THEN __x_{n} ELSE {n} END AS {n}" if n in merged else n
-                for n in out.columns if n not in skip
-            ])
+                exact.append(chunked_sequences(members, kind, sequences[kind], config))
+    if exact:
+        # narrow tables of single kinds meet first; the wide rows cross the network once
+        narrow = exact[0]
+        for table in exact[1:]:
+            narrow = narrow.join(table, "event_id", "full")
+        produced = {n: kind for kind in kinds if kind in dense
+                    for n in [f.name for f in windowed[kind]] + sorted(sequences[kind])}
+        narrow = narrow.selectExpr("event_id", *[f"{n} AS __x_{n}" for n in produced])
+        out = out.join(narrow, "event_id", "left")
+        skip = {*[f"__dense_{k}" for k in dense], *[f"__key_{k}" for k in dense], *[f"__x_{n}" for n in produced]}
+        out = out.selectExpr(*[
+            f"CASE WHEN __dense_{produced[n]} THEN __x_{n} ELSE {n} END AS {n}" if n in produced else n
+            for n in out.columns if n not in skip])
 
     if wants_baseline:
-        out = baseline_columns(out, baseline, config)
+        out = baseline_columns(out, baseline, config, wanted)
     direct = {
         "feature_schema_version": F.lit(SCHEMA_VERSION),
         "anchor_event_id": F.col("event_id"),
