@@ -6,6 +6,8 @@ import importlib.util
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
+from uuid import uuid4
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
+from authwatch.config import FeatureConfig, SkewConfig  # noqa: E402
 from authwatch.functions.privacy import DOMAINS, pseudonymiser  # noqa: E402
 from authwatch.functions.scalar import micros_of  # noqa: E402
 from authwatch.operators.ranks import nearest_rank, select_ranks  # noqa: E402
@@ -22,13 +25,16 @@ from authwatch.plans.alerts import AlertRun, gate  # noqa: E402
 from authwatch.plans.baseline import fit_baseline, fit_sources, fit_users, known_values  # noqa: E402
 from authwatch.plans.features import build_features  # noqa: E402
 from authwatch.plans.fingerprint import fingerprint  # noqa: E402
-from authwatch.runtime import cut_lineage  # noqa: E402
+from authwatch.runtime import cut_lineage, shared_folder  # noqa: E402
 from authwatch.functions.scalar import bucket  # noqa: E402
 from authwatch.schema import feature_catalog  # noqa: E402
+from authwatch.schema import AUTH_EVENTS  # noqa: E402
 from authwatch.sources.adapters import auth_events, ground_truth  # noqa: E402
+from authwatch.sources.ingest import Ingested, ingest_csv, ingest_jsonl  # noqa: E402
 from driver_config import DETECTION, FEATURES, REFERENCE_END_US, SHORT_ID  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
+ALL_DENSE = replace(FEATURES, skew=SkewConfig(dense_rows=0))
 _DOUBLES = {f.name for f in feature_catalog(FEATURES) if f.dtype == "float64"}
 
 
@@ -45,10 +51,10 @@ def _baseline(spark: SparkSession, sf_dir: str):
     return fit_baseline(_reference(spark, sf_dir), FEATURES.baseline)
 
 
-def _features(columns: list[str], with_baseline: bool = False) -> Query:
+def _features(columns: list[str], with_baseline: bool = False, config: FeatureConfig = FEATURES) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         baseline = _baseline(spark, sf_dir) if with_baseline else None
-        df = build_features(auth_events(spark, sf_dir), FEATURES, baseline, columns)
+        df = build_features(auth_events(spark, sf_dir), config, baseline, columns)
         return _rounded(df.drop("anchor_event_time"))
 
     return run
@@ -63,8 +69,6 @@ def _results(spark: SparkSession, sf_dir: str, config=DETECTION) -> DataFrame:
 
 
 def _rule(rule_id: str) -> Query:
-    from dataclasses import replace
-
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         results = _results(spark, sf_dir, replace(DETECTION, enabled_rule_ids=(rule_id,)))
         return _rounded(rules.diagnostics(results, replace(DETECTION, enabled_rule_ids=(rule_id,))).where(
@@ -135,8 +139,6 @@ def baseline_source(spark, sf_dir):
 
 
 def baseline_known_sets(spark, sf_dir):
-    from dataclasses import replace
-
     small = replace(FEATURES.baseline, known_set_max_size=3)
     return known_values(_reference(spark, sf_dir), small).select("user_id", "set_name", "value", "occurrences")
 
@@ -206,12 +208,19 @@ def alert_totals(spark, sf_dir):
     return kept.unionByName(refused).groupBy("attack_category").agg(F.sum("n").alias("qualifying"))
 
 
+def _plain_alerts(df: DataFrame) -> DataFrame:
+    """Times as microseconds and rule ids as one text."""
+    plain = {"first_us": micros_of(F.col("first_seen")), "last_us": micros_of(F.col("last_seen")),
+             "contributing_rule_ids": F.array_join("contributing_rule_ids", ",")}
+    return df.withColumns(plain).drop("first_seen", "last_seen")
+
+
 def alerts(spark, sf_dir):
-    return AlertRun(_stored_risk(spark, sf_dir), None, DETECTION).alerts
+    return _plain_alerts(AlertRun(_stored_risk(spark, sf_dir), None, DETECTION).alerts)
 
 
 def alerts_by_entity(spark, sf_dir):
-    return AlertRun(_stored_risk(spark, sf_dir), _scope(spark, sf_dir), DETECTION).alerts
+    return _plain_alerts(AlertRun(_stored_risk(spark, sf_dir), _scope(spark, sf_dir), DETECTION).alerts)
 
 
 def alert_accounting(spark, sf_dir):
@@ -221,7 +230,7 @@ def alert_accounting(spark, sf_dir):
 def eval_alert_metrics(spark, sf_dir):
     risk = _stored_risk(spark, sf_dir)
     rows = evaluate.labelled(risk, _labels(spark, sf_dir))
-    return evaluate.alert_metrics(rows, AlertRun(risk, None, DETECTION).alerts)
+    return _rounded(evaluate.alert_metrics(rows, AlertRun(risk, None, DETECTION).alerts))
 
 
 def eval_campaign_latency(spark, sf_dir):
@@ -248,7 +257,7 @@ def quality_features(spark, sf_dir):
 
 
 def top_countries(spark, sf_dir):
-    return quality.distributions(auth_events(spark, sf_dir)).where("field = 'country_code'").select("value", "events")
+    return quality.distributions(auth_events(spark, sf_dir), 10).where("field = 'country_code'").select("value", "events")
 
 
 def validate_events(spark, sf_dir):
@@ -256,6 +265,43 @@ def validate_events(spark, sf_dir):
         "code IN ('V006', 'V016', 'V018') OR (code = 'V019' AND field = 'session_id')").select("code", "violations")
 
 
+def _raw_texts(spark, sf_dir) -> DataFrame:
+    """Events as an outside log writes them: texts, some with a bad response time or without a user."""
+    rows = auth_events(spark, sf_dir).withColumn("n", F.col("event_id").cast("long"))
+    h = F.md5("event_id")
+    uuid = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    fixed = {
+        "event_id": uuid, "event_time": F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"),
+        "response_time_ms": F.when(F.col("n") % 50 == 0, F.lit("9999999")).otherwise(F.col("response_time_ms").cast("string")),
+        "user_id": F.when(F.col("n") % 50 == 1, F.lit("null")).otherwise(F.col("user_id"))}
+    return rows.select("n", *[fixed.get(c, F.col(c).cast("string")).alias(c) for c in AUTH_EVENTS.names])
+
+
+def _ingest_counts(found: Ingested) -> DataFrame:
+    good = found.accepted.agg(F.lit("accepted").alias("outcome"), F.lit(None).cast("string").alias("field"), F.count("*").alias("n_rows"),
+                              F.sum("response_time_ms").cast("long").alias("total_ms"), F.count_distinct("user_id").alias("users"))
+    bad = found.quarantined.groupBy(F.col("error_code").alias("outcome"), F.col("error_field").alias("field")).agg(F.count("*").alias("n_rows"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def ingest_csv_files(spark, sf_dir):
+    """Two sets of CSV files with their columns in opposite order."""
+    rows = _raw_texts(spark, sf_dir)
+    root = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    for part, names in enumerate((AUTH_EVENTS.names, AUTH_EVENTS.names[::-1])):
+        rows.where(F.col("n") % 2 == part).select(*names).write.option("header", True).csv(f"{root}/part={part}")
+    return _ingest_counts(ingest_csv(spark, f"{root}/part=*/", bytes(range(32))))
+
+
+def ingest_jsonl_files(spark, sf_dir):
+    """JSON lines, some of them broken."""
+    rows = _raw_texts(spark, sf_dir)
+    root = f"{shared_folder(spark)}/ingest-{uuid4().hex}"
+    line = F.when(F.col("n") % 50 == 2, F.lit("{broken")).otherwise(F.to_json(F.struct(*AUTH_EVENTS.names)))
+    rows.select(line.alias("value")).write.text(root)
+    return _ingest_counts(ingest_jsonl(spark, root, bytes(range(32))))
+
+
 def join_integrity(spark, sf_dir):
     """Key comparison on deliberately incomplete sides, so that every counter has something to find."""
     anchors = auth_events(spark, sf_dir).select(F.col("event_id").alias("anchor_event_id"))
@@ -293,7 +339,8 @@ def detection_validation(spark, sf_dir):
 
 
 def feature_snapshot(spark, sf_dir):
-    return build_features(auth_events(spark, sf_dir), FEATURES, _baseline(spark, sf_dir))
+    whole = build_features(auth_events(spark, sf_dir), FEATURES, _baseline(spark, sf_dir))
+    return _rounded(whole.withColumn("anchor_event_us", micros_of(F.col("anchor_event_time"))).drop("anchor_event_time"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -305,6 +352,9 @@ def queries() -> dict[str, Query]:
     out: dict[str, Query] = {name: _features(cols) for name, cols in oracle.GROUPS.items()}
     for name, cols in oracle.SEQ_GROUPS.items():
         out[name] = _features(cols, with_baseline=name == "baseline_transform")
+    # the same measures with every entity taken for dense: the plan for hot keys against the same SQL
+    for name in oracle.DENSE_GROUPS:
+        out[f"{name}_dense"] = _features((oracle.GROUPS | oracle.SEQ_GROUPS)[name], config=ALL_DENSE)
     names = {r: "rule_" + r[4:-4].lower() + ("2" if r.endswith("002") else "") for r in rules.RULE_IDS}
     out.update({name: _rule(rule_id) for rule_id, name in names.items()})
     out.update({f.__name__: f for f in (
@@ -312,7 +362,7 @@ def queries() -> dict[str, Query]:
         split_manifest, split_scenarios, purge_check, campaign_isolation, rule_status_counts, detections,
         risk_scores, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
-        validate_events, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,
+        validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})
     out["split_assign"] = _assignments
     out["eval_confusion"] = lambda s, d: _overall(evaluate.confusion(_rows(s, d)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from authwatch.config import micros
 from authwatch.schema import DIMENSION_COLUMNS, ENTITY_KEYS, SCENARIOS, feature_catalog
 from driver_config import FEATURES, REFERENCE_END_US
@@ -332,6 +334,106 @@ SEQ_GROUPS = {
 }
 
 
+#: Columns of an event in the order of their names, as the digest takes them.
+_EVENT_COLUMNS = {
+    "application_id": "application_id", "authentication_method": "authentication_method", "authentication_outcome": "authentication_outcome",
+    "client_type": "client_type", "coarse_latitude": "coalesce(printf('%.9f', lat), 'null')", "coarse_longitude": "coalesce(printf('%.9f', lon), 'null')", "country_code": "country_code",
+    "device_id": "device_id", "event_id": "event_id", "event_time": "us",
+    "failure_reason": "CASE authentication_outcome WHEN 'failure' THEN 'invalid_credentials' WHEN 'blocked' THEN 'rate_limited' END",
+    "mfa_outcome": "mfa_outcome", "operating_system_family": "NULL::VARCHAR", "region_code": "NULL::VARCHAR", "response_time_ms": "response_time_ms",
+    "schema_version": "'1.0.0'", "session_id": "session_id", "source_id": "source_id", "user_agent_family": "user_agent_family", "user_id": "user_id",
+}
+_SLICES = [f"sum(('0x' || substr(h, {at}, 15))::UBIGINT::HUGEINT)::VARCHAR" for at in (1, 16, 31)]
+FINGERPRINT = f"""WITH {EV}, h AS (SELECT sha256(to_json(struct_pack({', '.join(f'{n} := {e}' for n, e in _EVENT_COLUMNS.items())}))::VARCHAR) AS h FROM ev)
+SELECT count(*) AS row_count, sha256(concat_ws('|', count(*)::VARCHAR, {', '.join(_SLICES)})) AS digest FROM h"""
+DENSE_GROUPS = [*GROUPS, *[n for n in SEQ_GROUPS if n != "baseline_transform"]]
+
+
+# Alerts: group number of _META -> (correlation group, scope dimension); windows in microseconds.
+_CORRELATION = {0: ("automation_timing", "source"), 1: ("credential_guessing_single_target", "user"), 2: ("location_movement", "user"),
+                3: ("session_anomaly", "user"), 4: ("source_fanout", "source")}
+_CATEGORY = {c: _CORRELATION[g] for c, _, g, _ in _META.values()}
+_GROUPING, _COOLDOWN, _LIMIT_WINDOW, _LIMIT = 900_000_000, 1_800_000_000, 3_600_000_000, 5
+_ALERT_SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "authwatch/detection/alert").hex
+
+
+def alert_steps(scoped: bool) -> str:
+    """``st``: each qualifying row in its turn, with what the state machine did (act), for which alert (owner: its first row)."""
+    kind = "CASE primary_attack_category {} END".format(" ".join(f"WHEN '{c}' THEN '{d}'" for c, (_, d) in _CATEGORY.items()))
+    kind, value = (kind, f"CASE {kind} WHEN 'user' THEN user_id ELSE source_id END") if scoped else ("'none'", "''")
+    risk = RISK.replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{risk}, rl AS (SELECT event_id, list_sort(list(rule_id)) AS rules FROM re WHERE status = 'fired' GROUP BY 1),
+qn AS (SELECT rk.event_id, rk.us, primary_attack_category AS cat, {kind} AS kind, {value} AS val, risk_score, rules,
+  CASE severity WHEN 'low' THEN 0 WHEN 'medium' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS rank,
+  row_number() OVER (PARTITION BY primary_attack_category, {kind}, {value} ORDER BY rk.us, rk.event_id) AS rn
+  FROM rk JOIN rl USING (event_id) JOIN ev USING (event_id) WHERE fired_rule_count > 0 AND risk_score >= 10),
+st AS (
+  SELECT DISTINCT cat, kind, val, 0::BIGINT AS rn, NULL::BIGINT AS a, NULL::BIGINT AS a_last, NULL::INT AS a_cur, NULL::DOUBLE AS a_peak,
+    NULL::BIGINT AS c, NULL::BIGINT AS c_last, NULL::INT AS c_cur, NULL::DOUBLE AS c_peak, NULL::BIGINT AS s_us, 0::INT AS s_n,
+    NULL::VARCHAR AS act, NULL::BIGINT AS owner, 0::INT AS steps FROM qn
+  UNION ALL
+  SELECT cat, kind, val, n, CASE WHEN act IN ('open', 'join') THEN coalesce(b, n) END, CASE WHEN act IN ('open', 'join') THEN us END,
+    CASE act WHEN 'open' THEN rank WHEN 'join' THEN greatest(a_cur, rank) END, CASE act WHEN 'open' THEN risk WHEN 'join' THEN greatest(a_peak, risk) END,
+    d, d_last, d_cur, d_peak, CASE WHEN act = 'open' AND fresh THEN us ELSE s_us END,
+    CASE WHEN act <> 'open' THEN s_n WHEN fresh THEN 1 ELSE s_n + 1 END, act,
+    CASE WHEN act IN ('open', 'join') THEN coalesce(b, n) ELSE d END,
+    CASE WHEN act = 'join' AND rank > a_cur OR act = 'open' AND rising THEN 1 ELSE 0 END
+  FROM (SELECT *, CASE WHEN b IS NOT NULL THEN 'join' WHEN cooling AND NOT rising THEN 'cooldown' WHEN NOT fresh AND s_n >= {_LIMIT} THEN 'rate_limit' ELSE 'open' END AS act
+    FROM (SELECT *, s_us IS NULL OR us - s_us > {_LIMIT_WINDOW} AS fresh, coalesce(b IS NULL AND us - d_last <= {_COOLDOWN}, false) AS cooling,
+        coalesce(b IS NULL AND us - d_last <= {_COOLDOWN} AND (rank > d_cur OR risk > d_peak), false) AS rising
+      FROM (SELECT st.cat, st.kind, st.val, q.rn AS n, q.us, q.rank, q.risk_score AS risk, a_cur, a_peak, s_us, s_n,
+          CASE WHEN q.us - a_last <= {_GROUPING} THEN a END AS b, CASE WHEN q.us - a_last > {_GROUPING} THEN a ELSE c END AS d,
+          CASE WHEN q.us - a_last > {_GROUPING} THEN a_last ELSE c_last END AS d_last, CASE WHEN q.us - a_last > {_GROUPING} THEN a_cur ELSE c_cur END AS d_cur,
+          CASE WHEN q.us - a_last > {_GROUPING} THEN a_peak ELSE c_peak END AS d_peak
+        FROM st JOIN qn q ON q.cat = st.cat AND q.kind = st.kind AND q.val = st.val AND q.rn = st.rn + 1)))
+)"""
+
+
+def alert_query(scoped: bool) -> str:
+    group = "CASE cat {} END".format(" ".join(f"WHEN '{c}' THEN '{g}'" for c, (g, _) in _CATEGORY.items()))
+    names = "CASE {} WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END"
+    return f"""{alert_steps(scoped)}, al AS (
+  SELECT cat, kind, val, owner, {group} AS grp, min(us) FILTER (WHERE act IN ('open', 'join')) AS first_us, max(us) FILTER (WHERE act IN ('open', 'join')) AS last_us,
+    count(*) FILTER (WHERE act IN ('open', 'join')) AS n, sum(round(risk_score * 10000)::BIGINT) FILTER (WHERE act IN ('open', 'join'))::BIGINT AS units,
+    max(risk_score) FILTER (WHERE act IN ('open', 'join')) AS peak, max(rank) FILTER (WHERE act = 'open') AS initial, max(rank) FILTER (WHERE act IN ('open', 'join')) AS cur,
+    sum(CASE WHEN act = 'join' THEN steps ELSE 0 END)::BIGINT AS esc, count(*) FILTER (WHERE act NOT IN ('open', 'join')) AS sup,
+    list_sort(list_distinct(flatten(list(rules) FILTER (WHERE act IN ('open', 'join'))))) AS rules
+  FROM st JOIN qn USING (cat, kind, val, rn) WHERE owner IS NOT NULL GROUP BY ALL),
+ids AS (SELECT *, sha1(unhex('{_ALERT_SPACE}') || encode(concat_ws('|', '1.0.0', cat, grp, kind, val, first_us::VARCHAR))) AS h FROM al)
+SELECT '1.0.0' AS detection_schema_version, cat AS attack_category, grp AS correlation_group, CASE kind WHEN 'none' THEN 'category_scoped' ELSE 'entity_scoped' END AS grouping_mode,
+  kind AS scope_kind, CASE WHEN kind <> 'none' THEN val END AS scope_value, first_us, last_us, n AS contributing_event_count, array_to_string(rules, ',') AS contributing_rule_ids,
+  least((units // n + CASE WHEN 2 * (units % n) > n OR 2 * (units % n) = n AND (units // n) % 2 = 1 THEN 1 ELSE 0 END)::DOUBLE / 10000, peak) AS aggregate_risk_score, peak AS peak_risk_score, {names.format('initial')} AS initial_severity,
+  {names.format('cur')} AS current_severity, esc AS escalation_count, sup AS suppressed_event_count,
+  substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INT % 4 + 1), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS alert_id
+FROM ids"""
+
+
+def alert_metrics_query() -> str:
+    return f"""{alert_steps(False)}{EVAL[len(RISK):]}, al AS (SELECT cat, owner, min(us) AS a, max(us) AS b FROM st JOIN qn USING (cat, kind, val, rn) WHERE act IN ('open', 'join') GROUP BY ALL),
+jd AS (SELECT al.cat, owner, count(*) AS n, count(*) FILTER (WHERE malicious) AS bad FROM al JOIN lb ON lb.primary_attack_category = al.cat AND lb.us BETWEEN a AND b GROUP BY ALL),
+cv AS (SELECT count(*) AS covered FROM lb WHERE malicious AND EXISTS (SELECT 1 FROM al WHERE al.cat = lb.primary_attack_category AND lb.us BETWEEN a AND b)),
+tt AS (SELECT count(*) AS events, count(*) FILTER (WHERE malicious AND fired_rule_count > 0) AS detectable, sum(fired_rule_count) AS fired FROM lb),
+ac AS (SELECT count(*) AS alerts, count(*) FILTER (WHERE 2 * bad > n) AS correct FROM jd)
+SELECT 'overall' AS part, events, alerts, detectable, round(correct::DOUBLE / alerts, 6) AS alert_precision, round(covered::DOUBLE / detectable, 6) AS alert_recall,
+  round(1000.0 * alerts / events, 6) AS alerts_per_thousand_events, round(fired::DOUBLE / alerts, 6) AS duplicate_reduction_ratio FROM tt, cv, ac"""
+
+
+def accounting_query() -> str:
+    return f"""{alert_steps(False)} SELECT (SELECT count(*) FROM qn) AS qualifying,
+  (SELECT count(*) FROM rk WHERE fired_rule_count > 0 AND risk_score < 10) AS below_score_floor, 0::BIGINT AS below_severity_floor,
+  count(*) FILTER (WHERE act = 'open') AS alert_count, count(*) FILTER (WHERE act IN ('open', 'join')) AS grouped, count(*) FILTER (WHERE act = 'cooldown') AS cooldown,
+  count(*) FILTER (WHERE act = 'rate_limit') AS rate_limit, sum(steps)::BIGINT AS escalated, 0::BIGINT AS entity_scoped FROM st WHERE act IS NOT NULL"""
+
+
+def ingest_counts(broken: str) -> str:
+    """Rows that pass, and rows refused by code and field; ``broken``: the condition of lines that are no records."""
+    return f"""WITH {EV}, x AS (SELECT *, CASE WHEN {broken} THEN 'I005' WHEN event_id::BIGINT % 50 = 1 THEN 'I003'
+  WHEN event_id::BIGINT % 50 = 0 OR mfa_outcome = 'bypassed' AND authentication_outcome NOT IN ('success', 'failure') THEN 'I002' ELSE 'accepted' END AS outcome FROM ev)
+SELECT outcome, CASE outcome WHEN 'I003' THEN 'user_id' WHEN 'I002' THEN CASE WHEN event_id::BIGINT % 50 = 0 THEN 'response_time_ms' ELSE 'mfa_outcome' END END AS field, count(*) AS n_rows,
+       CASE outcome WHEN 'accepted' THEN sum(response_time_ms)::BIGINT END AS total_ms, CASE outcome WHEN 'accepted' THEN count(DISTINCT user_id) END AS users
+FROM x GROUP BY outcome, field"""
+
+
 def oracles() -> dict[str, str]:
     out = {name: windowed(cols) for name, cols in GROUPS.items()}
     for name, cols in SEQ_GROUPS.items():
@@ -351,7 +453,7 @@ def oracles() -> dict[str, str]:
     reasons = ", ".join(f"count(*) FILTER (WHERE exclusion_reason = '{x}') AS {x}" for x in ("after_test_end", "campaign_crosses_split_boundary", "purged_after_boundary", "embargoed_before_boundary"))
     out["split_manifest"] = f"{SPLIT} SELECT split, count(*) AS events, count(*) FILTER (WHERE scenario != 'normal') AS malicious, count(*) FILTER (WHERE scenario = 'normal') AS benign, 0::BIGINT AS unlabelled, {reasons}, count(DISTINCT campaign_id) FILTER (WHERE scenario != 'normal') AS campaigns FROM sa GROUP BY 1"
     out["split_scenarios"] = f"{SPLIT} SELECT split, scenario, count(*) AS events FROM sa GROUP BY 1, 2"
-    out["purge_check"] = f"{SPLIT}, sv AS (SELECT us, split FROM sa WHERE split IN ('train', 'validation', 'test')), pv AS (SELECT a.split, EXISTS (SELECT 1 FROM sv b WHERE b.split != a.split AND b.us BETWEEN a.us - {micros('7d')} AND a.us) AS bad FROM sv a) SELECT split, count(*) AS events, count(*) FILTER (WHERE bad) AS violations FROM pv GROUP BY 1"
+    out["purge_check"] = f"{SPLIT}, sv AS (SELECT us, split FROM sa WHERE split IN ('train', 'validation', 'test')), pv AS (SELECT a.split, EXISTS (SELECT 1 FROM sv b WHERE b.split != a.split AND b.us >= a.us - {micros('7d')} AND b.us < a.us) AS bad FROM sv a) SELECT split, count(*) AS events, count(*) FILTER (WHERE bad) AS violations FROM pv GROUP BY 1"
     out["campaign_isolation"] = f"WITH {EV}, {TRUTH}, t AS (SELECT gt.campaign_id, count(DISTINCT CASE WHEN us // 864000000000 <= 1972 THEN 1 WHEN us // 864000000000 = 1973 THEN 2 ELSE 3 END) AS splits FROM ev JOIN gt USING (event_id) WHERE scenario != 'normal' GROUP BY 1) SELECT campaign_id, splits FROM t WHERE splits > 1"
     for rule_id in RULE:
         out["rule_" + rule_id[4:-4].lower() + ("2" if rule_id.endswith("002") else "")] = rule_query(rule_id)
@@ -374,6 +476,15 @@ def oracles() -> dict[str, str]:
     out["quality_ground_truth"] = f"WITH {TRUTH} SELECT scenario, count(*) AS events, count(*) FILTER (WHERE scenario != 'normal') AS malicious, count(*) FILTER (WHERE scenario != 'novel_anomaly_holdout') AS eligible FROM gt GROUP BY 1"
     out["top_countries"] = f"{ev} SELECT country_code AS value, count(*) AS events FROM ev WHERE country_code IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"
     out["validate_events"] = f"{ev}, v AS (SELECT count(*) FILTER (WHERE mfa_outcome = 'bypassed' AND authentication_outcome NOT IN ('success', 'failure')) AS v18, count(*) FILTER (WHERE NOT regexp_matches(session_id, '^sess:[0-9:]+$')) AS v19, count(*) FILTER (WHERE NOT (response_time_ms BETWEEN 0 AND 30000)) AS v16, (count(*) - count(DISTINCT event_id)) AS v6 FROM ev) SELECT 'V018' AS code, v18::BIGINT AS violations FROM v UNION ALL SELECT 'V019', v19::BIGINT FROM v UNION ALL SELECT 'V016', v16::BIGINT FROM v UNION ALL SELECT 'V006', v6::BIGINT FROM v"
+    out["ingest_csv_files"] = ingest_counts("false")
+    out["ingest_jsonl_files"] = ingest_counts("event_id::BIGINT % 50 = 2")
     out["join_integrity"] = f"{SPLIT} SELECT 0::BIGINT AS missing_from_features, count(*) FILTER (WHERE scenario = 'normal') AS missing_from_labels, count(*) FILTER (WHERE split = 'excluded') AS missing_from_splits, 0::BIGINT AS duplicated_in_features, 0::BIGINT AS duplicated_in_labels, 0::BIGINT AS duplicated_in_splits FROM sa"
     out["pseudonym_shape"] = f"{ev} SELECT count(DISTINCT user_id) AS users, count(DISTINCT source_id) AS sources, count(DISTINCT device_id) AS devices, count(DISTINCT session_id) AS sessions, 0::BIGINT AS malformed FROM ev"
+    out |= {f"{n}_dense": out[n] for n in DENSE_GROUPS}
+    parts = ["current_context", "calendar", *GROUPS, *SEQ_GROUPS]
+    out["feature_snapshot"] = f"WITH {EV} SELECT * FROM (SELECT '1.0.0' AS feature_schema_version, event_id AS anchor_event_id, us AS anchor_event_us FROM ev) " + " ".join(
+        f"JOIN ({out[n]}) q{i} USING (anchor_event_id)" for i, n in enumerate(parts))
+    out["eval_campaigns"] = f"WITH c AS ({out['eval_campaign_latency']}) SELECT count(*) AS campaigns, count(latency_seconds) AS detected, count(*) - count(latency_seconds) AS missed, round(count(latency_seconds)::DOUBLE / count(*), 6) AS coverage, round(min(latency_seconds), 6) AS latency_min, round(quantile_disc(latency_seconds, 0.5), 6) AS latency_median, round(avg(latency_seconds), 6) AS latency_mean, round(quantile_disc(latency_seconds, 0.9), 6) AS latency_p90, round(max(latency_seconds), 6) AS latency_max FROM c"
+    out["event_fingerprint"] = FINGERPRINT
+    out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query()}
     return out
