@@ -88,7 +88,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_ordinal_thresholds_share_weights(spark):
-    rows = [(i, "calm " + "bad " * (i % 3 > 0) + "awful " * (i % 3 > 1) + f"n{i}", i % 3) for i in range(150)] + [(500, "calm", None)]
+    rows = [(i, "calm " + "bad " * (i % 3 > 0) + "awful " * (i % 3 > 1) + f"n{i}", i % 3) for i in range(450)] + [(500, "calm", None)]
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, grade int"))
     assert len(model.cuts) == 2 and model.cuts[0] > model.cuts[1]
     got = spark.createDataFrame([(0, "calm"), (1, "calm bad"), (2, "calm bad awful")], "i bigint, text string").orderBy("i").select(
