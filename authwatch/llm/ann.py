@@ -108,6 +108,7 @@ def search(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], que
     """Rows of the ``k`` largest inner products found for each query, -1 where there are fewer."""
     n, q = len(vectors), len(queries)
     start = np.tile(layers[-1][0].astype(np.int64), (q, 1))
+    valid = np.ones(start.shape, bool)
     for depth in range(len(layers) - 1, -1, -1):
         members, table = layers[depth]
         place = np.full(n, _NONE)
@@ -116,10 +117,10 @@ def search(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], que
         seen = np.zeros((q, n), bool)
         rows = np.arange(q)[:, None]
         seen[rows, start] = True
-        best, score = start, np.einsum("qd,qbd->qb", queries, vectors[start])
+        best, score = start, np.where(valid, np.einsum("qd,qbd->qb", queries, vectors[start]), -np.inf)
         order = np.argsort(-score, 1, kind="stable")[:, :wide]
         best, score = np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1)
-        open_ = np.ones(best.shape, bool)
+        open_ = np.isfinite(score)
         live = np.arange(q)
         while len(live):
             first = open_[live].argmax(1)
@@ -145,8 +146,8 @@ def search(vectors: np.ndarray, layers: list[tuple[np.ndarray, np.ndarray]], que
             best[live, :order.shape[1]] = np.take_along_axis(all_ids, order, 1)
             score[live, :order.shape[1]] = np.take_along_axis(all_scores, order, 1)
             open_[live, :order.shape[1]] = np.take_along_axis(all_open, order, 1)
-        found = np.isfinite(score)
-        start = np.where(found, best, best[:, :1])
+        valid = np.isfinite(score)
+        start = np.where(valid, best, best[:, :1])
     best = np.where(np.isfinite(score), best, _NONE)[:, :k]
     return best
 
