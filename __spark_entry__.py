@@ -189,6 +189,19 @@ def risk_scores(spark, sf_dir):
         "insufficient_data_count"), 4)
 
 
+def snapshot_input(spark, sf_dir):
+    """Findings on a snapshot with planted faults: repeated anchors, a wrong version, a value that isn't finite, a foreign column."""
+    config = replace(DETECTION, enabled_rule_ids=("PAD-BF-001",))
+    good = build_features(auth_events(spark, sf_dir), FEATURES, None,
+                          ["feature_schema_version", *rules.required_columns(config)])
+    double = next(c for c in rules.required_columns(config) if c in _DOUBLES)
+    n = F.col("anchor_event_id").cast("long") % 100
+    bad = good.unionByName(good.where(n == 0)).withColumns({
+        "feature_schema_version": F.when(n == 1, "0.9.0").otherwise(F.col("feature_schema_version")),
+        double: F.when(n == 2, float("nan")).otherwise(F.col(double)), "y_true": F.lit(1)})
+    return rules.snapshot_findings(bad, config).select("problem", "violations")
+
+
 def severity_distribution(spark, sf_dir):
     return scoring.scoring_stats(_risk(spark, sf_dir))
 
@@ -360,7 +373,7 @@ def queries() -> dict[str, Query]:
     out.update({f.__name__: f for f in (
         calendar, current_context, baseline_user, baseline_source, baseline_known_sets, baseline_interarrival,
         split_manifest, split_scenarios, purge_check, campaign_isolation, rule_status_counts, detections,
-        risk_scores, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
+        risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
         validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuthwatchError, DetectionConfig, SignalConfig
 from ..functions.scalar import uuid5
-from ..schema import EVIDENCE, NOVELTY_FEATURES, RULE_DETECTIONS, SCHEMA_VERSION, SEVERITIES
+from ..schema import EVIDENCE, NOVELTY_FEATURES, PROHIBITED_FEATURE_COLUMNS, RULE_DETECTIONS, SCHEMA_VERSION, SEVERITIES
 
 RULE_VERSION = "1.0.0"
 EVIDENCE_ARRAY = f"array<{EVIDENCE.simpleString()}>"
@@ -572,6 +572,51 @@ def rule_sql(rule: Rule, config: DetectionConfig) -> str:
     return f"CASE {' '.join(steps)} ELSE {fired} END"
 
 
+# Further columns that no detection input may carry.
+FOREIGN_COLUMNS = ("campaign", "ground_truth", "model_prediction", "model_score", "prediction", "predicted_label",
+                   "scenario_type", "y_pred", "y_true")
+_FINDING = "problem string, subject string, violations bigint"
+
+
+def snapshot_findings(snapshot: DataFrame, config: DetectionConfig | None = None,
+                      version: str = SCHEMA_VERSION) -> DataFrame:
+    """What makes a snapshot unfit as rule input: (problem, subject, violations), only rows above zero.
+
+    Names and types are read off the schema. The values take one aggregate over the table, for the columns that the
+    enabled rules read, and one count by anchor.
+    """
+    spark, types = snapshot.sparkSession, dict(snapshot.dtypes)
+    banned = {*FOREIGN_COLUMNS, *PROHIBITED_FEATURE_COLUMNS} & set(types)
+    keys = ("feature_schema_version", "anchor_event_id", "anchor_event_time")
+    needed = [*keys, *required_columns(config or DetectionConfig())]
+    fixed = [("prohibited_column", c, 1) for c in sorted(banned)]
+    fixed += [("missing_column", c, 1) for c in sorted(set(needed) - set(types))]
+    if types.get("anchor_event_time", "timestamp") != "timestamp":
+        fixed.append(("time_without_zone", "anchor_event_time", 1))
+    rules = {("wrong_version", keys[0]): f"NOT ({keys[0]} <=> '{version}')",
+             ("empty_anchor", keys[1]): f"coalesce(trim({keys[1]}), '') = ''", ("empty_time", keys[2]): f"{keys[2]} IS NULL"}
+    rules |= {("not_finite", c): f"isnan({c}) OR abs({c}) = double('inf')" for c in sorted(set(needed))
+              if types.get(c) in ("double", "float")}
+    rules = {k: e for k, e in rules.items() if k[1] in types}
+    found = spark.createDataFrame(fixed, _FINDING)
+    if rules:
+        totals = snapshot.agg(*[F.count_if(F.expr(e)).alias(f"n{i}") for i, e in enumerate(rules.values())])
+        pairs = ", ".join(f"'{a}', '{b}', n{i}" for i, (a, b) in enumerate(rules))
+        found = found.unionByName(totals.selectExpr(f"stack({len(rules)}, {pairs}) AS (problem, subject, violations)"))
+    if keys[1] in types:
+        again = snapshot.groupBy(keys[1]).agg((F.count("*") - 1).alias("n")).agg(F.sum("n").alias("violations"))
+        found = found.unionByName(again.selectExpr("'repeated_anchor' AS problem", f"'{keys[1]}' AS subject", "violations"))
+    return found.where("violations > 0")
+
+
+def require_valid_snapshot(snapshot: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
+    """The snapshot itself, or an error that names problems and counts, never values."""
+    found = snapshot_findings(snapshot, config).orderBy("problem", "subject").collect()
+    if found:
+        raise AuthwatchError("unfit snapshot: " + "; ".join(f"{r.problem} {r.subject} ({r.violations})" for r in found))
+    return snapshot
+
+
 def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """(anchor_event_id, anchor_event_time, results array) with every enabled rule's verdict."""
     config = config or DetectionConfig()

@@ -478,6 +478,9 @@ def oracles() -> dict[str, str]:
     out["validate_events"] = f"{ev}, v AS (SELECT count(*) FILTER (WHERE mfa_outcome = 'bypassed' AND authentication_outcome NOT IN ('success', 'failure')) AS v18, count(*) FILTER (WHERE NOT regexp_matches(session_id, '^sess:[0-9:]+$')) AS v19, count(*) FILTER (WHERE NOT (response_time_ms BETWEEN 0 AND 30000)) AS v16, (count(*) - count(DISTINCT event_id)) AS v6 FROM ev) SELECT 'V018' AS code, v18::BIGINT AS violations FROM v UNION ALL SELECT 'V019', v19::BIGINT FROM v UNION ALL SELECT 'V016', v16::BIGINT FROM v UNION ALL SELECT 'V006', v6::BIGINT FROM v"
     out["ingest_csv_files"] = ingest_counts("false")
     out["ingest_jsonl_files"] = ingest_counts("event_id::BIGINT % 50 = 2")
+    out["snapshot_input"] = f"""WITH {EV}, n AS (SELECT event_id::BIGINT % 100 AS n FROM ev)
+SELECT 'prohibited_column' AS problem, 1::BIGINT AS violations UNION ALL SELECT 'repeated_anchor', count(*) FROM n WHERE n = 0
+UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT 'not_finite', count(*) FROM n WHERE n = 2"""
     out["join_integrity"] = f"{SPLIT} SELECT 0::BIGINT AS missing_from_features, count(*) FILTER (WHERE scenario = 'normal') AS missing_from_labels, count(*) FILTER (WHERE split = 'excluded') AS missing_from_splits, 0::BIGINT AS duplicated_in_features, 0::BIGINT AS duplicated_in_labels, 0::BIGINT AS duplicated_in_splits FROM sa"
     out["pseudonym_shape"] = f"{ev} SELECT count(DISTINCT user_id) AS users, count(DISTINCT source_id) AS sources, count(DISTINCT device_id) AS devices, count(DISTINCT session_id) AS sessions, 0::BIGINT AS malformed FROM ev"
     out |= {f"{n}_dense": out[n] for n in DENSE_GROUPS}

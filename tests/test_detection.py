@@ -1,13 +1,16 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from authwatch.config import AlertConfig, AuthwatchError, DetectionConfig, FeatureConfig
+from authwatch.plans import rules
 from authwatch.plans.alerts import AlertRun
+from authwatch.plans.features import build_features
 from authwatch.plans.rules import detections, evaluate_rules
 from authwatch.plans.scoring import results_from_detections, score_results
 from authwatch.schema import RISK_ASSESSMENTS, SEVERITIES, feature_catalog, feature_schema
-from tests.streams import START
+from tests.streams import START, frame, parse
 
 # Snapshot values that make exactly the named rule reach its verdict at default thresholds.
 FIRING = {
@@ -188,3 +191,15 @@ def test_alerts_equal_the_event_by_event_fold(spark, seed):
     assert (totals.cooldown, totals.rate_limit) == (refused["cooldown"], refused["rate_limit"])
     assert totals.qualifying == totals.grouped + totals.cooldown + totals.rate_limit == 400
     assert run.alerts.count() == len(want)
+
+
+def test_unfit_snapshots_are_refused(spark):
+    config = DetectionConfig(enabled_rule_ids=("PAD-GEO-001",))
+    columns = ["feature_schema_version", "anchor_event_id", "anchor_event_time", *rules.required_columns(config)]
+    whole = build_features(frame(spark, parse("0 u1 s1 failure\n5 u1 s1 success")), FeatureConfig()).select(columns)
+    assert rules.require_valid_snapshot(whole, config).count() == 2
+    found = {(r.problem, r.subject): r.violations for r in rules.snapshot_findings(
+        whole.unionByName(whole).withColumn("anchor_event_id", F.lit(" ")).withColumn("split", F.lit("train")).drop(columns[-1]), config).collect()}
+    assert found == {("prohibited_column", "split"): 1, ("missing_column", columns[-1]): 1, ("empty_anchor", "anchor_event_id"): 4, ("repeated_anchor", "anchor_event_id"): 3}
+    with pytest.raises(AuthwatchError, match="time_without_zone"):
+        rules.require_valid_snapshot(whole.withColumn("anchor_event_time", F.col("anchor_event_time").cast("timestamp_ntz")), config)
