@@ -48,7 +48,7 @@ def ordered(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def require_not_null(df: DataFrame, schema: T.StructType) -> None:
-    """Parquet columns are written nullable, so declared non-null ones are checked first."""
+    """Parquet columns are written nullable, so declared non-null ones are checked in what was stored."""
     names = [f.name for f in schema.fields if not f.nullable]
     row = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names]).first()
     bad = [n for n in names if row[n]]
@@ -89,11 +89,12 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], extra:
         schema = TABLES.get(name)
         if schema is not None:
             df = ordered(df, schema)
-            require_not_null(df, schema)
         path = f"{root}/{run}/{name}"
         to_storage(df).write.mode("errorifexists").parquet(path)
         # Counts and digests describe what was stored, so they are taken from there.
         stored = spark.read.parquet(path)
+        if schema is not None:
+            require_not_null(read_table(spark, path, name), schema)
         digest = fingerprint(stored).first()
         entries[name] = {"path": f"{run}/{name}", "rows": digest.row_count, "digest": digest.digest,
                          "columns": stored.columns}
