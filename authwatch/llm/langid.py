@@ -125,8 +125,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         return pa.array(out, pa.binary())
 
     T.bounded_batches(docs.sparkSession)
-    rows = thin(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")),
-                "lang", F.col("key"), per_language)
+    rows, _ = thin(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")),
+                   "lang", F.col("key"), per_language)
     rows = rows.where("text IS NOT NULL").select("lang", vectors("text").alias("v")).toPandas()
     if not len(rows):
         return None

@@ -78,9 +78,9 @@ def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
-    sampled = toxicity.thin(labels.where(fold_of(F.col("doc_id"), 3) != 1), "grade", F.col("doc_id"), 1500)
+    sampled, totals = toxicity.thin(labels.where(fold_of(F.col("doc_id"), 3) != 1), "grade", F.col("doc_id"), 1500)
     # at most about 1,500 ids of each grade
-    model = toxicity.fit(docs.join(F.broadcast(sampled), "doc_id"), levels=3)
+    model = toxicity.fit(docs.join(F.broadcast(sampled), "doc_id"), levels=3, totals=totals)
     scored = docs.select("doc_id", held_out(3, 1).alias("held_out"), toxicity.score(F.col("text"), model).alias("s"))
     return scored.select("doc_id", "held_out", "s.severity", "s.score", "s.grade", (F.col("s.score") >= 0.5).alias("toxic"))
 

@@ -49,11 +49,13 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(eta[:, None] + self.cuts[None, :], -500, 500)))
 
 
-def _fit(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Penalised maximum likelihood of the cumulative-link model by Adam; cuts fall by positive gaps."""
+def _fit(x: np.ndarray, grade: np.ndarray, weight: np.ndarray, levels: int, penalty: float,
+         steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Penalised weighted maximum likelihood of the cumulative-link model by Adam; cuts fall by positive gaps."""
     n, d = x.shape
-    w, first, gaps = np.zeros(d), 0.0, np.zeros(max(0, levels - 2))
-    counts = np.array([(grade > k).mean() for k in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
+    weight = weight / weight.sum()
+    w = np.zeros(d)
+    counts = np.array([weight[grade > k].sum() for k in range(levels - 1)]).clip(1e-3, 1 - 1e-3)
     logit = np.log(counts / (1 - counts))
     first = logit[0]
     gaps = np.log(np.maximum(-np.diff(logit), 0.1))
@@ -70,8 +72,9 @@ def _fit(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float, steps: i
         like = np.maximum(upper[rows, grade] - lower[rows, grade], 1e-12)
         slope = s * (1 - s)
         d_cut = (np.where(target == ks + 1, slope, 0) - np.where(target == ks, slope, 0)) / like[:, None]
-        g_cut = d_cut.mean(0)
-        g = np.concatenate([x.T @ d_cut.sum(1) / n - penalty * p[:d], [g_cut.sum()],
+        d_cut = d_cut * weight[:, None]
+        g_cut = d_cut.sum(0)
+        g = np.concatenate([x.T @ d_cut.sum(1) - penalty * p[:d], [g_cut.sum()],
                             [-np.exp(p[d + 1 + k]) * g_cut[k + 1:].sum() for k in range(levels - 2)]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         p = p + 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
@@ -79,53 +82,78 @@ def _fit(x: np.ndarray, grade: np.ndarray, levels: int, penalty: float, steps: i
 
 
 def fit(rows: DataFrame, text: str = "text", grade: str = "grade", key: str = "doc_id", per_grade: int = 1500,
-        max_words: int = 2000, least: int = 3, penalty: float = 3e-5, steps: int = 400,
-        levels: int | None = None) -> OrdinalModel | None:
+        max_words: int = 2000, least: float = 3, share: float = 0.08, deviation: float = 6.0, penalty: float = 1e-5, steps: int = 500,
+        levels: int | None = None, totals: dict[int, int] | None = None) -> OrdinalModel | None:
     """Fit on about ``per_grade`` rows of each grade 0, 1, 2, ...; null grades take no part.
 
-    The ``max_words`` words that tell grade 0 from the rest best, in ``least`` rows or more, get weights. With two
-    grades and ``levels`` above 2, the higher grade is split into ``levels - 1`` bands of equal size by the share of a
-    row's words that speak for it, so that severity follows how much of a text is toxic. None if only one grade occurs.
+    Rows count in proportion to how many rows of their grade there are in all (``totals``, counted by default), and
+    near copies share the weight of one text: a row's weight falls with the number of rows that agree with it in one
+    of four minimum hashes of word shingles. The ``max_words`` words that tell grade 0 from the rest best, by ``deviation``
+    standard errors or more, get weights, if rows of weight ``least`` and a ``share`` of the side they speak for have them. With two grades and ``levels`` above 2,
+    the higher grade is split into ``levels - 1`` bands by the share of a row's words that speak for it, so that
+    severity follows how much of a text is toxic. None if only one grade occurs.
     """
-    @F.arrow_udf("binary")
+    @F.arrow_udf("struct<words:binary,marks:binary>")
     def word_sets(column: pa.Array) -> pa.Array:
-        out = []
+        words, marks = [], []
         for _, _, data, offsets in T.slices(column):
-            h, r = _distinct_words(T.words(data, offsets), len(offsets) - 1)
-            out += [x.tobytes() for x in np.split(h, np.searchsorted(r, np.arange(1, len(offsets) - 1)))]
-        return pa.array(out, pa.binary())
+            n = len(offsets) - 1
+            w = T.words(data, offsets)
+            h, r = _distinct_words(w, n)
+            words += [x.tobytes() for x in np.split(h, np.searchsorted(r, np.arange(1, n)))]
+            row, shingle, _ = T.shingles(w.hashed, w.first, 5)
+            low = np.full((n, 4), np.uint64(2**64 - 1))
+            for k in range(4):
+                np.minimum.at(low[:, k], row, T.mix(shingle + np.uint64(k + 1)))
+            marks += [x.tobytes() for x in low]
+        return pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(marks, pa.binary())], ["words", "marks"])
 
     T.bounded_batches(rows.sparkSession)
-    sample = thin(rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(grade).alias("grade")),
-                  "grade", F.col("key"), per_grade)
-    got = sample.select("grade", word_sets("text").alias("w")).collect()
+    sample, counts = thin(rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(grade).alias("grade")),
+                          "grade", F.col("key"), per_grade)
+    got = sample.select("grade", word_sets("text").alias("w")).select("grade", "w.*").collect()
     grades = np.array([r[0] for r in got], int)
     if len(np.unique(grades)) < 2:
         return None
     sets = [np.frombuffer(r[1], np.uint64) for r in got]
+    marks = np.array([np.frombuffer(r[2], np.uint64) for r in got])
+    copies = np.ones(len(got))
+    for k in range(4):
+        _, at, many = np.unique(marks[:, k], return_inverse=True, return_counts=True)
+        copies = np.maximum(copies, many[at])
+    single = 1 / copies
+    totals = totals or counts
+    each = {g: totals.get(g, 0) / (grades == g).sum() for g in np.unique(grades)}
+    weight = single * np.array([each[g] for g in grades])
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     words, at = np.unique(np.concatenate(sets), return_inverse=True)
     high = grades > 0
-    in_high = np.bincount(at[high[row]], minlength=len(words))
-    in_low = np.bincount(at[~high[row]], minlength=len(words))
-    a, b = (in_high + 0.5) / (high.sum() + 1), (in_low + 0.5) / ((~high).sum() + 1)
+    of_high, of_low = single[high].sum(), single[~high].sum()
+    in_high = np.bincount(at, (single * high)[row], minlength=len(words))
+    in_low = np.bincount(at, (single * ~high)[row], minlength=len(words))
+    a, b = (in_high + 0.5) / (of_high + 1), (in_low + 0.5) / (of_low + 1)
     odds = np.log(a / (1 - a)) - np.log(b / (1 - b))
-    deviation = np.abs(odds) / np.sqrt(1 / (in_high + 0.5) + 1 / (in_low + 0.5))
-    deviation[in_high + in_low < least] = 0
-    chosen = np.sort(np.argsort(-deviation, kind="stable")[:max_words])
-    chosen = chosen[deviation[chosen] > 3.3]
+    pooled = (in_high + in_low) / (of_high + of_low)
+    error = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / of_high + 1 / of_low))
+    surprise = np.abs(in_high / of_high - in_low / of_low) / error
+    speaks_for = np.where(in_high / of_high > in_low / of_low, in_high, in_low)
+    side = np.where(in_high / of_high > in_low / of_low, of_high, of_low)
+    surprise[(speaks_for < least) | (speaks_for < share * side)] = 0
+    chosen = np.sort(np.argsort(-surprise, kind="stable")[:max_words])
+    chosen = chosen[surprise[chosen] > deviation]
     if levels is not None and levels > 2 and grades.max() == 1:
         speaks = np.zeros(len(words), bool)
         speaks[chosen[odds[chosen] > 0]] = True
-        share = np.bincount(row, speaks[at], minlength=len(sets)) / np.maximum(1, np.bincount(row, minlength=len(sets)))
-        bands = np.quantile(share[high], np.arange(1, levels - 1) / (levels - 1))
-        grades = np.where(high, 1 + np.searchsorted(bands, share), 0)
+        part = np.bincount(row, speaks[at], minlength=len(sets)) / np.maximum(1, np.bincount(row, minlength=len(sets)))
+        positive = part[high & (part > 0)]
+        bands = np.quantile(positive, np.arange(1, levels - 1) / (levels - 1)) if len(positive) else np.zeros(0)
+        grades = np.where(high, 1 + np.searchsorted(bands, part), 0)
     x = np.zeros((len(sets), len(chosen)))
     place = np.full(len(words), -1)
     place[chosen] = np.arange(len(chosen))
     own = place[at] >= 0
     x[row[own], place[at[own]]] = 1
-    weights, cuts = _fit(x, grades, int(grades.max()) + 1, penalty, steps)
+    weights, cuts = _fit(x, grades, weight, int(grades.max()) + 1, penalty, steps)
     return OrdinalModel(words[chosen], weights, cuts)
 
 
