@@ -22,6 +22,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_stored: list[str] = []
+
+
+def stored_so_far() -> int:
+    """A mark for ``discard``."""
+    return len(_stored)
+
+
+def discard(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete what ``cut_lineage`` stored since the mark, but for the last ``keep`` tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _stored[mark:len(_stored) - keep]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
+    del _stored[mark:len(_stored) - keep]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store an intermediate result as a table in the shared folder and read it back.
 
@@ -29,6 +46,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/authwatch-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
