@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from authwatch.llm import text as T
 from authwatch.llm.columns import free_name
 from authwatch.llm.graph import components
-from authwatch.runtime import cut_lineage
+from authwatch.runtime import cut_lineage, discard, stored_so_far
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
     marks = cut_lineage(docs.select("doc_id", signatures(F.col("text"), size, bands, rows, weighted).alias("s")).select(
         "doc_id", "s.*"))
+    begun = stored_so_far()
     equal = marks.where("n > 0").groupBy("same", "n").agg(F.min("doc_id").alias("node"))
     member = marks.select("doc_id", "n", "same").join(equal, ["same", "n"], "left").select(
         "doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
@@ -249,6 +250,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     joined = linked.select("a", "b").unionByName(member.where("doc_id <> node").select(
         F.col("doc_id").alias("a"), F.col("node").alias("b")))
     part = components(joined)
+    discard(docs.sparkSession, begun, keep=1)  # all but the components
     return member.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
 

@@ -27,11 +27,12 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from authwatch.llm import text as T
-from authwatch.llm.columns import free_name
 
 GRAM = 16
 BLOCK_BYTES = 4 << 20
@@ -406,7 +407,7 @@ def _answer_runs(length: int) -> Callable:
 
 def _finish(length: int, buckets: int) -> Callable:
     def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "no_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+        columns = ["doc_id", "no_id", "carried", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
         if not len(rows):
             return pd.DataFrame(columns=columns)
         block = Block(rows, length)
@@ -433,10 +434,10 @@ def _finish(length: int, buckets: int) -> Callable:
         edge = gone & ~np.append(False, gone[:-1])
         edge[block.offsets[:-1][block.offsets[:-1] < len(gone)]] |= gone[block.offsets[:-1][block.offsets[:-1] < len(gone)]]
         out = {c: [] for c in columns}
-        for i, (doc_id, no_id) in enumerate(zip(block.rows["doc_id"], block.rows["no_id"])):
+        for i, own in enumerate(zip(block.rows["doc_id"], block.rows["no_id"], block.rows["carried"])):
             a, b = block.offsets[i], block.offsets[i + 1]
             kept = block.data[a:b][~gone[a:b]].tobytes()
-            for c, v in zip(columns, (doc_id, no_id, b - a, b - a - len(kept), int(edge[a:b].sum()),
+            for c, v in zip(columns, (*own, b - a, b - a - len(kept), int(edge[a:b].sum()),
                                       hashlib.sha256(kept).hexdigest(), kept)):
                 out[c].append(v)
         return pd.DataFrame(out)
@@ -446,8 +447,9 @@ def _finish(length: int, buckets: int) -> Callable:
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50,
                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
-                   split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``.
+                   split_above: int = SPLIT_ABOVE, carry: Column | None = None) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``; and ``carried``, the
+    value of the text column ``carry`` where one is given.
 
     Removed are the UTF-8 bytes covered by a string of ``length`` bytes that also starts in a row with a smaller id.
     ``kept`` is what remains, as binary. Null texts are empty. Rows with the same id do not act on each other, and a
@@ -458,7 +460,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     T.bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(_LAST))).alias("doc_id"),
-                       F.col(key).isNull().alias("no_id"), F.col(text).alias("text"))
+                       F.col(key).isNull().alias("no_id"), F.col(text).alias("text"),
+                       (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, math.ceil(total / block_bytes))
@@ -475,29 +478,39 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     answers = verdicts.unionByName(bits, allowMissingColumns=True)
     out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _finish(length, buckets),
-        "doc_id bigint, no_id boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+        "doc_id bigint, no_id boolean, carried string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
+    return out.drop("carried") if carry is None else out
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """All columns, with the repeats taken out of the text (and out of ``n_chars``, where there is such a column).
 
-    A character that lost some of its bytes goes as a whole. Texts without repeats stay as they are, so do null
-    texts and rows whose id is null or stands on several rows.
+    A character that lost some of its bytes goes as a whole. Texts without repeats stay as they are, also null ones. The
+    other columns travel with the text as JSON, so that no second exchange of texts joins them again.
     """
-    found = repeated_bytes(docs.where(F.col(key).isNotNull()), key, text, **options).where("n_removed > 0")
-    found = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.first("kept").alias("kept")).where("rows = 1")
-    many = docs.groupBy(key).agg(F.count("*").alias("rows")).where("rows > 1").select(F.col(key).alias("doc_id"))
-    found = found.join(many, "doc_id", "left_anti")
-    old, new = free_name(docs, "old_id"), free_name(docs, "kept_text")
-
-    @F.udf("string")
-    def valid(raw):
-        return None if raw is None else bytes(raw).decode(errors="ignore")
-
-    found = found.select(F.col("doc_id").alias(old), valid("kept").alias(new))
-    out = docs.join(found, F.col(key) == F.col(old), "left").withColumn(text, F.coalesce(new, text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(new).isNull(), F.col("n_chars")).otherwise(
-            F.length(text).cast(docs.schema["n_chars"].dataType)))
-    return out.drop(old, new)
+    others = [c for c in docs.columns if c not in (key, text)]
+    row = F.to_json(F.struct(F.col(text).isNull().alias("n"), F.struct(*others).alias("c") if others else F.lit(0).alias("c")))
+    found = repeated_bytes(docs, key, text, carry=row, **options)
+    kind = T_.StructType([T_.StructField("n", T_.BooleanType()), T_.StructField("c", docs.select(*others).schema if others else T_.IntegerType())])
+
+    @F.arrow_udf("string")
+    def valid(raw: pa.Array) -> pa.Array:
+        return pa.array([(x or b"").decode(errors="ignore") for x in raw.to_pylist()], pa.string())
+
+    found = found.withColumn("carried", F.from_json("carried", kind)).withColumn(
+        "kept", F.when(~F.col("carried.n"), valid("kept")))
+    out = found.select(
+        F.col("doc_id").cast(docs.schema[key].dataType).alias("doc_id"), "n_removed", "kept", "carried")
+    columns = []
+    for c in docs.columns:
+        if c == key:
+            column = F.col("doc_id")
+        elif c == text:
+            column = F.col("kept")
+        elif c == "n_chars":
+            column = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("carried.c")[c])
+        else:
+            column = F.col("carried.c")[c]
+        columns.append(column.alias(c))
+    return out.select(*columns)
