@@ -341,7 +341,7 @@ def detection_quality(spark, sf_dir):
     results = cut_lineage(_results(spark, sf_dir))
     risk = cut_lineage(scoring.score_results(results, DETECTION))
     run = AlertRun(risk, None, DETECTION)
-    return quality.detection_report(rules.detections(results, DETECTION), risk, run.alerts, run.suppressed)
+    return _rounded(quality.detection_report(rules.detections(results, DETECTION), risk, run.alerts, run.suppressed))
 
 
 def detection_validation(spark, sf_dir):

@@ -418,6 +418,28 @@ SELECT 'overall' AS part, events, alerts, detectable, round(correct::DOUBLE / al
   round(1000.0 * alerts / events, 6) AS alerts_per_thousand_events, round(fired::DOUBLE / alerts, 6) AS duplicate_reduction_ratio FROM tt, cv, ac"""
 
 
+_FAMILY = {"PAD-BF-001": "brute_force", "PAD-BF-002": "brute_force", "PAD-DBF-001": "brute_force", "PAD-PS-001": "spraying", "PAD-CS-001": "stuffing",
+           "PAD-ATO-001": "account_compromise", "PAD-MFA-001": "account_compromise", "PAD-GEO-001": "location", "PAD-BOT-001": "automation"}
+
+
+def detection_report_query() -> str:
+    family = "CASE rule_id {} END".format(" ".join(f"WHEN '{r}' THEN '{f}'" for r, f in _FAMILY.items()))
+    severity = "CASE sev WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' ELSE 'critical' END"
+    dims = {"rule_id": "rule_id", "rule_family": family, "attack_category": "category", "severity": severity}
+    parts = [f"SELECT 'detections_by_{d}' AS section, {e} AS name, count(*)::DOUBLE AS value FROM fd GROUP BY 2" for d, e in dims.items()]
+    parts.append("SELECT 'assessments_by_severity', severity, count(*)::DOUBLE FROM rk GROUP BY 2")
+    for section, table, column in (("risk_score", "(SELECT * FROM rk WHERE fired_rule_count > 0)", "risk_score"), ("signal_strength", "fd", "s"),
+                                   ("alert_peak_risk", "al", "peak"), ("alert_size", "al", "n")):
+        for name, e in (("count", "count({})"), ("min", "min({})"), ("median", "quantile_disc({}, 0.5)"), ("mean", "avg({})"),
+                        ("p90", "quantile_disc({}, 0.9)"), ("max", "max({})")):
+            parts.append(f"SELECT '{section}', '{name}', round(({e.format(column)})::DOUBLE, 6) FROM {table}")
+    parts.append("SELECT 'suppressed', act, count(*)::DOUBLE FROM st WHERE act IN ('cooldown', 'rate_limit') GROUP BY 2")
+    parts.append("SELECT 'suppressed', 'below_score_floor', count(*)::DOUBLE FROM rk WHERE fired_rule_count > 0 AND risk_score < 10 HAVING count(*) > 0")
+    return f"""{alert_steps(False)}, fd AS (SELECT * FROM re WHERE status = 'fired'),
+al AS (SELECT max(risk_score) AS peak, count(*) AS n FROM st JOIN qn USING (cat, kind, val, rn) WHERE act IN ('open', 'join') GROUP BY cat, kind, val, owner)
+""" + " UNION ALL ".join(parts)
+
+
 def accounting_query() -> str:
     return f"""{alert_steps(False)} SELECT (SELECT count(*) FROM qn) AS qualifying,
   (SELECT count(*) FROM rk WHERE fired_rule_count > 0 AND risk_score < 10) AS below_score_floor, 0::BIGINT AS below_severity_floor,
@@ -489,5 +511,6 @@ UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT '
         f"JOIN ({out[n]}) q{i} USING (anchor_event_id)" for i, n in enumerate(parts))
     out["eval_campaigns"] = f"WITH c AS ({out['eval_campaign_latency']}) SELECT count(*) AS campaigns, count(latency_seconds) AS detected, count(*) - count(latency_seconds) AS missed, round(count(latency_seconds)::DOUBLE / count(*), 6) AS coverage, round(min(latency_seconds), 6) AS latency_min, round(quantile_disc(latency_seconds, 0.5), 6) AS latency_median, round(avg(latency_seconds), 6) AS latency_mean, round(quantile_disc(latency_seconds, 0.9), 6) AS latency_p90, round(max(latency_seconds), 6) AS latency_max FROM c"
     out["event_fingerprint"] = FINGERPRINT
-    out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query()}
+    out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query(),
+            "detection_quality": detection_report_query()}
     return out
