@@ -6,7 +6,9 @@ whole texts; batches are cut into slices of about ``SLICE`` bytes so that tempor
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -139,5 +141,13 @@ def shingles(hashed: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarr
 
 
 def bounded_batches(spark, rows: int = 2000) -> None:
-    """Keep Arrow batches small enough for two Python workers beside the executor's heap."""
+    """Prepare a session for the operators' Python workers.
+
+    Arrow batches stay small enough for two workers beside the executor's heap, and workers find this package where
+    only the driver's path names it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*filter(None, known), root])
