@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import uuid
 
-from authwatch.config import micros
-from authwatch.schema import DIMENSION_COLUMNS, ENTITY_KEYS, SCENARIOS, feature_catalog
+from authwatch.schema import feature_catalog
 from driver_config import FEATURES, REFERENCE_END_US
 
+# Fixed values, written here once more so that an error in the package cannot pass on both sides.
+ENTITY_KEYS = {"user": ("user_id",), "source": ("source_id",), "pair": ("user_id", "source_id"), "user_device": ("user_id", "device_id"),
+               "session": ("session_id",), "device": ("device_id",)}
+DIMENSION_COLUMNS = {
+    "unique_source_count": "source_id", "unique_device_count": "device_id", "unique_country_count": "country_code",
+    "unique_application_count": "application_id", "unique_auth_method_count": "authentication_method", "unique_user_count": "user_id",
+    "unique_user_agent_count": "user_agent_family", "user_count": "user_id",
+}
+SCENARIOS = ("normal", "brute_force", "password_spraying", "credential_stuffing", "distributed_brute_force", "account_takeover_indicator",
+             "impossible_travel", "bot_activity", "novel_anomaly_holdout")
+
+
+def micros(label: str) -> int:
+    return int(label[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86_400}[label[-1]] * 1_000_000
+
+
 EV = """raw AS (
   SELECT *, regexp_extract(props, '([0-9]+)', 1)::INT AS k, epoch_us(ts::TIMESTAMP) AS us FROM events
 ), ev AS (
