@@ -49,7 +49,8 @@ def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, ro
     todo = total > 0
     for _ in range(40):
         own = np.flatnonzero(todo[row])
-        for at in np.array_split(own, max(1, len(own) // 200_000)):  # keeps the arrays of cells small
+        cells = np.cumsum(np.ceil(limit[row[own]] * (2 * weight[own] + 1)))
+        for at in np.split(own, np.searchsorted(cells, np.arange(250_000, cells[-1], 250_000))):  # small arrays of cells
             _throw(row[at], element[at], weight[at], limit, t, out)
         filled = np.isfinite(out.reshape(rows, t)).all(1)
         todo &= ~filled

@@ -14,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -41,14 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64, kept between calls up to a few slices."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(2 * SLICE, n)
-        have = np.full(size, base, _U)
-        have[0] = 1
+    """base^0 .. base^(n-1) modulo 2^64; kept between calls for the usual slice, as workers live long."""
+    kept = n <= SLICE + (SLICE >> 2)
+    have = _powers.get(base) if kept else None
+    if have is None:
+        have = np.full(SLICE + (SLICE >> 2) if kept else n, base, _U)
+        have[:1] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 8 * SLICE:
+        if kept:
             _powers[base] = have
     return have[:n]
 
