@@ -97,6 +97,22 @@ def test_ordinal_thresholds_share_weights(spark):
     assert got[0].severity < got[1].severity < got[2].severity <= 2
 
 
+def test_toxicity_of_a_broad_lexicon(spark):
+    draw = np.random.default_rng(5)
+    bad, plain = [f"bad{i}" for i in range(100)], [f"plain{i}" for i in range(500)]
+    often = np.repeat([1, 3], 50) / 200  # two words a toxic text: each word is in 1 % or 3 % of them
+
+    def made(i):
+        words = [*draw.choice(plain, 15), *(draw.choice(bad, 2, replace=False, p=often) if i % 2 else [])]
+        return i, " ".join(draw.permutation(words)), i % 2
+
+    rows = spark.createDataFrame([made(i) for i in range(3600)], "doc_id bigint, text string, grade int")
+    model = toxicity.fit(rows.where("doc_id < 3000"), levels=3)
+    got = rows.where("doc_id >= 3000").select("grade", toxicity.score(F.col("text"), model)["score"].alias("score")).collect()
+    assert np.mean([r.score >= 0.5 for r in got if r.grade == 1]) > 0.9
+    assert np.mean([r.score >= 0.5 for r in got if r.grade == 0]) < 0.02
+
+
 def test_toxicity_of_odd_texts(spark, odd):
     assert toxicity.fit(spark.createDataFrame([(1, "a", 0)], "doc_id bigint, text string, grade int")) is None
     assert {tuple(r.s) for r in odd.select(toxicity.score(F.col("text"), None).alias("s")).collect()} == {(0.0, 0.0, 0)}
