@@ -7,10 +7,12 @@ message comes out, so a conversation of any length is never gathered in one task
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from authwatch.runtime import cut_lineage
+from authwatch.runtime import cut_lineage, discard, stored_so_far
 
 #: JSON types of schema entries against the leading word of Spark's variant type names.
 _TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT"),
@@ -65,35 +67,66 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     return parsed.withColumn("errors", errors).drop("spec", "tree", "fields")
 
 
-def ordered(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def _roots(single: DataFrame) -> DataFrame:
+    """Follow (node, parent) of nodes with one parent to the first ancestor that isn't such a node, by pointer doubling.
+
+    ``order_turn`` and ``order_level`` become the least the path allows, ``steps`` its length. As many rounds as the
+    logarithm of the longest path; nodes on a cycle or behind one keep some parent that is itself in the table.
+    """
+    spark, mark = single.sparkSession, stored_so_far()
+    at = cut_lineage(single.withColumns({"steps": F.lit(1), "moved": F.lit(True)}))
+    moving = at.count()
+    while moving:
+        above = at.select(F.col("node").alias("parent"), F.col("parent").alias("next"), F.col("order_turn").alias("its_turn"),
+                          F.col("order_level").alias("its_level"), F.col("steps").alias("its_steps"))
+        at = cut_lineage(at.join(above, "parent", "left").select(
+            "node", F.coalesce("next", "parent").alias("parent"), F.greatest("order_turn", "its_turn").alias("order_turn"),
+            F.greatest("order_level", F.col("its_level") + F.col("steps")).alias("order_level"),
+            (F.col("steps") + F.coalesce("its_steps", F.lit(0))).alias("steps"), F.col("next").isNotNull().alias("moved")))
+        discard(spark, mark, 1)
+        still = at.where("moved").count()
+        if still == moving:  # no path ended in this round, so none of those left ever ends
+            break
+        moving = still
+    return at.drop("moved")
+
+
+def ordered(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, order_turn, order_level) of a directed graph: by these, then turn, parents stand before children.
 
     ``nodes``: node, turn. ``edges``: distinct node, parent; an edge to an unknown parent is ignored. The turn is the
-    node's own, or a parent's if that is later, so a well-ordered conversation stays as it is. One round settles all
-    nodes whose parents are settled: as many rounds as the longest chain. Nodes on a cycle or behind one, and what
-    ``most_rounds`` do not reach, get a null level.
+    node's own, or a parent's if that is later, so a well-ordered conversation stays as it is; the level is the length
+    of the longest chain above the node. Each round settles all nodes whose parents are settled, and whatever hangs
+    below them by single parents however long that chain is: as many rounds as there are nodes with several unsettled
+    parents on one path. Nodes on a cycle or behind one, and no others, get a null level.
     """
-    edges = cut_lineage(edges.join(nodes.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi"))
-    waiting = nodes.join(edges.groupBy("node").agg(F.count("*").alias("open")), "node").withColumn(
-        "late", F.lit(None).cast("bigint"))
-    settled = nodes.join(edges.select("node").distinct(), "node", "left_anti").select(
-        "node", F.col("turn").cast("bigint").alias("order_turn"), F.lit(0).alias("order_level"))
-    if waiting.isEmpty():
-        return settled
-    done = front = cut_lineage(settled)
-    for level in range(1, most_rounds + 1):
-        news = edges.join(front.select(F.col("node").alias("parent"), "order_turn"), "parent").groupBy("node").agg(
-            F.count("*").alias("closed"), F.max("order_turn").alias("reached"))
-        waiting = cut_lineage(waiting.join(news, "node", "left").select(
-            "node", "turn", (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open"),
-            F.greatest("late", "reached").alias("late")))
-        front = cut_lineage(waiting.where("open = 0").select(
-            "node", F.greatest("turn", "late").cast("bigint").alias("order_turn"), F.lit(level).alias("order_level")))
-        if front.isEmpty():
+    edges = cut_lineage(edges.join(nodes.select(F.col("node").alias("parent")).distinct(), "parent", "left_semi").select("node", "parent"))
+    start = nodes.withColumns({"order_turn": F.col("turn").cast("bigint"), "order_level": F.lit(0)})
+    news = cut_lineage(start.join(edges.select("node").distinct(), "node", "left_anti").select("node", "order_turn", "order_level"))
+    waiting = start.join(edges.groupBy("node").agg(F.count("*").alias("open")), "node")
+    done = [news]
+    while True:
+        closed = edges.join(news.select(F.col("node").alias("parent"), "order_turn", "order_level"), "parent").groupBy("node").agg(
+            F.count("*").alias("closed"), F.max("order_turn").alias("its_turn"), (F.max("order_level") + 1).alias("its_level"))
+        waiting = cut_lineage(waiting.join(closed, "node", "left").select(
+            "node", "turn", F.greatest("order_turn", "its_turn").alias("order_turn"),
+            F.greatest("order_level", "its_level").alias("order_level"), (F.col("open") - F.coalesce("closed", F.lit(0))).alias("open")))
+        if waiting.isEmpty():
+            break
+        edges = cut_lineage(edges.join(news.select(F.col("node").alias("parent")), "parent", "left_anti"))
+        free = waiting.where("open = 0").select("node", "order_turn", "order_level")
+        below = _roots(waiting.where("open = 1").join(edges, "node").select("node", "parent", "order_turn", "order_level"))
+        root = free.select(F.col("node").alias("parent"), F.col("order_turn").alias("its_turn"), F.col("order_level").alias("its_level"))
+        news = cut_lineage(free.unionByName(below.join(root, "parent").select(
+            "node", F.greatest("order_turn", "its_turn").alias("order_turn"),
+            F.greatest("order_level", F.col("its_level") + F.col("steps")).alias("order_level"))))
+        if news.isEmpty():
             break
-        done = done.unionByName(front)
-        waiting = waiting.where("open > 0")
-    return done.unionByName(waiting.select(
+        done.append(news)
+        if len(done) > 30:  # keeps the plan short
+            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
+        waiting = waiting.join(news.select("node"), "node", "left_anti")
+    return reduce(DataFrame.unionByName, done).unionByName(waiting.select(
         "node", F.col("turn").cast("bigint").alias("order_turn"), F.lit(None).cast("int").alias("order_level")))
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +65,38 @@ def test_long_chain_and_empty_tables(spark):
     order = [r.call_id + r.kind[0] for r in sorted(out, key=lambda r: (r.order_turn, r.order_level, r.turn))]
     assert order == [f"c{t}{k}" for t in range(0, 16, 2) for k in "cr"]
     assert toolcalls.link(messages, calls.limit(0), results.limit(0), schemas).count() == 0
+
+
+def test_chain_longer_than_two_hundred_levels(spark):
+    """Each call needs the result before it; a pair that needs each other, and what follows it, stays unsettled."""
+    n = 130
+    ids = [f"c{t}" for t in range(n)]
+    calls = spark.createDataFrame([(1, 2 * n - t, c, "find", "{}", "") for t, c in enumerate(ids)] + [(2, t, f"c{t}", "find", "{}", "") for t in range(3)], CALLS)
+    results = spark.createDataFrame([(1, t, c, "r") for t, c in enumerate(ids)] + [(2, t, f"c{t}", "r") for t in range(3)], RESULTS)
+    needs = spark.createDataFrame([(1, ids[t], ids[t - 1]) for t in range(1, n)] + [(1, ids[t], ids[t - 40]) for t in range(60, n, 60)]
+                                  + [(2, "c0", "c1"), (2, "c1", "c0"), (2, "c2", "c1")], "conv_id bigint, call_id string, needed_id string")
+    messages = spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")
+    out = toolcalls.link(messages, calls, results, toolcalls.schema_rows(spark, TOOLS), needs).collect()
+    chain = sorted((r for r in out if r.conv_id == 1), key=lambda r: (r.order_turn, r.order_level, r.turn))
+    assert [r.call_id + r.kind[0] for r in chain] == [c + k for c in ids for k in "cr"] and {r.status for r in chain} == {"linked"}
+    assert [r.order_level for r in chain] == list(range(2 * n)) and {r.order_turn for r in chain} == {2 * n}
+    assert {(r.status, r.order_level) for r in out if r.conv_id == 2} == {("cycle", None)}
+
+
+def test_order_of_random_graphs(spark):
+    draw, nodes, edges = random.Random(3), [], []
+    for g in range(12):
+        size = draw.randint(1, 14)
+        nodes += [(f"{g}/{i}", draw.randint(0, 20)) for i in range(size)]
+        acyclic = draw.random() < 0.7
+        pairs = {(draw.randrange(size), draw.randrange(size)) for _ in range(draw.randint(0, 2 * size))}
+        edges += [(f"{g}/{a}", f"{g}/{b}") for a, b in pairs if a > b or not acyclic]
+    parents = {n: [b for a, b in edges if a == n] for n, _ in nodes}
+    want, turn = {}, dict(nodes)
+    while free := [n for n in turn if n not in want and all(p in want for p in parents[n])]:
+        for n in free:
+            above = [want[p] for p in parents[n]]
+            want[n] = (max([turn[n], *(t for t, _ in above)]), max([0, *(k + 1 for _, k in above)]))
+    want = {n: want.get(n, (turn[n], None)) for n in turn}
+    got = toolcalls.ordered(spark.createDataFrame(nodes, "node string, turn bigint"), spark.createDataFrame(edges, "node string, parent string")).collect()
+    assert len(got) == len(nodes) and {r.node: (r.order_turn, r.order_level) for r in got} == want
