@@ -87,7 +87,10 @@ class LanguageModel:
     pairs: dict[tuple[str, str], np.ndarray]
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language and score of each row: its family's share times the language's share of pairwise votes."""
+        """Language and score of each row: its family's share times the language's mean chance against each other of its family.
+
+        A clear text scores near 1 and the winner's mean chance is at least 0.5, however many languages a family has.
+        """
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
         if len(self.families) > 1:
             chance = 1 / (1 + np.exp(-4 * (x @ self.family_weights.T).astype(float)))
@@ -104,7 +107,7 @@ class LanguageModel:
                     p = 1 / (1 + np.exp(-4 * (x[rows] @ self.pairs[a, members[j]]).astype(float)))
                     votes[:, i] += p
                     votes[:, j] += 1 - p
-            share = votes / (len(members) * (len(members) - 1) / 2) if len(members) > 1 else np.ones_like(votes)
+            share = votes / (len(members) - 1) if len(members) > 1 else np.ones_like(votes)
             best = share.argmax(1)
             names[rows] = np.array(members, object)[best]
             scores[rows] = chance[rows, k] * share[np.arange(len(rows)), best]

@@ -34,6 +34,17 @@ def test_language_of_odd_texts(spark, odd):
     assert [r[0] for r in learned.orderBy("i").select(langid.predict(F.col("text"), model)["lang_pred"]).collect()] == ["en", "de", "fi"]
 
 
+def test_language_score_does_not_fall_with_the_size_of_a_family(spark):
+    names = langid.FAMILIES["germanic"] if "germanic" in langid.FAMILIES else max(langid.FAMILIES.values(), key=len)
+    letters = dict(zip(names, ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op")))
+    rows = [(i, " ".join(2 * [x + y + x, y + x + y, x + x + y]), n) for i, (n, (x, y)) in enumerate(list(letters.items()) * 30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(docs)
+    assert len(model.families) == 1 and len(names) > 3
+    got = docs.limit(len(names)).select("lang", langid.predict(F.col("text"), model).alias("p")).select("lang", "p.*").collect()
+    assert all(r.lang == r.lang_pred and 0.75 < r.score <= 1 for r in got)
+
+
 def test_language_without_training(spark, odd):
     assert langid.fit(spark.createDataFrame([], "doc_id bigint, text string, lang string")) is None
     assert {r[0] for r in odd.select(langid.predict(F.col("text"), None)["lang_pred"]).collect()} == {"und"}
