@@ -93,6 +93,54 @@ FROM answer r JOIN call c ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
 """
 
 
+LEXICAL_SEARCH = f"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+stat AS (SELECT count(*) FILTER (len(w) > 0) AS big_n, coalesce(sum(len(w)), 0)::BIGINT AS big_l FROM doc),
+tf AS (SELECT r, doc_id, len(w) AS n, t, count(*) AS tf FROM (SELECT r, doc_id, w, unnest(w) AS t FROM doc) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+item AS (SELECT i, item_id, t, count(*) AS q FROM (SELECT i, item_id, unnest(w) AS t FROM
+         (SELECT row_number() OVER () AS i, item_id, {_WORDS} AS w FROM benchmark)) GROUP BY ALL),
+weight AS (SELECT i, item_id, t, q, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * coalesce(df, 0) + 1)::DOUBLE))::BIGINT AS w
+           FROM item LEFT JOIN df USING (t), stat),
+scored AS (SELECT i, item_id, r, doc_id,
+                  sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * big_n) // big_l))))::BIGINT AS score
+           FROM weight JOIN tf USING (t), stat GROUP BY i, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0 AND doc_id IS NOT NULL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+FILTER_AUDIT = r"""
+WITH doc AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x,
+                    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+first AS (SELECT x, min(doc_id) AS first FROM doc GROUP BY x),
+label AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+flag AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                {'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w),
+                 'C': 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x),
+                 'D': regexp_matches(x, '[#$%&*|]'), 'E': coalesce(doc_id > first, false)} AS f
+         FROM doc JOIN first USING (x) LEFT JOIN label USING (doc_id)),
+fails AS (SELECT part, list_filter(['A', 'B', 'C', 'D', 'E'], lambda k: CASE k WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C
+                 WHEN 'D' THEN f.D ELSE f.E END) AS failed, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flag GROUP BY ALL),
+letter(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+ord AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+        WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+step AS (SELECT filter_order, s AS step, filter_order[s] AS own, string_split(filter_order[1:s - 1], '') AS before FROM ord, range(1, 6) t(s)),
+walk AS (SELECT part, filter_order, step, own, sum(n) AS total,
+                sum(n) FILTER (list_has_any(failed, before)) AS gone_before,
+                sum(n) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS removed,
+                sum(n) FILTER (list_contains(failed, own) AND list_has_any(failed, before)) AS redundant,
+                sum(n) FILTER (failed = [own]) AS unique_fails,
+                sum(good) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS good_lost,
+                sum(toxic) FILTER (list_contains(failed, own) AND NOT list_has_any(failed, before)) AS toxic_lost
+         FROM fails, step GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, (total - coalesce(gone_before, 0) - coalesce(removed, 0))::BIGINT AS kept,
+       coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM walk
+"""
+
+
 def mixing(powers: dict[str, float], rounds: int = 8) -> str:
     """Raking, written out step by step."""
     steps = ["""
@@ -122,4 +170,5 @@ WHERE ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/mix'), 1, 13))::UBI
 
 def sql(mix_powers: dict[str, float]) -> dict[str, str]:
     return {"op1_url_filter": URL_FILTER, "op2_suffix_dedup": SUFFIX_DEDUP, "op4_tool_calls": TOOL_CALLS,
-            "op6_decontamination": DECONTAMINATION, "op8_near_duplicates": NEAR_DUPLICATES, "op10_mixing": mixing(mix_powers)}
+            "op6_decontamination": DECONTAMINATION, "op8_near_duplicates": NEAR_DUPLICATES, "op10_mixing": mixing(mix_powers),
+            "op12_lexical_search": LEXICAL_SEARCH, "op13_filter_audit": FILTER_AUDIT}

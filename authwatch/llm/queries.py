@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from authwatch.llm import ann, decontaminate, langid, mixing, neardup, quality, suffixdedup, toolcalls, toxicity, urlfilter
+from authwatch.llm import (
+    ann, compression, decontaminate, interactions, langid, lexical, mixing, neardup, quality, suffixdedup, toolcalls, toxicity, urlfilter,
+)
 from authwatch.llm import text as T
 from authwatch.llm.columns import fold_of
 from authwatch.runtime import cut_lineage
@@ -119,6 +121,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round("mix_probability", 9).alias("probability"))
 
 
+def op11_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T.bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", compression.judge(F.col("text")).alias("c")).select("doc_id", "c.*")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lexical.search(docs, lexical.index(docs), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    T.bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return interactions.orders(interactions.failure_counts(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_url_filter, op2_suffix_dedup, op3_quality, op4_tool_calls, op5_toxicity, op6_decontamination, op7_neighbours,
-    op8_near_duplicates, op9_language, op10_mixing)}
+    op8_near_duplicates, op9_language, op10_mixing, op11_compression, op12_lexical_search, op13_filter_audit)}
