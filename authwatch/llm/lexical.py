@@ -332,7 +332,8 @@ def search(docs: DataFrame, blocks: DataFrame, items: DataFrame, k: int = 10, ke
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
 
     def scored(pairs: DataFrame, part: Part) -> DataFrame:
-        asked = pairs.groupBy("doc_id").agg(F.collect_set("item").alias("items"))  # at most the items of a part
+        # at most the items of a part for each document; stored, so that Spark knows its size before it plans the join
+        asked = cut_lineage(pairs.groupBy("doc_id").agg(F.collect_set("item").alias("items")))
         return cut_lineage(rows.join(asked, "doc_id").mapInArrow(_exact(part, totals), "item bigint, doc_id bigint, score bigint"))
 
     found = None
