@@ -49,6 +49,8 @@ def dart_signatures(row: np.ndarray, element: np.ndarray, weight: np.ndarray, ro
     todo = total > 0
     for _ in range(40):
         own = np.flatnonzero(todo[row])
+        if not len(own):  # no row with an element is left, as in a slice of blank texts
+            break
         cells = np.cumsum(np.ceil(limit[row[own]] * (2 * weight[own] + 1)))
         for at in np.split(own, np.searchsorted(cells, np.arange(250_000, cells[-1], 250_000))):  # small arrays of cells
             _throw(row[at], element[at], weight[at], limit, t, out)
@@ -230,30 +232,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """(doc_id, class_id, n_shingles): documents of one class are connected by similarities of ``least`` or more.
 
     One row for each row of ``docs`` with an id; the class id is the smallest id in the class. Documents whose shingle
-    sets are equal share a class, also where one id occurs on several rows. A text of fewer words than a shingle is
-    one shingle; null texts and texts without words are classes of their own. Rows with a null id are left out.
+    sets are equal share a class. A text of fewer words than a shingle is one shingle; null texts and texts without words are
+    classes of their own. Rows with a null id are left out. An id on several rows is one document: each of its texts is
+    compared by itself, and the classes of all of them are one.
     """
     T.bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
-    marks = cut_lineage(docs.select("doc_id", signatures(F.col("text"), size, bands, rows, weighted).alias("s")).select(
-        "doc_id", "s.*"))
     begun = stored_so_far()
-    equal = marks.where("n > 0").groupBy("same", "n").agg(F.min("doc_id").alias("node"))
-    member = marks.select("doc_id", "n", "same").join(equal, ["same", "n"], "left").select(
-        "doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    # one row of marks for each set; rows of one id with different texts each stand for their own set
-    banded = marks.where("n > 0").join(equal, ["same", "n"]).where("doc_id = node").select(
-        "node", F.explode("bands").alias("band")).distinct()
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where("text IS NOT NULL").groupBy("node").agg(F.min("text").alias("text")) \
-        if _repeated(docs) else docs.withColumnRenamed("doc_id", "node")
-    linked = links(texts, banded, least, size, weighted)
-    # an id on several rows joins the classes of all its texts
-    joined = linked.select("a", "b").unionByName(member.where("doc_id <> node").select(
-        F.col("doc_id").alias("a"), F.col("node").alias("b")))
+    repeated = _repeated(docs)
+    # rows are the nodes: the id names its row, or where ids repeat, a number that is stored with the text
+    docs = cut_lineage(docs.withColumn("row", F.monotonically_increasing_id())) if repeated else docs.withColumn("row", F.col("doc_id"))
+    marks = cut_lineage(docs.select("doc_id", "row", signatures(F.col("text"), size, bands, rows, weighted).alias("s")).select(
+        "doc_id", "row", "s.*"))
+    equal = marks.where("n > 0").groupBy("same", "n").agg(F.min("row").alias("node"))
+    member = marks.select("doc_id", "row", "n", "same").join(equal, ["same", "n"], "left").select(
+        "doc_id", "row", "n", F.coalesce("node", "row").alias("node"))
+    banded = marks.where("n > 0").join(equal, ["same", "n"]).where("row = node").select("node", F.explode("bands").alias("band")).distinct()
+    linked = links(docs.select(F.col("row").alias("node"), "text"), banded, least, size, weighted)
+    joined = linked.select("a", "b").unionByName(member.where("row <> node").select(F.col("row").alias("a"), F.col("node").alias("b")))
+    if repeated:
+        first = marks.groupBy("doc_id").agg(F.min("row").alias("a"), F.count("*").alias("m")).where("m > 1")
+        joined = joined.unionByName(marks.join(first, "doc_id").select("a", F.col("row").alias("b")))
     part = components(joined)
-    discard(docs.sparkSession, begun, keep=1)  # all but the components
-    return member.join(part.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("component", "doc_id").alias("class_id"), F.col("n").alias("n_shingles"))
+    found = member.join(part.withColumnRenamed("node", "row"), "row", "left").select(
+        "doc_id", F.coalesce("component", "row").alias("class_id"), F.col("n").alias("n_shingles"))
+    if repeated:
+        found = cut_lineage(found)
+        smallest = found.groupBy("class_id").agg(F.min("doc_id").alias("smallest"))
+        found = found.join(smallest, "class_id").select("doc_id", F.col("smallest").alias("class_id"), "n_shingles")
+    found = cut_lineage(found)
+    discard(docs.sparkSession, begun, keep=1)
+    return found
 
 
 def _repeated(docs: DataFrame) -> bool:
@@ -261,7 +270,10 @@ def _repeated(docs: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """All columns of one document of each class, the one with the smallest id; rows with a null id stay."""
+    """All columns of one document of each class, the one with the smallest id, on however many rows it stands.
+
+    Rows with a null id stay.
+    """
     classes = near_duplicates(docs, key, **options)
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct()
     name = free_name(docs, "gone_id")

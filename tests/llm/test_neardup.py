@@ -66,3 +66,27 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert {got[i] for i in range(41)} == {0} and {got[i] for i in range(100, 140)} == {100} and got[201] == 200
     assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_a_slice_of_blank_texts(spark):
+    rows = [(i, (None, "", " ", "?!")[i % 4]) for i in range(40)]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)).collect()
+    assert all(r.class_id == r.doc_id and r.n_shingles == 0 for r in got) and len(got) == 40
+
+
+def test_one_id_with_several_texts(spark):
+    """Each text of an id is compared by itself, and the id joins the classes of all its texts."""
+    a, z = [f"a{i}" for i in range(60)], [f"z{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(z)), (1, ""), (2, " ".join(z + ["end"])), (3, " ".join(["start"] + a)), (4, "a b c d e f"), (4, "a b c d e f"),
+            (0, " ".join(z[1:]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(0, 0)] + [(1, 0)] * 3 + [(2, 0), (3, 0), (4, 4), (4, 4)]
+
+
+def test_a_family_of_unlike_texts(spark):
+    """Thousands of texts that share half their words stay apart; one pair of them is alike."""
+    common = [f"c{i}" for i in range(40)]
+    rows = [(i, " ".join(common + [f"w{i}x{k}" for k in range(40)])) for i in range(2500)]
+    rows.append((9000, rows[77][1] + " end"))
+    got = result(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert {i: c for i, c in got.items() if c != i} == {9000: 77}
