@@ -38,6 +38,7 @@ GRAM = 16
 BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 4 << 20
 SPLIT_ABOVE = 20_000
+MOST_RUNS = (1 << 15) - 1  # a block counts a gram's runs up to here, which is beyond any SPLIT_ABOVE
 _U = np.uint64
 _LAST = np.int64(2 ** 63 - 1)
 _PIECE = 1 << 16
@@ -96,15 +97,15 @@ class Block:
 
     @cached_property
     def known(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams in order, and a byte each: runs up to 127, and the high bit if several documents have it."""
+        """Distinct grams in order, and 16 bits each: runs up to MOST_RUNS, and the high bit if several documents have it."""
         order = np.argsort(self.gram)
         g, d = self.gram[order], self.run_id[order]
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1])[:len(g)])
         if not len(at):
-            return g, np.zeros(0, np.uint8)
-        count = np.minimum(np.diff(np.append(at, len(g))), 127)
+            return g, np.zeros(0, np.uint16)
+        count = np.minimum(np.diff(np.append(at, len(g))), MOST_RUNS)
         several = np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)
-        return g[at], (count | several * 128).astype(np.uint8)
+        return g[at], (count | several * (MOST_RUNS + 1)).astype(np.uint16)
 
     def shared_runs(self, verdict: np.ndarray) -> tuple[np.ndarray, ...]:
         """Start, windows, bucket key, id, gram and its place in the run, of all runs to be sorted; split ones as
@@ -309,15 +310,28 @@ def _long(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that get something, and the places of the keys that each gets, in order."""
+    bucket = (keys >> _U(40)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    if not len(order):
+        return []
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    return [(int(bucket[x[0]]), x) for x in np.split(order, cut)]
+
+
+def _block(rows: pa.Table, length: int) -> Block:
+    return Block(rows.select(["doc_id", "text"]).to_pandas(), length)
+
+
 def _request_grams(length: int, buckets: int) -> Callable:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        grams, state = Block(rows, length).known
-        bucket = (grams >> _U(40)).astype(np.int64) % buckets
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        got = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-        return pd.DataFrame({"bucket": [b for b, _ in got], "block": rows["block"].iloc[0],
-                             "grams": [_short(grams[x]) for _, x in got], "state": [_blob(state[x]) for _, x in got]})
+    def run(rows: pa.Table) -> pa.Table:
+        grams, state = _block(rows, length).known
+        got = _dealt(grams, buckets)
+        return pa.table({"bucket": pa.array([b for b, _ in got], pa.int32()),
+                         "block": pa.array([rows["block"][0].as_py()] * len(got), pa.int32()),
+                         "grams": pa.array([_short(grams[x]) for _, x in got], pa.binary()),
+                         "state": pa.array([_blob(state[x]) for _, x in got], pa.binary())})
 
     return run
 
@@ -325,14 +339,14 @@ def _request_grams(length: int, buckets: int) -> Callable:
 def _answer_grams(split_above: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         grams = [_long(x) for x in rows["grams"]]
-        state = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["state"]])
+        state = np.concatenate([np.frombuffer(x, np.uint16) for x in rows["state"]])
         every = np.concatenate(grams)
         order = np.argsort(every, kind="stable")
         g = every[order]
         at = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
         blocks = np.diff(np.append(at, len(g)))
-        runs = np.add.reduceat((state[order] & 127).astype(np.int64), at)
-        shared = (blocks > 1) | (np.maximum.reduceat(state[order], at) >= 128)
+        runs = np.add.reduceat((state[order] & MOST_RUNS).astype(np.int64), at)
+        shared = (blocks > 1) | (np.maximum.reduceat(state[order], at) > MOST_RUNS)
         verdict = np.where(shared, np.where(runs > split_above, 2, 1), 0).astype(np.uint8)
         out = np.empty(len(every), np.uint8)
         out[order] = np.repeat(verdict, blocks)
@@ -345,10 +359,10 @@ def _answer_grams(split_above: int) -> Callable:
 def _verdicts(block: Block, answers: pd.DataFrame, buckets: int) -> np.ndarray:
     """The buckets' answers, brought into the order of the block's grams."""
     grams, _ = block.known
-    bucket = (grams >> _U(40)).astype(np.int64) % buckets
     out = np.zeros(len(grams), np.uint8)
-    for b, blob in zip(answers["bucket"], answers["verdict"]):
-        out[bucket == b] = np.frombuffer(blob, np.uint8)
+    answer = dict(zip(answers["bucket"], answers["verdict"]))
+    for b, x in _dealt(grams, buckets):
+        out[x] = np.frombuffer(answer[b], np.uint8)
     return out
 
 
@@ -358,11 +372,7 @@ def _chosen(block: Block, verdict: np.ndarray, buckets: int):
     rep, label = distinct_runs(block.data, first, size, block.length)
     least = np.full(len(rep), _LAST)
     np.minimum.at(least, label, ids)
-    bucket = (key[rep] >> _U(40)).astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    by_bucket = [(b, order[i:j]) for b, (i, j) in enumerate(zip(cut, cut[1:])) if i < j]
-    return first, size, ids, rep, label, least, by_bucket, (gram >> _U(8)).astype(np.uint32), place.astype(np.uint8)
+    return first, size, ids, rep, label, least, _dealt(key[rep], buckets), (gram >> _U(8)).astype(np.uint32), place.astype(np.uint8)
 
 
 def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -371,20 +381,21 @@ def _gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _request_runs(length: int, buckets: int) -> Callable:
-    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = {"bucket": [], "block": [], "bytes": [], "size": [], "ids": [], "tag": [], "place": []}
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        names = ["bucket", "block", "bytes", "size", "ids", "tag", "place"]
+        columns = {c: [] for c in names}
         if len(rows) and len(answers):
-            block = Block(rows, length)
-            first, size, _, rep, _, least, by_bucket, tag, place = _chosen(block, _verdicts(block, answers, buckets), buckets)
+            block = _block(rows, length)
+            first, size, _, rep, _, least, by_bucket, tag, place = _chosen(block, _verdicts(block, answers.to_pandas(), buckets), buckets)
             for b, x in by_bucket:
                 columns["bucket"].append(b)
-                columns["block"].append(rows["block"].iloc[0])
+                columns["block"].append(rows["block"][0].as_py())
                 columns["bytes"].append(_blob(_gather(block.data, first[rep[x]], size[rep[x]] + length - 1)))
                 columns["size"].append(_blob(size[rep[x]].astype(np.uint8)))
                 columns["ids"].append(_blob(least[x]))
                 columns["tag"].append(_blob(tag[rep[x]]))
                 columns["place"].append(_blob(place[rep[x]]))
-        return pd.DataFrame(columns)
+        return pa.table({c: pa.array(columns[c], pa.int32() if i < 2 else pa.binary()) for i, c in enumerate(names)})
 
     return run
 
@@ -406,12 +417,10 @@ def _answer_runs(length: int) -> Callable:
 
 
 def _finish(length: int, buckets: int) -> Callable:
-    def run(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        columns = ["doc_id", "no_id", "carried", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-        if not len(rows):
-            return pd.DataFrame(columns=columns)
-        block = Block(rows, length)
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _block(rows, length)
         covered = np.zeros(len(block.data) + 1, np.int32)
+        answers = answers.to_pandas()
         grams, runs = answers[answers["verdict"].notna()], answers[answers["bits"].notna()]
         if len(grams):
             first, size, ids, rep, label, least, by_bucket, *_ = _chosen(block, _verdicts(block, grams, buckets), buckets)
@@ -433,14 +442,15 @@ def _finish(length: int, buckets: int) -> Callable:
         gone = np.cumsum(covered[:-1]) > 0
         edge = gone & ~np.append(False, gone[:-1])
         edge[block.offsets[:-1][block.offsets[:-1] < len(gone)]] |= gone[block.offsets[:-1][block.offsets[:-1] < len(gone)]]
-        out = {c: [] for c in columns}
-        for i, own in enumerate(zip(block.rows["doc_id"], block.rows["no_id"], block.rows["carried"])):
-            a, b = block.offsets[i], block.offsets[i + 1]
-            kept = block.data[a:b][~gone[a:b]].tobytes()
-            for c, v in zip(columns, (*own, b - a, b - a - len(kept), int(edge[a:b].sum()),
-                                      hashlib.sha256(kept).hexdigest(), kept)):
-                out[c].append(v)
-        return pd.DataFrame(out)
+        kept = [block.data[a:b][~gone[a:b]].tobytes() for a, b in zip(block.offsets, block.offsets[1:])]
+        size, left = np.diff(block.offsets), np.array([len(x) for x in kept], np.int64)
+        spans = np.diff(np.concatenate([[0], np.cumsum(edge)])[block.offsets])
+        # all other columns stay as they came, in the block's order
+        own = rows.select(["doc_id", "no_id", "carried"]).take(pa.array(block.rows.index.to_numpy(), pa.int64()))
+        return pa.table({
+            **{c: own[c] for c in own.column_names}, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(size - left, pa.int64()),
+            "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
+            "kept": pa.array(kept, pa.binary())})
 
     return run
 
@@ -449,36 +459,38 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
                    split_above: int = SPLIT_ABOVE, carry: Column | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``; and ``carried``, the
-    value of the text column ``carry`` where one is given.
+    value of the column ``carry`` (of any type, untouched) where one is given.
 
     Removed are the UTF-8 bytes covered by a string of ``length`` bytes that also starts in a row with a smaller id.
     ``kept`` is what remains, as binary. Null texts are empty. Rows with the same id do not act on each other, and a
-    null id counts as larger than all others. ``length`` is at least GRAM + 1 and at most GRAM + 63.
+    null id counts as larger than all others. ``length`` is at least GRAM + 1 and at most GRAM + 63, ``split_above``
+    less than MOST_RUNS.
     """
-    if not GRAM < length < GRAM + 64:
-        raise ValueError("length out of range")
+    if not GRAM < length < GRAM + 64 or not split_above < MOST_RUNS:
+        raise ValueError("length or split_above out of range")
     spark = docs.sparkSession
     T.bounded_batches(spark)
     docs = docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(int(_LAST))).alias("doc_id"),
                        F.col(key).isNull().alias("no_id"), F.col(text).alias("text"),
-                       (F.lit(None).cast("string") if carry is None else carry).alias("carried"))
+                       (F.lit(None).cast("boolean") if carry is None else carry).alias("carried"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(tasks, math.ceil(total / block_bytes))
     buckets = max(tasks, math.ceil(total / bucket_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-    grams = docs.groupBy("block").applyInPandas(
+    # by id and text: rows of one id, or without one, fill many blocks
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    grams = docs.groupBy("block").applyInArrow(
         _request_grams(length, buckets), "bucket int, block int, grams binary, state binary")
     # one plan for all steps, so that the exchanges of the texts and of the grams are made once and used again
     verdicts = grams.groupBy("bucket").applyInPandas(
         _answer_grams(split_above), "block int, bucket int, verdict binary")
-    runs = docs.groupBy("block").cogroup(verdicts.groupBy("block")).applyInPandas(
+    runs = docs.groupBy("block").cogroup(verdicts.groupBy("block")).applyInArrow(
         _request_runs(length, buckets), "bucket int, block int, bytes binary, size binary, ids binary, tag binary, place binary")
     bits = runs.groupBy("bucket").applyInPandas(_answer_runs(length), "block int, run_bucket int, bits binary")
     answers = verdicts.unionByName(bits, allowMissingColumns=True)
-    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _finish(length, buckets),
-        "doc_id bigint, no_id boolean, carried string, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    kind = T_.StructType([docs.schema[c] for c in ("doc_id", "no_id", "carried")] + T_.StructType.fromDDL(
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields)
+    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(length, buckets), kind)
     out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out.drop("carried") if carry is None else out
 
@@ -487,30 +499,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
     """All columns, with the repeats taken out of the text (and out of ``n_chars``, where there is such a column).
 
     A character that lost some of its bytes goes as a whole. Texts without repeats stay as they are, also null ones. The
-    other columns travel with the text as JSON, so that no second exchange of texts joins them again.
+    other columns travel with the text as one struct, so that no second exchange of texts joins them again.
     """
     others = [c for c in docs.columns if c not in (key, text)]
-    row = F.to_json(F.struct(F.col(text).isNull().alias("n"), F.struct(*others).alias("c") if others else F.lit(0).alias("c")))
+    # by place, as names may differ in case only
+    row = F.struct(F.col(text).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
     found = repeated_bytes(docs, key, text, carry=row, **options)
-    kind = T_.StructType([T_.StructField("n", T_.BooleanType()), T_.StructField("c", docs.select(*others).schema if others else T_.IntegerType())])
 
     @F.arrow_udf("string")
     def valid(raw: pa.Array) -> pa.Array:
         return pa.array([(x or b"").decode(errors="ignore") for x in raw.to_pylist()], pa.string())
 
-    found = found.withColumn("carried", F.from_json("carried", kind)).withColumn(
-        "kept", F.when(~F.col("carried.n"), valid("kept")))
-    out = found.select(
-        F.col("doc_id").cast(docs.schema[key].dataType).alias("doc_id"), "n_removed", "kept", "carried")
+    out = found.select(F.col("doc_id").cast(docs.schema[key].dataType).alias("doc_id"), "n_removed",
+                       F.when(~F.col("carried.none"), valid("kept")).alias("kept"), "carried")
     columns = []
     for c in docs.columns:
         if c == key:
             column = F.col("doc_id")
         elif c == text:
             column = F.col("kept")
-        elif c == "n_chars":
-            column = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(F.col("carried.c")[c])
         else:
-            column = F.col("carried.c")[c]
+            column = F.col("carried")[f"c{others.index(c)}"]
+            if c == "n_chars":
+                column = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema[c].dataType)).otherwise(column)
         columns.append(column.alias(c))
     return out.select(*columns)

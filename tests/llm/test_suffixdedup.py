@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from authwatch.llm import suffixdedup
@@ -65,3 +66,34 @@ def test_remove_repeats_keeps_columns_and_valid_text(spark):
     out = {r.doc_id: r for r in suffixdedup.remove_repeats(df).collect()}
     assert out[0].text == rows[0][1] and out[2].text is None
     assert out[1].text == "yz" and out[1].n_chars == 2 and out[1].kept_text == "k"
+
+
+def test_other_columns_come_back_as_they_were(spark):
+    passage = "The same passage of more than fifty bytes stands in both of these two rows."
+    rows = spark.range(4).selectExpr(
+        "id AS doc_id", f"concat(id, ' {passage}') AS text", "timestamp_micros(1700000000123456 + id) AS seen",
+        "map(id, 'x', id + 7, null) AS by_number", "unhex('00ff10') AS raw", "double('NaN') AS odd", "cast(1.50 AS decimal(20,4)) AS price",
+        "array(struct(date'0001-01-01' AS d, null AS n)) AS nested", "CAST(NULL AS string) AS nothing", "'b' AS carried", "'c' AS kept")
+    want = {r["doc_id"]: r for r in rows.collect()}
+    got = suffixdedup.remove_repeats(rows)
+    assert got.schema.simpleString() == rows.schema.simpleString()
+    for r in got.collect():
+        plain = [(c, r[c], want[r.doc_id][c]) for c in rows.columns if c not in ("text", "odd")]
+        assert all(a == b for _, a, b in plain), plain
+        assert r.odd != r.odd and r.text == (f"0 {passage}" if r.doc_id == 0 else str(r.doc_id))
+
+
+def test_rows_without_id_fill_many_blocks(spark):
+    passage = "This passage of more than fifty bytes stands in a row with an id and in all others."
+    rows = [(1, passage)] + [(None, f"{i} {passage} {i * i}") for i in range(300)]
+    got = suffixdedup.repeated_bytes(spark.createDataFrame(rows, "doc_id bigint, text string"), block_bytes=2000).collect()
+    assert len(got) == 301 and [r.n_removed for r in got if r.doc_id == 1] == [0]
+    assert all(r.n_removed == len(passage) for r in got if r.doc_id is None)
+
+
+def test_a_block_counts_all_runs_of_a_gram():
+    text = "x".join(f"{i:06d}abcdefghijklmnopqrstuvwxyz" for i in range(900))
+    block = suffixdedup.Block(pd.DataFrame({"doc_id": [1], "text": [text]}), 50)
+    grams, state = block.known
+    known, times = np.unique(block.gram, return_counts=True)
+    assert grams.tolist() == known.tolist() and state.tolist() == times.tolist() and times.max() > 127
