@@ -145,7 +145,7 @@ class Automaton:
     def stream(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Merged spans [first, end) of hit words, and the items whose windows occur."""
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
+        items: set[str | None] = set()
         nxt, link, length = self.next, self.link, self.length
         v = matched = 0
         for i, c in enumerate(ids):
@@ -188,7 +188,7 @@ def _matcher(automaton: Automaton) -> Callable[[pa.Array], pa.Array]:
                         "first": int(a - w.first[row]), "end": int(b - w.first[row]),
                         "first_byte": int(w.start[a] - offsets[row]), "end_byte": int(w.end[b - 1] - offsets[row])})
                 rows[row]["items"] |= items
-            out += [r | {"items": sorted(r["items"])} for r in rows]
+            out += [r | {"items": sorted(r["items"], key=lambda x: (x is None, x))} for r in rows]
         return pa.array(out, MATCH_TYPE)
 
     return match
@@ -204,7 +204,7 @@ def match(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
     """Add a struct column ``out``: ``n_words``, hit ``spans`` in words and bytes, ``items`` with occurring windows.
 
     A window is ``window`` consecutive words of an item, or a whole item of fewer words. Null and empty texts have no
-    words; items without words have no window; equal items are all listed; a null item id takes no part. Items are
+    words; items without words have no window; equal items are all listed; items with a null id are one null in the list. Items are
     read in parts of at most ``max_words`` words (an item is never split), and each part is one more column of work.
     """
     parts: list[Callable] = []
@@ -216,7 +216,7 @@ def match(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str =
         parts.append(F.arrow_udf(_matcher(Automaton(held, window)), MATCH_SQL))
         held, size = [], 0
 
-    chosen = items.select(F.col(item_id).cast("string"), F.col(item_text)).where(F.col(item_id).isNotNull())
+    chosen = items.select(F.col(item_id).cast("string"), F.col(item_text))
     for name, value in chosen.toLocalIterator():
         w = item_words([value])[0]
         if held and size + len(w) > max_words:

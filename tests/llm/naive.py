@@ -57,7 +57,7 @@ def contamination(rows, items, window=13):
     for item, text in items:
         w = words(text)
         for p in range(max(1, len(w) - window + 1) if w else 0):
-            found.setdefault(tuple(w[p:p + window]), set()).add(str(item))
+            found.setdefault(tuple(w[p:p + window]), set()).add(None if item is None else str(item))
     out = {}
     for i, text in rows:
         w, hit, names = words(text), set(), set()
@@ -66,7 +66,7 @@ def contamination(rows, items, window=13):
                 if tuple(w[p:p + size]) in found:
                     hit |= set(range(p, p + size))
                     names |= found[tuple(w[p:p + size])]
-        out[i] = (len(w), len(hit), sorted(names))
+        out[i] = (len(w), len(hit), sorted(names, key=lambda x: (x is None, x)))
     return out
 
 

@@ -25,17 +25,17 @@ def test_equals_brute_force(spark, max_words):
     got = decontaminate.match(docs, spark.createDataFrame(items, ITEMS), max_words=max_words)
     got = {r.doc_id: (r.n, r.h, r["items"]) for r in got.select(
         "doc_id", F.col("match.n_words").alias("n"), decontaminate.n_hit(F.col("match")).alias("h"), "match.items").collect()}
-    assert got == naive.contamination([r[:2] for r in rows], [i for i in items if i[0] is not None])
+    assert got == naive.contamination([r[:2] for r in rows], items)
 
 
 def test_query_digest(spark, tmp_path):
     rows, items = inputs()
     spark.createDataFrame(rows, naive.SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
-    spark.createDataFrame(items[:-1], ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
-    want = naive.contamination([r[:2] for r in rows], items[:-1])
+    spark.createDataFrame(items, ITEMS).write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = naive.contamination([r[:2] for r in rows], items)
     for r in op6_decontamination(spark, str(tmp_path)).collect():
         n, hit, names = want[r.doc_id]
-        digest = hashlib.sha256(",".join(names).encode()).hexdigest()
+        digest = hashlib.sha256(",".join(x for x in names if x is not None).encode()).hexdigest()
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256) == (n, hit, len(names), digest)
         assert r.contaminated == (hit > 0 and 20 * hit >= n)
 
@@ -55,3 +55,11 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), spark.createDataFrame([], ITEMS)
     assert decontaminate.match(docs, items).first()["match"]["n_words"] == 2
     assert decontaminate.match(docs.limit(0), items).count() == 0
+
+
+def test_an_item_without_id_still_hits(spark):
+    passage = " ".join(f"w{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, passage), (2, "w1 w2")], "doc_id bigint, text string")
+    got = {r.doc_id: r.match for r in decontaminate.match(docs, spark.createDataFrame([(None, passage)], ITEMS)).collect()}
+    assert [(s["first"], s["end"]) for s in got[1]["spans"]] == [(0, 15)] and got[1]["items"] == [None]
+    assert got[2]["spans"] == [] and got[2]["items"] == []
