@@ -174,6 +174,34 @@ def campaign_isolation(spark, sf_dir):
     return out.select("campaign_id", F.col("splits").cast("long").alias("splits"))
 
 
+def leakage_audit_planted(spark, sf_dir):
+    """All twelve checks over tables with a planted fault for each that data can break.
+
+    The snapshot holds label, campaign and split columns and counts one attempt too many; the split is plain ten-day periods; the baseline
+    saw all events instead of the first two periods; benign events have no label.
+    """
+    events = auth_events(spark, sf_dir)
+    period = bucket(micros_of(F.col("event_time")), 864_000_000_000)
+    snapshot = build_features(events, FEATURES).withColumns({
+        "user_attempt_count__7d": F.col("user_attempt_count__7d") + 1, "scenario": F.lit("x"), "campaign_id": F.lit("x"), "split": F.lit("train")})
+    assigned = events.select("event_id", period.alias("p")).selectExpr(
+        "event_id", "CASE WHEN p <= 1972 THEN 'train' WHEN p = 1973 THEN 'validation' ELSE 'test' END AS split")
+    report = audit.audit(events, cut_lineage(snapshot), FEATURES, ground_truth(spark, sf_dir).where("scenario != 'normal'"), cut_lineage(assigned),
+                         fit_baseline(events, FEATURES.baseline), events.where(period <= 1973))
+    return report.select("check", "status", "violations")
+
+
+def alert_mean_bounds(spark, sf_dir):
+    """Alerts whose mean is checked against the scores in their range; the mean of every third one is planted too high or too low."""
+    risk = _stored_risk(spark, sf_dir)
+    run = AlertRun(risk, None, DETECTION).alerts
+    third = F.col("contributing_event_count") % 3
+    mean = F.col("aggregate_risk_score")
+    planted = run.withColumn("aggregate_risk_score", F.when(third == 0, mean + 60).when(third == 1, mean - 0.0005).otherwise(mean))
+    found = validate.mean_plausibility(planted, risk)
+    return _rounded(found, 4)
+
+
 def rule_status_counts(spark, sf_dir):
     return rules.status_counts(_results(spark, sf_dir))
 
@@ -372,7 +400,7 @@ def queries() -> dict[str, Query]:
     out.update({name: _rule(rule_id) for rule_id, name in names.items()})
     out.update({f.__name__: f for f in (
         calendar, current_context, baseline_user, baseline_source, baseline_known_sets, baseline_interarrival,
-        split_manifest, split_scenarios, purge_check, campaign_isolation, rule_status_counts, detections,
+        split_manifest, split_scenarios, purge_check, campaign_isolation, leakage_audit_planted, alert_mean_bounds, rule_status_counts, detections,
         risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
         validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from ..functions.scalar import bucket, micros_of
+from ..operators.ranks import select_ranks
+from ..runtime import cut_lineage
 from ..schema import GROUND_TRUTH_COLUMNS, SUPERVISED_SPLITS, feature_catalog
 from .baseline import Baseline
 from .features import build_features
@@ -18,8 +22,18 @@ _SPLIT_COLUMNS = ("split", "exclusion_reason")
 _RESULT = "check string, status string, severity string, violations bigint, message string"
 
 
-def prior_columns(config: FeatureConfig) -> list[str]:
-    return [f.name for f in feature_catalog(config) if f.leakage == "prior_only"]
+def columns_by_key(config: FeatureConfig) -> dict[str, list[str]]:
+    """Prior-only columns by the event column whose history alone decides them.
+
+    Pairs and user devices are histories of one user too, so five kinds of entity come down to four keys.
+    """
+    own = {"source": "source_id", "session": "session_id", "device": "device_id"}
+    out: dict[str, list[str]] = {"user_id": [], **{key: [] for key in own.values()}}
+    for f in feature_catalog(config):
+        if f.leakage == "prior_only":
+            kind = f.kind or ("source" if "_source_" in f.name else "user")
+            out[own.get(kind, "user_id")].append(f.name)
+    return {key: names for key, names in out.items() if names}
 
 
 def moved_rows(base: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
@@ -30,30 +44,61 @@ def moved_rows(base: DataFrame, changed: DataFrame, columns: list[str]) -> DataF
     return packed(base, "a").join(packed(changed, "b"), "anchor_event_id").where(~F.col("a").eqNullSafe(F.col("b")))
 
 
-def _renamed_copy(row: DataFrame, suffix: str) -> DataFrame:
-    return row.withColumn("event_id", F.concat(F.col("event_id"), F.lit(suffix)))
-
+def probes(events: DataFrame) -> DataFrame:
+    """Two rows of events: ``future`` repeats the last event a day later, ``twin`` the middle one at the same instant.
 
-def future_contribution(events: DataFrame, snapshot: DataFrame, config: FeatureConfig) -> DataFrame:
-    """Append one event a day after the last one; no earlier row may move."""
+    ``probe`` names the row, ``limit_us`` is the last instant at which nothing may move.
+    """
+    us = micros_of(F.col("event_time"))
     last = events.orderBy(F.desc("event_time"), F.desc("event_id")).limit(1)
-    probe = _renamed_copy(last, "-future").withColumn("event_time", F.expr("event_time + INTERVAL 1 DAY"))
-    columns = prior_columns(config)
-    again = build_features(events.unionByName(probe.select(*events.columns)), config, columns=columns)
-    return moved_rows(snapshot, again, columns)
+    # the instant at place n // 2 of the canonical order
+    middle = select_ranks(events.select(us.alias("us")), [], "us", {"middle_us": F.floor(F.col("__n") / 2) + 1}, bucket(F.col("us"), 86_400_000_000))
+    pivot = events.join(F.broadcast(middle), us == F.col("middle_us")).drop("middle_us").orderBy("event_id").limit(1)
+    future = last.withColumns({"probe": F.lit("future"), "limit_us": us}).withColumn("event_time", F.expr("event_time + INTERVAL 1 DAY"))
+    twin = pivot.withColumns({"probe": F.lit("twin"), "limit_us": us})
+    return future.unionByName(twin)
+
 
+def moved_by_probes(events: DataFrame, snapshot: DataFrame, config: FeatureConfig, added: DataFrame | None = None) -> DataFrame:
+    """(probe, anchor_event_id, columns): rows up to the probe's limit that move when the probe joins the events, and what moves.
 
-def same_timestamp_contribution(events: DataFrame, snapshot: DataFrame, config: FeatureConfig) -> DataFrame:
-    """Duplicate an event under a new id; rows up to its time may not move."""
-    span = events.agg(F.min("event_time").alias("a"), F.max("event_time").alias("b")).first()
-    middle = span.a + (span.b - span.a) / 2
-    chosen = events.where(F.col("event_time") <= F.lit(middle)).orderBy(
-        F.desc("event_time"), F.desc("event_id")).limit(1)
-    moment = chosen.first().event_time
-    columns = prior_columns(config)
-    again = build_features(
-        events.unionByName(_renamed_copy(chosen, "-twin").select(*events.columns)), config, columns=columns)
-    return moved_rows(snapshot.where(F.col("anchor_event_time") <= F.lit(moment)), again, columns)
+    A probe can only touch histories of its own user, source, session and device, so only these entities' events are taken, and
+    a row's columns are compared where it shares their key with the probe. Both changed streams are computed in one run: their
+    keys carry the probe's name, so that they do not meet. Everything else keeps its events, hence its values.
+    """
+    by_key = columns_by_key(config)
+    columns = [c for names in by_key.values() for c in names]
+    added = cut_lineage(added if added is not None else probes(events))  # two rows
+    keys = list(by_key)
+    marks = added.select("probe", "limit_us", *[F.col(c).alias(f"probe_{c}") for c in keys])
+    shares = [F.coalesce(F.col(c) == F.col(f"probe_{c}"), F.lit(False)) for c in keys]
+    reached = events.join(F.broadcast(marks), functools.reduce(lambda a, b: a | b, shares))
+    kept = cut_lineage(reached.select(*events.columns, "probe", "limit_us", *[s.alias(f"own_{c}") for c, s in zip(keys, shares)]))
+
+    def named(column: str):
+        return F.concat(F.col("probe"), F.lit("/"), F.col(column)).alias(column)
+
+    def apart(df: DataFrame) -> DataFrame:
+        """Events whose ids and entities are their probe's own."""
+        marked = {"event_id", *keys}
+        return df.select(*[named(c) if c in marked else F.col(c) for c in events.columns])
+
+    again = build_features(apart(kept).unionByName(apart(added.withColumn("event_id", F.concat("event_id", F.lit("-probe"))))),
+                           config, columns=columns)
+
+    def packed(df: DataFrame, side: str) -> DataFrame:
+        """One struct of columns for each key."""
+        return df.select("anchor_event_id", *[F.struct(*names).alias(f"{side}_{key}") for key, names in by_key.items()])
+
+    again = cut_lineage(packed(again, "again")).withColumnRenamed("anchor_event_id", "again_id")
+    rows = kept.where(micros_of(F.col("event_time")) <= F.col("limit_us")).select(
+        "probe", F.col("event_id").alias("anchor_event_id"), named("event_id").alias("again_id"), *[f"own_{c}" for c in keys])
+    pairs = rows.join(again, "again_id").join(packed(snapshot, "stored"), "anchor_event_id")
+    moved = [F.col(f"own_{key}") & ~F.col(f"stored_{key}").eqNullSafe(F.col(f"again_{key}")) for key in keys]
+    names = [F.when(F.col(f"own_{key}") & ~F.col(f"stored_{key}")[c].eqNullSafe(F.col(f"again_{key}")[c]), F.lit(c))
+             for key, listed in by_key.items() for c in listed]
+    return pairs.where(functools.reduce(lambda a, b: a | b, moved)).select(
+        "probe", "anchor_event_id", F.array_compact(F.array(*names)).alias("columns"))
 
 
 def purge_violations(events: DataFrame, assignments: DataFrame, window_us: int) -> DataFrame:
@@ -66,8 +111,9 @@ def purge_violations(events: DataFrame, assignments: DataFrame, window_us: int)
     width = max(1, window_us)
     rows = events.select("event_id", micros_of(F.col("event_time")).alias("us")).join(
         assignments.where(f"split IN ({_SPLIT_LIST})").select("event_id", "split"), "event_id")
-    marks = rows.groupBy("split", "us").agg(F.count("*").alias("n")).withColumn(
-        "bucket", bucket(F.col("us"), width))
+    # read three times below, so the split is made once
+    marks = cut_lineage(rows.groupBy("split", "us").agg(F.count("*").alias("n")).withColumn(
+        "bucket", bucket(F.col("us"), width)))
 
     def edge(fold, name):
         return [fold(F.when(F.col("split") == s, F.col("us"))).alias(f"{name}_{s}") for s in SUPERVISED_SPLITS]
@@ -131,12 +177,10 @@ def audit(
     add("NO_GROUND_TRUTH_COLUMNS", len(names & set(GROUND_TRUTH_COLUMNS)), "label columns in the snapshot")
     add("NO_CAMPAIGN_COLUMNS", len(names & set(_CAMPAIGN_COLUMNS)), "campaign columns in the snapshot")
     add("NO_SPLIT_COLUMNS", len(names & set(_SPLIT_COLUMNS)), "split columns in the snapshot")
-    add("NO_FUTURE_CONTRIBUTION",
-        future_contribution(events, snapshot, config).count() if recompute else None,
-        "rows moved by a later event")
-    add("NO_SAME_TIMESTAMP_CONTRIBUTION",
-        same_timestamp_contribution(events, snapshot, config).count() if recompute else None,
-        "rows moved by a simultaneous event")
+    moved = {r["probe"]: r["n"] for r in moved_by_probes(events, snapshot, config).groupBy("probe").agg(
+        F.count("*").alias("n")).collect()} if recompute else None  # at most two rows
+    add("NO_FUTURE_CONTRIBUTION", None if moved is None else moved.get("future", 0), "rows moved by a later event")
+    add("NO_SAME_TIMESTAMP_CONTRIBUTION", None if moved is None else moved.get("twin", 0), "rows moved by a simultaneous event")
     have_fit = baseline is not None and train_events is not None
     if have_fit:
         train = fingerprint(train_events, train_events.columns).first()

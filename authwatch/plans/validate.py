@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DetectionConfig, FeatureConfig, config_fingerprint
-from ..functions.scalar import uuid5
+from ..functions.scalar import micros_of, uuid5
+from ..operators.extremes import interval_extremes
 from ..schema import (
     AUTH_METHODS, AUTH_OUTCOMES, BLOCKED_REASONS, CLIENT_TYPES, FAILURE_REASONS, GROUND_TRUTH_COLUMNS,
     MFA_OUTCOMES, PROHIBITED_FEATURE_COLUMNS, RISK_ASSESSMENTS, RULE_DETECTIONS, SCHEMA_VERSION,
@@ -26,6 +27,7 @@ REQUIRED_EVENT_COLUMNS = (
     "application_id", "authentication_method", "authentication_outcome",
 )
 NULL_RATE_WARNING = 0.5
+MEAN_TOLERANCE = 1e-3  # fixed value: published means are rounded
 
 
 def _in(column: str, values, nullable: bool) -> str:
@@ -242,6 +244,7 @@ def validate_detection(
     out = out.unionByName(one(named_rules.join(fired_rules, "rule_id", "left_anti"), "D027", "contributing_rule_ids"))
     out = out.unionByName(one(detections.join(assessments, "anchor_event_id", "left_anti"), "D028", "anchor_event_id"))
     out = out.unionByName(one(rule_agreement(assessments, detections), "D029", "fired_rule_ids"))
+    out = out.unionByName(one(mean_plausibility(alerts, assessments).where("NOT plausible"), "D031", "aggregate_risk_score"))
     if scope is not None:
         sides = scope.select("anchor_event_id", F.lit(1).alias("s")).join(
             assessments.select("anchor_event_id", F.lit(1).alias("a")), "anchor_event_id", "full_outer")
@@ -260,11 +263,18 @@ def validate_detection(
     return out
 
 
-def mean_reconstruction(alerts: DataFrame, contributions: DataFrame) -> DataFrame:
-    """D031: alerts whose mean differs by more than 1e-3 from their grouped assessments' mean.
+def mean_plausibility(alerts: DataFrame, assessments: DataFrame) -> DataFrame:
+    """D031: alerts with the ``least`` and ``greatest`` score of their category inside their time range, and ``plausible``.
 
-    ``contributions`` is (alert_id, risk_score), one row per absorbed assessment.
+    The mean of any members lies between the two. Without an assessment in the range nothing can be said, and the alert passes.
     """
-    means = contributions.groupBy("alert_id").agg(F.avg("risk_score").alias("mean"))
-    return alerts.join(means, "alert_id", "left").where(
-        "mean IS NULL OR abs(aggregate_risk_score - mean) > 1e-3")
+    points = assessments.where("primary_attack_category IS NOT NULL").select(
+        F.col("primary_attack_category").alias("attack_category"), micros_of(F.col("anchor_event_time")).alias("us"), "risk_score")
+    spans = alerts.select(
+        "attack_category", "alert_id", F.col("alert_id").alias("interval_id"), micros_of(F.col("first_seen")).alias("first_us"),
+        micros_of(F.col("last_seen")).alias("last_us"), "aggregate_risk_score")
+    found = interval_extremes(points, spans, ["attack_category"], "risk_score")
+    mean, slack = F.col("aggregate_risk_score"), MEAN_TOLERANCE
+    inside = (mean >= F.col("least") - slack) & (mean <= F.col("greatest") + slack)
+    return found.select("alert_id", "attack_category", "aggregate_risk_score", "least", "greatest",
+                        (F.col("least").isNull() | F.coalesce(inside, F.lit(False))).alias("plausible"))

@@ -462,6 +462,33 @@ def accounting_query() -> str:
   count(*) FILTER (WHERE act = 'rate_limit') AS rate_limit, sum(steps)::BIGINT AS escalated, 0::BIGINT AS entity_scoped FROM st WHERE act IS NOT NULL"""
 
 
+def mean_bounds_query() -> str:
+    """Alerts with a planted mean, against every score of their category in their time range."""
+    return f"""{alert_query(False).rsplit("SELECT '1.0.0' AS detection_schema_version", 1)[0]}, fin AS (SELECT '1.0.0' AS detection_schema_version{alert_query(False).rsplit("SELECT '1.0.0' AS detection_schema_version", 1)[1]}),
+pl AS (SELECT alert_id, attack_category, first_us, last_us, CASE contributing_event_count % 3 WHEN 0 THEN aggregate_risk_score + 60 WHEN 1 THEN aggregate_risk_score - 0.0005::DOUBLE ELSE aggregate_risk_score END AS m FROM fin)
+SELECT alert_id, attack_category, round(m, 4) AS aggregate_risk_score, round(min(risk_score), 4) AS least, round(max(risk_score), 4) AS greatest,
+  coalesce(m >= min(risk_score) - 1e-3::DOUBLE AND m <= max(risk_score) + 1e-3::DOUBLE, true) AS plausible
+FROM pl LEFT JOIN rk ON primary_attack_category = attack_category AND us BETWEEN first_us AND last_us GROUP BY alert_id, attack_category, m"""
+
+
+def audit_query() -> str:
+    """Violations of each check, counted from the planted faults."""
+    counts = {
+        "NO_GROUND_TRUTH_COLUMNS": "2", "NO_CAMPAIGN_COLUMNS": "1", "NO_SPLIT_COLUMNS": "1",
+        "NO_FUTURE_CONTRIBUTION": "(SELECT count(*) FROM p WHERE user_id = (SELECT user_id FROM p ORDER BY us DESC, event_id DESC LIMIT 1))",
+        "NO_SAME_TIMESTAMP_CONTRIBUTION": "(SELECT count(*) FROM p, mid WHERE p.user_id = mid.user_id AND p.us <= mid.us)",
+        "BASELINE_SOURCE_FINGERPRINT_MATCHES_TRAIN": "1", "BASELINE_NOT_FIT_ON_EVALUATION_DATA": "(SELECT count(*) FROM p WHERE split = 'test')",
+        "PURGE_INTERVAL_RESPECTED": f"(SELECT count(*) FROM p a WHERE EXISTS (SELECT 1 FROM p b WHERE b.split <> a.split AND b.us >= a.us - {micros('7d')} AND b.us < a.us))",
+        "CAMPAIGN_GROUPS_ISOLATED": "(SELECT count(*) FROM (SELECT campaign_id FROM p WHERE scenario <> 'normal' GROUP BY 1 HAVING count(DISTINCT split) > 1))",
+        "HOLDOUT_EXCLUDED_FROM_SUPERVISED": "(SELECT count(*) FROM p WHERE scenario = 'novel_anomaly_holdout')",
+        "CURRENT_VS_PRIOR_FIELDS_DISTINGUISHED": "0", "JOIN_KEY_INTEGRITY": "(SELECT count(*) FROM p WHERE scenario = 'normal')"}
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS name, {expr}::BIGINT AS n" for name, expr in counts.items())
+    return f"""WITH {EV}, {TRUTH}, p AS (SELECT ev.event_id, us, user_id, scenario, campaign_id,
+  CASE WHEN us // 864000000000 <= 1972 THEN 'train' WHEN us // 864000000000 = 1973 THEN 'validation' ELSE 'test' END AS split FROM ev JOIN gt USING (event_id)),
+ctr AS (SELECT us FROM p ORDER BY us, event_id LIMIT 1 OFFSET (SELECT count(*) // 2 FROM p)), mid AS (SELECT user_id, us FROM p WHERE us = (SELECT us FROM ctr) ORDER BY event_id LIMIT 1),
+c AS ({rows}) SELECT name AS "check", CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status, n AS violations FROM c"""
+
+
 def ingest_counts(broken: str) -> str:
     """Rows that pass, and rows refused by code and field; ``broken``: the condition of lines that are no records."""
     return f"""WITH {EV}, x AS (SELECT *, CASE WHEN {broken} THEN 'I005' WHEN event_id::BIGINT % 50 = 1 THEN 'I003'
@@ -526,6 +553,6 @@ UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT '
         f"JOIN ({out[n]}) q{i} USING (anchor_event_id)" for i, n in enumerate(parts))
     out["eval_campaigns"] = f"WITH c AS ({out['eval_campaign_latency']}) SELECT count(*) AS campaigns, count(latency_seconds) AS detected, count(*) - count(latency_seconds) AS missed, round(count(latency_seconds)::DOUBLE / count(*), 6) AS coverage, round(min(latency_seconds), 6) AS latency_min, round(quantile_disc(latency_seconds, 0.5), 6) AS latency_median, round(avg(latency_seconds), 6) AS latency_mean, round(quantile_disc(latency_seconds, 0.9), 6) AS latency_p90, round(max(latency_seconds), 6) AS latency_max FROM c"
     out["event_fingerprint"] = FINGERPRINT
-    out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query(),
+    out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query(), "leakage_audit_planted": audit_query(), "alert_mean_bounds": mean_bounds_query(),
             "detection_quality": detection_report_query()}
     return out
