@@ -20,7 +20,7 @@ from authwatch.functions.privacy import DOMAINS, pseudonymiser  # noqa: E402
 from authwatch.functions.scalar import micros_of  # noqa: E402
 from authwatch.operators.ranks import nearest_rank, select_ranks  # noqa: E402
 from authwatch.operators.prefix import neighbour, with_chunk  # noqa: E402
-from authwatch.plans import audit, evaluate, quality, rules, scoring, split, validate  # noqa: E402
+from authwatch.plans import audit, evaluate, quality, relations, rules, scoring, split, validate  # noqa: E402
 from authwatch.plans.alerts import AlertRun, gate  # noqa: E402
 from authwatch.plans.baseline import fit_baseline, fit_sources, fit_users, known_values  # noqa: E402
 from authwatch.plans.features import build_features  # noqa: E402
@@ -31,6 +31,7 @@ from authwatch.schema import feature_catalog  # noqa: E402
 from authwatch.schema import AUTH_EVENTS  # noqa: E402
 from authwatch.sources.adapters import auth_events, ground_truth  # noqa: E402
 from authwatch.sources.ingest import Ingested, ingest_csv, ingest_jsonl  # noqa: E402
+from authwatch.sources.publish import publish, read_manifest, read_published, verify_manifest  # noqa: E402
 from driver_config import DETECTION, FEATURES, REFERENCE_END_US, SHORT_ID  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -148,8 +149,7 @@ def baseline_interarrival(spark, sf_dir):
         "user_id", micros_of(F.col("event_time")).alias("us")), "us", 3_600_000_000)
     gaps = neighbour(rows, ["user_id"], "us", "prev_us", forward=False).where("prev_us IS NOT NULL")
     gaps = gaps.selectExpr("user_id", "us - prev_us AS gap")
-    return select_ranks(gaps, ["user_id"], "gap", {"median_us": nearest_rank(0.5), "p90_us": nearest_rank(0.9)},
-                        bucket(F.col("gap"), 1 << 20))
+    return select_ranks(gaps, ["user_id"], "gap", {"median_us": nearest_rank(0.5), "p90_us": nearest_rank(0.9)})
 
 
 def split_manifest(spark, sf_dir):
@@ -274,6 +274,83 @@ def eval_alert_metrics(spark, sf_dir):
     return _rounded(evaluate.alert_metrics(rows, AlertRun(risk, None, DETECTION).alerts))
 
 
+def _split_rows(spark: SparkSession, sf_dir: str, risk: DataFrame | None = None) -> DataFrame:
+    """Labelled assessments with the split of each anchor; the holdout is a part of its own."""
+    risk = risk if risk is not None else _stored_risk(spark, sf_dir)
+    return evaluate.labelled(risk, _labels(spark, sf_dir), _assignments(spark, sf_dir))
+
+
+def eval_rates_by_split(spark, sf_dir):
+    return _rounded(evaluate.rates(_split_rows(spark, sf_dir)))
+
+
+def eval_scenario_rates_by_split(spark, sf_dir):
+    return _rounded(evaluate.scenario_rates(_split_rows(spark, sf_dir)))
+
+
+def eval_confusion_by_split(spark, sf_dir):
+    return evaluate.confusion(_split_rows(spark, sf_dir))
+
+
+def eval_class_metrics_by_split(spark, sf_dir):
+    return _rounded(evaluate.class_metrics(_split_rows(spark, sf_dir)))
+
+
+def eval_class_summary_by_split(spark, sf_dir):
+    """Macro and support-weighted means of precision, recall and F1."""
+    return _rounded(evaluate.class_summary(evaluate.class_metrics(_split_rows(spark, sf_dir))))
+
+
+def eval_alert_metrics_by_split(spark, sf_dir):
+    risk = _stored_risk(spark, sf_dir)
+    return _rounded(evaluate.alert_metrics(cut_lineage(_split_rows(spark, sf_dir, risk)), AlertRun(risk, None, DETECTION).alerts))
+
+
+def _repeated_detections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Stored detections, each of an even anchor a second time, weaker; and the anchors without one row in a hundred."""
+    found = cut_lineage(rules.detections(_results(spark, sf_dir), DETECTION))
+    n = F.col("anchor_event_id").cast("long")
+    weaker = found.where(n % 2 == 0).withColumn("signal_strength", F.col("signal_strength") / 2)
+    anchors = auth_events(spark, sf_dir).selectExpr("event_id AS anchor_event_id", "event_time AS anchor_event_time")
+    return found.unionByName(weaker), anchors.where(n % 100 != 1)
+
+
+def scoring_counters(spark, sf_dir):
+    return scoring.scoring_counters(*_repeated_detections(spark, sf_dir))
+
+
+def risk_from_detections(spark, sf_dir):
+    """Scores rebuilt from stored detections; anchors that only these know are assessed too."""
+    results = scoring.results_from_detections(*_repeated_detections(spark, sf_dir), DETECTION)
+    scored = scoring.score_results(results, DETECTION)
+    return _rounded(scored.select(
+        "anchor_event_id", micros_of(F.col("anchor_event_time")).alias("anchor_us"), "risk_score", "severity", "primary_attack_category",
+        "fired_rule_count"), 4)
+
+
+def run_relations(spark, sf_dir):
+    """A published run read back through its manifest, with planted misfits between its tables.
+
+    Missing: a tenth of the assessments, all detections of one rule, some anchors and scope rows; a tenth of the assessments stands
+    there twice, and the manifest denies the alerts' scope.
+    """
+    results = cut_lineage(_results(spark, sf_dir))
+    risk = cut_lineage(scoring.score_results(results, DETECTION))
+    alerts_ = AlertRun(risk, _scope(spark, sf_dir), DETECTION).alerts
+    n = F.col("anchor_event_id").cast("long")
+    root = f"{shared_folder(spark)}/run-{uuid4().hex}"
+    publish(spark, root, {
+        "rule_detections": rules.detections(results, DETECTION).where("rule_id != 'PAD-BF-002'"),
+        "risk_assessments": risk.where(n % 10 != 3).unionByName(risk.where(n % 10 == 5)), "security_alerts": alerts_,
+    }, {"entity_scope_present": False})
+    scope_expected = read_manifest(spark, root)["entity_scope_present"]
+    back = [read_published(spark, root, name) for name in ("rule_detections", "risk_assessments", "security_alerts")]
+    scope = _scope(spark, sf_dir)
+    found = relations.run_relations(*back, scope_expected, scope.where(n % 100 != 1), scope.where(n % 100 != 7))
+    unlike = verify_manifest(spark, root).agg(F.lit("MANIFEST_DIFFERS").alias("check"), F.count_if(~F.col("matches")).alias("violations"))
+    return found.unionByName(unlike)
+
+
 def eval_campaign_latency(spark, sf_dir):
     return _rounded(evaluate.campaign_latencies(_rows(spark, sf_dir), ground_truth(spark, sf_dir)))
 
@@ -402,7 +479,8 @@ def queries() -> dict[str, Query]:
         calendar, current_context, baseline_user, baseline_source, baseline_known_sets, baseline_interarrival,
         split_manifest, split_scenarios, purge_check, campaign_isolation, leakage_audit_planted, alert_mean_bounds, rule_status_counts, detections,
         risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
-        eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
+        eval_rates_by_split, eval_scenario_rates_by_split, eval_confusion_by_split, eval_class_metrics_by_split, eval_class_summary_by_split,
+        eval_alert_metrics_by_split, scoring_counters, risk_from_detections, run_relations, eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
         validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})
     out["split_assign"] = _assignments

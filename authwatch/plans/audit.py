@@ -52,7 +52,7 @@ def probes(events: DataFrame) -> DataFrame:
     us = micros_of(F.col("event_time"))
     last = events.orderBy(F.desc("event_time"), F.desc("event_id")).limit(1)
     # the instant at place n // 2 of the canonical order
-    middle = select_ranks(events.select(us.alias("us")), [], "us", {"middle_us": F.floor(F.col("__n") / 2) + 1}, bucket(F.col("us"), 86_400_000_000))
+    middle = select_ranks(events.select(us.alias("us")), [], "us", {"middle_us": F.floor(F.col("__n") / 2) + 1})
     pivot = events.join(F.broadcast(middle), us == F.col("middle_us")).drop("middle_us").orderBy("event_id").limit(1)
     future = last.withColumns({"probe": F.lit("future"), "limit_us": us}).withColumn("event_time", F.expr("event_time + INTERVAL 1 DAY"))
     twin = pivot.withColumns({"probe": F.lit("twin"), "limit_us": us})

@@ -93,7 +93,6 @@ def interarrival(events: DataFrame, chunk: str = "1h") -> DataFrame:
     picked = select_ranks(
         gaps, ["user_id"], "gap",
         {"median_us": nearest_rank(0.5), "p90_us": nearest_rank(0.9)},
-        bucket(F.col("gap"), 1 << 20),
     )
     return picked.select(
         "user_id",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import micros
-from ..functions.scalar import bucket, micros_of
+from ..functions.scalar import micros_of
 from ..operators.prefix import running, with_chunk
 from ..operators.ranks import nearest_rank, select_ranks
+from ..schema import SPLITS
 
 # Which scenario each attack category claims (the MFA category claims none).
 CATEGORY_TO_SCENARIO = {
@@ -42,9 +43,18 @@ def labelled(assessments: DataFrame, labels: DataFrame, splits: DataFrame | None
         f"coalesce(CASE primary_attack_category {claim} END, '{NONE}') AS predicted")
 
 
-def _per_split(rows: DataFrame) -> DataFrame:
-    """Every row counts once overall and once in its split."""
-    return rows.withColumn("part", F.explode(F.array_compact(F.array(F.lit("overall"), F.col("split")))))
+def _per_part(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Sums for each part (overall, and each split) and key.
+
+    Events are summed once by split; only those few sums are added up again, so that no event is counted twice.
+    """
+    by_split = rows.groupBy("split", *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    parts = F.explode(F.array_compact(F.array(F.lit("overall"), F.col("split"))))
+    return by_split.withColumn("part", parts).groupBy("part", *keys).agg(*[F.sum(n).alias(n) for n in sums])
+
+
+def _one_if(condition: Column) -> Column:
+    return F.when(condition, 1).otherwise(0)
 
 
 def _div(top, bottom):
@@ -53,10 +63,9 @@ def _div(top, bottom):
 
 def rates(rows: DataFrame) -> DataFrame:
     bad, fired = F.col("malicious"), F.col("fired_rule_count") > 0
-    sums = _per_split(rows).groupBy("part").agg(
-        F.count("*").alias("events"), F.count_if(bad).alias("malicious"), F.count_if(~bad).alias("benign"),
-        F.count_if(bad & fired).alias("detected"), F.count_if(~bad & fired).alias("false_positives"),
-        F.sum("insufficient_data_count").alias("insufficient"))
+    sums = _per_part(rows, [], {
+        "events": F.lit(1), "malicious": _one_if(bad), "benign": _one_if(~bad), "detected": _one_if(bad & fired),
+        "false_positives": _one_if(~bad & fired), "insufficient": F.col("insufficient_data_count")})
     return sums.select(
         "part", "events", "malicious", "benign",
         _div(F.col("false_positives"), F.col("benign")).alias("false_positive_rate"),
@@ -65,21 +74,19 @@ def rates(rows: DataFrame) -> DataFrame:
 
 
 def scenario_rates(rows: DataFrame) -> DataFrame:
-    return _per_split(rows.where("malicious")).groupBy("part", "attack_class").agg(
-        F.count("*").alias("events"),
-        F.avg((F.col("fired_rule_count") > 0).cast("double")).alias("detection_rate"))
+    sums = _per_part(rows.where("malicious"), ["attack_class"], {"events": F.lit(1), "detected": _one_if(F.col("fired_rule_count") > 0)})
+    return sums.select("part", "attack_class", "events", (F.col("detected") / F.col("events")).alias("detection_rate"))
 
 
 def confusion(rows: DataFrame) -> DataFrame:
     """(part, actual, one column per predicted class)."""
     classes = [*CLASSES, NONE]
-    return _per_split(rows).groupBy("part", "actual").agg(
-        *[F.count_if(F.col("predicted") == c).alias(f"predicted_{c}") for c in classes])
+    return _per_part(rows, ["actual"], {f"predicted_{c}": _one_if(F.col("predicted") == c) for c in classes})
 
 
 def class_metrics(rows: DataFrame) -> DataFrame:
     """Precision, recall and F1 per class; null where nothing was observed."""
-    cells = _per_split(rows).groupBy("part", "actual", "predicted").agg(F.count("*").alias("n"))
+    cells = _per_part(rows, ["actual", "predicted"], {"n": F.lit(1)})
     names = F.explode(F.array(*[F.lit(c) for c in CLASSES])).alias("class")
     sums = cells.select("part", "actual", "predicted", "n", names).groupBy("part", "class").agg(
         *[F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).alias(name) for name, cond in (
@@ -110,47 +117,42 @@ def alert_metrics(rows: DataFrame, alerts: DataFrame) -> DataFrame:
     An alert is right when most assessments of its category inside its time range
     are malicious; a detectable malicious event is recalled when some alert of its
     category covers it.  Both are prefix counts on one timeline per category, so no
-    range join is needed however long alerts are.
+    range join is needed however long alerts are.  Every part judges all alerts by its own
+    events; splits other than those of the schema count only overall.
     """
-    parts = _per_split(rows)
-    events = parts.where("primary_attack_category IS NOT NULL").select(
-        "part", F.col("primary_attack_category").alias("category"),
-        micros_of(F.col("anchor_event_time")).alias("us"),
-        F.col("malicious").cast("long").alias("bad"), F.lit(1).cast("long").alias("one"))
-    names = parts.select("part").distinct()  # at most one row per split label
+    parts = ["overall", *SPLITS]
+    member = {p: F.lit(True) if p == "overall" else F.col("split") == p for p in parts}
+    # Equal instants of a category merge before the running sums; each part has its own two columns.
+    points = rows.where("primary_attack_category IS NOT NULL").groupBy(
+        F.col("primary_attack_category").alias("category"), micros_of(F.col("anchor_event_time")).alias("us")).agg(
+        *[F.count_if(m).alias(f"n_{p}") for p, m in member.items()], *[F.count_if(m & F.col("malicious")).alias(f"bad_{p}") for p, m in member.items()])
+    sums = [f"{s}_{p}" for s in ("n", "bad") for p in parts]
     spans = alerts.select(
         "alert_id", F.col("attack_category").alias("category"),
-        micros_of(F.col("first_seen")).alias("first_us"), micros_of(F.col("last_seen")).alias("last_us"),
-    ).join(F.broadcast(names))
+        micros_of(F.col("first_seen")).alias("first_us"), micros_of(F.col("last_seen")).alias("last_us"))
     # Half ticks make both ends of a span inclusive.
-    # Equal instants of a category merge before the running sums.
-    points = events.groupBy("part", "category", "us").agg(F.sum("one").alias("n"), F.sum("bad").alias("bad"))
-    none = F.lit(None).cast("string")
-    line = points.select(
-        "part", "category", (F.col("us") * 2).alias("tick"), "n", "bad", F.lit(0).alias("opened"),
-        F.lit(0).alias("closed"), none.alias("alert_id"), F.lit(0).alias("side"))
+    nothing, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    line = points.select("category", (F.col("us") * 2).alias("tick"), *sums, F.lit(0).alias("opened"), F.lit(0).alias("closed"),
+                         none.alias("alert_id"), F.lit(0).alias("side"))
     for side, tick in ((1, F.col("first_us") * 2 - 1), (2, F.col("last_us") * 2 + 1)):
         line = line.unionByName(spans.select(
-            "part", "category", tick.alias("tick"), F.lit(0).cast("long").alias("n"),
-            F.lit(0).cast("long").alias("bad"), F.lit(int(side == 1)).alias("opened"),
+            "category", tick.alias("tick"), *[nothing.alias(c) for c in sums], F.lit(int(side == 1)).alias("opened"),
             F.lit(int(side == 2)).alias("closed"), "alert_id", F.lit(side).alias("side")))
-    line = running(with_chunk(line, "tick", 2 * micros("1h")), ["part", "category"], "tick", {
-        "seen": ("sum", "n"), "seen_bad": ("sum", "bad"), "open_before": ("sum", "opened"),
-        "closed_before": ("sum", "closed")})
+    line = running(with_chunk(line, "tick", 2 * micros("1h")), ["category"], "tick", {
+        **{f"seen_{c}": ("sum", c) for c in sums}, "open_before": ("sum", "opened"), "closed_before": ("sum", "closed")})
     sign = F.when(F.col("side") == 2, 1).otherwise(-1)
-    judged = line.where("side > 0").groupBy("part", "alert_id").agg(
-        F.sum(sign * F.col("seen")).alias("members"), F.sum(sign * F.col("seen_bad")).alias("bad_members"))
-    precision = judged.groupBy("part").agg(
-        F.count("*").alias("alerts"),
-        F.count_if((F.col("members") > 0) & (2 * F.col("bad_members") > F.col("members"))).alias("correct_alerts"))
-    covered = line.where("side = 0 AND open_before > closed_before").groupBy("part").agg(
-        F.sum("bad").alias("covered"))
-    detectable = parts.groupBy("part").agg(
-        F.count("*").alias("events"),
-        F.count_if(F.col("malicious") & (F.col("fired_rule_count") > 0)).alias("detectable"),
-        F.sum("fired_rule_count").alias("detections"))
-    out = detectable.join(precision, "part", "left").join(covered, "part", "left").fillna(
-        0, ["alerts", "correct_alerts", "covered"])
+    judged = line.where("side > 0").groupBy("alert_id").agg(*[F.sum(sign * F.col(f"seen_{c}")).alias(c) for c in sums])
+    right = judged.agg(F.count("*").alias("alerts"), *[
+        F.count_if((F.col(f"n_{p}") > 0) & (2 * F.col(f"bad_{p}") > F.col(f"n_{p}"))).alias(f"correct_{p}") for p in parts])
+    covered = line.where("side = 0 AND open_before > closed_before").agg(
+        *[F.coalesce(F.sum(f"bad_{p}"), nothing).alias(f"covered_{p}") for p in parts])
+    # Two single rows side by side, then a row for each part.
+    by_part = right.join(F.broadcast(covered)).select("alerts", F.explode(F.array(*[
+        F.struct(F.lit(p).alias("part"), F.col(f"correct_{p}").alias("correct_alerts"), F.col(f"covered_{p}").alias("covered")) for p in parts
+    ])).alias("p")).select("alerts", "p.*")
+    fired = F.col("fired_rule_count")
+    detectable = _per_part(rows, [], {"events": F.lit(1), "detectable": _one_if(F.col("malicious") & (fired > 0)), "detections": fired})
+    out = detectable.join(by_part, "part")
     alerts_n = F.col("alerts")
     return out.select(
         "part", "events", "alerts", "detectable",
@@ -178,8 +180,7 @@ def campaign_metrics(latencies: DataFrame) -> DataFrame:
         F.min("latency_seconds").alias("latency_min"), F.avg("latency_seconds").alias("latency_mean"),
         F.max("latency_seconds").alias("latency_max"))
     micro = latencies.select((F.col("latency_seconds") * 1e6).cast("long").alias("v"))
-    ranks = select_ranks(micro, [], "v", {"p50": nearest_rank(0.5), "p90": nearest_rank(0.9)},
-                         bucket(F.col("v"), 1_000_000)).select(
+    ranks = select_ranks(micro, [], "v", {"p50": nearest_rank(0.5), "p90": nearest_rank(0.9)}).select(
         (F.col("p50") / 1e6).alias("latency_median"), (F.col("p90") / 1e6).alias("latency_p90"))
     # Single-row aggregates side by side.
     return counts.join(F.broadcast(ranks)).select(

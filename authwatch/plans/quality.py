@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bucket, micros_of
+from ..functions.scalar import micros_of
 from ..operators.ranks import nearest_rank, select_ranks
 from ..schema import NOVELTY_FEATURES
 
@@ -67,7 +67,7 @@ def response_time(events: DataFrame) -> DataFrame:
     for name, f in (("p50", 0.5), ("p95", 0.95)):
         ranks[f"{name}_lo"] = F.floor(position(f)) + 1
         ranks[f"{name}_hi"] = F.ceil(position(f)) + 1
-    picked = select_ranks(events, [], "response_time_ms", ranks, bucket(F.col("response_time_ms"), 64))
+    picked = select_ranks(events, [], "response_time_ms", ranks)
     out = base.join(F.broadcast(picked))
 
     def blend(name: str, f: float):
@@ -132,15 +132,14 @@ def detection_counts(detections: DataFrame) -> DataFrame:
         F.count("*").alias("detections"))
 
 
-def five_numbers(df: DataFrame, column: str, cell_width: float = 0.01, keys: list[str] | None = None) -> DataFrame:
+def five_numbers(df: DataFrame, column: str, keys: list[str] | None = None) -> DataFrame:
     """Min, nearest-rank median, mean, nearest-rank p90 and max of a numeric column."""
     keys = keys or []
     base = df.groupBy(*keys).agg(
         F.count(column).alias("n"), F.min(column).alias("min_value"), F.avg(column).alias("mean_value"),
         F.max(column).alias("max_value"))
     picked = select_ranks(
-        df, keys, column, {"median_value": nearest_rank(0.5), "p90_value": nearest_rank(0.9)},
-        F.floor(F.col(column) / F.lit(cell_width)))
+        df, keys, column, {"median_value": nearest_rank(0.5), "p90_value": nearest_rank(0.9)})
     joined = base.join(picked, keys, "left") if keys else base.join(F.broadcast(picked))
     return joined.select(*keys, "n", "min_value", "median_value", "mean_value", "p90_value", "max_value")
 
@@ -156,13 +155,13 @@ def detection_report(
     severities = assessments.groupBy("severity").agg(F.count("*").alias("v"))
     out = out.unionByName(severities.select(F.lit("assessments_by_severity").alias("section"),
                                             F.col("severity").alias("name"), F.col("v").cast("double").alias("value")))
-    for section, df, column, width in (
-        ("risk_score", assessments.where("fired_rule_count > 0"), "risk_score", 1.0),
-        ("signal_strength", detections, "signal_strength", 0.01),
-        ("alert_peak_risk", alerts, "peak_risk_score", 1.0),
-        ("alert_size", alerts, "contributing_event_count", 1000.0),
+    for section, df, column in (
+        ("risk_score", assessments.where("fired_rule_count > 0"), "risk_score"),
+        ("signal_strength", detections, "signal_strength"),
+        ("alert_peak_risk", alerts, "peak_risk_score"),
+        ("alert_size", alerts, "contributing_event_count"),
     ):
-        five = five_numbers(df, column, width)
+        five = five_numbers(df, column)
         out = out.unionByName(five.selectExpr(
             f"'{section}' AS section",
             "stack(6, 'count', cast(n as double), 'min', cast(min_value as double), 'median', "

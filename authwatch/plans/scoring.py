@@ -68,28 +68,50 @@ def score_results(results: DataFrame, config: DetectionConfig | None = None) ->
     ).select(*RISK_ASSESSMENTS.names)
 
 
+def strongest(detections: DataFrame) -> DataFrame:
+    """One row per (anchor, rule): the strongest repeat as ``d``, the number of repeats, the earliest time.
+
+    Among equally strong repeats the greatest row wins, field by field, so the choice does not depend on the order of rows.
+    """
+    row = F.struct("signal_strength", F.expr(severity_rank("severity")).alias("severity_rank"), "severity", "rule_family", "attack_category",
+                   "correlation_group", "reason_codes", "evidence")
+    return detections.groupBy("anchor_event_id", "rule_id").agg(
+        F.max(row).alias("d"), F.count("*").alias("repeats"), F.min("anchor_event_time").alias("detected_at"))
+
+
+def scoring_counters(detections: DataFrame, anchors: DataFrame) -> DataFrame:
+    """One row: assessed anchors, detections scored, repeats collapsed, and reductions (correlation groups, summed over anchors)."""
+    per_anchor = strongest(detections).groupBy("anchor_event_id").agg(
+        F.count("*").alias("scored"), F.sum(F.col("repeats") - 1).alias("collapsed"),
+        F.size(F.collect_set("d.correlation_group")).cast("long").alias("reduced"))  # a fixed vocabulary
+    zero = F.lit(0).cast("long")
+    evaluated = anchors.select("anchor_event_id", zero.alias("scored"), zero.alias("collapsed"), zero.alias("reduced"))
+    sums = per_anchor.unionByName(evaluated).groupBy("anchor_event_id").agg(*[F.max(c).alias(c) for c in ("scored", "collapsed", "reduced")])
+    return sums.agg(
+        F.count("*").alias("assessment_count"), F.coalesce(F.sum("scored"), zero).alias("scored_detection_count"),
+        F.coalesce(F.sum("collapsed"), zero).alias("duplicate_detection_count"), F.coalesce(F.sum("reduced"), zero).alias("group_reductions"))
+
+
 def results_from_detections(
     detections: DataFrame, anchors: DataFrame, config: DetectionConfig | None = None
 ) -> DataFrame:
     """Rebuild the verdict array from a stored detection table.
 
-    Repeats of (anchor, rule) collapse to the strongest.  At most one entry per
-    registered rule is gathered per anchor.  ``anchors`` is the evaluated inventory.
+    Repeats of (anchor, rule) collapse to the strongest, see ``strongest``.  At most one entry per registered rule is
+    gathered per anchor.  ``anchors`` is the evaluated inventory; anchors that only the detections know are assessed too.
     """
     config = config or DetectionConfig()
     weights = F.create_map(*[x for rule, (family, *_) in META.items() for x in (
         F.lit(rule), F.lit(float(config.family_weights.get(family, 0.0))))])
-    strongest = detections.groupBy("anchor_event_id", "rule_id").agg(
-        F.max_by(F.struct("rule_family", "attack_category", "correlation_group", "severity",
-                          "signal_strength", "evidence", "reason_codes"), "signal_strength").alias("d"))
     entry = F.struct(
         "rule_id", "d.rule_family", "d.attack_category", "d.correlation_group", "d.severity",
         F.expr(severity_rank("d.severity")).alias("severity_rank"),
         weights[F.col("rule_id")].alias("weight"), F.lit("fired").alias("status"),
         "d.signal_strength", "d.evidence", "d.reason_codes")
-    per_anchor = strongest.select("anchor_event_id", entry.alias("r")).groupBy("anchor_event_id").agg(
-        F.collect_list("r").alias("results"))
-    joined = anchors.select("anchor_event_id", "anchor_event_time").join(per_anchor, "anchor_event_id", "left")
+    per_anchor = strongest(detections).select("anchor_event_id", "detected_at", entry.alias("r")).groupBy("anchor_event_id").agg(
+        F.min("detected_at").alias("detected_at"), F.collect_list("r").alias("results"))
+    joined = anchors.select("anchor_event_id", "anchor_event_time").join(per_anchor, "anchor_event_id", "full_outer").select(
+        "anchor_event_id", F.coalesce("anchor_event_time", "detected_at").alias("anchor_event_time"), "results")
     empty = F.array().cast(joined.schema["results"].dataType)
     return joined.withColumn("results", F.coalesce("results", empty))
 

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuthwatchError, SplitConfig, micros
-from ..functions.scalar import bucket, micros_of
+from ..functions.scalar import micros_of
 from ..operators.ranks import select_ranks
 
-_MINUTE = 60_000_000
 _SUPERVISED = "split IN ('train', 'validation', 'test')"
 
 
@@ -17,7 +16,7 @@ def boundaries(events: DataFrame, config: SplitConfig) -> tuple[int, int, int]:
     """(train_end, validation_end, test_end) in microseconds.
 
     Fraction boundaries are the event times at two exact ranks, found by rank
-    selection over a minute histogram; only the three numbers reach the driver.
+    selection; only the three numbers reach the driver.
     """
     if config.mode == "boundaries":
         return config.train_end_us, config.validation_end_us, config.test_end_us
@@ -30,7 +29,7 @@ def boundaries(events: DataFrame, config: SplitConfig) -> tuple[int, int, int]:
         "train_end": rank(config.train_fraction),
         "validation_end": rank(config.train_fraction + config.validation_fraction),
         "last": F.col("__n"),
-    }, bucket(F.col("us"), _MINUTE)).first()
+    }).first()
     if row is None or row["last"] is None:
         raise AuthwatchError("cannot split an empty event set")
     ends = (row["train_end"], row["validation_end"], row["last"] + 1)

@@ -489,6 +489,63 @@ ctr AS (SELECT us FROM p ORDER BY us, event_id LIMIT 1 OFFSET (SELECT count(*) /
 c AS ({rows}) SELECT name AS "check", CASE WHEN n = 0 THEN 'passed' ELSE 'failed' END AS status, n AS violations FROM c"""
 
 
+# Labelled rows once for 'overall' and once for their split.
+PARTS = f"""{SPLIT[len(f'WITH {EV}, {TRUTH}'):]}, ls AS (SELECT lb.*, sa.split FROM lb JOIN sa USING (event_id)),
+lp AS (SELECT 'overall' AS part, * FROM ls UNION ALL SELECT split, * FROM ls)"""
+_CLASS_ROWS = f"""cs AS (SELECT unnest([{_CL}]) AS class), mm AS (SELECT part, class, count(*) FILTER (WHERE actual = class) AS support,
+  count(*) FILTER (WHERE predicted = class) AS predicted_n, count(*) FILTER (WHERE actual = class AND predicted = class) AS tp FROM cs, lp GROUP BY 1, 2),
+pf AS (SELECT part, class, support, predicted_n AS predicted, tp AS true_positives, tp::DOUBLE / nullif(predicted_n, 0) AS precision, tp::DOUBLE / nullif(support, 0) AS recall,
+  CASE WHEN tp > 0 THEN 2.0 * tp / (predicted_n + support) END AS f1 FROM mm)"""
+
+
+def split_metric_queries() -> dict[str, str]:
+    rows = f"{EVAL}{PARTS}"
+    shares = {"false_positive_rate": ("NOT malicious AND fired_rule_count > 0", "NOT malicious"), "detection_rate": ("malicious AND fired_rule_count > 0", "malicious")}
+    rates = ", ".join(f"round(count(*) FILTER (WHERE {a})::DOUBLE / nullif(count(*) FILTER (WHERE {b}), 0), 6) AS {n}" for n, (a, b) in shares.items())
+    means = ", ".join(f"round(avg({m}), 6) AS macro_{m}, round(sum({m} * support) / nullif(sum(support) FILTER (WHERE {m} IS NOT NULL), 0), 6) AS weighted_{m}"
+                      for m in ("precision", "recall", "f1"))
+    predicted = ", ".join(f"count(*) FILTER (WHERE predicted = '{c}') AS predicted_{c}" for c in [*_CLS, "none"])
+    return {
+        "eval_rates_by_split": f"{rows} SELECT part, count(*) AS events, count(*) FILTER (WHERE malicious) AS malicious, count(*) FILTER (WHERE NOT malicious) AS benign, {rates}, round(sum(insufficient_data_count)::DOUBLE / count(*), 6) AS insufficient_data_rate FROM lp GROUP BY 1",
+        "eval_scenario_rates_by_split": f"{rows} SELECT part, scenario AS attack_class, count(*) AS events, round(avg((fired_rule_count > 0)::INT), 6) AS detection_rate FROM lp WHERE malicious GROUP BY 1, 2",
+        "eval_confusion_by_split": f"{rows} SELECT part, actual, {predicted} FROM lp GROUP BY 1, 2",
+        "eval_class_metrics_by_split": f"{rows}, {_CLASS_ROWS} SELECT part, class, support, predicted, true_positives, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pf",
+        "eval_class_summary_by_split": f"{rows}, {_CLASS_ROWS} SELECT part, {means} FROM pf GROUP BY 1",
+        "eval_alert_metrics_by_split": f"""{alert_steps(False)}{EVAL[len(RISK):]}{PARTS}, al AS (SELECT cat, owner, min(us) AS a, max(us) AS b FROM st JOIN qn USING (cat, kind, val, rn) WHERE act IN ('open', 'join') GROUP BY cat, owner),
+pn AS (SELECT DISTINCT part FROM lp), jd AS (SELECT pn.part, cat, owner, count(lp.event_id) AS n, count(lp.event_id) FILTER (WHERE malicious) AS bad
+  FROM pn CROSS JOIN al LEFT JOIN lp ON lp.part = pn.part AND primary_attack_category = cat AND us BETWEEN a AND b GROUP BY 1, 2, 3),
+ac AS (SELECT part, count(*) AS alerts, count(*) FILTER (WHERE 2 * bad > n) AS correct FROM jd GROUP BY 1),
+cv AS (SELECT part, count(*) AS covered FROM lp WHERE malicious AND EXISTS (SELECT 1 FROM al WHERE cat = primary_attack_category AND us BETWEEN a AND b) GROUP BY 1),
+tt AS (SELECT part, count(*) AS events, count(*) FILTER (WHERE malicious AND fired_rule_count > 0) AS detectable, sum(fired_rule_count)::BIGINT AS fired FROM lp GROUP BY 1)
+SELECT part, events, alerts, detectable, round(correct::DOUBLE / alerts, 6) AS alert_precision, round(coalesce(covered, 0)::DOUBLE / nullif(detectable, 0), 6) AS alert_recall,
+  round(1000.0 * alerts / events, 6) AS alerts_per_thousand_events, round(fired::DOUBLE / alerts, 6) AS duplicate_reduction_ratio FROM tt JOIN ac USING (part) LEFT JOIN cv USING (part)"""}
+
+
+def scoring_queries() -> dict[str, str]:
+    """Detections of even anchors stand there twice; an anchor in a hundred is known by its detections only."""
+    assessed = "event_id::BIGINT % 100 <> 1 OR event_id IN (SELECT event_id FROM gm)"
+    return {
+        "scoring_counters": f"""{RISK} SELECT (SELECT count(*) FROM ev WHERE {assessed}) AS assessment_count, count(*) AS scored_detection_count,
+  count(*) FILTER (WHERE event_id::BIGINT % 2 = 0) AS duplicate_detection_count, (SELECT count(*) FROM gm) AS group_reductions FROM re WHERE status = 'fired'""",
+        "risk_from_detections": f"""{RISK} SELECT event_id AS anchor_event_id, us AS anchor_us, round(risk_score, 4) AS risk_score, severity,
+  primary_attack_category, fired_rule_count FROM rk WHERE {assessed}"""}
+
+
+def relations_query() -> str:
+    """Counts of the planted misfits."""
+    def share(modulus: int, rest: int) -> str:
+        return f"(SELECT count(*) FROM ev WHERE event_id::BIGINT % {modulus} = {rest})"
+
+    counts = {
+        "ORPHANED_DETECTION_ANCHORS": "(SELECT count(DISTINCT event_id) FROM re WHERE status = 'fired' AND rule_id <> 'PAD-BF-002' AND event_id::BIGINT % 10 = 3)",
+        "REPEATED_ASSESSMENTS": share(10, 5), "ASSESSMENTS_OUTSIDE_ANCHORS": share(100, 1), "ANCHORS_WITHOUT_ASSESSMENT": share(10, 3), "REPEATED_ANCHORS": "0",
+        "ASSESSMENTS_OUTSIDE_SCOPE": share(100, 7), "SCOPE_WITHOUT_ASSESSMENT": share(10, 3), "REPEATED_SCOPE": "0",
+        "DANGLING_ALERT_RULES": "(SELECT count(*) FROM al WHERE list_contains(rules, 'PAD-BF-002'))",
+        "UNEXPECTED_ALERT_SCOPE": "(SELECT count(*) FROM al WHERE kind <> 'none')", "MANIFEST_DIFFERS": "0"}
+    head = alert_query(True).rsplit("ids AS (SELECT", 1)[0].rstrip().rstrip(",")
+    return head + " " + " UNION ALL ".join(f"SELECT '{name}' AS \"check\", {expr}::BIGINT AS violations" for name, expr in counts.items())
+
+
 def ingest_counts(broken: str) -> str:
     """Rows that pass, and rows refused by code and field; ``broken``: the condition of lines that are no records."""
     return f"""WITH {EV}, x AS (SELECT *, CASE WHEN {broken} THEN 'I005' WHEN event_id::BIGINT % 50 = 1 THEN 'I003'
@@ -553,6 +610,7 @@ UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT '
         f"JOIN ({out[n]}) q{i} USING (anchor_event_id)" for i, n in enumerate(parts))
     out["eval_campaigns"] = f"WITH c AS ({out['eval_campaign_latency']}) SELECT count(*) AS campaigns, count(latency_seconds) AS detected, count(*) - count(latency_seconds) AS missed, round(count(latency_seconds)::DOUBLE / count(*), 6) AS coverage, round(min(latency_seconds), 6) AS latency_min, round(quantile_disc(latency_seconds, 0.5), 6) AS latency_median, round(avg(latency_seconds), 6) AS latency_mean, round(quantile_disc(latency_seconds, 0.9), 6) AS latency_p90, round(max(latency_seconds), 6) AS latency_max FROM c"
     out["event_fingerprint"] = FINGERPRINT
+    out |= split_metric_queries() | scoring_queries() | {"run_relations": relations_query()}
     out |= {"alerts": alert_query(False), "alerts_by_entity": alert_query(True), "alert_accounting": accounting_query(), "eval_alert_metrics": alert_metrics_query(), "leakage_audit_planted": audit_query(), "alert_mean_bounds": mean_bounds_query(),
             "detection_quality": detection_report_query()}
     return out
