@@ -416,7 +416,7 @@ def _answer_runs(length: int) -> Callable:
     return run
 
 
-def _finish(length: int, buckets: int) -> Callable:
+def _finish(length: int, buckets: int, as_text: bool) -> Callable:
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         block = _block(rows, length)
         covered = np.zeros(len(block.data) + 1, np.int32)
@@ -450,19 +450,19 @@ def _finish(length: int, buckets: int) -> Callable:
         return pa.table({
             **{c: own[c] for c in own.column_names}, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(size - left, pa.int64()),
             "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string()),
-            "kept": pa.array(kept, pa.binary())})
+            "kept": pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary())})
 
     return run
 
 
 def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50,
                    block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES,
-                   split_above: int = SPLIT_ABOVE, carry: Column | None = None) -> DataFrame:
+                   split_above: int = SPLIT_ABOVE, carry: Column | None = None, as_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row for each row of ``docs``; and ``carried``, the
     value of the column ``carry`` (of any type, untouched) where one is given.
 
     Removed are the UTF-8 bytes covered by a string of ``length`` bytes that also starts in a row with a smaller id.
-    ``kept`` is what remains, as binary. Null texts are empty. Rows with the same id do not act on each other, and a
+    ``kept`` is what remains, as binary, or with ``as_text`` as a string without cut characters. Null texts are empty. Rows with the same id do not act on each other, and a
     null id counts as larger than all others. ``length`` is at least GRAM + 1 and at most GRAM + 63, ``split_above``
     less than MOST_RUNS.
     """
@@ -489,8 +489,8 @@ def repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     bits = runs.groupBy("bucket").applyInPandas(_answer_runs(length), "block int, run_bucket int, bits binary")
     answers = verdicts.unionByName(bits, allowMissingColumns=True)
     kind = T_.StructType([docs.schema[c] for c in ("doc_id", "no_id", "carried")] + T_.StructType.fromDDL(
-        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").fields)
-    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(length, buckets), kind)
+        "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept " + ("string" if as_text else "binary")).fields)
+    out = docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(length, buckets, as_text), kind)
     out = out.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")
     return out.drop("carried") if carry is None else out
 
@@ -504,14 +504,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **o
     others = [c for c in docs.columns if c not in (key, text)]
     # by place, as names may differ in case only
     row = F.struct(F.col(text).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    found = repeated_bytes(docs, key, text, carry=row, **options)
-
-    @F.arrow_udf("string")
-    def valid(raw: pa.Array) -> pa.Array:
-        return pa.array([(x or b"").decode(errors="ignore") for x in raw.to_pylist()], pa.string())
-
+    # texts are decoded where they are cut, so that no task keeps a second Python worker for it
+    found = repeated_bytes(docs, key, text, carry=row, as_text=True, **options)
     out = found.select(F.col("doc_id").cast(docs.schema[key].dataType).alias("doc_id"), "n_removed",
-                       F.when(~F.col("carried.none"), valid("kept")).alias("kept"), "carried")
+                       F.when(~F.col("carried.none"), F.col("kept")).alias("kept"), "carried")
     columns = []
     for c in docs.columns:
         if c == key:
