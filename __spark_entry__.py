@@ -16,7 +16,7 @@ from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
 from authwatch.config import FeatureConfig, SkewConfig  # noqa: E402
-from authwatch.functions.privacy import DOMAINS, pseudonymiser  # noqa: E402
+from authwatch.functions.privacy import DOMAINS, pseudonymise  # noqa: E402
 from authwatch.functions.scalar import micros_of  # noqa: E402
 from authwatch.operators.ranks import nearest_rank, select_ranks  # noqa: E402
 from authwatch.operators.prefix import neighbour, with_chunk  # noqa: E402
@@ -427,9 +427,13 @@ def join_integrity(spark, sf_dir):
     return audit.key_integrity(anchors, labels, _assignments(spark, sf_dir).where("split != 'excluded'"))
 
 
+def pseudonyms(spark, sf_dir):
+    """The keyed pseudonyms themselves, of every event."""
+    return pseudonymise(auth_events(spark, sf_dir).select("event_id", *DOMAINS), bytes(range(32)))
+
+
 def pseudonym_shape(spark, sf_dir):
-    key = bytes(range(32))
-    rows = auth_events(spark, sf_dir).select(*[pseudonymiser(key, c)(F.col(c)).alias(c) for c in DOMAINS])
+    rows = pseudonymise(auth_events(spark, sf_dir).select(*DOMAINS), bytes(range(32)))
     pairs = F.array(*[F.struct(F.lit(c).alias("n"), F.col(c).alias("v")) for c in DOMAINS])
     values = rows.select(F.explode(pairs).alias("p")).groupBy("p.n", "p.v").agg(F.count("*").alias("c"))
     names = {"user_id": "users", "source_id": "sources", "device_id": "devices", "session_id": "sessions"}
@@ -481,7 +485,7 @@ def queries() -> dict[str, Query]:
         risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_rates_by_split, eval_scenario_rates_by_split, eval_confusion_by_split, eval_class_metrics_by_split, eval_class_summary_by_split,
         eval_alert_metrics_by_split, scoring_counters, risk_from_detections, run_relations, eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
-        validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonym_shape, event_fingerprint, detection_quality,
+        validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonyms, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})
     out["split_assign"] = _assignments
     out["eval_confusion"] = lambda s, d: _overall(evaluate.confusion(_rows(s, d)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import AuthwatchError
-from ..functions.privacy import DOMAINS, MAX_DEPTH, prohibited, pseudonymiser
+from ..functions.privacy import DOMAINS, MAX_DEPTH, prohibited, pseudonymise
 from ..plans.validate import event_checks
 from ..schema import AUTH_EVENTS, GROUND_TRUTH_COLUMNS
 
@@ -88,7 +88,7 @@ def _shape(rows: DataFrame, key: bytes | None) -> Ingested:
     raw_missing = " OR ".join(f"{c} IS NULL" for c in DOMAINS)
     rows = rows.withColumn("pseudonym_error", F.expr(raw_missing))
     if key is not None:
-        rows = rows.withColumns({c: pseudonymiser(key, c)(F.col(c)) for c in DOMAINS})
+        rows = pseudonymise(rows, key)
     typed, failed = [], []
     for field in AUTH_EVENTS.fields:
         n, t = field.name, field.dataType.simpleString()

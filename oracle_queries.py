@@ -603,6 +603,12 @@ def oracles() -> dict[str, str]:
 SELECT 'prohibited_column' AS problem, 1::BIGINT AS violations UNION ALL SELECT 'repeated_anchor', count(*) FROM n WHERE n = 0
 UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT 'not_finite', count(*) FROM n WHERE n = 2"""
     out["join_integrity"] = f"{SPLIT} SELECT 0::BIGINT AS missing_from_features, count(*) FILTER (WHERE scenario = 'normal') AS missing_from_labels, count(*) FILTER (WHERE split = 'excluded') AS missing_from_splits, 0::BIGINT AS duplicated_in_features, 0::BIGINT AS duplicated_in_labels, 0::BIGINT AS duplicated_in_splits FROM sa"
+    # HMAC-SHA-256 with the key 00 01 .. 1f, by its two padded blocks
+    inner, outer = (bytes(b ^ x for b in bytes(range(32)) + bytes(32)).hex() for x in (0x36, 0x5C))
+    keyed = "'{0}:' || substr(sha256(unhex('{2}') || unhex(sha256(unhex('{3}') || encode('{1}:' || {4})))), 1, 32) AS {4}"
+    out["pseudonyms"] = f"{ev} SELECT event_id::VARCHAR AS event_id, " + ", ".join(
+        keyed.format(prefix, domain, outer, inner, column) for prefix, domain, column in (
+            ("u", "user", "user_id"), ("s", "source", "source_id"), ("d", "device", "device_id"), ("sess", "session", "session_id"))) + " FROM ev"
     out["pseudonym_shape"] = f"{ev} SELECT count(DISTINCT user_id) AS users, count(DISTINCT source_id) AS sources, count(DISTINCT device_id) AS devices, count(DISTINCT session_id) AS sessions, 0::BIGINT AS malformed FROM ev"
     out |= {f"{n}_dense": out[n] for n in DENSE_GROUPS}
     parts = ["current_context", "calendar", *GROUPS, *SEQ_GROUPS]
