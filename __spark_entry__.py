@@ -31,6 +31,7 @@ from authwatch.schema import feature_catalog  # noqa: E402
 from authwatch.schema import AUTH_EVENTS  # noqa: E402
 from authwatch.sources.adapters import auth_events, ground_truth  # noqa: E402
 from authwatch.sources.ingest import Ingested, ingest_csv, ingest_jsonl  # noqa: E402
+from authwatch.sources.probe import file_findings, probe_files, read_sound  # noqa: E402
 from authwatch.sources.publish import publish, read_manifest, read_published, verify_manifest  # noqa: E402
 from driver_config import DETECTION, FEATURES, REFERENCE_END_US, SHORT_ID  # noqa: E402
 
@@ -420,6 +421,21 @@ def ingest_jsonl_files(spark, sf_dir):
     return _ingest_counts(ingest_jsonl(spark, root, bytes(range(32))))
 
 
+def unreadable_files(spark, sf_dir):
+    """Events published by outcome, with a file among each outcome's that is no Parquet: its finding, and what can be read."""
+    events = auth_events(spark, sf_dir)
+    root = f"{shared_folder(spark)}/probe-{uuid4().hex}"
+    by = "authentication_outcome"
+    events.write.partitionBy(by).parquet(root)
+    events.groupBy(by).agg(F.max("event_id").alias("value")).coalesce(1).write.mode("append").partitionBy(by).text(root)
+    probed = probe_files(spark, root)
+    outcome = F.regexp_extract("field", f"{by}=([^/]+)/", 1)
+    bad = file_findings(probed).groupBy("code", outcome.alias(by)).agg(F.sum("violations").alias("violations"))
+    rows = read_sound(spark, root, probed, events.schema).groupBy(by).agg(
+        F.count("*").alias("events"), F.countDistinct("event_id").alias("ids"), F.sum("response_time_ms").alias("response_ms"))
+    return rows.join(bad, by, "full_outer")
+
+
 def join_integrity(spark, sf_dir):
     """Key comparison on deliberately incomplete sides, so that every counter has something to find."""
     anchors = auth_events(spark, sf_dir).select(F.col("event_id").alias("anchor_event_id"))
@@ -485,7 +501,7 @@ def queries() -> dict[str, Query]:
         risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_rates_by_split, eval_scenario_rates_by_split, eval_confusion_by_split, eval_class_metrics_by_split, eval_class_summary_by_split,
         eval_alert_metrics_by_split, scoring_counters, risk_from_detections, run_relations, eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
-        validate_events, ingest_csv_files, ingest_jsonl_files, join_integrity, pseudonyms, pseudonym_shape, event_fingerprint, detection_quality,
+        validate_events, ingest_csv_files, ingest_jsonl_files, unreadable_files, join_integrity, pseudonyms, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})
     out["split_assign"] = _assignments
     out["eval_confusion"] = lambda s, d: _overall(evaluate.confusion(_rows(s, d)))
