@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,10 @@ def require_not_null(df: DataFrame, schema: T.StructType) -> None:
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored table in its declared types."""
-    schema = TABLES[name]
+    return _read_typed(spark, path, TABLES[name])
+
+
+def _read_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     stored = T.StructType([
         T.StructField(f"{f.name}_json", T.StringType()) if _is_nested(f.dataType) else T.StructField(f.name, f.dataType)
         for f in schema.fields])
@@ -75,10 +79,24 @@ def _files(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def _move_new(spark: SparkSession, source, target) -> None:
+    """Give the file its final name; unlike a plain rename, never in place of another file."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    try:
+        files.rename(source, target, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+            raise
+        raise AuthwatchError("another run published first") from None
+
+
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], extra: dict | None = None) -> str:
     """Write all tables under a fresh run folder; the manifest, written last, is the commit.
 
-    A failure before the manifest leaves nothing a reader would see.
+    A failure before the manifest leaves nothing a reader would see, and of two runs at one place the later is refused. The
+    manifest keeps each table's declared schema, so that tables whose columns are chosen by settings are read typed too.
     """
     fs, manifest_path = _files(spark, f"{root}/manifest.json")
     if fs.exists(manifest_path):
@@ -97,15 +115,14 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], extra:
             require_not_null(read_table(spark, path, name), schema)
         digest = fingerprint(stored).first()
         entries[name] = {"path": f"{run}/{name}", "rows": digest.row_count, "digest": digest.digest,
-                         "columns": stored.columns}
+                         "columns": stored.columns, "types": dict(stored.dtypes), "schema": (schema or df.schema).jsonValue()}
     body = json.dumps({"schema_version": SCHEMA_VERSION, "tables": entries, **(extra or {})}, sort_keys=True)
     jvm = spark.sparkContext._jvm
     staged = jvm.org.apache.hadoop.fs.Path(f"{root}/{run}/manifest.tmp")
     stream = fs.create(staged)
     stream.write(body.encode())
     stream.close()
-    if not fs.rename(staged, manifest_path):
-        raise AuthwatchError("another run published first")
+    _move_new(spark, staged, manifest_path)
     return f"{root}/{run}"
 
 
@@ -115,16 +132,15 @@ def read_manifest(spark: SparkSession, root: str) -> dict:
 
 def read_published(spark: SparkSession, root: str, name: str) -> DataFrame:
     entry = read_manifest(spark, root)["tables"][name]
-    path = f"{root}/{entry['path']}"
-    return read_table(spark, path, name) if name in TABLES else spark.read.parquet(path)
+    return _read_typed(spark, f"{root}/{entry['path']}", TABLES.get(name) or T.StructType.fromJson(entry["schema"]))
 
 
 def verify_manifest(spark: SparkSession, root: str) -> DataFrame:
-    """(table, field, matches): stored row counts, digests and columns against the manifest."""
+    """(table, field, matches): stored row counts, digests, columns and their types against the manifest."""
     rows = []
     for name, entry in read_manifest(spark, root)["tables"].items():
         stored = spark.read.parquet(f"{root}/{entry['path']}")
         now = fingerprint(stored).first()
         rows += [(name, "rows", now.row_count == entry["rows"]), (name, "digest", now.digest == entry["digest"]),
-                 (name, "columns", stored.columns == entry["columns"])]
+                 (name, "columns", stored.columns == entry["columns"]), (name, "types", dict(stored.dtypes) == entry["types"])]
     return spark.createDataFrame(rows, "table string, field string, matches boolean")

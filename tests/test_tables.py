@@ -9,6 +9,7 @@ from authwatch.plans import split
 from authwatch.plans.fingerprint import fingerprint
 from authwatch.plans.validate import validate_events
 from authwatch.sources.ingest import ingest_csv, ingest_jsonl
+from authwatch.sources import publish as publish_module
 from authwatch.sources.publish import publish, read_published, verify_manifest
 from authwatch.sources.synth import SynthConfig, generate
 from tests.streams import START, frame, parse
@@ -118,3 +119,35 @@ def test_split_boundaries_and_policies(spark):
     assert got["e000009"] == ("train", None) and got["e000019"] == ("test", None)
     with pytest.raises(AuthwatchError):
         split.check_exclusions(split.assign(events, labels, config, ends), config)
+
+
+def test_published_tables_without_a_fixed_schema_are_read_typed(spark, tmp_path):
+    root = str(tmp_path / "own")
+    df = spark.createDataFrame([(1, [1.5, None], (2, "x")), (2, None, None)], "n int, xs array<double>, s struct<a: int, b: string>")
+    publish(spark, root, {"user_baselines": df})
+    got = read_published(spark, root, "user_baselines")
+    assert got.dtypes == df.dtypes and sorted(got.collect()) == sorted(df.collect())
+    assert {r.field for r in verify_manifest(spark, root).where("matches").collect()} == {"rows", "digest", "columns", "types"}
+
+
+def test_half_written_runs_are_not_seen_and_a_late_commit_is_refused(spark, tmp_path):
+    root = str(tmp_path / "race")
+    one, two = (spark.range(n).toDF("n") for n in (3, 5))
+    two.write.parquet(f"{root}/run_id=half/numbers")  # a run that ended before its manifest
+    publish(spark, root, {"numbers": one})
+    assert read_published(spark, root, "numbers").count() == 3
+    # a run that saw no manifest when it began, and comes second
+    late = tmp_path / "race" / "manifest.tmp"
+    late.write_text("{}")
+    jvm = spark.sparkContext._jvm
+    with pytest.raises(AuthwatchError, match="first"):
+        publish_module._move_new(spark, *[jvm.org.apache.hadoop.fs.Path(f"file://{p}") for p in (late, f"{root}/manifest.json")])
+    assert read_published(spark, root, "numbers").count() == 3 and all(r.matches for r in verify_manifest(spark, root).collect())
+
+
+def test_changed_files_do_not_match_the_manifest(spark, tmp_path):
+    root = str(tmp_path / "changed")
+    run = publish(spark, root, {"numbers": spark.range(4).toDF("n")})
+    spark.range(1).toDF("n").write.mode("append").parquet(f"{run}/numbers")
+    assert {r.field: r.matches for r in verify_manifest(spark, root).collect()} == {
+        "rows": False, "digest": False, "columns": True, "types": True}
