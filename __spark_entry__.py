@@ -7,6 +7,7 @@ import os
 import sys
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from uuid import uuid4
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import oracle_queries as oracle  # noqa: E402
-from authwatch.config import FeatureConfig, SkewConfig  # noqa: E402
+from authwatch.config import AuthwatchError, FeatureConfig, SkewConfig  # noqa: E402
 from authwatch.functions.privacy import DOMAINS, pseudonymise  # noqa: E402
 from authwatch.functions.scalar import micros_of  # noqa: E402
 from authwatch.operators.ranks import nearest_rank, select_ranks  # noqa: E402
@@ -352,6 +353,36 @@ def run_relations(spark, sf_dir):
     return found.unionByName(unlike)
 
 
+def published_runs(spark, sf_dir):
+    """Two published runs read back through their manifests: rows, a total, and what differs from the manifest.
+
+    Beside the first stands a run that ended before its manifest, and a second commit is tried at its place.
+    """
+    root = f"{shared_folder(spark)}/runs-{uuid4().hex}"
+    events = auth_events(spark, sf_dir)
+    failures = {"auth_events": events.where("authentication_outcome = 'failure'")}
+    failures["auth_events"].write.parquet(f"{root}/all/run_id=unfinished/auth_events")
+    publish(spark, f"{root}/all", {
+        "auth_events": events, "feature_snapshot": _features(oracle.GROUPS["win_user_counts"])(spark, sf_dir),
+        "user_baselines": baseline_user(spark, sf_dir)})
+    publish(spark, f"{root}/failures", failures)
+    try:
+        publish(spark, f"{root}/all", failures)
+        refused = 0
+    except AuthwatchError:
+        refused = 1
+    totals = {"auth_events": "response_time_ms", "feature_snapshot": "user_attempt_count__7d", "user_baselines": "event_count"}
+    out = []
+    for run in ("all", "failures"):
+        differs = verify_manifest(spark, f"{root}/{run}").groupBy("table").agg(F.count_if(~F.col("matches")).alias("differences"))
+        for name in read_manifest(spark, f"{root}/{run}")["tables"]:
+            back = read_published(spark, f"{root}/{run}", name)
+            out.append(back.agg(F.count("*").alias("row_count"), F.sum(totals[name]).cast("long").alias("total")).join(
+                F.broadcast(differs.where(F.col("table") == name))).select(F.lit(run).alias("run"), "table", "row_count", "total", "differences"))
+    late = spark.createDataFrame([("all", "late_commit", 0, 0, 1 - refused)], "run string, table string, row_count long, total long, differences long")
+    return reduce(DataFrame.unionByName, out, late)
+
+
 def eval_campaign_latency(spark, sf_dir):
     return _rounded(evaluate.campaign_latencies(_rows(spark, sf_dir), ground_truth(spark, sf_dir)))
 
@@ -500,7 +531,7 @@ def queries() -> dict[str, Query]:
         split_manifest, split_scenarios, purge_check, campaign_isolation, leakage_audit_planted, alert_mean_bounds, rule_status_counts, detections,
         risk_scores, snapshot_input, severity_distribution, alert_gates, alert_totals, alerts, alerts_by_entity, alert_accounting,
         eval_rates_by_split, eval_scenario_rates_by_split, eval_confusion_by_split, eval_class_metrics_by_split, eval_class_summary_by_split,
-        eval_alert_metrics_by_split, scoring_counters, risk_from_detections, run_relations, eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
+        eval_alert_metrics_by_split, scoring_counters, risk_from_detections, run_relations, published_runs, eval_alert_metrics, eval_campaign_latency, eval_campaigns, quality_events, quality_features, top_countries,
         validate_events, ingest_csv_files, ingest_jsonl_files, unreadable_files, join_integrity, pseudonyms, pseudonym_shape, event_fingerprint, detection_quality,
         detection_validation, feature_snapshot)})
     out["split_assign"] = _assignments

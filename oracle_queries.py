@@ -604,6 +604,12 @@ SELECT 'prohibited_column' AS problem, 1::BIGINT AS violations UNION ALL SELECT
 UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT 'not_finite', count(*) FROM n WHERE n = 2"""
     out["join_integrity"] = f"{SPLIT} SELECT 0::BIGINT AS missing_from_features, count(*) FILTER (WHERE scenario = 'normal') AS missing_from_labels, count(*) FILTER (WHERE split = 'excluded') AS missing_from_splits, 0::BIGINT AS duplicated_in_features, 0::BIGINT AS duplicated_in_labels, 0::BIGINT AS duplicated_in_splits FROM sa"
     out["unreadable_files"] = f"{ev} SELECT authentication_outcome, count(*) AS events, count(DISTINCT event_id) AS ids, sum(response_time_ms)::BIGINT AS response_ms, 'V001' AS code, 1::BIGINT AS violations FROM ev GROUP BY 1"
+    out["published_runs"] = " UNION ALL ".join([
+        f"SELECT * FROM ({ev} SELECT 'all' AS run, 'auth_events' AS \"table\", count(*) AS row_count, sum(response_time_ms)::BIGINT AS total, 0::BIGINT AS differences FROM ev)",
+        f"SELECT * FROM ({ev} SELECT 'failures', 'auth_events', count(*), sum(response_time_ms)::BIGINT, 0 FROM ev WHERE authentication_outcome = 'failure')",
+        f"SELECT 'all', 'feature_snapshot', count(*), sum(user_attempt_count__7d)::BIGINT, 0 FROM ({out['win_user_counts']})",
+        f"SELECT 'all', 'user_baselines', count(*), sum(event_count)::BIGINT, 0 FROM ({out['baseline_user']})",
+        "SELECT 'all', 'late_commit', 0, 0, 0"])
     # HMAC-SHA-256 with the key 00 01 .. 1f, by its two padded blocks
     inner, outer = (bytes(b ^ x for b in bytes(range(32)) + bytes(32)).hex() for x in (0x36, 0x5C))
     keyed = "'{0}:' || substr(sha256(unhex('{2}') || unhex(sha256(unhex('{3}') || encode('{1}:' || {4})))), 1, 32) AS {4}"
