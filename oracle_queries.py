@@ -610,6 +610,31 @@ UNION ALL SELECT 'wrong_version', count(*) FROM n WHERE n = 1 UNION ALL SELECT '
         f"SELECT 'all', 'feature_snapshot', count(*), sum(user_attempt_count__7d)::BIGINT, 0 FROM ({out['win_user_counts']})",
         f"SELECT 'all', 'user_baselines', count(*), sum(event_count)::BIGINT, 0 FROM ({out['baseline_user']})",
         "SELECT 'all', 'late_commit', 0, 0, 0"])
+    # events with the planted faults of event_findings: by remainder m, those of 15 twice; "bad" where any check of rows fails
+    reason = ("CASE m WHEN 4 THEN 'weird' WHEN 16 THEN NULL ELSE CASE authentication_outcome WHEN 'failure' THEN 'invalid_credentials' "
+              "WHEN 'blocked' THEN 'rate_limited' END END")
+    faulty = f"""{ev}, twice AS (SELECT *, event_id::BIGINT % 40 AS m FROM ev UNION ALL SELECT *, 15 FROM ev WHERE event_id::BIGINT % 40 = 15),
+fe AS (SELECT event_id, m, {reason} AS failure_reason, CASE m WHEN 3 THEN 'maybe' ELSE authentication_outcome END AS o,
+ CASE m WHEN 5 THEN 'odd' ELSE mfa_outcome END AS mfa FROM twice),
+fc AS (SELECT *, coalesce(mfa = 'bypassed' AND o NOT IN ('success', 'failure'), false) AS v18, coalesce(
+ (o = 'success' AND failure_reason IS NOT NULL) OR (o = 'failure' AND failure_reason IS NULL) OR (o = 'blocked' AND (failure_reason IS NULL OR failure_reason = 'weird'))
+ OR (o = 'challenged' AND failure_reason IS NOT NULL), false) AS v17 FROM fe)"""
+    single = {1: ("V004", "schema_version"), 2: ("V008", "authentication_method"), 3: ("V009", "authentication_outcome"), 4: ("V010", "failure_reason"),
+              5: ("V011", "mfa_outcome"), 6: ("V012", "client_type"), 7: ("V013", "country_code"), 8: ("V014", "coarse_latitude"),
+              9: ("V015", "coarse_longitude"), 10: ("V016", "response_time_ms"), 11: ("V019", "user_id"), 12: ("V019", "source_id"),
+              13: ("V019", "device_id"), 14: ("V019", "session_id"), 15: ("V006", "event_id")}
+    found = [f"SELECT '{code}' AS code, '{field}' AS field, 'error' AS level, count(*) FILTER (WHERE m = {m}){' // 2' if m == 15 else ''} AS violations FROM fc"
+             for m, (code, field) in single.items()]
+    found += [f"SELECT '{code}', '{field}', 'error', count(*) FILTER (WHERE {c}) FROM fc" for code, field, c in (
+        ("V017", "failure_reason", "v17"), ("V018", "mfa_outcome", "v18"), ("V002", "", "false"))]
+    found += ["SELECT 'V005', 'scenario', 'error', 1", "SELECT 'V020', 'failure_reason', 'warning', (avg((failure_reason IS NULL)::INT) > 0.5)::BIGINT FROM fc"]
+    found += [f"SELECT 'V020', '{c}', 'warning', {int(c in ('region_code', 'operating_system_family'))}" for c in (
+        "schema_version", "event_id", "event_time", "user_id", "source_id", "device_id", "session_id", "application_id", "authentication_method",
+        "authentication_outcome", "mfa_outcome", "country_code", "region_code", "coarse_latitude", "coarse_longitude", "user_agent_family",
+        "operating_system_family", "client_type", "response_time_ms", "scenario")]
+    out["event_findings"] = f"{faulty} " + " UNION ALL ".join(found)
+    out["event_acceptance"] = f"""{faulty}, ids AS (SELECT event_id, count(*) AS n, bool_or(v17 OR v18 OR m BETWEEN 1 AND 14) AS bad FROM fc GROUP BY 1)
+SELECT sum(1 - bad::INT)::BIGINT AS accepted, sum(n - 1 + bad::INT)::BIGINT AS rejected FROM ids"""
     # HMAC-SHA-256 with the key 00 01 .. 1f, by its two padded blocks
     inner, outer = (bytes(b ^ x for b in bytes(range(32)) + bytes(32)).hex() for x in (0x36, 0x5C))
     keyed = "'{0}:' || substr(sha256(unhex('{2}') || unhex(sha256(unhex('{3}') || encode('{1}:' || {4})))), 1, 32) AS {4}"
