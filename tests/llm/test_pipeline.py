@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from authwatch.llm import mixing
+from authwatch.llm import langid, mixing
+from authwatch.llm.columns import fold_of
 from tests.llm import naive
 
 ITEMS = "item_id bigint, text string"
@@ -58,3 +61,22 @@ def test_one_document(spark, tmp_path):
     path = folder(spark, tmp_path, [(1, "one short text", "en", "a", 14)], [])
     assert [r.doc_id for r in corpus_pipeline.run(spark, path).collect()] == [1]
     assert mixing.MISSING
+
+
+def test_identified_language_reaches_the_mixture(spark, tmp_path):
+    """Rows whose source names no language or a wrong one are mixed under the language of their text."""
+    rows = [list(r) for r in naive.corpus(8)]
+    known = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    lost = {r[0] for r in known[::5]}
+    for r in known[::5]:
+        r[2] = None if r[0] % 2 else "xx"
+    path = folder(spark, tmp_path, [tuple(r) for r in rows], [(1, "no such passage anywhere")])
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    model = langid.fit(docs.where(fold_of(F.col("doc_id"), 4) != 2))
+    want = {r.doc_id: r.lang_pred for r in docs.select("doc_id", langid.predict(F.col("text"), model)["lang_pred"].alias("lang_pred")).collect()}
+    staged = corpus_pipeline.identify_language(spark, docs, path).collect()
+    assert {r.doc_id: r.lang for r in staged} == {i: p for i, p in want.items() if p != langid.UNDETERMINED}
+    assert lost & {r.doc_id for r in staged}
+    final = corpus_pipeline.run(spark, path).collect()
+    assert final and all(r.lang == want[r.doc_id] for r in final)
+    assert [r for r in final if r.doc_id in lost]
