@@ -3,7 +3,8 @@
 ``frame`` form: sliding RANGE frames ``[t - w, t - 1us]``.  Cheap while a frame
 holds few rows.  ``sweep`` form: every contribution becomes a pair of deltas on
 the time axis and a running sum, so cost is linear in the number of events
-however full a window is; chunking (see ``prefix``) bounds what one task holds.
+however full a window is; a chunk of one key is summed as arrays, and totals are
+carried from chunk to chunk, so one task never holds a whole key.
 ``plans.features`` routes dense entities to the sweep form.
 
 Expressions are SQL text: one parse per column instead of one JVM call per node.
@@ -11,12 +12,15 @@ Expressions are SQL text: one parse per column instead of one JVM call per node.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig, micros
 from ..schema import DIMENSION_COLUMNS, ENTITY_KEYS, Feature
-from .prefix import CHUNK, neighbour, running, with_chunk
+from .prefix import CHUNK, neighbour, with_chunk
 
 US = "event_us"
 # Stand-in for "no earlier event": further away than any window.
@@ -159,10 +163,14 @@ def frame_features(
     return rows.selectExpr(*df.columns, *finished)
 
 
+#: Thin rows of a sweep that one task sorts, whatever the size of the table.
+SWEEP_ROWS = 1_000_000
+
+
 def sweep_features(
-    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig
+    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig, row: str = "event_id"
 ) -> DataFrame:
-    """Sweep-line form; returns (event_id, features...) for the given events."""
+    """Sweep-line form; returns (row, features...) for the given events, ``row`` being a column that tells them apart."""
     keys = list(ENTITY_KEYS[kind])
     width = micros(config.skew.chunk)
     needed = _accumulators(features)
@@ -172,7 +180,7 @@ def sweep_features(
     additive = sorted(n for n in everything - set(dims) if not n.startswith("gap"))
 
     base_columns = list(dict.fromkeys(
-        ["event_id", US, *keys, "authentication_outcome", "mfa_outcome", "response_time_ms",
+        [row, US, *keys, "authentication_outcome", "mfa_outcome", "response_time_ms",
          *[DIMENSION_COLUMNS[d] for d in dims]]
     ))
     events = with_chunk(df.select(*base_columns), US, width)
@@ -184,37 +192,38 @@ def sweep_features(
             for i, w in enumerate(windows) if test(needed[w])))
 
     # Thin delta rows: when a change takes effect, which window it belongs to (-1 = all),
-    # what it is (null = an event with its payload) and with which sign.  An event row
-    # brings the gap to its predecessor, its expiry row takes out the gap to its successor.
-    def delta(when: str, slot: str, what: str, sign: int, payload: bool = False,
-              gap: str = "0L", event: str = "cast(null as string)") -> list[str]:
+    # what it is (-1 = an event with its payload, else a dimension) and with which sign.  An event
+    # row brings the gap to its predecessor, its expiry row takes out the gap to its successor.
+    row_type = df.schema[row].dataType.simpleString()
+
+    def delta(when: str, slot: str, what: str, sign: str, payload: bool = False,
+              gap: str = "0L", event: str = f"cast(null as {row_type})") -> list[str]:
         return [
-            f"{event} AS event_id", *keys, f"{when} AS {US}", f"{slot} AS slot", f"{what} AS what",
-            f"{sign}L AS sign", f"{gap} AS gap",
+            f"{event} AS {row}", *keys, f"{when} AS {US}", f"{slot} AS slot", f"{what} AS what",
+            f"{sign} AS sign", f"{gap} AS gap",
             *[f"{_row_value(n) if payload else '0L'} AS v_{n}" for n in additive],
         ]
 
-    no_what = "cast(null as string)"
     gaps = "gap_sum" in everything
     if gaps:
         events = neighbour(events, keys, US, "prev_us", forward=False)
         events = neighbour(events, keys, US, "next_us", forward=True)
     before, after = (f"coalesce({US} - prev_us, 0L)", f"coalesce(next_us - {US}, 0L)") if gaps else ("0L", "0L")
-    parts = [events.selectExpr(*delta(US, "-1", no_what, 1, payload=True, gap=before, event="event_id"))]
+    parts = [events.selectExpr(*delta(US, "-1", "-1", "1L", payload=True, gap=before, event=row))]
     if additive:
         parts.append(
             events.selectExpr("*", f"explode({spans(lambda names: names & set(additive))}) AS e")
-            .selectExpr(*delta(f"{US} + e.w", "e.slot", no_what, -1, payload=True, gap=after)))
+            .selectExpr(*delta(f"{US} + e.w", "e.slot", "-1", "-1L", payload=True, gap=after)))
     if dims:
         # Distinct counting: +1 when a value appears in a window, -1 when its last
         # occurrence leaves it.  Occurrences closer than the window cancel, so a
         # value that keeps repeating costs nothing.
         entries = ", ".join(
-            f"named_struct('what', '{d}', 'x', cast({DIMENSION_COLUMNS[d]} as string))" for d in dims)
+            f"named_struct('what', {i}, 'x', cast({DIMENSION_COLUMNS[d]} as string))" for i, d in enumerate(dims))
         seen = events.selectExpr(*keys, US, CHUNK, f"explode(array({entries})) AS d").selectExpr(
             *keys, US, CHUNK, "d.what AS what", "d.x AS x").where("x IS NOT NULL").distinct()
         first = seen.groupBy(*keys, "what", "x").agg(F.min(US).alias(US))
-        parts.append(first.selectExpr(*delta(US, "-1", "what", 1)))
+        parts.append(first.selectExpr(*delta(US, "-1", "what", "1L")))
         seen = neighbour(seen, [*keys, "what", "x"], US, "next_us", forward=True)
         breaks = seen.selectExpr(
             "*", f"explode({spans(lambda names: names & set(dims))}) AS e"
@@ -222,28 +231,107 @@ def sweep_features(
         edge = (f"array(named_struct('at', {US} + e.w, 'sign', -1L), named_struct('at', next_us, 'sign', 1L))")
         breaks = breaks.selectExpr(*keys, "what", "e.slot AS slot", f"explode({edge}) AS c").where(
             "c.at IS NOT NULL")
-        parts.append(breaks.selectExpr(*[
-            "c.sign AS sign" if column.endswith("L AS sign") else column
-            for column in delta("c.at", "slot", "what", 0)]))
+        parts.append(breaks.selectExpr(*delta("c.at", "slot", "what", "c.sign")))
 
     deltas = parts[0]
     for part in parts[1:]:
         deltas = deltas.unionByName(part)
-    # Shuffle the thin rows; the wide per-window inputs are projected afterwards.
-    deltas = with_chunk(deltas, US, width).repartition(*keys, CHUNK)
+    # Shuffle the thin rows; the wide per-window sums exist only for rows that are returned. The number of tasks follows
+    # the rows: adaptive execution would join partitions by their compressed size, which says little about thin rows.
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() * (len(windows) + 2) // SWEEP_ROWS + 1)
+    deltas = with_chunk(deltas, US, width)
 
-    sums: dict[str, tuple[str, str]] = {}
+    sums: list[tuple[int, int, str, str]] = []  # window, its width, accumulator, SQL of a row's contribution
     for i, window in enumerate(windows):
         w_us = micros(window)
         for name in sorted(needed[window]):
             if name in DIMENSION_COLUMNS:
-                expr = f"CASE WHEN slot IN (-1, {i}) AND what = '{name}' THEN sign ELSE 0L END"
+                expr = f"CASE WHEN slot IN (-1, {i}) AND what = {dims.index(name)} THEN sign ELSE 0L END"
             elif name == "gap_sum" or name in _SQUARES:
                 value = "gap" if name == "gap_sum" else _SQUARES[name].format(g="gap")
-                expr = (f"CASE WHEN slot IN (-1, {i}) AND what IS NULL AND gap <= {w_us}L "
+                expr = (f"CASE WHEN slot IN (-1, {i}) AND what = -1 AND gap <= {w_us}L "
                         f"THEN sign * ({value}) ELSE 0L END")
             else:
-                expr = f"CASE WHEN slot IN (-1, {i}) AND what IS NULL THEN sign * v_{name} ELSE 0L END"
-            sums[f"__{name}__{window}"] = ("sum", expr)
-    swept = running(deltas, keys, US, sums).where(F.col("event_id").isNotNull())
-    return swept.selectExpr("event_id", *[f"{_finish(f, config)} AS {f.name}" for f in features])
+                expr = f"CASE WHEN slot IN (-1, {i}) AND what = -1 THEN sign * v_{name} ELSE 0L END"
+            sums.append((i, w_us, name, expr))
+    names = [f"__{name}__{windows[i]}" for i, _, name, _ in sums]
+    # State at the start of each chunk: the sums over all earlier chunks of the key.
+    totals = deltas.groupBy(*keys, CHUNK).agg(*[F.expr(f"sum({s[3]})").alias(n) for n, s in zip(names, sums)])
+    earlier = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    carry = ", ".join(f"coalesce(sum({n}) {earlier}, 0L)" for n in names)
+    # One row ahead of each chunk of a key brings that state as an array, and so marks where the chunk begins.
+    carried = totals.selectExpr(
+        f"cast(null as {row_type}) AS {row}", *keys, f"{CHUNK} * {width}L - 1L AS {US}", "-1 AS slot", "-1 AS what", "0L AS sign",
+        "0L AS gap", *[f"0L AS v_{n}" for n in additive], CHUNK, f"array({carry}) AS carry")
+    lines = deltas.withColumn("carry", F.lit(None).cast("array<bigint>")).unionByName(carried)
+    lines = lines.repartition(tasks, *keys, CHUNK).sortWithinPartitions(*keys, CHUNK, F.col("carry").isNull(), US)
+    plan = [(i, w_us, dims.index(name) if name in dims else -1, name) for i, w_us, name, _ in sums]
+    swept = lines.drop(*keys, CHUNK).mapInArrow(
+        _sweeper(row, names, plan), f"{row} {row_type}, " + ", ".join(f"{n} bigint" for n in names))
+    return swept.selectExpr(row, *[f"{_finish(f, config)} AS {f.name}" for f in features])
+
+
+def _sweeper(row: str, names: list[str], plan: list[tuple[int, int, int, str]], least_rows: int = 20_000):
+    """Sums before each event over sorted thin rows: cumulative arrays over batches that end between two instants.
+
+    ``plan`` has for each sum its window, the window's width, the dimension (-1: none) and the accumulator.
+    """
+    time, none = US, -(1 << 63)
+
+    def block(rows: pa.Table, state: np.ndarray, last: bool) -> tuple[pa.RecordBatch | None, np.ndarray, pa.Table]:
+        """Sums for whole instants, the sums after them, and the rows of an instant that may go on."""
+        us = pc.fill_null(rows.column(time), none).to_numpy()
+        starts = rows.column("carry").is_valid().to_numpy()
+        first = np.ones(len(us), bool)
+        first[1:] = starts[1:] | starts[:-1] | (us[1:] != us[:-1])
+        end = len(us) if last else int(np.flatnonzero(first)[-1])
+        rest, rows, starts, first = rows.slice(end), rows.slice(0, end), starts[:end], first[:end]
+        if not end:
+            return None, state, rest
+        at = np.arange(end)
+        instant = np.maximum.accumulate(np.where(first, at, 0))
+        group = np.maximum.accumulate(np.where(starts, at, -1))
+        ids = rows.column(row).combine_chunks()
+        events = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
+        instant, own, final = instant[events], group[events], int(group[-1])
+        marks = np.flatnonzero(starts)
+        carry = rows.column("carry").combine_chunks().drop_null().flatten().to_numpy().reshape(len(marks), len(names))
+
+        def values(name: str) -> np.ndarray:
+            return rows.column(name).to_numpy()
+
+        slot, what, sign, gap = (values(c) for c in ("slot", "what", "sign", "gap"))
+        payload = {"gap_sum": gap, "gap_hh": (gap >> 16) * (gap >> 16), "gap_hl": (gap >> 16) * (gap & 65535),
+                   "gap_ll": (gap & 65535) * (gap & 65535)}
+        signed, inside, out, after = {}, {}, [ids.take(pa.array(events))], np.zeros_like(state)
+        for j, (i, w_us, dim, name) in enumerate(plan):
+            narrow = name.startswith("gap_")
+            which = (i, dim, narrow)
+            if which not in inside:
+                hit = ((slot == -1) | (slot == i)) & (what == dim)
+                inside[which] = hit & (gap <= w_us) if narrow else hit
+            if name not in signed:
+                signed[name] = sign if dim >= 0 else sign * (payload[name] if narrow else values(f"v_{name}"))
+            change = signed[name] * inside[which]
+            change[marks] = carry[:, j]
+            before = np.zeros(end + 1, np.int64)
+            np.cumsum(change, out=before[1:])
+            out.append(pa.array(before[instant] + np.where(own >= 0, -before[own], state[j])))
+            after[j] = before[end] + (-before[final] if final >= 0 else state[j])
+        return pa.RecordBatch.from_arrays(out, names=[row, *names]), after, rest
+
+    def sweep(batches):
+        state, held, n = np.zeros(len(names), np.int64), [], 0
+        for batch in batches:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+            if n >= least_rows:
+                found, state, rest = block(pa.concat_tables(held), state, False)
+                held, n = [rest], 0
+                if found is not None:
+                    yield found
+        rows = pa.concat_tables(held) if held else None
+        if rows is not None and rows.num_rows:
+            yield block(rows, state, True)[0]
+
+    return sweep

@@ -141,13 +141,15 @@ def frame_sequences(
     return rows.selectExpr(*df.columns, *[f"{v} AS {n}" for n, v in _published(wanted, config).items()])
 
 
-def chunked_sequences(df: DataFrame, kind: str, wanted: set[str], config: FeatureConfig) -> DataFrame:
-    """Same values for dense entities; returns (event_id, columns...)."""
+def chunked_sequences(
+    df: DataFrame, kind: str, wanted: set[str], config: FeatureConfig, row: str = "event_id"
+) -> DataFrame:
+    """Same values for dense entities; returns (row, columns...), ``row`` being a column that tells events apart."""
     keys = list(ENTITY_KEYS[kind])
-    rows = df.select(*dict.fromkeys(["event_id", US, *keys, *INPUTS]))
+    rows = df.select(*dict.fromkeys([row, "event_id", US, *keys, *INPUTS]))
     rows = with_chunk(rows, US, micros(config.skew.chunk))
     state = _state(wanted)
     if "__fails" in state:
         rows = running(rows, keys, US, {"__cf": ("sum", _FAILED)}, tie_break="event_id")
     rows = running(rows, keys, US, state)
-    return rows.selectExpr("event_id", *[f"{v} AS {n}" for n, v in _published(wanted, config).items()])
+    return rows.selectExpr(row, *[f"{v} AS {n}" for n, v in _published(wanted, config).items()])

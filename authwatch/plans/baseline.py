@@ -210,11 +210,23 @@ NOVELTY = {
 }
 
 
+def known_flags(rows: DataFrame, baseline: Baseline, wanted: set[str] | None = None) -> DataFrame:
+    """Add a column for each wanted novelty verdict: true where the user was seen with the value, else null."""
+    for name in NOVELTY:
+        if wanted is None or name in wanted:
+            column = KNOWN_SETS[NOVELTY[name]]
+            values = baseline.known.where(F.col("set_name") == NOVELTY[name]).select(
+                "user_id", F.col("value").alias(column), F.lit(True).alias(f"__{name}"))
+            rows = rows.join(values, ["user_id", column], "left")
+    return rows
+
+
 def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
                      wanted: set[str] | None = None) -> DataFrame:
     """Add the baseline-derived columns; an unknown entity yields null, never a novelty verdict.
 
-    Known values are looked up by (user, value), only for the ``wanted`` columns (all by default).
+    Known values are looked up by (user, value), only for the ``wanted`` columns (all by default), unless ``rows`` has
+    their flags already.
     """
     if baseline is None:
         return rows.withColumns({
@@ -229,10 +241,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     # with adaptive skew splitting of the event side.
     rows = rows.join(users, "user_id", "left").join(sources, "source_id", "left")
     novelty = {n: f"__{n}" for n in NOVELTY if wanted is None or n in wanted}
-    for name, flag in novelty.items():
-        values = baseline.known.where(F.col("set_name") == NOVELTY[name]).select(
-            "user_id", F.col("value").alias(KNOWN_SETS[NOVELTY[name]]), F.lit(True).alias(flag))
-        rows = rows.join(values, ["user_id", KNOWN_SETS[NOVELTY[name]]], "left")
+    rows = known_flags(rows, baseline, {n for n, flag in novelty.items() if flag not in rows.columns})
     known, source_known = F.col("ub").isNotNull(), F.col("sb").isNotNull()
     ref = config.baseline.rate_reference_window
     ref_hours = seconds(ref) / 3600.0

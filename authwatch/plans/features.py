@@ -13,9 +13,10 @@ from ..runtime import cut_lineage
 from ..schema import (
     BASELINE_FEATURES, ENTITY_KEYS, SCHEMA_VERSION, SPARK_TYPES, feature_catalog,
 )
-from .baseline import Baseline, baseline_columns
+from .baseline import Baseline, baseline_columns, known_flags
 
 US = "event_us"
+ROW = "__row"
 # Narrow kinds first; the last three share one shuffle on the user.
 _ORDER = ("session", "device", "source", "user_device", "pair", "user")
 _UNDER_USER = ("user_device", "pair", "user")
@@ -93,6 +94,23 @@ def dense_entities(events: DataFrame, config: FeatureConfig, kinds: list[str]) -
     return {k: v for k, v in out.items() if k in kinds}
 
 
+def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, sequences: set[str],
+                config: FeatureConfig) -> DataFrame:
+    """(ROW, columns of the kind) for all rows: dense entities by the sweep, the others by frames."""
+    keys = list(ENTITY_KEYS[kind])
+    names = [*[f.name for f in windowed], *sorted(sequences)]
+    members, others = (rows.join(dense, keys, how) for how in ("left_semi", "left_anti"))
+    tables = []
+    if windowed:
+        others = frame_features(others, kind, windowed, config, keys)
+        tables.append(sweep_features(members, kind, windowed, config, ROW))
+    if sequences:
+        others = frame_sequences(others, kind, sequences, config, keys)
+        tables.append(chunked_sequences(members, kind, sequences, config, ROW))
+    swept = tables[0] if len(tables) == 1 else tables[0].join(tables[1], ROW)
+    return swept.select(ROW, *names).unionByName(others.select(ROW, *names))
+
+
 def build_features(
     events: DataFrame,
     config: FeatureConfig | None = None,
@@ -127,46 +145,30 @@ def build_features(
     dense = dense_entities(rows, config, kinds)
 
     if dense:
-        rows = cut_lineage(rows)  # read many times below: once from the source, then from here
+        # read many times below: once from the source, then from here; stored row numbers stay the same in every pass
+        rows = cut_lineage(rows.withColumn(ROW, F.monotonically_increasing_id()))
     out, exact = rows, []
+    if wants_baseline and baseline is not None:
+        out = known_flags(out, baseline, wanted)  # while rows are narrow
     for kind in kinds:
         keys = list(ENTITY_KEYS[kind])
-        partition = keys
         if kind in dense:
-            flag = f"__dense_{kind}"
-            out = out.join(dense[kind].withColumn(flag, F.lit(True)), keys, "left").withColumn(
-                flag, F.coalesce(flag, F.lit(False)))
-            # Dense rows are spread as singletons here; their values arrive by join below.
-            single = F.concat(F.lit("\u0001"), F.col("event_id"))
-            out = out.withColumn(f"__key_{kind}", F.when(F.col(flag), single).otherwise(F.concat_ws("\u0000", *keys)))
-            partition = [f"__key_{kind}"]
-        elif kind in _UNDER_USER and "user" not in dense and not any(
+            exact.append(_dense_kind(rows, dense[kind], kind, windowed[kind], sequences[kind], config))
+            continue
+        if kind in _UNDER_USER and "user" not in dense and not any(
             k in _UNDER_USER for k in kinds[:kinds.index(kind)]
         ):
             out = out.repartition(F.col("user_id"))
         if windowed[kind]:
-            out = frame_features(out, kind, windowed[kind], config, partition)
+            out = frame_features(out, kind, windowed[kind], config, keys)
         if sequences[kind]:
-            out = frame_sequences(out, kind, sequences[kind], config, partition)
-        if kind in dense:
-            members = rows.join(dense[kind], keys, "left_semi")
-            if windowed[kind]:
-                exact.append(sweep_features(members, kind, windowed[kind], config))
-            if sequences[kind]:
-                exact.append(chunked_sequences(members, kind, sequences[kind], config))
+            out = frame_sequences(out, kind, sequences[kind], config, keys)
     if exact:
         # narrow tables of single kinds meet first; the wide rows cross the network once
         narrow = exact[0]
         for table in exact[1:]:
-            narrow = narrow.join(table, "event_id", "full")
-        produced = {n: kind for kind in kinds if kind in dense
-                    for n in [f.name for f in windowed[kind]] + sorted(sequences[kind])}
-        narrow = narrow.selectExpr("event_id", *[f"{n} AS __x_{n}" for n in produced])
-        out = out.join(narrow, "event_id", "left")
-        skip = {*[f"__dense_{k}" for k in dense], *[f"__key_{k}" for k in dense], *[f"__x_{n}" for n in produced]}
-        out = out.selectExpr(*[
-            f"CASE WHEN __dense_{produced[n]} THEN __x_{n} ELSE {n} END AS {n}" if n in produced else n
-            for n in out.columns if n not in skip])
+            narrow = narrow.join(table, ROW)
+        out = out.join(narrow, ROW).drop(ROW)
 
     if wants_baseline:
         out = baseline_columns(out, baseline, config, wanted)

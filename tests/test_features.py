@@ -95,3 +95,10 @@ def test_config_rejects_bad_ladders():
         FeatureConfig(windows=("5m", "1m"))
     with pytest.raises(AuthwatchError):
         FeatureConfig(windows=("1m", "5m"))
+
+
+def test_repeated_ids_of_dense_entities_stay_single_rows(spark):
+    events = frame(spark, parse("0 u1 s1 failure\n5 u1 s1 success\n9 u2 s1 failure"))
+    config = FeatureConfig(skew=SkewConfig(dense_rows=0))
+    rows = build_features(events.unionByName(events), config, columns=["source_attempt_count__1h"]).collect()
+    assert sorted(r.source_attempt_count__1h for r in rows) == [0, 0, 2, 2, 4, 4]
