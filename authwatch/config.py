@@ -85,12 +85,14 @@ class SkewConfig:
     An entity is *dense* when one ``max window`` long time bucket holds more
     than ``dense_rows`` of its events, or when it has more than ``total_rows``
     events altogether.  Dense entities leave the sliding-frame plan and are cut
-    into ``chunk`` long pieces of time, so no task ever holds a whole entity.
+    into ``chunk`` long pieces of time, so no task ever holds a whole entity of
+    more than ``whole_rows`` events; one of fewer stays in one piece.
     """
 
     dense_rows: int = 300
     total_rows: int = 5_000_000
     chunk: str = "1h"
+    whole_rows: int = 50_000
 
 
 @dataclass(frozen=True)

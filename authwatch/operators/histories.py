@@ -19,8 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig, micros
+from ..functions.scalar import bucket
+from ..runtime import cut_lineage
 from ..schema import DIMENSION_COLUMNS, ENTITY_KEYS, Feature
-from .prefix import CHUNK, neighbour, with_chunk
+from .prefix import CHUNK, LONG, neighbours, with_chunk
 
 US = "event_us"
 # Stand-in for "no earlier event": further away than any window.
@@ -183,63 +185,53 @@ def sweep_features(
         [row, US, *keys, "authentication_outcome", "mfa_outcome", "response_time_ms",
          *[DIMENSION_COLUMNS[d] for d in dims]]
     ))
-    events = with_chunk(df.select(*base_columns), US, width)
-
-    def spans(test) -> str:
-        """SQL array of (slot, width) for the windows that need an accumulator."""
-        return "array({})".format(", ".join(
-            f"named_struct('slot', {i}, 'w', {micros(w)}L)"
-            for i, w in enumerate(windows) if test(needed[w])))
+    if LONG not in df.columns:
+        df = df.withColumn(LONG, F.lit(True))
+    events = with_chunk(df.select(*base_columns, LONG), US, width)
 
     # Thin delta rows: when a change takes effect, which window it belongs to (-1 = all),
     # what it is (-1 = an event with its payload, else a dimension) and with which sign.  An event
     # row brings the gap to its predecessor, its expiry row takes out the gap to its successor.
     row_type = df.schema[row].dataType.simpleString()
 
-    def delta(when: str, slot: str, what: str, sign: str, payload: bool = False,
-              gap: str = "0L", event: str = f"cast(null as {row_type})") -> list[str]:
-        return [
-            f"{event} AS {row}", *keys, f"{when} AS {US}", f"{slot} AS slot", f"{what} AS what",
-            f"{sign} AS sign", f"{gap} AS gap",
-            *[f"{_row_value(n) if payload else '0L'} AS v_{n}" for n in additive],
-        ]
-
     gaps = "gap_sum" in everything
     if gaps:
-        events = neighbour(events, keys, US, "prev_us", forward=False)
-        events = neighbour(events, keys, US, "next_us", forward=True)
+        events = neighbours(events, keys, US, "prev_us", "next_us")
     before, after = (f"coalesce({US} - prev_us, 0L)", f"coalesce(next_us - {US}, 0L)") if gaps else ("0L", "0L")
-    parts = [events.selectExpr(*delta(US, "-1", "-1", "1L", payload=True, gap=before, event=row))]
+    changes = [f"named_struct('at', {US}, 'slot', -1, 'sign', 1L, 'gap', {before}, 'event', {row})"]
     if additive:
-        parts.append(
-            events.selectExpr("*", f"explode({spans(lambda names: names & set(additive))}) AS e")
-            .selectExpr(*delta(f"{US} + e.w", "e.slot", "-1", "-1L", payload=True, gap=after)))
+        changes += [
+            f"named_struct('at', {US} + {micros(w)}L, 'slot', {i}, 'sign', -1L, 'gap', {after}, 'event', cast(null as {row_type}))"
+            for i, w in enumerate(windows) if needed[w] & set(additive)]
+    deltas = events.selectExpr("*", f"explode(array({', '.join(changes)})) AS e").selectExpr(
+        f"e.event AS {row}", *keys, LONG, f"e.at AS {US}", "e.slot AS slot", "-1 AS what", "e.sign AS sign", "e.gap AS gap",
+        *[f"{_row_value(n)} AS v_{n}" for n in additive])
     if dims:
         # Distinct counting: +1 when a value appears in a window, -1 when its last
         # occurrence leaves it.  Occurrences closer than the window cancel, so a
-        # value that keeps repeating costs nothing.
+        # value that keeps repeating costs nothing: of those inside a step no longer
+        # than any window, only the first and the last are kept.
+        counted = [(i, micros(w)) for i, w in enumerate(windows) if needed[w] & set(dims)]
+        step = min(width, *[w_us for _, w_us in counted])
         entries = ", ".join(
             f"named_struct('what', {i}, 'x', cast({DIMENSION_COLUMNS[d]} as string))" for i, d in enumerate(dims))
-        seen = events.selectExpr(*keys, US, CHUNK, f"explode(array({entries})) AS d").selectExpr(
-            *keys, US, CHUNK, "d.what AS what", "d.x AS x").where("x IS NOT NULL").distinct()
-        first = seen.groupBy(*keys, "what", "x").agg(F.min(US).alias(US))
-        parts.append(first.selectExpr(*delta(US, "-1", "what", "1L")))
-        seen = neighbour(seen, [*keys, "what", "x"], US, "next_us", forward=True)
-        breaks = seen.selectExpr(
-            "*", f"explode({spans(lambda names: names & set(dims))}) AS e"
-        ).where(f"next_us IS NULL OR next_us - {US} > e.w")
-        edge = (f"array(named_struct('at', {US} + e.w, 'sign', -1L), named_struct('at', next_us, 'sign', 1L))")
-        breaks = breaks.selectExpr(*keys, "what", "e.slot AS slot", f"explode({edge}) AS c").where(
-            "c.at IS NOT NULL")
-        parts.append(breaks.selectExpr(*delta("c.at", "slot", "what", "c.sign")))
-
-    deltas = parts[0]
-    for part in parts[1:]:
-        deltas = deltas.unionByName(part)
-    # Shuffle the thin rows; the wide per-window sums exist only for rows that are returned. The number of tasks follows
-    # the rows: adaptive execution would join partitions by their compressed size, which says little about thin rows.
-    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.count() * (len(windows) + 2) // SWEEP_ROWS + 1)
-    deltas = with_chunk(deltas, US, width)
+        seen = events.selectExpr(*keys, LONG, US, f"explode(array({entries})) AS d").where("d.x IS NOT NULL").groupBy(
+            *keys, LONG, "d.what", "d.x", bucket(F.col(US), step).alias("step")).agg(
+            F.min(US).alias("first_us"), F.max(US).alias("last_us"))
+        order = f"OVER (PARTITION BY {', '.join(keys)}, what, x ORDER BY step)"
+        seen = seen.selectExpr("*", f"lag(last_us) {order} AS prev_us", f"lead(first_us) {order} AS next_us")
+        edges = ["CASE WHEN prev_us IS NULL THEN named_struct('at', first_us, 'slot', -1, 'sign', 1L) END"]
+        for i, w_us in counted:
+            gone = f"CASE WHEN next_us IS NULL OR next_us - last_us > {w_us}L THEN named_struct('at', {{}}, 'slot', {i}, 'sign', {{}}) END"
+            edges += [gone.format(f"last_us + {w_us}L", "-1L"), gone.format("next_us", "1L")]
+        deltas = deltas.unionByName(
+            seen.selectExpr("*", f"explode(array({', '.join(edges)})) AS c").where("c.at IS NOT NULL").selectExpr(
+                f"cast(null as {row_type}) AS {row}", *keys, LONG, f"c.at AS {US}", "c.slot AS slot", "what", "c.sign AS sign",
+                "0L AS gap", *[f"0L AS v_{n}" for n in additive]))
+    # Read twice, so the thin rows are stored; the wide per-window sums exist only for rows that are returned. The number of
+    # tasks follows the rows: adaptive execution would join partitions by their compressed size, which says little about thin rows.
+    deltas = cut_lineage(with_chunk(deltas, US, width).drop(LONG))
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, deltas.count() // SWEEP_ROWS + 1)
 
     sums: list[tuple[int, int, str, str]] = []  # window, its width, accumulator, SQL of a row's contribution
     for i, window in enumerate(windows):
@@ -259,11 +251,12 @@ def sweep_features(
     totals = deltas.groupBy(*keys, CHUNK).agg(*[F.expr(f"sum({s[3]})").alias(n) for n, s in zip(names, sums)])
     earlier = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {CHUNK} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     carry = ", ".join(f"coalesce(sum({n}) {earlier}, 0L)" for n in names)
-    # One row ahead of each chunk of a key brings that state as an array, and so marks where the chunk begins.
+    # One row ahead of each chunk of a key brings that state as a text, and so marks where the chunk begins. (Not as an array:
+    # while Spark fills an Arrow batch, each row without one costs a pass over all rows since the last that has one.)
     carried = totals.selectExpr(
         f"cast(null as {row_type}) AS {row}", *keys, f"{CHUNK} * {width}L - 1L AS {US}", "-1 AS slot", "-1 AS what", "0L AS sign",
-        "0L AS gap", *[f"0L AS v_{n}" for n in additive], CHUNK, f"array({carry}) AS carry")
-    lines = deltas.withColumn("carry", F.lit(None).cast("array<bigint>")).unionByName(carried)
+        "0L AS gap", *[f"0L AS v_{n}" for n in additive], CHUNK, f"concat_ws(',', {carry}) AS carry")
+    lines = deltas.withColumn("carry", F.lit(None).cast("string")).unionByName(carried)
     lines = lines.repartition(tasks, *keys, CHUNK).sortWithinPartitions(*keys, CHUNK, F.col("carry").isNull(), US)
     plan = [(i, w_us, dims.index(name) if name in dims else -1, name) for i, w_us, name, _ in sums]
     swept = lines.drop(*keys, CHUNK).mapInArrow(
@@ -295,7 +288,8 @@ def _sweeper(row: str, names: list[str], plan: list[tuple[int, int, int, str]],
         events = np.flatnonzero(ids.is_valid().to_numpy(zero_copy_only=False))
         instant, own, final = instant[events], group[events], int(group[-1])
         marks = np.flatnonzero(starts)
-        carry = rows.column("carry").combine_chunks().drop_null().flatten().to_numpy().reshape(len(marks), len(names))
+        texts = rows.column("carry").drop_null().to_pylist()
+        carry = np.array([t.split(",") for t in texts]).astype(np.int64).reshape(len(marks), len(names))
 
         def values(name: str) -> np.ndarray:
             return rows.column(name).to_numpy()

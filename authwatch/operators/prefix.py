@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from ..functions.scalar import bucket
 
 CHUNK = "__chunk"
+#: True where the row's key has too many rows to stay in one chunk.
+LONG = "__long"
 
 
 def with_chunk(df: DataFrame, time: str, width_us: int) -> DataFrame:
-    return df.withColumn(CHUNK, bucket(F.col(time), width_us))
+    """Tag rows with their time chunk; where a column ``LONG`` says that a key is short, the key is a single chunk."""
+    chunk = bucket(F.col(time), width_us)
+    return df.withColumn(CHUNK, F.when(F.col(LONG), chunk).otherwise(F.lit(0)) if LONG in df.columns else chunk)
 
 
 def running(
@@ -73,3 +77,17 @@ def neighbour(df: DataFrame, keys: list[str], time: str, name: str, forward: boo
         .join(edges, [*keys, CHUNK], "left")
         .select(*df.columns, F.coalesce("__inside", "__across").alias(name))
     )
+
+
+def neighbours(df: DataFrame, keys: list[str], time: str, before: str, after: str) -> DataFrame:
+    """Add the times of the previous and the next row of the key, as two calls of ``neighbour`` would, in one pass."""
+    by_key, by_chunk = ", ".join(keys), ", ".join([*keys, CHUNK])
+    across = f"OVER (PARTITION BY {by_key} ORDER BY {CHUNK})"
+    inside = f"OVER (PARTITION BY {by_chunk} ORDER BY {time})"
+    edges = df.groupBy(*keys, CHUNK).agg(F.min(time).alias("__first"), F.max(time).alias("__last")).selectExpr(
+        *keys, CHUNK, f"lag(__last) {across} AS __back", f"lead(__first) {across} AS __on")
+    return (
+        df.selectExpr("*", f"lag({time}) {inside} AS __lag", f"lead({time}) {inside} AS __lead")
+        .join(edges, [*keys, CHUNK], "left")
+        .select(*df.columns, F.coalesce("__lag", "__back").alias(before), F.coalesce("__lead", "__on").alias(after))
+    )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from ..config import FeatureConfig, micros
 from ..functions.scalar import haversine_sql, located_sql
 from ..schema import ENTITY_KEYS
-from .prefix import running, with_chunk
+from .prefix import LONG, running, with_chunk
 
 US = "event_us"
 # Which sequence columns each entity kind owns.
@@ -146,7 +146,7 @@ def chunked_sequences(
 ) -> DataFrame:
     """Same values for dense entities; returns (row, columns...), ``row`` being a column that tells events apart."""
     keys = list(ENTITY_KEYS[kind])
-    rows = df.select(*dict.fromkeys([row, "event_id", US, *keys, *INPUTS]))
+    rows = df.select(*dict.fromkeys([row, "event_id", US, *keys, *INPUTS, *({LONG} & set(df.columns))]))
     rows = with_chunk(rows, US, micros(config.skew.chunk))
     state = _state(wanted)
     if "__fails" in state:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ KNOWN_SETS = {
     "known_application_ids": "application_id",
     "known_auth_methods": "authentication_method",
 }
+#: Values of a known set that travel with the user's row; longer sets are looked up by (user, value).
+LIST_VALUES = 64
 
 
 @dataclass
@@ -34,6 +37,12 @@ class Baseline:
     interval_start_us: int
     interval_end_us: int
 
+    @cached_property
+    def long_sets(self) -> set[str]:
+        """Known sets of which some user has too many values to travel with the user's row."""
+        sizes = self.known.groupBy("user_id", "set_name").count().where(F.col("count") > LIST_VALUES)
+        return {r.set_name for r in sizes.select("set_name").distinct().collect()}
+
 
 def fit_interval(events: DataFrame) -> tuple[int, int]:
     """[min, max] event time in microseconds."""
@@ -127,7 +136,8 @@ def _common(min_events: int, hours: float) -> list[Column]:
     ]
 
 
-def fit_users(events: DataFrame, config: BaselineConfig, hours: float) -> DataFrame:
+def fit_users(events: DataFrame, config: BaselineConfig, hours: float, order_statistics: bool = True) -> DataFrame:
+    """One row per user; without ``order_statistics`` the median and p90 of its gaps, which no feature reads, are left out."""
     rows = events.withColumn(US, micros_of(F.col("event_time")))
     rows = rows.withColumn("__hour", F.pmod(bucket(F.col(US), 3_600_000_000), F.lit(24)))
     here = located("coarse_latitude", "coarse_longitude")
@@ -150,8 +160,7 @@ def fit_users(events: DataFrame, config: BaselineConfig, hours: float) -> DataFr
         *_response_stats(config),
         "centroid_latitude", "centroid_longitude", "located_event_count",
     )
-    gaps = interarrival(rows)
-    return base.join(gaps, "user_id", "left")
+    return base.join(interarrival(rows), "user_id", "left") if order_statistics else base
 
 
 def entropy_bits(events: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -188,15 +197,16 @@ def fit_baseline(
     config: BaselineConfig | None = None,
     permitted: DataFrame | None = None,
     interval_us: tuple[int, int] | None = None,
+    order_statistics: bool = True,
 ) -> Baseline:
-    """Fit on approved reference events; ``permitted`` switches the fit guard on."""
+    """Fit on approved reference events; ``permitted`` switches the fit guard on, ``order_statistics`` is that of ``fit_users``."""
     config = config or BaselineConfig()
     start_us, end_us = interval_us or fit_interval(events)
     if permitted is not None:
         check_fit(events, permitted, start_us, end_us)
     hours = (end_us - start_us) / 3_600_000_000
     return Baseline(
-        fit_users(events, config, hours), fit_sources(events, config, hours),
+        fit_users(events, config, hours, order_statistics), fit_sources(events, config, hours),
         # read once for each kind of value by the transform
         cut_lineage(known_values(events, config)), start_us, end_us)
 
@@ -221,35 +231,59 @@ def known_flags(rows: DataFrame, baseline: Baseline, wanted: set[str] | None = N
     return rows
 
 
+def rate_counts(config: FeatureConfig) -> dict[str, str]:
+    """The window count that a baseline column compares with the baseline."""
+    ref = config.baseline.rate_reference_window
+    return {"user_event_rate_ratio": f"user_attempt_count__{ref}", "source_user_fanout_ratio": f"source_unique_user_count__{ref}",
+            "source_event_rate_ratio": f"source_attempt_count__{ref}"}
+
+
+def _with_lists(users: DataFrame, known: DataFrame, sets: list[str]) -> DataFrame:
+    """Users with an array of the known values of each set."""
+    lists = known.where(F.col("set_name").isin(sets)).groupBy("user_id").agg(
+        *[F.collect_list(F.when(F.col("set_name") == s, F.col("value"))).alias(s) for s in sets])
+    return users.join(lists, "user_id", "left")
+
+
 def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
                      wanted: set[str] | None = None) -> DataFrame:
-    """Add the baseline-derived columns; an unknown entity yields null, never a novelty verdict.
+    """Add the ``wanted`` (by default all) baseline-derived columns; an unknown entity yields null, never a novelty verdict.
 
-    Known values are looked up by (user, value), only for the ``wanted`` columns (all by default), unless ``rows`` has
-    their flags already.
+    Known values come with the user's row; those of ``baseline.long_sets`` are looked up by (user, value), unless ``rows``
+    has their flags already.
     """
     if baseline is None:
         return rows.withColumns({
             n: (F.lit(False) if n.endswith("_in_baseline") else F.lit(None).cast(SPARK_TYPES[dtype]))
             for n, dtype, *_ in BASELINE_FEATURES
         })
-    users = baseline.users.select(
-        "user_id", F.struct(*[c for c in baseline.users.columns if c != "user_id"]).alias("ub"))
-    sources = baseline.sources.select(
-        "source_id", F.struct(*[c for c in baseline.sources.columns if c != "source_id"]).alias("sb"))
+    wanted = {n for n, *_ in BASELINE_FEATURES} if wanted is None else wanted
+    novelty = {n: f"__{n}" for n in NOVELTY if n in wanted}
+    rows = known_flags(rows, baseline, {n for n, flag in novelty.items() if NOVELTY[n] in baseline.long_sets and flag not in rows.columns})
+    listed = {n: NOVELTY[n] for n, flag in novelty.items() if flag not in rows.columns}
+    users, sources = baseline.users, baseline.sources
+    if listed:
+        users = _with_lists(users, baseline.known, list(listed.values()))
+    users = users.select("user_id", F.struct(*[c for c in users.columns if c != "user_id"]).alias("ub"))
+    sources = sources.select("source_id", F.struct(*[c for c in sources.columns if c != "source_id"]).alias("sb"))
     # Size decides: small summaries are broadcast by Spark, larger ones sort-merge
     # with adaptive skew splitting of the event side.
-    rows = rows.join(users, "user_id", "left").join(sources, "source_id", "left")
-    novelty = {n: f"__{n}" for n in NOVELTY if wanted is None or n in wanted}
-    rows = known_flags(rows, baseline, {n for n, flag in novelty.items() if flag not in rows.columns})
+    rows = rows.join(users, "user_id", "left")
+    if any(n.startswith("source_") for n in wanted & {n for n, *_ in BASELINE_FEATURES}):
+        rows = rows.join(sources, "source_id", "left")
+    else:
+        rows = rows.withColumn("sb", F.lit(None).cast(sources.schema["sb"].dataType))
     known, source_known = F.col("ub").isNotNull(), F.col("sb").isNotNull()
     ref = config.baseline.rate_reference_window
     ref_hours = seconds(ref) / 3600.0
 
     def is_new(name: str) -> Column:
-        if name not in novelty:
-            return F.lit(None).cast("boolean")
-        return F.when(known & F.col(KNOWN_SETS[NOVELTY[name]]).isNotNull(), F.col(novelty[name]).isNull())
+        value = F.col(KNOWN_SETS[NOVELTY[name]])
+        if name in listed:
+            unseen = ~F.coalesce(F.array_contains(F.col(f"ub.{listed[name]}"), value.cast("string")), F.lit(False))
+        else:
+            unseen = F.col(novelty[name]).isNull()
+        return F.when(known & value.isNotNull(), unseen)
 
     def ratio(count: str, rate: Column) -> Column:
         if count not in rows.columns:
@@ -265,7 +299,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     here = located("coarse_latitude", "coarse_longitude")
     observed = F.when(F.col("authentication_outcome") == "success", 1.0).otherwise(0.0)
     columns = {
-        **{name: is_new(name) for name in NOVELTY},
+        **{name: is_new(name) for name in novelty},
         "login_hour_deviation": F.lit(1.0) - F.element_at(F.col("ub.hour_histogram"), hour + 1),
         "user_success_rate_deviation": observed - F.col("ub.success_rate"),
         "user_event_rate_ratio": ratio(f"user_attempt_count__{ref}", F.col("ub.event_rate_per_hour")),
@@ -281,7 +315,7 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
         "user_in_baseline": known,
         "source_in_baseline": source_known,
     }
-    return rows.withColumns(columns).drop("ub", "sb", *novelty.values())
+    return rows.withColumns({n: c for n, c in columns.items() if n in wanted}).drop("ub", "sb", *novelty.values())
 
 
 def save_baseline(baseline: Baseline, path: str, config: BaselineConfig) -> None:

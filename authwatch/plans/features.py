@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from ..config import FeatureConfig
 from ..functions.scalar import bucket, cyclic, located, micros_of
 from ..operators.histories import frame_features, sweep_features
+from ..operators.prefix import LONG
 from ..operators.sequences import GEO, OWNED, chunked_sequences, frame_sequences
-from ..runtime import cut_lineage
+from ..runtime import compile_wide_rows, cut_lineage
 from ..schema import (
     BASELINE_FEATURES, ENTITY_KEYS, SCHEMA_VERSION, SPARK_TYPES, feature_catalog,
 )
-from .baseline import Baseline, baseline_columns, known_flags
+from .baseline import NOVELTY, Baseline, baseline_columns, known_flags, rate_counts
 
 US = "event_us"
 ROW = "__row"
@@ -55,7 +56,8 @@ def dense_entities(events: DataFrame, config: FeatureConfig, kinds: list[str]) -
     """Entities whose windows or whole history are too full for one task, per kind.
 
     The list is at most (events / threshold) rows; it is materialised once and
-    only the names of the kinds that occur come to the driver.
+    only the names of the kinds that occur come to the driver.  ``LONG`` marks
+    the entities that are cut into chunks of time.
     """
     period = bucket(F.col(US), config.max_window_us)
 
@@ -74,14 +76,14 @@ def dense_entities(events: DataFrame, config: FeatureConfig, kinds: list[str]) -
         dense = counts.groupBy("kind", "k1", "k2").agg(
             F.max("count").alias("peak"), F.sum("count").alias("total")
         ).where((F.col("peak") > config.skew.dense_rows) | (F.col("total") > config.skew.total_rows))
-        dense = cut_lineage(dense.select("kind", "k1", "k2"))
+        dense = cut_lineage(dense.select("kind", "k1", "k2", (F.col("total") > config.skew.whole_rows).alias(LONG)))
         found = {row.kind for row in dense.select("kind").distinct().collect()}
         out = {}
         for kind in names:
             if kind in found:
                 keys = ENTITY_KEYS[kind]
                 out[kind] = dense.where(F.col("kind") == kind).select(
-                    *[F.col(f"k{i + 1}").alias(k) for i, k in enumerate(keys)]
+                    *[F.col(f"k{i + 1}").alias(k) for i, k in enumerate(keys)], LONG
                 )
         return out
 
@@ -99,7 +101,7 @@ def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, se
     """(ROW, columns of the kind) for all rows: dense entities by the sweep, the others by frames."""
     keys = list(ENTITY_KEYS[kind])
     names = [*[f.name for f in windowed], *sorted(sequences)]
-    members, others = (rows.join(dense, keys, how) for how in ("left_semi", "left_anti"))
+    members, others = (rows.join(dense, keys, how) for how in ("inner", "left_anti"))
     tables = []
     if windowed:
         others = frame_features(others, kind, windowed, config, keys)
@@ -119,6 +121,7 @@ def build_features(
 ) -> DataFrame:
     """The snapshot table, or the given subset of its columns (keys always lead)."""
     config = config or FeatureConfig()
+    compile_wide_rows(events.sparkSession)
     catalog = feature_catalog(config)
     names = [f.name for f in catalog]
     if columns is not None:
@@ -132,9 +135,7 @@ def build_features(
     wants_baseline = bool(wanted & set(baseline_names))
     needed = set(wanted)
     if wants_baseline and baseline is not None:
-        ref = config.baseline.rate_reference_window
-        needed |= {f"user_attempt_count__{ref}", f"source_unique_user_count__{ref}",
-                   f"source_attempt_count__{ref}"}
+        needed |= {count for name, count in rate_counts(config).items() if name in wanted}
 
     rows = events.withColumn(US, micros_of(F.col("event_time")))
     windowed = {k: [f for f in catalog if f.kind == k and f.name in needed] for k in _ORDER}
@@ -147,14 +148,21 @@ def build_features(
     if dense:
         # read many times below: once from the source, then from here; stored row numbers stay the same in every pass
         rows = cut_lineage(rows.withColumn(ROW, F.monotonically_increasing_id()))
-    out, exact = rows, []
+    out = rows
     if wants_baseline and baseline is not None:
-        out = known_flags(out, baseline, wanted)  # while rows are narrow
+        # while rows are narrow
+        out = known_flags(out, baseline, {n for n, s in NOVELTY.items() if n in wanted and s in baseline.long_sets})
+    exact = [_dense_kind(rows, dense[k], k, windowed[k], sequences[k], config) for k in kinds if k in dense]
+    if exact:
+        # Tables of single kinds meet the narrow rows first. What is computed by user comes after the shuffle on the user,
+        # so those wide columns never cross the network.
+        narrow = exact[0]
+        for table in exact[1:]:
+            narrow = narrow.join(table, ROW)
+        out = out.join(narrow, ROW).drop(ROW)
+    kinds = [k for k in kinds if k not in dense]
     for kind in kinds:
         keys = list(ENTITY_KEYS[kind])
-        if kind in dense:
-            exact.append(_dense_kind(rows, dense[kind], kind, windowed[kind], sequences[kind], config))
-            continue
         if kind in _UNDER_USER and "user" not in dense and not any(
             k in _UNDER_USER for k in kinds[:kinds.index(kind)]
         ):
@@ -163,13 +171,6 @@ def build_features(
             out = frame_features(out, kind, windowed[kind], config, keys)
         if sequences[kind]:
             out = frame_sequences(out, kind, sequences[kind], config, keys)
-    if exact:
-        # narrow tables of single kinds meet first; the wide rows cross the network once
-        narrow = exact[0]
-        for table in exact[1:]:
-            narrow = narrow.join(table, ROW)
-        out = out.join(narrow, ROW).drop(ROW)
-
     if wants_baseline:
         out = baseline_columns(out, baseline, config, wanted)
     direct = {

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuthwatchError, DetectionConfig, SignalConfig
 from ..functions.scalar import uuid5
+from ..runtime import compile_wide_rows
 from ..schema import EVIDENCE, NOVELTY_FEATURES, PROHIBITED_FEATURE_COLUMNS, RULE_DETECTIONS, SCHEMA_VERSION, SEVERITIES
 
 RULE_VERSION = "1.0.0"
@@ -82,6 +83,12 @@ def saturate_inverse(observed: str, threshold: float, signal: SignalConfig) -> s
     return _curve(f"{lit(float(threshold))} / greatest(cast({observed} as double), {lit(_EPSILON)})", signal)
 
 
+def _upper(status: str) -> str:
+    """``upper`` of a status; those that the features write are not spelled anew for each row."""
+    known = ("no_prior_success", "missing_current_location", "missing_prior_location", "unavailable")
+    return f"CASE {status} {' '.join(f"WHEN '{s}' THEN '{s.upper()}'" for s in known)} ELSE upper({status}) END"
+
+
 def _curve(ratio: str, signal: SignalConfig) -> str:
     m = signal.saturation_multiple
     if m <= 1.0:
@@ -387,7 +394,7 @@ def _geo(p, s):
     shown = f"rint({distance} / {lit(step)}) * {lit(step)}" if step > 0 else distance
     steps = [
         (f"NOT ({_SUCCESS})", "not_fired", "ANCHOR_DID_NOT_SUCCEED"),
-        (f"{status} != 'ok'", "insufficient_data", f"concat('GEO_STATUS_', upper({status}))"),
+        (f"{status} != 'ok'", "insufficient_data", f"concat('GEO_STATUS_', {_upper(status)})"),
         (f"{distance} IS NULL", "insufficient_data", "GEO_DISTANCE_UNAVAILABLE"),
         (f"{distance} < {lit(far)}", "not_fired", "BELOW_MINIMUM_DISTANCE"),
     ]
@@ -397,7 +404,7 @@ def _geo(p, s):
         steps.append((zero, "insufficient_data", "GEO_VELOCITY_ZERO_ELAPSED"))
     steps += [
         (f"{vstatus} NOT IN ('ok', 'capped', 'zero_elapsed')", "insufficient_data",
-         f"concat('GEO_VELOCITY_', upper({vstatus}))"),
+         f"concat('GEO_VELOCITY_', {_upper(vstatus)})"),
         (f"NOT ({zero}) AND {velocity} IS NULL", "insufficient_data", "GEO_VELOCITY_UNAVAILABLE"),
         (f"NOT ({zero}) AND {velocity} < {lit(fast)}", "not_fired", "BELOW_MINIMUM_VELOCITY"),
     ]
@@ -523,17 +530,23 @@ def show(value: str) -> str:
     return f"cast({value} as string)"
 
 
+def _present(items: list[tuple[str | None, str]], kind: str) -> str:
+    """Array of the values whose condition holds. (``array_compact`` would be interpreted together with the values.)"""
+    nothing = f"cast(array() as {kind})"
+    return "concat({})".format(", ".join([nothing, *[
+        f"CASE WHEN {when} THEN array({value}) ELSE {nothing} END" if when else f"array({value})" for when, value in items]]))
+
+
 def _evidence_sql(item: Evidence) -> str:
     threshold = lit(None) if item.threshold is None else show(lit(item.threshold))
     limit = "''" if item.threshold is None else f"concat(' ', {threshold})"
     unit = "" if item.unit is None else f" {item.unit}"
     message = f"concat('{item.feature} = ', {show(item.observed)}, ' (condition {item.comparator}', {limit}, '{unit})')"
-    body = (
+    return (
         f"named_struct('evidence_code', '{item.code}', 'feature_name', '{item.feature}', "
         f"'comparator', '{item.comparator}', 'observed_value', {show(item.observed)}, "
         f"'threshold_value', {threshold}, 'unit', {lit(item.unit)}, 'message', {message})"
     )
-    return f"CASE WHEN {item.when} THEN {body} END" if item.when else body
 
 
 def _is_expression(reason: str) -> bool:
@@ -543,15 +556,11 @@ def _is_expression(reason: str) -> bool:
 def rule_sql(rule: Rule, config: DetectionConfig) -> str:
     """The rule's result struct as one SQL expression."""
     gate = " OR ".join(f"{g} IS NULL" for g in rule.gates) or "false"
-    gate_reasons = "array_compact(array({}))".format(", ".join(
-        f"CASE WHEN {g} IS NULL THEN 'INSUFFICIENT_HISTORY_{g.upper()}' END" for g in rule.gates
-    )) if rule.gates else "cast(array() as array<string>)"
+    gate_reasons = _present([(f"{g} IS NULL", f"'INSUFFICIENT_HISTORY_{g.upper()}'") for g in rule.gates], "array<string>")
     unmet = " OR ".join(f"({c})" for c, _ in rule.unmet) or "false"
-    unmet_reasons = "array_compact(array({}))".format(", ".join(
-        f"CASE WHEN {c} THEN '{r}' END" for c, r in rule.unmet)) if rule.unmet else "cast(array() as array<string>)"
-    evidence = "array_compact(array({}))".format(", ".join(_evidence_sql(e) for e in rule.evidence))
-    codes = "array_compact(array({}))".format(", ".join(
-        f"CASE WHEN {e.when} THEN '{e.code}' END" if e.when else f"'{e.code}'" for e in rule.evidence))
+    unmet_reasons = _present([(c, f"'{r}'") for c, r in rule.unmet], "array<string>")
+    evidence = _present([(e.when, _evidence_sql(e)) for e in rule.evidence], EVIDENCE_ARRAY)
+    codes = _present([(e.when, f"'{e.code}'") for e in rule.evidence], "array<string>")
 
     def verdict(status: str, score: str, items: str, reasons: str) -> str:
         return (
@@ -617,9 +626,15 @@ def require_valid_snapshot(snapshot: DataFrame, config: DetectionConfig | None =
     return snapshot
 
 
+#: The verdict array as input of a function over its elements. Such functions are interpreted together with their whole
+#: argument, so the rules must not be folded into it; Spark leaves alone what is computed and read more than once.
+STORED = "slice(results, 1, size(results))"
+
+
 def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
     """(anchor_event_id, anchor_event_time, results array) with every enabled rule's verdict."""
     config = config or DetectionConfig()
+    compile_wide_rows(snapshot.sparkSession)
     rules = build_rules(config)
     missing = sorted({c for r in rules for c in r.columns} - set(snapshot.columns))
     if missing:
@@ -629,7 +644,7 @@ def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -
         "anchor_event_id", "anchor_event_time",
         *[f"{rule_sql(r, config)} AS `{r.rule_id}`" for r in rules])
     results = ", ".join(f"`{r.rule_id}`" for r in rules)
-    return rows.selectExpr("anchor_event_id", "anchor_event_time", f"array({results}) AS results")
+    return rows.selectExpr("anchor_event_id", "anchor_event_time", f"slice(array({results}), 1, {len(rules)}) AS results")
 
 
 def diagnostics(results: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
@@ -638,7 +653,7 @@ def diagnostics(results: DataFrame, config: DetectionConfig | None = None) -> Da
     enabled = {r.rule_id for r in build_rules(config)}
     no_codes = "cast(array() as array<string>)"
     entry = ("named_struct('rule_id', {}, 'status', {}, 'signal_strength', {}, 'reason_codes', {})")
-    verdicts = "transform(results, r -> {})".format(
+    verdicts = f"transform({STORED}, r -> {{}})".format(
         entry.format("r.rule_id", "r.status", "r.signal_strength", "r.reason_codes"))
     off = [entry.format(f"'{r}'", "'disabled'", "0D", no_codes) for r in RULE_IDS if r not in enabled]
     # Disabled rules join the same array, so the snapshot is still read once.
@@ -649,7 +664,7 @@ def diagnostics(results: DataFrame, config: DetectionConfig | None = None) -> Da
 
 def status_counts(results: DataFrame) -> DataFrame:
     return (
-        results.selectExpr("explode(transform(results, r -> struct(r.rule_id, r.status))) AS r")
+        results.selectExpr(f"explode(transform({STORED}, r -> struct(r.rule_id, r.status))) AS r")
         .groupBy("r.rule_id", "r.status").agg(F.count("*").alias("anchors"))
     )
 
@@ -658,7 +673,7 @@ def detections(results: DataFrame, config: DetectionConfig | None = None) -> Dat
     """The published detection table: fired verdicts with deterministic ids."""
     config = config or DetectionConfig()
     fired = results.selectExpr(
-        "anchor_event_id", "anchor_event_time", "explode(filter(results, r -> r.status = 'fired')) AS r")
+        "anchor_event_id", "anchor_event_time", f"explode(filter({STORED}, r -> r.status = 'fired')) AS r")
     name = F.concat_ws("|", F.col("anchor_event_id"), F.col("r.rule_id"), F.lit(RULE_VERSION))
     return fired.select(
         F.lit(SCHEMA_VERSION).alias("detection_schema_version"),

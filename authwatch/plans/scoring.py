@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectionConfig, config_fingerprint
 from ..schema import CORRELATION_GROUPS, RISK_ASSESSMENTS, SCHEMA_VERSION, SEVERITIES
-from .rules import META, lit
+from .rules import META, STORED, lit
 
 
 def severity_sql(score: str, config: DetectionConfig) -> str:
@@ -40,8 +40,8 @@ def score_results(results: DataFrame, config: DetectionConfig | None = None) ->
     s = config.scoring
     rows = results.selectExpr(
         "anchor_event_id", "anchor_event_time",
-        "filter(results, r -> r.status = 'fired') AS fired",
-        "cast(size(filter(results, r -> r.status = 'insufficient_data')) as bigint) AS insufficient_data_count")
+        f"filter({STORED}, r -> r.status = 'fired') AS fired",
+        f"cast(size(filter({STORED}, r -> r.status = 'insufficient_data')) as bigint) AS insufficient_data_count")
     residual = " * ".join(f"(1D - ({_group_value(g, config)}))" for g in CORRELATION_GROUPS)
     combined = f"least(1D, greatest(0D, 1D - {residual}))"
     score = (
