@@ -103,12 +103,12 @@ def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, se
     names = [*[f.name for f in windowed], *sorted(sequences)]
     members, others = (rows.join(dense, keys, how) for how in ("inner", "left_anti"))
     tables = []
-    if windowed:
-        others = frame_features(others, kind, windowed, config, keys)
-        tables.append(sweep_features(members, kind, windowed, config, ROW))
     if sequences:
         others = frame_sequences(others, kind, sequences, config, keys)
         tables.append(chunked_sequences(members, kind, sequences, config, ROW))
+    if windowed:
+        others = frame_features(others, kind, windowed, config, keys)
+        tables.append(sweep_features(members, kind, windowed, config, ROW))
     swept = tables[0] if len(tables) == 1 else tables[0].join(tables[1], ROW)
     return swept.select(ROW, *names).unionByName(others.select(ROW, *names))
 
@@ -167,10 +167,11 @@ def build_features(
             k in _UNDER_USER for k in kinds[:kinds.index(kind)]
         ):
             out = out.repartition(F.col("user_id"))
-        if windowed[kind]:
-            out = frame_features(out, kind, windowed[kind], config, keys)
+        # Sequences sort by time and id, which serves the frames after them too.
         if sequences[kind]:
             out = frame_sequences(out, kind, sequences[kind], config, keys)
+        if windowed[kind]:
+            out = frame_features(out, kind, windowed[kind], config, keys)
     if wants_baseline:
         out = baseline_columns(out, baseline, config, wanted)
     direct = {

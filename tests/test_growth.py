@@ -81,3 +81,10 @@ def test_rules_are_not_folded_into_functions_over_their_verdicts(spark):
     plan = optimized(score_results(evaluate_rules(table, config), config).select("anchor_event_id", "risk_score"))
     assert "MFA_INSUFFICIENT_ATTEMPT_HISTORY" in plan
     assert plan.count("MFA_INSUFFICIENT_ATTEMPT_HISTORY") == 1 and "filter(results" in plan.replace("filter(slice(results", "filter(results")
+
+
+def test_sequences_and_windows_of_a_kind_share_one_sort(spark):
+    config = FeatureConfig(skew=SkewConfig(dense_rows=10**9))
+    df = build_features(frame(spark, random_rows(111)), config, columns=["user_attempt_count__5m", "prior_failures_since_user_success"])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [user_id") == 1
