@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from ..functions.scalar import bucket, cyclic, located, micros_of
+from ..operators.arrays import array_features
 from ..operators.histories import frame_features, sweep_features
 from ..operators.prefix import LONG
 from ..operators.sequences import GEO, OWNED, chunked_sequences, frame_sequences
@@ -14,7 +15,7 @@ from ..runtime import compile_wide_rows, cut_lineage
 from ..schema import (
     BASELINE_FEATURES, ENTITY_KEYS, SCHEMA_VERSION, SPARK_TYPES, feature_catalog,
 )
-from .baseline import NOVELTY, Baseline, baseline_columns, known_flags, rate_counts
+from .baseline import KNOWN_SETS, NOVELTY, Baseline, baseline_columns, known_flags, rate_counts
 
 US = "event_us"
 ROW = "__row"
@@ -93,7 +94,22 @@ def dense_entities(events: DataFrame, config: FeatureConfig, kinds: list[str]) -
     narrow = [k for k in ("pair", "user_device") if k in kinds]
     if "user" in out and narrow:
         out.update(scan(events.join(out["user"], ["user_id"], "left_semi"), narrow))
-    return {k: v for k, v in out.items() if k in kinds}
+    return {k: v for k, v in out.items() if k in kinds or k == "user"}
+
+
+def _read_later(wanted: set[str]) -> set[str]:
+    """Columns of the events that are still read once the windows are done."""
+    place = ("coarse_latitude", "coarse_longitude")
+    reads = {
+        "current_authentication_outcome": ("authentication_outcome",), "current_authentication_method": ("authentication_method",),
+        "current_mfa_outcome": ("mfa_outcome",), "current_client_type": ("client_type",), "current_response_time_ms": ("response_time_ms",),
+        "current_country_code": ("country_code",), "current_has_device": ("device_id",), "current_has_location": place,
+        **{n: (KNOWN_SETS[s],) for n, s in NOVELTY.items()}, "user_success_rate_deviation": ("authentication_outcome",),
+        "response_time_zscore": ("response_time_ms",), "distance_from_user_baseline_centroid_km": place,
+        **{n: ("country_code", "region_code", *place) for n in GEO},
+        **{n: ("source_id",) for n, *_ in BASELINE_FEATURES if n.startswith("source_")},
+    }
+    return {"event_id", US, "user_id", *[c for n in wanted for c in reads.get(n, ())]}
 
 
 def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, sequences: set[str],
@@ -113,6 +129,11 @@ def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, se
     return swept.select(ROW, *names).unionByName(others.select(ROW, *names))
 
 
+def stored_events(events: DataFrame) -> DataFrame:
+    """The events stored with row numbers, for callers that read them too; ``build_features`` then stores none itself."""
+    return cut_lineage(events.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def build_features(
     events: DataFrame,
     config: FeatureConfig | None = None,
@@ -145,9 +166,9 @@ def build_features(
     kinds = [k for k in _ORDER if windowed[k] or sequences[k]]
     dense = dense_entities(rows, config, kinds)
 
-    if dense:
+    if dense and ROW not in rows.columns:
         # read many times below: once from the source, then from here; stored row numbers stay the same in every pass
-        rows = cut_lineage(rows.withColumn(ROW, F.monotonically_increasing_id()))
+        rows = stored_events(rows)
     out = rows
     if wants_baseline and baseline is not None:
         # while rows are narrow
@@ -161,17 +182,22 @@ def build_features(
             narrow = narrow.join(table, ROW)
         out = out.join(narrow, ROW).drop(ROW)
     kinds = [k for k in kinds if k not in dense]
+    by_user = [k for k in kinds if k in _UNDER_USER and "user" not in dense]
     for kind in kinds:
+        if kind in by_user:
+            continue
         keys = list(ENTITY_KEYS[kind])
-        if kind in _UNDER_USER and "user" not in dense and not any(
-            k in _UNDER_USER for k in kinds[:kinds.index(kind)]
-        ):
-            out = out.repartition(F.col("user_id"))
         # Sequences sort by time and id, which serves the frames after them too.
         if sequences[kind]:
             out = frame_sequences(out, kind, sequences[kind], config, keys)
         if windowed[kind]:
             out = frame_features(out, kind, windowed[kind], config, keys)
+    if by_user:
+        # The time is kept as microseconds; whatever else is not read any more stays behind.
+        later = _read_later(wanted)
+        kept = [c for c in out.columns if c in later or c not in events.columns]
+        out = array_features(out, {k: (windowed[k], sequences[k]) for k in by_user}, config, kept).withColumn(
+            "event_time", F.timestamp_micros(US))
     if wants_baseline:
         out = baseline_columns(out, baseline, config, wanted)
     direct = {
