@@ -553,8 +553,8 @@ def _is_expression(reason: str) -> bool:
     return "(" in reason
 
 
-def rule_sql(rule: Rule, config: DetectionConfig) -> str:
-    """The rule's result struct as one SQL expression."""
+def rule_sql(rule: Rule, config: DetectionConfig, explain: bool = True) -> str:
+    """The rule's result struct as one SQL expression; without ``explain`` its evidence and reasons are empty."""
     gate = " OR ".join(f"{g} IS NULL" for g in rule.gates) or "false"
     gate_reasons = _present([(f"{g} IS NULL", f"'INSUFFICIENT_HISTORY_{g.upper()}'") for g in rule.gates], "array<string>")
     unmet = " OR ".join(f"({c})" for c, _ in rule.unmet) or "false"
@@ -563,6 +563,8 @@ def rule_sql(rule: Rule, config: DetectionConfig) -> str:
     codes = _present([(e.when, f"'{e.code}'") for e in rule.evidence], "array<string>")
 
     def verdict(status: str, score: str, items: str, reasons: str) -> str:
+        if not explain:
+            items, reasons = nothing, "cast(array() as array<string>)"
         return (
             f"named_struct('rule_id', '{rule.rule_id}', 'rule_family', '{rule.family}', "
             f"'attack_category', '{rule.category}', 'correlation_group', '{rule.group}', "
@@ -631,8 +633,11 @@ def require_valid_snapshot(snapshot: DataFrame, config: DetectionConfig | None =
 STORED = "slice(results, 1, size(results))"
 
 
-def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
-    """(anchor_event_id, anchor_event_time, results array) with every enabled rule's verdict."""
+def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None, explain: bool = True) -> DataFrame:
+    """(anchor_event_id, anchor_event_time, results array) with every enabled rule's verdict.
+
+    Evidence and reasons are texts put together for each verdict; readers of statuses and strengths alone go without (``explain``).
+    """
     config = config or DetectionConfig()
     compile_wide_rows(snapshot.sparkSession)
     rules = build_rules(config)
@@ -642,7 +647,7 @@ def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None) -
     # One column per rule first: smaller expressions, then the array over them.
     rows = snapshot.selectExpr(
         "anchor_event_id", "anchor_event_time",
-        *[f"{rule_sql(r, config)} AS `{r.rule_id}`" for r in rules])
+        *[f"{rule_sql(r, config, explain)} AS `{r.rule_id}`" for r in rules])
     results = ", ".join(f"`{r.rule_id}`" for r in rules)
     return rows.selectExpr("anchor_event_id", "anchor_event_time", f"slice(array({results}), 1, {len(rules)}) AS results")
 

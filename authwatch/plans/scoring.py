@@ -34,18 +34,49 @@ def _group_value(group: str, config: DetectionConfig) -> str:
     return f"1D - aggregate(sort_array({values}), 1D, (acc, v) -> acc * (1D - v))"
 
 
-def score_results(results: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
-    """One assessment per evaluated anchor, zero scores included."""
+def _by_slot(rows: DataFrame, slots: int, config: DetectionConfig) -> tuple[DataFrame, dict[str, str]]:
+    """What scores are made of, from each of the array's places: compiled code, where functions over elements are interpreted."""
+    at = range(slots)
+    rows = rows.selectExpr("*", *[f"get(results, {i}) AS __r{i}" for i in at])
+    rows = rows.selectExpr(
+        *rows.columns[:-slots], *[f"__r{i}.status AS __s{i}" for i in at], *[f"__r{i}.correlation_group AS __g{i}" for i in at],
+        *[f"CASE WHEN __r{i}.status = 'fired' THEN __r{i}.weight * __r{i}.signal_strength END AS __c{i}" for i in at],
+        *[f"CASE WHEN __r{i}.status = 'fired' THEN __r{i}.rule_id END AS __id{i}" for i in at],
+        *[f"CASE WHEN __r{i}.status = 'fired' THEN named_struct('c', -(__r{i}.weight * __r{i}.signal_strength), 'v', -__r{i}.severity_rank, "
+          f"'s', -__r{i}.signal_strength, 'rule_id', __r{i}.rule_id, 'category', __r{i}.attack_category) END AS __k{i}" for i in at])
+    count = {s: " + ".join(f"CASE WHEN __s{i} = '{s}' THEN 1 ELSE 0 END" for i in at) for s in ("fired", "insufficient_data")}
+    rows = rows.selectExpr("*", f"{count['fired']} AS __n")
+    # A missing verdict comes first in the sorted ids; the leading null lets a single slot have a greatest value too.
+    ids = ", ".join(f"__id{i}" for i in at)
+    values = {
+        "fired_count": "__n", "insufficient": count["insufficient_data"],
+        "ids": f"slice(sort_array(array({ids})), {slots + 1} - __n, __n)",
+        "category": f"least(__k0, {', '.join(f'__k{i}' for i in at)}).category",
+        **{g: "coalesce(greatest(cast(null as double), {}), 0D)".format(", ".join(f"CASE WHEN __g{i} = '{g}' THEN __c{i} END" for i in at))
+           for g in CORRELATION_GROUPS},
+    }
+    return rows, values
+
+
+def score_results(results: DataFrame, config: DetectionConfig | None = None, slots: int | None = None) -> DataFrame:
+    """One assessment per evaluated anchor, zero scores included.
+
+    ``slots``, if known, is the most verdicts an anchor's array can hold; each place is then read by itself.
+    """
     config = config or DetectionConfig()
     s = config.scoring
-    rows = results.selectExpr(
-        "anchor_event_id", "anchor_event_time",
-        f"filter({STORED}, r -> r.status = 'fired') AS fired",
-        f"cast(size(filter({STORED}, r -> r.status = 'insufficient_data')) as bigint) AS insufficient_data_count")
-    residual = " * ".join(f"(1D - ({_group_value(g, config)}))" for g in CORRELATION_GROUPS)
+    values = {
+        "fired_count": "size(fired)", "insufficient": f"size(filter({STORED}, r -> r.status = 'insufficient_data'))",
+        "ids": "array_sort(transform(fired, r -> r.rule_id))", "category": "CASE WHEN size(ranked) > 0 THEN ranked[0].category END",
+        **{g: _group_value(g, config) for g in CORRELATION_GROUPS},
+    }
+    if slots and config.scoring.correlation_reducer == "max":
+        results, values = _by_slot(results, slots, config)
+    rows = results.selectExpr("*", f"filter({STORED}, r -> r.status = 'fired') AS fired")
+    residual = " * ".join(f"(1D - ({values[g]}))" for g in CORRELATION_GROUPS)
     combined = f"least(1D, greatest(0D, 1D - {residual}))"
     score = (
-        f"CASE WHEN size(fired) = 0 THEN 0D ELSE "
+        f"CASE WHEN {values['fired_count']} = 0 THEN 0D ELSE "
         f"least(100D, greatest({lit(float(s.min_fired_risk_score))}, bround(100D * {combined}, {s.round_decimals}))) END"
     )
     ranked = (
@@ -57,12 +88,12 @@ def score_results(results: DataFrame, config: DetectionConfig | None = None) ->
     return rows.selectExpr(
         f"'{SCHEMA_VERSION}' AS detection_schema_version", "anchor_event_id", "anchor_event_time", "risk_score",
         f"{severity_sql('risk_score', config)} AS severity",
-        "CASE WHEN size(ranked) > 0 THEN ranked[0].category END AS primary_attack_category",
+        f"{values['category']} AS primary_attack_category",
         "array_sort(array_distinct(transform(fired, r -> r.attack_category))) AS contributing_categories",
-        "cast(size(fired) as bigint) AS fired_rule_count",
-        "array_sort(transform(fired, r -> r.rule_id)) AS fired_rule_ids",
+        f"cast({values['fired_count']} as bigint) AS fired_rule_count",
+        f"{values['ids']} AS fired_rule_ids",
         f"slice(flatten(transform(ranked, r -> r.evidence)), 1, {s.top_evidence_count}) AS top_evidence",
-        "insufficient_data_count",
+        f"cast({values['insufficient']} as bigint) AS insufficient_data_count",
         "'1.0.0' AS scoring_version",
         f"'{config_fingerprint(config)}' AS configuration_fingerprint",
     ).select(*RISK_ASSESSMENTS.names)
