@@ -61,6 +61,27 @@ def test_keep_one_keeps_columns(spark):
     assert sorted((r.gone_id for r in kept.collect())) == ["n", "x", "z"]
 
 
+def test_rounds_of_few_links_write_few_files(spark):
+    """However many partitions a shuffle has; an empty task's start and file cost more than its links."""
+    from pyspark.sql import functions as F
+
+    from authwatch import runtime
+
+    links = spark.range(400).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).where("b % 4 <> 0")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    begun = runtime.stored_so_far()
+    try:
+        got = {r.node: r.component for r in graph.components(links).collect()}
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert got == {i: i // 4 * 4 for i in range(400)}
+    files = [len(spark.read.parquet(path).inputFiles()) for path in runtime._stored[begun:]]
+    assert max(files[1:]) <= spark.sparkContext.defaultParallelism < 24
+
+
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (201, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
