@@ -553,11 +553,24 @@ def _is_expression(reason: str) -> bool:
     return "(" in reason
 
 
+def _gate_sql(rule: Rule) -> str:
+    return " OR ".join(f"{g} IS NULL" for g in rule.gates) or "false"
+
+
+def _unmet_sql(rule: Rule) -> str:
+    return " OR ".join(f"({c})" for c, _ in rule.unmet) or "false"
+
+
+def status_sql(rule: Rule) -> str:
+    """The status of the rule's verdict alone."""
+    cases = [(_gate_sql(rule), "insufficient_data"), *[(c, status) for c, status, _ in rule.steps], (_unmet_sql(rule), "not_fired")]
+    return "CASE {} ELSE 'fired' END".format(" ".join(f"WHEN {c} THEN '{status}'" for c, status in cases))
+
+
 def rule_sql(rule: Rule, config: DetectionConfig, explain: bool = True) -> str:
     """The rule's result struct as one SQL expression; without ``explain`` its evidence and reasons are empty."""
-    gate = " OR ".join(f"{g} IS NULL" for g in rule.gates) or "false"
+    gate, unmet = _gate_sql(rule), _unmet_sql(rule)
     gate_reasons = _present([(f"{g} IS NULL", f"'INSUFFICIENT_HISTORY_{g.upper()}'") for g in rule.gates], "array<string>")
-    unmet = " OR ".join(f"({c})" for c, _ in rule.unmet) or "false"
     unmet_reasons = _present([(c, f"'{r}'") for c, r in rule.unmet], "array<string>")
     evidence = _present([(e.when, _evidence_sql(e)) for e in rule.evidence], EVIDENCE_ARRAY)
     codes = _present([(e.when, f"'{e.code}'") for e in rule.evidence], "array<string>")
@@ -633,17 +646,23 @@ def require_valid_snapshot(snapshot: DataFrame, config: DetectionConfig | None =
 STORED = "slice(results, 1, size(results))"
 
 
+def rules_for(snapshot: DataFrame, config: DetectionConfig) -> list[Rule]:
+    """The enabled rules, whose columns the snapshot must have."""
+    compile_wide_rows(snapshot.sparkSession)
+    rules = build_rules(config)
+    missing = sorted({c for r in rules for c in r.columns} - set(snapshot.columns))
+    if missing:
+        raise AuthwatchError(f"the snapshot lacks columns the rules need: {missing}")
+    return rules
+
+
 def evaluate_rules(snapshot: DataFrame, config: DetectionConfig | None = None, explain: bool = True) -> DataFrame:
     """(anchor_event_id, anchor_event_time, results array) with every enabled rule's verdict.
 
     Evidence and reasons are texts put together for each verdict; readers of statuses and strengths alone go without (``explain``).
     """
     config = config or DetectionConfig()
-    compile_wide_rows(snapshot.sparkSession)
-    rules = build_rules(config)
-    missing = sorted({c for r in rules for c in r.columns} - set(snapshot.columns))
-    if missing:
-        raise AuthwatchError(f"the snapshot lacks columns the rules need: {missing}")
+    rules = rules_for(snapshot, config)
     # One column per rule first: smaller expressions, then the array over them.
     rows = snapshot.selectExpr(
         "anchor_event_id", "anchor_event_time",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import DetectionConfig, config_fingerprint
 from ..schema import CORRELATION_GROUPS, RISK_ASSESSMENTS, SCHEMA_VERSION, SEVERITIES
-from .rules import META, STORED, lit
+from .rules import META, STORED, evaluate_rules, lit, rules_for, status_sql, strength
 
 
 def severity_sql(score: str, config: DetectionConfig) -> str:
@@ -44,6 +44,12 @@ def _by_slot(rows: DataFrame, slots: int, config: DetectionConfig) -> tuple[Data
         *[f"CASE WHEN __r{i}.status = 'fired' THEN __r{i}.rule_id END AS __id{i}" for i in at],
         *[f"CASE WHEN __r{i}.status = 'fired' THEN named_struct('c', -(__r{i}.weight * __r{i}.signal_strength), 'v', -__r{i}.severity_rank, "
           f"'s', -__r{i}.signal_strength, 'rule_id', __r{i}.rule_id, 'category', __r{i}.attack_category) END AS __k{i}" for i in at])
+    return _slot_values(rows, slots)
+
+
+def _slot_values(rows: DataFrame, slots: int) -> tuple[DataFrame, dict[str, str]]:
+    """From each slot's status, correlation group, contribution, fired id and rank (``__s``, ``__g``, ``__c``, ``__id``, ``__k``)."""
+    at = range(slots)
     count = {s: " + ".join(f"CASE WHEN __s{i} = '{s}' THEN 1 ELSE 0 END" for i in at) for s in ("fired", "insufficient_data")}
     rows = rows.selectExpr("*", f"{count['fired']} AS __n")
     # A missing verdict comes first in the sorted ids; the leading null lets a single slot have a greatest value too.
@@ -58,6 +64,47 @@ def _by_slot(rows: DataFrame, slots: int, config: DetectionConfig) -> tuple[Data
     return rows, values
 
 
+def _score_sql(values: dict[str, str], config: DetectionConfig) -> str:
+    s = config.scoring
+    residual = " * ".join(f"(1D - ({values[g]}))" for g in CORRELATION_GROUPS)
+    combined = f"least(1D, greatest(0D, 1D - {residual}))"
+    return (
+        f"CASE WHEN {values['fired_count']} = 0 THEN 0D ELSE "
+        f"least(100D, greatest({lit(float(s.min_fired_risk_score))}, bround(100D * {combined}, {s.round_decimals}))) END"
+    )
+
+
+#: What ``score_snapshot`` returns of an assessment.
+PLAIN = ("anchor_event_id", "anchor_event_time", "risk_score", "severity", "primary_attack_category", "fired_rule_count", "fired_rule_ids",
+         "insufficient_data_count")
+
+
+def score_snapshot(snapshot: DataFrame, config: DetectionConfig | None = None) -> DataFrame:
+    """The columns ``PLAIN`` of each anchor's assessment, as ``evaluate_rules`` and ``score_results`` give them.
+
+    Statuses and strengths are columns, no verdict is built; what a reader leaves out is not computed.
+    """
+    config = config or DetectionConfig()
+    if config.scoring.correlation_reducer != "max":
+        return score_results(evaluate_rules(snapshot, config, explain=False), config).select(*PLAIN)
+    rules = list(enumerate(rules_for(snapshot, config)))
+    rows = snapshot.selectExpr("*", *[f"{status_sql(r)} AS __s{i}" for i, r in rules])
+    rows = rows.selectExpr(
+        "anchor_event_id", "anchor_event_time", *[f"__s{i}" for i, _ in rules],
+        *[f"CASE WHEN __s{i} = 'fired' THEN {strength(r.components, config.signal)} END AS __v{i}" for i, r in rules])
+    weight = {i: lit(float(config.family_weights[r.family])) for i, r in rules}
+    rows = rows.selectExpr(
+        "anchor_event_id", "anchor_event_time", *[f"__s{i}" for i, _ in rules], *[f"'{r.group}' AS __g{i}" for i, r in rules],
+        *[f"{weight[i]} * __v{i} AS __c{i}" for i, _ in rules], *[f"CASE WHEN __s{i} = 'fired' THEN '{r.rule_id}' END AS __id{i}" for i, r in rules],
+        *[f"CASE WHEN __s{i} = 'fired' THEN named_struct('c', -({weight[i]} * __v{i}), 'v', {-SEVERITIES.index(r.severity)}, 's', -__v{i}, "
+          f"'rule_id', '{r.rule_id}', 'category', '{r.category}') END AS __k{i}" for i, r in rules])
+    rows, values = _slot_values(rows, len(rules))
+    return rows.selectExpr("*", f"{_score_sql(values, config)} AS risk_score").selectExpr(
+        "anchor_event_id", "anchor_event_time", "risk_score", f"{severity_sql('risk_score', config)} AS severity",
+        f"{values['category']} AS primary_attack_category", f"cast({values['fired_count']} as bigint) AS fired_rule_count",
+        f"{values['ids']} AS fired_rule_ids", f"cast({values['insufficient']} as bigint) AS insufficient_data_count")
+
+
 def score_results(results: DataFrame, config: DetectionConfig | None = None, slots: int | None = None) -> DataFrame:
     """One assessment per evaluated anchor, zero scores included.
 
@@ -73,12 +120,7 @@ def score_results(results: DataFrame, config: DetectionConfig | None = None, slo
     if slots and config.scoring.correlation_reducer == "max":
         results, values = _by_slot(results, slots, config)
     rows = results.selectExpr("*", f"filter({STORED}, r -> r.status = 'fired') AS fired")
-    residual = " * ".join(f"(1D - ({values[g]}))" for g in CORRELATION_GROUPS)
-    combined = f"least(1D, greatest(0D, 1D - {residual}))"
-    score = (
-        f"CASE WHEN {values['fired_count']} = 0 THEN 0D ELSE "
-        f"least(100D, greatest({lit(float(s.min_fired_risk_score))}, bround(100D * {combined}, {s.round_decimals}))) END"
-    )
+    score = _score_sql(values, config)
     ranked = (
         "sort_array(transform(fired, r -> named_struct('c', -(r.weight * r.signal_strength), "
         "'v', -r.severity_rank, 's', -r.signal_strength, 'rule_id', r.rule_id, "

@@ -13,7 +13,7 @@ from authwatch.plans import baseline as baselines
 from authwatch.plans.baseline import fit_baseline
 from authwatch.plans.features import US, build_features, dense_entities
 from authwatch.plans.rules import RULE_IDS, evaluate_rules
-from authwatch.plans.scoring import score_results
+from authwatch.plans.scoring import PLAIN, score_results, score_snapshot
 from authwatch.runtime import cut_lineage
 from authwatch.schema import BASELINE_FEATURES, feature_catalog
 from tests.naive import assert_same, snapshot
@@ -128,3 +128,27 @@ def test_scores_by_slot_are_those_over_elements(spark):
     assert "lambdafunction" in optimized(whole.select(*read)) and "lambdafunction" not in optimized(slots.select(*read))
     plain = evaluate_rules(build_features(frame(spark, random_rows(909))), config, explain=False)
     assert sorted(map(repr, score_results(plain, config).select(*read).collect())) == sorted(map(repr, whole.select(*read).collect()))
+
+
+@pytest.mark.parametrize("reducer", ["max", "bounded_sum"])
+def test_scores_without_verdicts_are_those_of_verdicts(spark, reducer):
+    """A report that reads only the number of fired rules has neither strengths nor verdicts in its plan."""
+    config = DetectionConfig()
+    config = replace(config, scoring=replace(config.scoring, correlation_reducer=reducer))
+    snap = cut_lineage(build_features(frame(spark, random_rows(909))))
+    whole, plain = score_results(evaluate_rules(snap, config), config), score_snapshot(snap, config)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, whole.select(*PLAIN).collect()))
+    some = replace(config, enabled_rule_ids=("PAD-BF-001",))
+    assert sorted(map(repr, score_snapshot(snap, some).collect())) == sorted(map(repr, score_results(evaluate_rules(snap, some), some).select(*PLAIN).collect()))
+    if reducer == "max":
+        plan = optimized(plain.select("anchor_event_id", "fired_rule_count"))
+        assert "named_struct" not in plan and "tanh" not in plan and "weight" not in plan
+
+
+def test_reports_of_one_pass_store_no_assessments(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    stored = []
+    monkeypatch.setattr(entry, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    got = entry.queries()["eval_scenario_rates_by_split"](spark, "/root/testdata/sf0.001").collect()
+    assert got and not [c for c in stored if "risk_score" in c]
