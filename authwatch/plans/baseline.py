@@ -245,6 +245,14 @@ def _with_lists(users: DataFrame, known: DataFrame, sets: list[str]) -> DataFram
     return users.join(lists, "user_id", "left")
 
 
+#: Of a user's row, what each column reads.
+_USER_READS = {
+    "login_hour_deviation": ("hour_histogram",), "user_success_rate_deviation": ("success_rate",),
+    "user_event_rate_ratio": ("event_rate_per_hour",), "response_time_zscore": ("response_time_mean_ms", "response_time_std_ms"),
+    "distance_from_user_baseline_centroid_km": ("centroid_latitude", "centroid_longitude"),
+}
+
+
 def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
                      wanted: set[str] | None = None) -> DataFrame:
     """Add the ``wanted`` (by default all) baseline-derived columns; an unknown entity yields null, never a novelty verdict.
@@ -264,7 +272,9 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
     users, sources = baseline.users, baseline.sources
     if listed:
         users = _with_lists(users, baseline.known, list(listed.values()))
-    users = users.select("user_id", F.struct(*[c for c in users.columns if c != "user_id"]).alias("ub"))
+    # Each event carries its user's struct through the join, so nothing else is in it; the mark tells a user from none.
+    read = [*listed.values(), *sorted({c for n in wanted for c in _USER_READS.get(n, ())})]
+    users = users.select("user_id", F.struct(F.lit(True).alias("known"), *read).alias("ub"))
     sources = sources.select("source_id", F.struct(*[c for c in sources.columns if c != "source_id"]).alias("sb"))
     # Size decides: small summaries are broadcast by Spark, larger ones sort-merge
     # with adaptive skew splitting of the event side.

@@ -76,6 +76,16 @@ def test_unwanted_baseline_columns_cost_no_windows(spark):
     assert "source_unique_user_count" not in plan and "targeted_user_count" not in plan
 
 
+def test_events_carry_only_what_is_read_of_their_user(spark):
+    events = frame(spark, random_rows(808))
+    fitted = fit_baseline(events)
+    names = ["user_event_rate_ratio", "is_new_country_for_user", "user_in_baseline"]
+    few, all_ = (build_features(events, FeatureConfig(), fitted, columns) for columns in (names, None))
+    plan = optimized(few)
+    assert not [c for c in ("hour_histogram", "centroid_latitude", "response_time_std_ms") if c in plan]
+    assert sorted(map(repr, few.select("anchor_event_id", *names).collect())) == sorted(map(repr, all_.select("anchor_event_id", *names).collect()))
+
+
 def test_rules_are_not_folded_into_functions_over_their_verdicts(spark):
     config = DetectionConfig(enabled_rule_ids=("PAD-MFA-001",))
     table = cut_lineage(build_features(frame(spark, random_rows(909))))
