@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import FeatureConfig, micros
@@ -23,13 +24,18 @@ from .sequences import _FAILED, _HERE, _OK, INPUTS, _published, _state
 
 # Rows that state is taken from, as SQL; a verdict that is null is false.
 _MARKS = {"__failed": f"{_FAILED} = 1", "__other": "authentication_outcome != 'failure'", "__ok": _OK, "__ok_here": f"{_OK} AND {_HERE}"}
+_NTH = "__nth"
 _SUCCESS, _LOCATED = ("country_code", "region_code"), (US, "coarse_latitude", "coarse_longitude")
 
 
 def array_features(
-    df: DataFrame, wanted: dict[str, tuple[list[Feature], set[str]]], config: FeatureConfig, kept: list[str]
+    df: DataFrame, wanted: dict[str, tuple[list[Feature], set[str]]], config: FeatureConfig, kept: list[str],
+    bucket: str | None = None,
 ) -> DataFrame:
-    """The columns ``kept`` and each kind's features and sequences, ``wanted`` = {kind under the user: (features, sequences)}."""
+    """The columns ``kept`` and each kind's features and sequences, ``wanted`` = {kind under the user: (features, sequences)}.
+
+    ``df`` is dealt out by its column ``bucket``, a function of the user, if there is one; else it is dealt out here, by user.
+    """
     types = {f.name: f.dataType for f in df.schema}
     plan, inputs, fields = [], {"user_id", US}, []
     sums: set[str] = set()
@@ -51,8 +57,16 @@ def array_features(
         inputs.add("event_id")
     # Tied events are told apart by their id, repeats of an id by the values that state is made of.
     order = ["user_id", US, *(["event_id", *INPUTS] if stateful else [])]
-    rows = df.repartition("user_id").selectExpr(
-        *dict.fromkeys([*kept, *sorted(inputs)]), *[f"{_row_value(n)} AS __v_{n}" for n in sorted(sums)],
+    if bucket is None:
+        rows = df.repartition("user_id")
+    else:
+        # The number is not read. It obliges Spark to keep users whole whatever it makes of the joins that ``df`` comes from, and needs the
+        # order of the rows below, so that nothing is dealt out or sorted for it.
+        over = f"OVER (PARTITION BY {bucket}, user_id ORDER BY {', '.join(order[1:])})"
+        rows, order = df.withColumn(_NTH, F.expr(f"row_number() {over}")), [bucket, *order]
+        inputs.add(_NTH)
+    rows = rows.selectExpr(
+        *dict.fromkeys([*kept, *sorted(inputs), *([bucket] if bucket else [])]), *[f"{_row_value(n)} AS __v_{n}" for n in sorted(sums)],
         *([f"coalesce({e}, false) AS {n}" for n, e in _MARKS.items()] if stateful else [])).sortWithinPartitions(*order)
     schema = T.StructType([*[T.StructField(c, types[c]) for c in kept], *fields])
     out, done = rows.mapInArrow(_measurer(kept, plan, [f.name for f in fields]), schema), list(kept)

@@ -105,6 +105,22 @@ def _finish(feature: Feature, config: FeatureConfig) -> str:
     return f"CASE WHEN {mean} != 0 THEN {std} / {mean} END"
 
 
+def derived(feature: Feature, config: FeatureConfig, names: set[str]) -> str | None:
+    """SQL of the published value from other published columns of its kind and window, if all of them are in ``names``; the same to the last bit."""
+    def column(measure: str) -> str:
+        return f"{feature.kind}_{measure}__{feature.window}"
+
+    if feature.measure in ("failure_rate", "success_rate"):
+        some, all_ = column(feature.measure.replace("rate", "count")), column("attempt_count")
+        if {some, all_} <= names:
+            return f"CASE WHEN {all_} >= {max(1, config.min_count_for_rate)} THEN {some} / {all_} END"
+    if feature.measure == "interarrival_coefficient_of_variation":
+        std, mean = column("interarrival_std_seconds"), column("mean_interarrival_seconds")
+        if {std, mean} <= names:
+            return f"CASE WHEN {mean} != 0 THEN {std} / {mean} END"
+    return None
+
+
 def _row_value(name: str) -> str:
     """Contribution of one event to an additive accumulator."""
     if name == "n":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
@@ -253,39 +254,39 @@ _USER_READS = {
 }
 
 
-def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
-                     wanted: set[str] | None = None) -> DataFrame:
-    """Add the ``wanted`` (by default all) baseline-derived columns; an unknown entity yields null, never a novelty verdict.
+#: The same of a source's row.
+_SOURCE_READS = {"source_user_fanout_ratio": ("targeted_user_count",), "source_event_rate_ratio": ("event_rate_per_hour",)}
+_SOURCE_COLUMNS = {n for n, *_ in BASELINE_FEATURES if n.startswith("source_")}
+
+
+def with_sources(rows: DataFrame, baseline: Baseline, wanted: set[str]) -> DataFrame:
+    """Add what the ``wanted`` columns read of the row's source, for ``baseline_columns``."""
+    if not wanted & _SOURCE_COLUMNS:
+        return rows
+    read = sorted({c for n in wanted for c in _SOURCE_READS.get(n, ())})
+    # Stored, so that Spark knows the size beforehand: where sources are few, no event is dealt out for them.
+    sources = cut_lineage(baseline.sources.select("source_id", *read))
+    return rows.join(sources.select("source_id", F.lit(True).alias("__source_known"), *[F.col(c).alias(f"__source_{c}") for c in read]),
+                     "source_id", "left")
+
 
-    Known values come with the user's row; those of ``baseline.long_sets`` are looked up by (user, value), unless ``rows``
-    has their flags already.
+def with_users(rows: DataFrame, baseline: Baseline, wanted: set[str], config: FeatureConfig,
+               join: Callable[[DataFrame, DataFrame], DataFrame] = lambda rows, users: rows.join(users, "user_id", "left")) -> DataFrame:
+    """Add the ``wanted`` baseline columns of the row's user, and what its ratio reads; no windows are needed yet.
+
+    Known values come with the user's row; those of ``baseline.long_sets`` have flags in ``rows`` (``known_flags``).
     """
-    if baseline is None:
-        return rows.withColumns({
-            n: (F.lit(False) if n.endswith("_in_baseline") else F.lit(None).cast(SPARK_TYPES[dtype]))
-            for n, dtype, *_ in BASELINE_FEATURES
-        })
-    wanted = {n for n, *_ in BASELINE_FEATURES} if wanted is None else wanted
     novelty = {n: f"__{n}" for n in NOVELTY if n in wanted}
-    rows = known_flags(rows, baseline, {n for n, flag in novelty.items() if NOVELTY[n] in baseline.long_sets and flag not in rows.columns})
     listed = {n: NOVELTY[n] for n, flag in novelty.items() if flag not in rows.columns}
-    users, sources = baseline.users, baseline.sources
+    users = baseline.users
     if listed:
         users = _with_lists(users, baseline.known, list(listed.values()))
     # Each event carries its user's struct through the join, so nothing else is in it; the mark tells a user from none.
     read = [*listed.values(), *sorted({c for n in wanted for c in _USER_READS.get(n, ())})]
     users = users.select("user_id", F.struct(F.lit(True).alias("known"), *read).alias("ub"))
-    sources = sources.select("source_id", F.struct(*[c for c in sources.columns if c != "source_id"]).alias("sb"))
-    # Size decides: small summaries are broadcast by Spark, larger ones sort-merge
-    # with adaptive skew splitting of the event side.
-    rows = rows.join(users, "user_id", "left")
-    if any(n.startswith("source_") for n in wanted & {n for n, *_ in BASELINE_FEATURES}):
-        rows = rows.join(sources, "source_id", "left")
-    else:
-        rows = rows.withColumn("sb", F.lit(None).cast(sources.schema["sb"].dataType))
-    known, source_known = F.col("ub").isNotNull(), F.col("sb").isNotNull()
-    ref = config.baseline.rate_reference_window
-    ref_hours = seconds(ref) / 3600.0
+    # Size decides: small summaries are broadcast by Spark, larger ones sort-merged.
+    rows = join(rows, users)
+    known = F.col("ub").isNotNull()
 
     def is_new(name: str) -> Column:
         value = F.col(KNOWN_SETS[NOVELTY[name]])
@@ -295,37 +296,63 @@ def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: Feature
             unseen = F.col(novelty[name]).isNull()
         return F.when(known & value.isNotNull(), unseen)
 
-    def ratio(count: str, rate: Column) -> Column:
-        if count not in rows.columns:
-            return F.lit(None).cast("double")
-        return F.when(rate > 0, F.col(count).cast("double") / ref_hours / rate)
-
     hour = F.pmod(bucket(F.col(US), 3_600_000_000), F.lit(24)).cast("int")
     rt_std = F.col("ub.response_time_std_ms")
     limit = config.baseline.max_response_time_zscore
     z = F.when(rt_std != 0, (F.col("response_time_ms") - F.col("ub.response_time_mean_ms")) / rt_std)
-    fanout = f"source_unique_user_count__{ref}"
-    targeted = F.col("sb.targeted_user_count")
     here = located("coarse_latitude", "coarse_longitude")
     observed = F.when(F.col("authentication_outcome") == "success", 1.0).otherwise(0.0)
     columns = {
         **{name: is_new(name) for name in novelty},
         "login_hour_deviation": F.lit(1.0) - F.element_at(F.col("ub.hour_histogram"), hour + 1),
         "user_success_rate_deviation": observed - F.col("ub.success_rate"),
-        "user_event_rate_ratio": ratio(f"user_attempt_count__{ref}", F.col("ub.event_rate_per_hour")),
         "response_time_zscore": F.when(
             z.isNotNull(), F.greatest(F.lit(-limit), F.least(F.lit(limit), z))),
-        "source_user_fanout_ratio": (
-            F.when(targeted > 0, F.col(fanout) / targeted)
-            if fanout in rows.columns else F.lit(None).cast("double")),
-        "source_event_rate_ratio": ratio(f"source_attempt_count__{ref}", F.col("sb.event_rate_per_hour")),
         "distance_from_user_baseline_centroid_km": F.when(
             here & F.col("ub.centroid_latitude").isNotNull(),
             haversine_km("ub.centroid_latitude", "ub.centroid_longitude", "coarse_latitude", "coarse_longitude")),
         "user_in_baseline": known,
-        "source_in_baseline": source_known,
     }
-    return rows.withColumns({n: c for n, c in columns.items() if n in wanted}).drop("ub", "sb", *novelty.values())
+    columns = {n: c for n, c in columns.items() if n in wanted}
+    if "user_event_rate_ratio" in wanted:
+        columns["__user_event_rate_per_hour"] = F.col("ub.event_rate_per_hour")
+    return rows.withColumns(columns).drop("ub", *novelty.values())
+
+
+def baseline_columns(rows: DataFrame, baseline: Baseline | None, config: FeatureConfig,
+                     wanted: set[str] | None = None) -> DataFrame:
+    """Finish the ``wanted`` (by default all) baseline-derived columns; an unknown entity yields null, never a novelty verdict.
+
+    ``rows`` have been through ``with_sources`` and ``with_users`` and have their window counts.
+    """
+    if baseline is None:
+        return rows.withColumns({
+            n: (F.lit(False) if n.endswith("_in_baseline") else F.lit(None).cast(SPARK_TYPES[dtype]))
+            for n, dtype, *_ in BASELINE_FEATURES
+        })
+    wanted = {n for n, *_ in BASELINE_FEATURES} if wanted is None else wanted
+    ref_hours = seconds(config.baseline.rate_reference_window) / 3600.0
+    counts = rate_counts(config)
+
+    def ratio(name: str, rate: str) -> Column:
+        if name not in wanted or counts[name] not in rows.columns:
+            return F.lit(None).cast("double")
+        return F.when(F.col(rate) > 0, F.col(counts[name]).cast("double") / ref_hours / F.col(rate))
+
+    def fanout(name: str) -> Column:
+        if name not in wanted or counts[name] not in rows.columns:
+            return F.lit(None).cast("double")
+        targeted = F.col("__source_targeted_user_count")
+        return F.when(targeted > 0, F.col(counts[name]) / targeted)
+
+    columns = {
+        "user_event_rate_ratio": ratio("user_event_rate_ratio", "__user_event_rate_per_hour"),
+        "source_user_fanout_ratio": fanout("source_user_fanout_ratio"),
+        "source_event_rate_ratio": ratio("source_event_rate_ratio", "__source_event_rate_per_hour"),
+        "source_in_baseline": F.col("__source_known").isNotNull() if "source_in_baseline" in wanted else None,
+    }
+    spent = ["__user_event_rate_per_hour", "__source_known", "__source_targeted_user_count", "__source_event_rate_per_hour"]
+    return rows.withColumns({n: c for n, c in columns.items() if n in wanted}).drop(*spent)
 
 
 def save_baseline(baseline: Baseline, path: str, config: BaselineConfig) -> None:

@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FeatureConfig
 from ..functions.scalar import bucket, cyclic, located, micros_of
 from ..operators.arrays import array_features
-from ..operators.histories import frame_features, sweep_features
+from ..operators.histories import derived, frame_features, sweep_features
 from ..operators.prefix import LONG
 from ..operators.sequences import GEO, OWNED, chunked_sequences, frame_sequences
-from ..runtime import compile_wide_rows, cut_lineage
+from ..runtime import compile_wide_rows, cut_lineage, keep_dealt
 from ..schema import (
     BASELINE_FEATURES, ENTITY_KEYS, SCHEMA_VERSION, SPARK_TYPES, feature_catalog,
 )
-from .baseline import KNOWN_SETS, NOVELTY, Baseline, baseline_columns, known_flags, rate_counts
+from .baseline import NOVELTY, Baseline, baseline_columns, known_flags, rate_counts, with_sources, with_users
 
 US = "event_us"
 ROW = "__row"
+# Upper bits of ROW: the bucket of the row's user, so that tables of single kinds can be dealt by user although they hold no user.
+BUCKET = "__bucket"
+_BUCKETS, _NUMBER_BITS = 1 << 16, 47
 # Narrow kinds first; the last three share one shuffle on the user.
 _ORDER = ("session", "device", "source", "user_device", "pair", "user")
 _UNDER_USER = ("user_device", "pair", "user")
@@ -104,34 +109,63 @@ def _read_later(wanted: set[str]) -> set[str]:
         "current_authentication_outcome": ("authentication_outcome",), "current_authentication_method": ("authentication_method",),
         "current_mfa_outcome": ("mfa_outcome",), "current_client_type": ("client_type",), "current_response_time_ms": ("response_time_ms",),
         "current_country_code": ("country_code",), "current_has_device": ("device_id",), "current_has_location": place,
-        **{n: (KNOWN_SETS[s],) for n, s in NOVELTY.items()}, "user_success_rate_deviation": ("authentication_outcome",),
-        "response_time_zscore": ("response_time_ms",), "distance_from_user_baseline_centroid_km": place,
         **{n: ("country_code", "region_code", *place) for n in GEO},
-        **{n: ("source_id",) for n, *_ in BASELINE_FEATURES if n.startswith("source_")},
     }
     return {"event_id", US, "user_id", *[c for n in wanted for c in reads.get(n, ())]}
 
 
-def _dense_kind(rows: DataFrame, dense: DataFrame, kind: str, windowed: list, sequences: set[str],
-                config: FeatureConfig) -> DataFrame:
-    """(ROW, columns of the kind) for all rows: dense entities by the sweep, the others by frames."""
+def _framed(rows: DataFrame, kind: str, windowed: list, sequences: set[str], config: FeatureConfig) -> DataFrame:
+    """The rows with the columns of the kind, by frames."""
     keys = list(ENTITY_KEYS[kind])
-    names = [*[f.name for f in windowed], *sorted(sequences)]
-    members, others = (rows.join(dense, keys, how) for how in ("inner", "left_anti"))
+    # Sequences sort by time and id, which serves the frames after them too.
+    if sequences:
+        rows = frame_sequences(rows, kind, sequences, config, keys)
+    return frame_features(rows, kind, windowed, config, keys) if windowed else rows
+
+
+def _kind_tables(rows: DataFrame, dense: DataFrame | None, kind: str, windowed: list, sequences: set[str],
+                 config: FeatureConfig) -> list[DataFrame]:
+    """(ROW, columns of the kind) for all rows, in one or two tables: dense entities by the sweep, the others by frames."""
+    names = [f.name for f in windowed]
+    if dense is None:
+        return [_framed(rows, kind, windowed, sequences, config).select(ROW, *sorted(sequences), *names)]
+    members, others = (rows.join(dense, list(ENTITY_KEYS[kind]), how) for how in ("inner", "left_anti"))
+    # Not joined with each other, as what comes of a union would be dealt out once more.
     tables = []
     if sequences:
-        others = frame_sequences(others, kind, sequences, config, keys)
-        tables.append(chunked_sequences(members, kind, sequences, config, ROW))
+        tables.append(chunked_sequences(members, kind, sequences, config, ROW).select(ROW, *sorted(sequences)).unionByName(
+            _framed(others, kind, [], sequences, config).select(ROW, *sorted(sequences))))
     if windowed:
-        others = frame_features(others, kind, windowed, config, keys)
-        tables.append(sweep_features(members, kind, windowed, config, ROW))
-    swept = tables[0] if len(tables) == 1 else tables[0].join(tables[1], ROW)
-    return swept.select(ROW, *names).unionByName(others.select(ROW, *names))
+        tables.append(sweep_features(members, kind, windowed, config, ROW).select(ROW, *names).unionByName(
+            _framed(others, kind, windowed, set(), config).select(ROW, *names)))
+    return tables
+
+
+def _bucket(row: str) -> Column:
+    return F.shiftright(row, _NUMBER_BITS)
+
+
+def _bucket_of(user: str) -> Column:
+    return F.pmod(F.hash(user), F.lit(_BUCKETS)).cast("long")
+
+
+def _with_table(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """The rows, dealt out by bucket, with their columns of the table; see ``keep_dealt``."""
+    table = table.withColumnRenamed(ROW, "__other").repartition(_bucket("__other"))
+    return rows.join(table, (_bucket(ROW) == _bucket("__other")) & (F.col(ROW) == F.col("__other")), "left").drop("__other")
+
+
+def _with_user(rows: DataFrame, users: DataFrame) -> DataFrame:
+    """The same for the row of the user."""
+    users = users.withColumnRenamed("user_id", "__other").repartition(_bucket_of("__other"))
+    return rows.join(users, (_bucket(ROW) == _bucket_of("__other")) & (F.col("user_id") == F.col("__other")), "left").drop("__other")
 
 
 def stored_events(events: DataFrame) -> DataFrame:
     """The events stored with row numbers, for callers that read them too; ``build_features`` then stores none itself."""
-    return cut_lineage(events.withColumn(ROW, F.monotonically_increasing_id()))
+    # A number is 33 bits under that of its partition, so 2^14 partitions have room.
+    number = F.shiftleft(_bucket_of("user_id"), _NUMBER_BITS) + F.monotonically_increasing_id()
+    return cut_lineage(events.coalesce(1 << (_NUMBER_BITS - 33)).withColumn(ROW, number))
 
 
 def build_features(
@@ -169,35 +203,49 @@ def build_features(
     if dense and ROW not in rows.columns:
         # read many times below: once from the source, then from here; stored row numbers stay the same in every pass
         rows = stored_events(rows)
-    out = rows
-    if wants_baseline and baseline is not None:
-        # while rows are narrow
-        out = known_flags(out, baseline, {n for n, s in NOVELTY.items() if n in wanted and s in baseline.long_sets})
-    exact = [_dense_kind(rows, dense[k], k, windowed[k], sequences[k], config) for k in kinds if k in dense]
-    if exact:
-        # Tables of single kinds meet the narrow rows first. What is computed by user comes after the shuffle on the user,
-        # so those wide columns never cross the network.
-        narrow = exact[0]
-        for table in exact[1:]:
-            narrow = narrow.join(table, ROW)
-        out = out.join(narrow, ROW).drop(ROW)
-    kinds = [k for k in kinds if k not in dense]
     by_user = [k for k in kinds if k in _UNDER_USER and "user" not in dense]
-    for kind in kinds:
-        if kind in by_user:
-            continue
-        keys = list(ENTITY_KEYS[kind])
-        # Sequences sort by time and id, which serves the frames after them too.
-        if sequences[kind]:
-            out = frame_sequences(out, kind, sequences[kind], config, keys)
-        if windowed[kind]:
-            out = frame_features(out, kind, windowed[kind], config, keys)
+    fitted = baseline if wants_baseline else None
+    out, late = rows, {}
+    if fitted is not None:
+        # What the baseline knows comes while rows are narrow, ratios to it when the windows are done.
+        out = known_flags(out, fitted, {n for n, s in NOVELTY.items() if n in wanted and s in fitted.long_sets})
+        out = with_sources(out, fitted, wanted)
+    if dense:
+        # Every kind is measured on narrow rows, so its wide columns cross the network once.
+        # What follows from other columns is not carried along.
+        tables = []
+        for kind in kinds:
+            if kind not in by_user:
+                names = {f.name for f in windowed[kind]}
+                late |= {f.name: value for f in windowed[kind] if (value := derived(f, config, names))}
+                carried = [f for f in windowed[kind] if f.name not in late]
+                tables += _kind_tables(rows, dense.get(kind), kind, carried, sequences[kind], config)
+        if by_user:
+            # Rows, tables and users are dealt out by user once and stay there for the kinds under the user.
+            keep_dealt(events.sparkSession)
+            out = out.repartition(_bucket(ROW))
+            if fitted is not None:
+                out = with_users(out, fitted, wanted, config, _with_user)
+            out = reduce(_with_table, tables, out).withColumn(BUCKET, _bucket(ROW))
+        else:
+            if fitted is not None:
+                out = with_users(out, fitted, wanted, config)
+            if tables:
+                out = out.join(reduce(lambda narrow, table: narrow.join(table, ROW), tables), ROW)
+    else:
+        if fitted is not None:
+            out = with_users(out, fitted, wanted, config)
+        for kind in kinds:
+            if kind not in by_user:
+                out = _framed(out, kind, windowed[kind], sequences[kind], config)
     if by_user:
         # The time is kept as microseconds; whatever else is not read any more stays behind.
         later = _read_later(wanted)
-        kept = [c for c in out.columns if c in later or c not in events.columns]
-        out = array_features(out, {k: (windowed[k], sequences[k]) for k in by_user}, config, kept).withColumn(
-            "event_time", F.timestamp_micros(US))
+        kept = [c for c in out.columns if (c in later or c not in events.columns) and c not in (ROW, BUCKET)]
+        out = array_features(out, {k: (windowed[k], sequences[k]) for k in by_user}, config, kept,
+                             BUCKET if dense else None).withColumn("event_time", F.timestamp_micros(US))
+    if late:
+        out = out.selectExpr("*", *[f"{value} AS {name}" for name, value in late.items()])
     if wants_baseline:
         out = baseline_columns(out, baseline, config, wanted)
     direct = {

@@ -1,5 +1,6 @@
 """What keeps the window features and the rules from growing faster than the events."""
 
+import re
 from dataclasses import replace
 
 import pytest
@@ -86,6 +87,53 @@ def test_events_carry_only_what_is_read_of_their_user(spark):
     assert sorted(map(repr, few.select("anchor_event_id", *names).collect())) == sorted(map(repr, all_.select("anchor_event_id", *names).collect()))
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.requireAllClusterKeysForCoPartition")
+    before = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[0], -1)
+    yield
+    for name, value in zip(names, before):
+        spark.conf.set(name, value)
+
+
+def odd_events(spark, seed):
+    """Some without a user or source, some twice."""
+    events = frame(spark, random_rows(seed))
+    n = F.substring("event_id", -1, 1)
+    events = events.withColumns({"user_id": F.when(n != "3", F.col("user_id")), "source_id": F.when(n != "4", F.col("source_id"))})
+    return events.unionByName(events.where(n == "5"))
+
+
+def test_no_shuffle_carries_a_whole_snapshot(spark, no_broadcast):
+    """Beside dense sources, rows, window tables and users are dealt out once each; the wide row is made where they meet."""
+    events = frame(spark, random_rows(812))
+    df = build_features(events, FeatureConfig(skew=SkewConfig(dense_rows=60)), fit_baseline(events))
+    plan = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    widths = [int(n) for n in re.findall(r"\n\(\d+\) Exchange\nInput \[(\d+)\]", plan)]
+    assert len(widths) > 5 and max(widths) <= 64 < len(df.columns) / 2
+    assert "source_failure_rate__1h" in df.columns and len(re.findall("REPARTITION_BY_COL", plan)) == 6
+
+
+@pytest.mark.parametrize("stay", ["false", "true"])
+def test_rows_that_meet_by_user_give_the_same_snapshot(spark, no_broadcast, stay):
+    """Dense sources, whose tables meet the rows in the user's partition, against frames alone; also where Spark deals out by all keys of a join."""
+    events = odd_events(spark, 813)
+    fitted = fit_baseline(events.where("event_id < 'e000150'"))
+    dense, frames = (build_features(events, FeatureConfig(skew=SkewConfig(dense_rows=n)), fitted) for n in (60, 10**9))
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", stay)
+    got, expected = (sorted(repr(r) for r in df.collect()) for df in (dense, frames))
+    assert got == expected and len(got) > 220
+
+
+def test_derived_columns_are_those_of_their_own_windows(spark):
+    """Rates and coefficients of variation that follow from published columns, against the columns asked for alone."""
+    events, config = odd_events(spark, 814), FeatureConfig(skew=SkewConfig(dense_rows=60))
+    names = [f.name for f in feature_catalog(config) if f.kind == "source" and f.aggregate in ("rate", "cov")]
+    whole, alone = (build_features(events, config, columns=c) for c in (None, names))
+    assert sorted(map(repr, whole.select("anchor_event_id", *names).collect())) == sorted(map(repr, alone.select("anchor_event_id", *names).collect()))
+
+
 def test_rules_are_not_folded_into_functions_over_their_verdicts(spark):
     config = DetectionConfig(enabled_rule_ids=("PAD-MFA-001",))
     table = cut_lineage(build_features(frame(spark, random_rows(909))))
