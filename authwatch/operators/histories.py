@@ -186,9 +186,12 @@ SWEEP_ROWS = 1_000_000
 
 
 def sweep_features(
-    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig, row: str = "event_id"
+    df: DataFrame, kind: str, features: list[Feature], config: FeatureConfig, row: str = "event_id", short: frozenset[str] = frozenset()
 ) -> DataFrame:
-    """Sweep-line form; returns (row, features...) for the given events, ``row`` being a column that tells them apart."""
+    """Sweep-line form; returns (row, features...) for the given events, ``row`` being a column that tells them apart.
+
+    ``short`` names columns none of whose values is known to have many events.
+    """
     keys = list(ENTITY_KEYS[kind])
     width = micros(config.skew.chunk)
     needed = _accumulators(features)
@@ -210,7 +213,7 @@ def sweep_features(
     # row brings the gap to its predecessor, its expiry row takes out the gap to its successor.
     row_type = df.schema[row].dataType.simpleString()
 
-    gaps = "gap_sum" in everything
+    plain, gaps = events, "gap_sum" in everything
     if gaps:
         events = neighbours(events, keys, US, "prev_us", "next_us")
     before, after = (f"coalesce({US} - prev_us, 0L)", f"coalesce(next_us - {US}, 0L)") if gaps else ("0L", "0L")
@@ -229,21 +232,28 @@ def sweep_features(
         # than any window, only the first and the last are kept.
         counted = [(i, micros(w)) for i, w in enumerate(windows) if needed[w] & set(dims)]
         step = min(width, *[w_us for _, w_us in counted])
-        entries = ", ".join(
-            f"named_struct('what', {i}, 'x', cast({DIMENSION_COLUMNS[d]} as string))" for i, d in enumerate(dims))
-        seen = events.selectExpr(*keys, LONG, US, f"explode(array({entries})) AS d").where("d.x IS NOT NULL").groupBy(
-            *keys, LONG, "d.what", "d.x", bucket(F.col(US), step).alias("step")).agg(
-            F.min(US).alias("first_us"), F.max(US).alias("last_us"))
         order = f"OVER (PARTITION BY {', '.join(keys)}, what, x ORDER BY step)"
-        seen = seen.selectExpr("*", f"lag(last_us) {order} AS prev_us", f"lead(first_us) {order} AS next_us")
         edges = ["CASE WHEN prev_us IS NULL THEN named_struct('at', first_us, 'slot', -1, 'sign', 1L) END"]
         for i, w_us in counted:
             gone = f"CASE WHEN next_us IS NULL OR next_us - last_us > {w_us}L THEN named_struct('at', {{}}, 'slot', {i}, 'sign', {{}}) END"
             edges += [gone.format(f"last_us + {w_us}L", "-1L"), gone.format("next_us", "1L")]
-        deltas = deltas.unionByName(
-            seen.selectExpr("*", f"explode(array({', '.join(edges)})) AS c").where("c.at IS NOT NULL").selectExpr(
-                f"cast(null as {row_type}) AS {row}", *keys, LONG, f"c.at AS {US}", "c.slot AS slot", "what", "c.sign AS sign",
-                "0L AS gap", *[f"0L AS v_{n}" for n in additive]))
+        # Values with short histories hardly repeat inside a step, so they are dealt out once and merged there; the others are merged before
+        # they are dealt out, and again for their order.
+        for once in (True, False):
+            entries = ", ".join(f"named_struct('what', {i}, 'x', cast({DIMENSION_COLUMNS[d]} as string))"
+                                for i, d in enumerate(dims) if (DIMENSION_COLUMNS[d] in short) == once)
+            if not entries:
+                continue
+            seen = plain.selectExpr(*keys, LONG, US, f"inline(array({entries}))").where("x IS NOT NULL")
+            if once:
+                seen = seen.repartition(*keys, "what", "x")
+            seen = seen.groupBy(*keys, LONG, "what", "x", bucket(F.col(US), step).alias("step")).agg(
+                F.min(US).alias("first_us"), F.max(US).alias("last_us"))
+            seen = seen.selectExpr("*", f"lag(last_us) {order} AS prev_us", f"lead(first_us) {order} AS next_us")
+            deltas = deltas.unionByName(
+                seen.selectExpr("*", f"explode(array({', '.join(edges)})) AS c").where("c.at IS NOT NULL").selectExpr(
+                    f"cast(null as {row_type}) AS {row}", *keys, LONG, f"c.at AS {US}", "c.slot AS slot", "what", "c.sign AS sign",
+                    "0L AS gap", *[f"0L AS v_{n}" for n in additive]))
     # Read twice, so the thin rows are stored; the wide per-window sums exist only for rows that are returned. The number of
     # tasks follows the rows: adaptive execution would join partitions by their compressed size, which says little about thin rows.
     deltas = cut_lineage(with_chunk(deltas, US, width).drop(LONG))

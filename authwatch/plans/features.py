@@ -124,8 +124,8 @@ def _framed(rows: DataFrame, kind: str, windowed: list, sequences: set[str], con
 
 
 def _kind_tables(rows: DataFrame, dense: DataFrame | None, kind: str, windowed: list, sequences: set[str],
-                 config: FeatureConfig) -> list[DataFrame]:
-    """(ROW, columns of the kind) for all rows, in one or two tables: dense entities by the sweep, the others by frames."""
+                 config: FeatureConfig, short: frozenset[str]) -> list[DataFrame]:
+    """(ROW, columns of the kind) for all rows, in one or two tables: dense entities by the sweep (``short`` is its), the others by frames."""
     names = [f.name for f in windowed]
     if dense is None:
         return [_framed(rows, kind, windowed, sequences, config).select(ROW, *sorted(sequences), *names)]
@@ -136,7 +136,7 @@ def _kind_tables(rows: DataFrame, dense: DataFrame | None, kind: str, windowed:
         tables.append(chunked_sequences(members, kind, sequences, config, ROW).select(ROW, *sorted(sequences)).unionByName(
             _framed(others, kind, [], sequences, config).select(ROW, *sorted(sequences))))
     if windowed:
-        tables.append(sweep_features(members, kind, windowed, config, ROW).select(ROW, *names).unionByName(
+        tables.append(sweep_features(members, kind, windowed, config, ROW, short).select(ROW, *names).unionByName(
             _framed(others, kind, windowed, set(), config).select(ROW, *names)))
     return tables
 
@@ -213,13 +213,13 @@ def build_features(
     if dense:
         # Every kind is measured on narrow rows, so its wide columns cross the network once.
         # What follows from other columns is not carried along.
-        tables = []
+        tables, short = [], frozenset(["user_id"] if by_user else [])
         for kind in kinds:
             if kind not in by_user:
                 names = {f.name for f in windowed[kind]}
                 late |= {f.name: value for f in windowed[kind] if (value := derived(f, config, names))}
                 carried = [f for f in windowed[kind] if f.name not in late]
-                tables += _kind_tables(rows, dense.get(kind), kind, carried, sequences[kind], config)
+                tables += _kind_tables(rows, dense.get(kind), kind, carried, sequences[kind], config, short)
         if by_user:
             # Rows, tables and users are dealt out by user once and stay there for the kinds under the user.
             keep_dealt(events.sparkSession)

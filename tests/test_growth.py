@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from authwatch.config import DetectionConfig, FeatureConfig, SkewConfig
 from authwatch.functions.scalar import micros_of
+from authwatch.operators import histories
 from authwatch.operators.arrays import _measurer
 from authwatch.operators.prefix import CHUNK, LONG, neighbour, neighbours, with_chunk
 from authwatch.plans import baseline as baselines
@@ -126,6 +127,18 @@ def test_rows_that_meet_by_user_give_the_same_snapshot(spark, no_broadcast, stay
     assert got == expected and len(got) > 220
 
 
+def test_values_with_short_histories_are_dealt_out_once(spark, monkeypatch):
+    """Users of a device, none of whom is dense: their occurrences need one shuffle, not one to merge and one to order them."""
+    plans = []
+    monkeypatch.setattr(histories, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut_lineage(df))
+    rows = random_rows(815)
+    config = FeatureConfig(skew=SkewConfig(dense_rows=43))
+    got = rows_of(build_features(frame(spark, rows), config, columns=["device_user_count__1h", "user_attempt_count__1h"]))
+    assert [len(re.findall(r"Exchange hashpartitioning\(device_id", plan)) for plan in plans] == [1]
+    expected = snapshot(rows, config)
+    assert all(r["device_user_count__1h"] == expected[e]["device_user_count__1h"] for e, r in got.items())
+
+
 def test_derived_columns_are_those_of_their_own_windows(spark):
     """Rates and coefficients of variation that follow from published columns, against the columns asked for alone."""
     events, config = odd_events(spark, 814), FeatureConfig(skew=SkewConfig(dense_rows=60))
